@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import jaccard, quality, rules
+from gneiss.llm import jaccard, quality, rules, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_quality_classifier, op5_quality_rules, op7_jaccard_join)
+    for f in (op3_quality_classifier, op5_quality_rules, op7_jaccard_join, op10_suffix_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle()}
 
