@@ -38,9 +38,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, and deleted with this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_decontamination, op3_quality_classifier, op5_quality_rules, op7_jaccard_join, op10_suffix_dedup)
+    for f in (op1_best_fit_packing, op2_decontamination, op3_quality_classifier, op5_quality_rules, op7_jaccard_join, op10_suffix_dedup, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle()}
 
