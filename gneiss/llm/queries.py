@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import decontam, jaccard, packing, quality, rules, sentences, suffixes
+from gneiss.llm import decontam, html, jaccard, packing, quality, rules, sentences, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_decontamination, op3_quality_classifier, op4_sentence_spans, op5_quality_rules, op7_jaccard_join, op10_suffix_dedup, pipeline)
+    for f in (op1_best_fit_packing, op2_decontamination, op3_quality_classifier, op4_sentence_spans, op5_quality_rules, op7_jaccard_join, op9_html_extraction, op10_suffix_dedup, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle()}
 
