@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    parts: as many tasks at most write it, for results whose row count is known to be small for more.
+    """
     spark = df.sparkSession
+    if parts:
+        df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

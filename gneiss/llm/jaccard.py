@@ -6,16 +6,18 @@ shingles and for whole sets (48 bits of them where two sets or frequencies are c
 
 1. `describe` hashes every text: set size and set digest. Equal sets are one node from here on.
 2. `survivors` finds each shingle's document frequency. Tasks send packed (shingle, row) runs to
-   buckets of the hash space; a bucket counts distinct sets for each shingle and returns only the
-   shingles of two sets or more, again packed, to the batch they came from. A set that shares less
+   buckets of the hash space; a bucket counts each shingle's rows (equal sets of one task count once)
+   and returns only the shingles of two rows or more, again packed, to the batch they came from. A set that shares less
    than 80 % of its shingles with the rest of the corpus can't have a partner and goes. Shingles so
    common that at most 131,072 of them can exist are announced first, and are not sent at all.
 3. Each surviving set has a prefix, its rarest n - ceil(0.8 n) + 1 shingles. Sets with the same
    prefix and size form a group. Groups that share a prefix shingle and fit in size are candidates.
-4. `links` verifies candidates. First rounds compare groups with one leader of a prefix shingle and
-   members with the leader of their group, in proportion to the rows, and contract what is linked. The
-   last round verifies every candidate pair that is still in two components, so no link that joins
-   components is lost, and no pair inside a component is made.
+4. `links` verifies candidates. First rounds compare groups with a few leaders of a prefix shingle
+   (the sets with fewest shingles of their own, so the likeliest originals) and members with the leader
+   of their group, in proportion to the rows, and contract what is linked. The last round verifies
+   every candidate pair that is still in two components, so no link that joins components is lost, and
+   no pair inside a component is made. A candidate must fit in size and by the places of the shared
+   shingle: what stands behind it in both sets must suffice for the similarity.
 
 Defined cases: null, empty and wordless texts have no shingles and their own component; fewer than
 five words make one shingle; equal texts are linked; a null id keeps a null component and joins no
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import text as tx
@@ -39,8 +41,10 @@ from gneiss.llm.components import connected_components
 K = 5
 COMMON = 1 << 17  # most shingles that can be announced as common
 WINDOW = 1 << 21  # shingles that a task holds before it sends them
-PER_BUCKET = 1 << 20
+PER_BUCKET = 1 << 21
 LEADER_ROUNDS = 3
+LEADERS = 4
+ROWS_PER_TASK = 100_000
 U64 = np.uint64
 
 
@@ -131,7 +135,7 @@ def _send(docs: DataFrame, common: np.ndarray, buckets: int, k: int) -> DataFram
         cuts = np.searchsorted(h >> shift, np.arange(buckets + 1, dtype=U64))
         t = token48(h)
         low, high = (t & U64(0xFFFFFFFF)).astype(np.uint32), (t >> U64(32)).astype(np.uint16)
-        blobs = [_pack(keys, low[a:b], high[a:b], row[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        blobs = [_pack(low[a:b], high[a:b], row[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         ids = np.arange(buckets, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(ids, source % buckets).astype(np.int32)), pa.array(np.full(buckets + 1, source)), pa.array([False] * buckets + [True]), pa.array([*blobs, meta], pa.binary())],
@@ -156,35 +160,27 @@ def _send(docs: DataFrame, common: np.ndarray, buckets: int, k: int) -> DataFram
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """In one bucket: shingles of two sets or more, with their frequency, for the sources that sent them."""
+    """In one bucket: shingles of two rows or more, with their frequency, for the sources that sent them."""
     is_meta = table["meta"].to_numpy(zero_copy_only=False)
     sources, blobs = table["source"].to_numpy(), table["blob"].to_pylist()
     out_source = sources[is_meta].tolist()
     out_meta = [True] * len(out_source)
     out_blob = [b for b, m in zip(blobs, is_meta.tolist(), strict=True) if m]
-    runs = [(s, _unpack(b, np.int64, np.uint32, np.uint16, np.uint16)) for s, b, m in zip(sources.tolist(), blobs, is_meta.tolist(), strict=True) if not m]
+    runs = [(s, _unpack(b, np.uint32, np.uint16, np.uint16)) for s, b, m in zip(sources.tolist(), blobs, is_meta.tolist(), strict=True) if not m]
     if runs:
-        token = np.concatenate([lo.astype(U64) | (hi.astype(U64) << U64(32)) for _, (_, lo, hi, _) in runs])
-        row = np.concatenate([r for _, (_, _, _, r) in runs])
-        key = np.concatenate([k[r] for _, (k, _, _, r) in runs])
-        run = np.repeat(np.arange(len(runs)), [len(r) for _, (_, _, _, r) in runs])
+        token = np.concatenate([lo.astype(U64) | (hi.astype(U64) << U64(32)) for _, (lo, hi, _) in runs])
+        row = np.concatenate([r for _, (_, _, r) in runs])
+        run = np.repeat(np.arange(len(runs), dtype=np.int32), [len(r) for _, (_, _, r) in runs])
         order = np.argsort(token)
         s = token[order]
         same = s[1:] == s[:-1]
         again = np.zeros(len(s), bool)
         again[1:] |= same
         again[:-1] |= same
-        at = order[again]
-        at = at[np.lexsort((key[at], token[at]))]
-        t, ks = token[at], key[at]
-        new_t = np.ones(len(at), bool)
-        new_t[1:] = t[1:] != t[:-1]
-        new_k = new_t.copy()
-        new_k[1:] |= ks[1:] != ks[:-1]
-        group = np.cumsum(new_t) - 1
-        df = np.bincount(group, new_k).astype(np.int64)[group] if len(at) else np.zeros(0, np.int64)
-        two = df >= 2
-        at, df = at[two], np.minimum(df[two], 2**31).astype(np.uint32)
+        at, t = order[again], s[again]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(t)))
+        df = np.repeat(size, size).astype(np.uint32)
         back = np.argsort(run[at], kind="stable")
         at, df = at[back], df[back]
         cuts = np.searchsorted(run[at], np.arange(len(runs) + 1))
@@ -196,7 +192,7 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"source": pa.array(out_source, pa.int64()), "meta": pa.array(out_meta, pa.bool_()), "blob": pa.array(out_blob, pa.binary())})
 
 
-_SURVIVOR = "key long, n long, prefix array<long>, tokens binary"
+_SURVIVOR = "key long, n long, own long, prefix array<long>, tokens binary"
 
 
 def _gather(table: pa.Table) -> pa.Table:
@@ -219,16 +215,20 @@ def _gather(table: pa.Table) -> pa.Table:
     t, r, d = t[keep], r[keep], d[keep]
     order = np.lexsort((t, d, r))
     t, r = t[order], r[order]
-    out: dict[str, list] = {"key": [], "n": [], "prefix": [], "tokens": []}
+    out: dict[str, list] = {"key": [], "n": [], "own": [], "prefix": [], "tokens": []}
     for i in np.flatnonzero(stays).tolist():
         a, b = np.searchsorted(r, [i, i + 1])
         mine, size = t[a:b], int(n[i])
         own = size - len(mine)  # shingles of this set alone are the rarest
+        prefix = mine[: max(0, size - least_overlap(size) + 1 - own)]
+        if not len(prefix):
+            continue
         out["key"].append(int(keys[i]))
         out["n"].append(size)
-        out["prefix"].append(mine[: max(0, size - least_overlap(size) + 1 - own)].astype(np.int64))
+        out["own"].append(own)
+        out["prefix"].append(prefix.astype(np.int64))
         out["tokens"].append(np.sort(mine).tobytes())
-    return pa.table({"key": pa.array(out["key"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
+    return pa.table({"key": pa.array(out["key"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "own": pa.array(out["own"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
 
 
 def survivors(docs: DataFrame, described: DataFrame, k: int = K) -> DataFrame:
@@ -236,7 +236,7 @@ def survivors(docs: DataFrame, described: DataFrame, k: int = K) -> DataFrame:
     total = described.where("n is not null").agg(F.sum("n")).first()[0] or 0
     often = described.where("n is null").groupBy("key").agg(F.sum("doc_id").alias("c")).where(F.col("c") * COMMON >= total)
     common = np.sort(np.array([x["key"] for x in often.select("key").toLocalIterator()], np.int64).view(U64))  # COMMON at most, since their counts add up to `total` at most
-    buckets = next_pow2(total / PER_BUCKET, 256)
+    buckets = next_pow2(total / PER_BUCKET, 64)
     counted = _send(docs, common, buckets, k).repartition(min(buckets, 1024), "bucket").groupBy("bucket").applyInArrow(_count, "source long, meta boolean, blob binary")
     return counted.groupBy("source").applyInArrow(_gather, _SURVIVOR).dropDuplicates(["key"])
 
@@ -264,12 +264,20 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
+def fits(n: str, pos: str, m: str, at: str) -> Column:
+    """Whether sets of n and m that share a shingle at pos and at may overlap in 4/9 of n + m, as the similarity asks."""
+    return F.expr(f"9 * least({n} - {pos}, {m} - {at}) >= 4 * ({n} + {m}) and 5 * least({n}, {m}) >= 4 * greatest({n}, {m})")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(node, root) over set keys: components of verified links, for keys with a link."""
-    group = F.xxhash64("n", "prefix")
-    members = materialize(sets.select("key", "n", group.alias("g")), "members")
-    tokens = materialize(sets.select("key", "n", group.alias("g"), F.explode("prefix").alias("token")), "tokens")
-    step = F.floor(F.log("n") / F.log(F.lit(1.25))).alias("step")
+    parts = 4 + sets.select(F.sum(F.size("prefix"))).first()[0] // ROWS_PER_TASK if not sets.isEmpty() else 4
+    named = sets.withColumn("g", F.xxhash64("n", "prefix"))
+    members = materialize(named.select("key", "n", "own", "g"), "members", parts)
+    heads = materialize(members.groupBy("g").agg(F.min(F.struct("own", "key")).alias("x"), F.count("*").alias("size")).select("g", F.col("x.key").alias("head"), "size"), "heads", parts)
+    tokens = materialize(named.select("key", "n", "own", "g", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("own") + F.col("i")), "tokens", parts)
+    step = F.floor(F.log("n") / F.log(F.lit(1.25)))
+    group_tokens = materialize(tokens.join(heads.select(F.col("head").alias("key")), "key").select("key", "n", "own", "token", "pos"), "group_tokens", parts)
     found: DataFrame | None = None
     roots: DataFrame | None = None
 
@@ -279,33 +287,27 @@ def links(sets: DataFrame) -> DataFrame:
         return df.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     for turn in range(LEADER_ROUNDS):
-        now = materialize(with_root(members), f"rooted{turn}")
-        at = materialize(with_root(tokens).select("key", "token", "root", "g", step), f"placed{turn}")
-        order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("lead"), F.col("root").alias("lead_root"))
-        in_group = materialize(now.groupBy("g").agg(F.min(order).alias("x"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("g", "x.*"), "in_group")
-        by_token = materialize(at.groupBy("token", "step").agg(F.min(order).alias("x"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token", "step", "x.*"), "by_token")
-        one = now.join(in_group, "g").where("root != lead_root").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        votes = at.join(by_token, ["token", "step"]).where("root != lead_root").groupBy("key", "lead").agg(F.count("*").alias("c"))
-        two = votes.groupBy("key").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("key").alias("b"))
-        new = materialize(verify(one.union(two).distinct(), sets), f"links{turn}")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.union(new)
-        roots = connected_components(found)
+        at = materialize(with_root(group_tokens if turn == 0 else tokens).select("key", "n", "own", "token", "pos", "root", step.alias("step")), f"placed{turn}", parts)
+        slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(LEADERS))
+        lead = F.struct("own" if turn < LEADER_ROUNDS - 1 else F.lit(0).alias("own"), F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"), F.col("root").alias("lead_root"))
+        leads = materialize(at.groupBy("token", "step", slot.alias("slot")).agg(F.min(lead).alias("x")).select("token", "step", "slot", "x.*"), f"leads{turn}", parts)
+        met = at.drop("own").join(leads, ["token", "step"]).where("root != lead_root").where(fits("n", "pos", "lead_n", "lead_pos"))
+        votes = met.groupBy("key", "slot", "lead").agg(F.count("*").alias("c"))
+        pairs = votes.groupBy("key", "slot").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("key").alias("b"))
+        if turn == 0:
+            pairs = pairs.union(members.join(heads.where("size > 1"), "g").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+        new = materialize(verify(materialize(pairs.distinct(), f"pairs{turn}", parts), sets), f"links{turn}", parts)
+        if turn == 0 or not new.isEmpty():
+            found = new if found is None else found.union(new)
+            roots = connected_components(found)
     # what still lies in two components: every candidate pair
-    placed = with_root(tokens)
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
-    left = materialize(placed.join(mixed, "token").select("key", "n", "token", "root"), "left")
-    right = left.select(F.col("key").alias("b"), F.col("n").alias("nb"), "token", F.col("root").alias("root_b"))
-    pairs = (
-        left.withColumnRenamed("key", "a")
-        .join(right, "token")
-        .where("a < b and root != root_b and 5 * least(n, nb) >= 4 * greatest(n, nb)")
-        .select("a", "b")
-        .distinct()
-    )
-    last = materialize(verify(pairs, sets), "last_links")
-    return connected_components(last if found is None else found.union(last))
+    placed = materialize(with_root(tokens), "placed", parts)
+    mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token"), "mixed", parts)
+    left = materialize(placed.join(mixed, "token").select("key", "n", "token", "pos", "root"), "left", parts)
+    right = left.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"))
+    pairs = left.withColumnRenamed("key", "a").join(right, "token").where("a < b and root != root_b").where(fits("n", "pos", "m", "at")).select("a", "b").distinct()
+    last = materialize(verify(materialize(pairs, "pairs", parts), sets), "last_links", parts)
+    return connected_components(found.union(last))
 
 
 def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
@@ -314,7 +316,7 @@ def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
     sets = materialize(survivors(docs, described, k), "survivors")
     roots = links(sets)
     rows = described.where("n is not null")
-    placed = materialize(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root")), "placed")
+    placed = materialize(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root")), "rows")
     least = materialize(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least_ids")
     out = placed.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
