@@ -14,8 +14,11 @@ suffixes at anchors.
    prefix, which also gives the LCP array. Suffixes that agree on `length` - d bytes are neighbours in
    it; with equal d bytes before the anchor their windows at d are equal, and repeated.
 5. Windows that a neighbouring range may hold too (they agree with a splitter for their whole right
-   part) are compared by their hashes in an aggregation, so a range can be cut anywhere and a passage
-   that a third of all texts share spreads over many tasks.
+   part) are compared by their hashes, packed by ranges of the hash, so a range can be cut anywhere
+   and a passage that a third of all texts share spreads over many tasks.
+
+Texts are shuffled twice at every size, to meet their anchors and their cuts; neither is broadcast, as
+both grow with the corpus.
 
 Hashes have 64 bits. Defined cases: a null or empty text has no bytes and no span; texts under
 `length` bytes are kept whole; repeated rows are copies of each other, so both lose what they share;
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import text as tx
 from gneiss.llm.common import id_and_text, materialize, next_pow2
+from gneiss.llm.jaccard import _pack, _unpack
 
 LENGTH = 400
 RANGE_BYTES = 8 << 20
@@ -125,7 +129,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                 [pa.array(rid[doc]), pa.array(at - o[doc]), pa.array(c), pa.array(lead.astype(np.int32)), pa.array(data, pa.binary())], names=["rid", "pos", "c", "lead", "context"]
             )
 
-    return docs.join(wanted, "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, pos long, c long, lead int, context binary")
+    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, pos long, c long, lead int, context binary")
 
 
 # --- suffix runs ------------------------------------------------------------------------------------
@@ -288,8 +292,9 @@ def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
         size = np.array([len(x) for x in right])
         low = np.maximum(length - size, 0)  # windows at low..lead belong to this anchor
         spans: list[list[int]] = [[] for _ in range(len(pick))]
-        shared_h: list[list[int]] = [[] for _ in range(len(pick))]
-        shared_d: list[list[int]] = [[] for _ in range(len(pick))]
+        edge_h: list[int] = []
+        edge_i: list[int] = []
+        edge_d: list[int] = []
         lh = np.zeros(len(pick), U64)
         power = 1
         for d in range(int(lead.max()) + 1 if len(lead) else 0):
@@ -323,36 +328,53 @@ def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
                 lone[by] = first
                 for i in here[outer & lone].tolist():
                     window = left[i, :d][::-1].tobytes() + right[i][: length - d]
-                    shared_h[i].append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True))
-                    shared_d[i].append(d)
-        some = [i for i in range(len(pick)) if spans[i] or shared_d[i]]
+                    edge_h.append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"))
+                    edge_i.append(i)
+                    edge_d.append(d)
+        some = [i for i in range(len(pick)) if spans[i]]
+        eh, ec, ed = np.array(edge_h, U64), c[np.array(edge_i, np.int64)], np.array(edge_d, np.int32)
+        part = (eh % U64(max(len(splitters), 1))).astype(np.int32)
+        buckets = np.unique(part).tolist()
+        nothing = [None] * len(buckets)
         return pa.table(
             {
-                "c": pa.array(c[some], pa.int64()),
-                "spans": pa.array([spans[i] for i in some], pa.list_(pa.int32())),
-                "hashes": pa.array([shared_h[i] for i in some], pa.list_(pa.int64())),
-                "at": pa.array([shared_d[i] for i in some], pa.list_(pa.int32())),
+                "c": pa.array([*c[some].tolist(), *nothing], pa.int64()),
+                "spans": pa.array([*(spans[i] for i in some), *nothing], pa.list_(pa.int32())),
+                "bucket": pa.array([None] * len(some) + buckets, pa.int32()),
+                "edges": pa.array([None] * len(some) + [_pack(eh[part == b], ec[part == b], ed[part == b]) for b in buckets], pa.binary()),
             }
         )
 
     return reduce
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """Of one bucket of windows at the ranges' ends: those that two ranges hold."""
+    h, c, d = (np.concatenate(x) for x in zip(*(_unpack(b, U64, np.int64, np.int32) for b in table["edges"].to_pylist()), strict=True))
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    at = order[twice]
+    return pa.table({"c": pa.array(c[at], pa.int64()), "spans": pa.array([[x, x] for x in d[at].tolist()], pa.list_(pa.int32()))})
+
+
 def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(c, spans) for each context: from-to pairs of d, where the window that starts d bytes before the anchor is repeated."""
-    total = rows.agg(F.sum(F.length("context"))).first()[0] or 0
-    ranges = next_pow2(total / RANGE_BYTES, 64)
-    picked = rows.where("context is not null").orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("lead", "context").collect()  # SAMPLE contexts at most, each under 2 * length bytes
+    total, count = rows.where("context is not null").agg(F.coalesce(F.sum(F.length("context")), F.lit(0)), F.count("*")).first()
+    ranges = next_pow2(total / RANGE_BYTES, 32)
+    share = min(1.0, 4 * SAMPLE / max(count, 1))
+    drawn = rows.where("context is not null").where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    picked = drawn.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("lead", "context").collect()  # SAMPLE contexts at most, each under 2 * length bytes
     sample = sorted({(bytes(x["context"])[x["lead"] :], bytes(x["context"])[: x["lead"]]) for x in picked})
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     found = materialize(
-        sorted_runs(rows, splitters, length).groupBy("range").applyInArrow(merge_runs(splitters, length), "c long, spans array<int>, hashes array<long>, at array<int>"),
+        sorted_runs(rows, splitters, length).groupBy("range").applyInArrow(merge_runs(splitters, length), "c long, spans array<int>, bucket int, edges binary"),
         "ranges",
     )
-    edge = materialize(found.where("size(hashes) > 0").select("c", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("c", F.col("x.hashes").alias("h"), F.col("x.at").alias("d")), "edges")
-    twice = materialize(edge.groupBy("h").agg(F.min(F.struct("c", "d")).alias("x"), F.max(F.struct("c", "d")).alias("y")).where("x != y").select("h"), "edge_hashes")
-    outer = edge.join(twice, "h").select("c", F.array("d", "d").alias("spans"))
-    return found.where("size(spans) > 0").select("c", "spans").union(outer)
+    outer = found.where("bucket is not null").select("bucket", "edges").groupBy("bucket").applyInArrow(_meet, "c long, spans array<int>")
+    return found.where("bucket is null").select("c", "spans").union(outer)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -415,7 +437,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    out = rows.join(spans, "rid", "left").select("doc_id", "text", "cuts")
+    out = rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "cuts")
     return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -423,7 +445,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated text cut out and n_chars counted anew; parts of a character that a cut leaves are dropped."""
     spans = materialize(repeated_spans(keyed(docs), length), "cuts")
     columns = docs.columns
-    rows = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))).join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("cuts", "__cuts"), "__rid", "left").drop("__rid")
+    rows = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))).join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("cuts", "__cuts").hint("merge"), "__rid", "left").drop("__rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
