@@ -88,19 +88,23 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 
 def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, pos, h) of every anchor."""
+    """(rid, h, n): how often each anchor string stands in a row; periodic text repeats one many times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, o in tx.chunks(batches):
-            doc, at, _, _, h = find_anchors(buf, o, length)
+            doc, _, _, _, h = find_anchors(buf, o, length)
+            _, one, n = np.unique(tx.mix(h ^ tx.mix(doc.astype(U64))), return_index=True, return_counts=True)
             rid = part.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), pa.array((at - o[doc]).astype(np.int64)), pa.array(h.view(np.int64))], names=["rid", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[doc[one]]), pa.array(h[one].view(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "h", "n"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, pos long, h long")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, h long, n long")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, pos, c, lead, context) for each anchor in wanted (rid, hs); a context's bytes stand with its first row in a task."""
+    """(rid, at, c, lead, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
+
+    A context's bytes stand with its first row in a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -115,10 +119,17 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
             ok = ask[i] == mine if len(ask) else np.zeros(len(mine), bool)
             doc, at, first, last = doc[ok], at[ok], first[ok], last[ok]
             lead = at - first
-            c = tx.mix(tx.hash_spans(tx._VALUES[buf], first, last + length) ^ tx.mix(lead.astype(U64))).view(np.int64)
+            c = tx.mix(tx.hash_spans(tx._VALUES[buf], first, last + length) ^ tx.mix(lead.astype(U64)))
+            order = np.lexsort((at, c, doc))
+            doc, at, first, last, lead, c = (x[order] for x in (doc, at, first, last, lead, c))
+            new = np.ones(len(c), bool)
+            new[1:] = (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
+            one = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(one, len(c)).astype(np.int32)), pa.array(at - o[doc]))
+            keys = c[one].view(np.int64)
             data = []
             raw = buf.tobytes()
-            for key, a, b in zip(c.tolist(), first.tolist(), last.tolist(), strict=True):
+            for key, a, b in zip(keys.tolist(), first[one].tolist(), last[one].tolist(), strict=True):
                 if key in seen:
                     data.append(None)
                 else:
@@ -126,10 +137,10 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                     data.append(raw[a : b + length])
             rid = part.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[doc]), pa.array(at - o[doc]), pa.array(c), pa.array(lead.astype(np.int32)), pa.array(data, pa.binary())], names=["rid", "pos", "c", "lead", "context"]
+                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array(data, pa.binary())], names=["rid", "at", "c", "lead", "context"]
             )
 
-    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, pos long, c long, lead int, context binary")
+    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, context binary")
 
 
 # --- suffix runs ------------------------------------------------------------------------------------
@@ -192,13 +203,13 @@ def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: i
         held: dict[int, list] = {}
         size = 0
         for batch in batches:
-            for c, lead, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for c, lead, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x = held.get(c)
                 if x is None:
-                    held[c] = [lead, b, 1]
+                    held[c] = [lead, b, n]
                     size += len(b or b"")
                 else:
-                    x[2] += 1
+                    x[2] += n
                     if x[1] is None and b is not None:
                         x[1] = b
                         size += len(b)
@@ -207,7 +218,7 @@ def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: i
                 held, size = {}, 0
         yield from flush(held)
 
-    return rows.select("c", "lead", "context").mapInArrow(run, "range int, shared binary, lengths binary, leads binary, c binary, n binary, rest binary, left binary")
+    return rows.select("c", "lead", "context", F.size("at").alias("n")).mapInArrow(run, "range int, shared binary, lengths binary, leads binary, c binary, n binary, rest binary, left binary")
 
 
 class LoserTree:
@@ -390,21 +401,21 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, cuts): from-to byte pairs for each row key with repeated text. docs has rid and text."""
     found = materialize(anchors(docs, length), "anchors")
-    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    twice = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
     wanted = found.join(twice, "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
     rows = materialize(contexts(docs, wanted, length), "contexts")
     result = materialize(repeated(rows, length), "result")
-    at = rows.select("c", "rid", "pos").join(result, "c")
+    at = rows.select("c", "rid", "at").join(result, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = []
             for x in batch.column(1).to_pylist():
-                spans = [(y["pos"] - b, y["pos"] - a + length) for y in x for a, b in zip(y["spans"][::2], y["spans"][1::2], strict=True)]
+                spans = [(p - b, p - a + length) for y in x for p in y["at"] for a, b in zip(y["spans"][::2], y["spans"][1::2], strict=True)]
                 cuts.append([i for ab in merge_spans(spans) for i in ab])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int64()))], names=["rid", "cuts"])
 
-    return at.groupBy("rid").agg(F.collect_set(F.struct("pos", "spans")).alias("x")).mapInArrow(run, "rid long, cuts array<long>")
+    return at.groupBy("rid").agg(F.collect_set(F.struct("at", "spans")).alias("x")).mapInArrow(run, "rid long, cuts array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
