@@ -1,10 +1,676 @@
-"""Query registry: name -> (spark, sf_dir) -> DataFrame, and the same query as SQL."""
+"""Query registry: name -> (spark, sf_dir) -> DataFrame, and the same query as SQL.
+
+Doubles are rounded on both sides, since sums in another order differ in the last bits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gneiss.functions import scalar
+from gneiss.operators import crosstab, groupings, transform
+from gneiss.operators.binning import bin_stats_frame, histogram
+from gneiss.operators.predicates import dropna, filtered
+from gneiss.plans.enumerate import enumerate_specs
+from gneiss.plans.score import recommend
+from gneiss.profile import describe, infer, relations
+from gneiss.sources.readers import coerce
+from gneiss.stats import comparison, correlation, regression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{f.name}`"), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def query(table: str, sql: str | None = None, name: str | None = None):
+    """Register f(df) over one table, results rounded."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: rounded(f(read(spark, sf_dir, table)))
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+FLAG, STATUS, PRICE, QUANTITY = "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity"
+FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+BIG = "CAST({} AS BIGINT)"
+
+# --- scans, projection, predicates, reshaping -------------------------------------------------------
+
+
+@query("lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49")
+def scan_lineitem(df):
+    return df.select("l_orderkey", "l_linenumber", "l_quantity").where("l_quantity >= 49")
+
+
+@query("events", "SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_events_props(df):
+    return df.select("event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query("events", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(CAST(ts AS VARCHAR)[1:19] AS TIMESTAMP) AS at, ROUND(value, 4) AS value FROM events")
+def coerce_events(df):
+    text = df.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("value").cast("string").alias("value"))
+    return coerce(text, {"k": "integer", "at": "datetime", "value": "decimal"})
+
+
+@query("orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
+def sample_page(df):
+    return transform.sample_page(df, ["o_orderkey"], 200, 100)
+
+
+@query("orders", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def reduce_orders(df):
+    return transform.reduce_columns(df, [0, 3, 5])
+
+
+def _filter(name: str, table: str, columns: list[str], conditionals: dict, where: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: filtered(read(spark, sf_dir, table), conditionals).select(*columns)
+    ORACLE_SQL[name] = f"SELECT {', '.join(columns)} FROM {table} WHERE {where}"
+
+
+def _c(field: str, operation: str, criteria) -> dict:
+    return {"field": field, "operation": operation, "criteria": criteria}
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+_filter("filter_and", "lineitem", _LINE, {"and": [_c(QUANTITY, ">", 45), _c(FLAG, "==", "R")]}, "l_quantity > 45 AND l_returnflag = 'R'")
+_filter("filter_or", "lineitem", _LINE, {"or": [_c(QUANTITY, ">", 49), _c("l_tax", "==", 0.08)]}, "l_quantity > 49 OR l_tax = 0.08")
+_filter("filter_and_or", "lineitem", _LINE, {"and": [_c(QUANTITY, ">=", 40), _c(FLAG, "!=", "N")], "or": [_c("l_linenumber", "==", 7), _c("nothing", "==", 1)]}, "(l_quantity >= 40 AND l_returnflag <> 'N') OR l_linenumber = 7")
+_filter("filter_string_eq", "orders", ["o_orderkey", "o_orderstatus"], {"and": [_c("o_orderpriority", "==", "1-URGENT")]}, "o_orderpriority = '1-URGENT'")
+_filter("filter_in", "orders", ["o_orderkey", "o_orderstatus"], {"and": [_c("o_orderstatus", "not in", ["F", "O"])]}, "o_orderstatus NOT IN ('F', 'O')")
+_filter("filter_temporal", "events", ["event_id", "event_type"], {"and": [_c("ts", "<", "2024-01-02 00:00:00")]}, "ts < TIMESTAMP '2024-01-02 00:00:00'")
+
+_HOLES = "SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN NULL ELSE o_totalprice END AS a, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS b FROM orders"
+
+
+def holes(df: DataFrame) -> DataFrame:
+    return df.select("o_orderkey", F.when(F.col("o_totalprice") <= 250000, F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("b"))
+
+
+@query("orders", f"SELECT o_orderkey, ROUND(a, 4) AS a, b FROM ({_HOLES}) WHERE a IS NOT NULL AND b IS NOT NULL")
+def dropna_any(df):
+    return dropna(holes(df), ["a", "b"])
+
+
+@query("orders", f"SELECT o_orderkey, ROUND(a, 4) AS a, b FROM ({_HOLES}) WHERE a IS NOT NULL OR b IS NOT NULL")
+def dropna_all(df):
+    return dropna(holes(df), ["a", "b"], "all")
+
+
+@query("lineitem", "SELECT l_orderkey, l_linenumber, variable, value FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR variable IN (l_discount, l_tax))")
+def unpivot_lineitem(df):
+    return transform.unpivot(df.select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), ["l_discount", "l_tax"])
+
+
+@query("lineitem", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * l_discount, 4) AS saved FROM lineitem")
+def derived_field(df):
+    return transform.derive(df, "saved", "multiply", PRICE, "l_discount").select("l_orderkey", "l_linenumber", "saved")
+
+
+@query("nation", "SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY n_regionkey")
+def group_fields(df):
+    return df.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+
+
+# --- joins ------------------------------------------------------------------------------------------
+
+
+def _keyed(spark, sf_dir):
+    a = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    b = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), "c_name", F.col("c_acctbal").alias("amount"))
+    return a, b
+
+
+def _join(how: str, sql_how: str) -> None:
+    QUERIES[f"join_{how}"] = lambda spark, sf_dir: transform.join(*_keyed(spark, sf_dir), on=["key"], how=how)
+    ORACLE_SQL[f"join_{how}"] = (
+        "SELECT COALESCE(a.key, b.key) AS key, o_orderkey, a.amount AS amount_left, c_name, b.amount AS amount_right "
+        "FROM (SELECT o_custkey AS key, o_orderkey, o_totalprice AS amount FROM orders WHERE o_custkey % 3 <> 0) a "
+        f"{sql_how} JOIN (SELECT c_custkey AS key, c_name, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0) b ON a.key = b.key"
+    )
+
+
+for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _join(_how, _sql)
+
+QUERIES["join_left_on_right_on"] = lambda spark, sf_dir: transform.join(
+    read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), left_on=["o_custkey"], right_on=["c_custkey"]
+)
+ORACLE_SQL["join_left_on_right_on"] = "SELECT o_orderkey, o_custkey, c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey"
+
+_RELATED = (("nation", ("n_nationkey", "n_regionkey")), ("region", ("r_regionkey",)), ("customer", ("c_nationkey",)), ("supplier", ("s_nationkey",)))
+QUERIES["relationships_jaccard"] = lambda spark, sf_dir: rounded(relations.discover_joins({t: (read(spark, sf_dir, t), list(fs)) for t, fs in _RELATED}))
+ORACLE_SQL["relationships_jaccard"] = (
+    "WITH long AS ("
+    + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS ds, '{f}' AS field, CAST({f} AS VARCHAR) AS v FROM {t} WHERE {f} IS NOT NULL" for t, fs in _RELATED for f in fs)
+    + "), sizes AS (SELECT ds, field, count(*) AS size FROM long GROUP BY ALL), pairs AS (SELECT a.ds, a.field, b.ds AS ds_b, b.field AS field_b, count(*) AS n FROM long a JOIN long b ON a.v = b.v AND a.ds < b.ds GROUP BY ALL)"
+    " SELECT p.ds AS source, p.field AS source_field, ds_b AS target, field_b AS target_field, ROUND(n / (x.size + y.size - n), 4) AS similarity,"
+    " CASE WHEN x.size = y.size THEN '11' WHEN x.size > y.size THEN 'N1' ELSE '1N' END AS type"
+    " FROM pairs p JOIN sizes x ON p.ds = x.ds AND p.field = x.field JOIN sizes y ON p.ds_b = y.ds AND p.field_b = y.field WHERE n / (x.size + y.size - n) >= 0.8"
+)
+
+# --- grouping ---------------------------------------------------------------------------------------
+
+_SQL_FN = {
+    "sum": "SUM({})", "min": "MIN({})", "max": "MAX({})", "mean": "AVG({})", "median": "MEDIAN({})", "std": "STDDEV_SAMP({})", "sem": "STDDEV_SAMP({0}) / SQRT(COUNT({0}))", "count": "COUNT({})",
+}
+
+
+def _agg(fn: str, field: str) -> str:
+    text = _SQL_FN[fn].format(field)
+    return text if fn == "count" else f"ROUND({text}, 4)"
+
+
+@query("lineitem", f"SELECT l_returnflag AS value, {', '.join(f'{_agg(fn, PRICE)} AS {fn}' for fn in _SQL_FN)} FROM lineitem GROUP BY 1")
+def agg_fns_by_flag(df):
+    out = groupings.fused(df, FLAG, [(PRICE, fn) for fn in _SQL_FN])
+    return out.select("value", *[F.col(f"`{fn}({PRICE})`").alias(fn) for fn in _SQL_FN])
+
+
+@query(
+    "orders",
+    "SELECT ROUND(SUM(o_totalprice), 4) AS sum, MIN(o_totalprice) AS min, MAX(o_totalprice) AS max, ROUND(AVG(o_totalprice), 4) AS mean, ROUND(MEDIAN(o_totalprice), 4) AS median, ROUND(STDDEV_POP(o_totalprice), 4) AS std, COUNT(*) AS count FROM orders",
+)
+def scalar_aggs(df):
+    return groupings.scalar_aggregates(df, "o_totalprice")
+
+
+@query("part", "SELECT p_brand AS value FROM part GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1")
+def agg_mode(df):
+    return groupings.single(df, "p_brand", "mode")
+
+
+@query("orders", "SELECT ROUND(MEDIAN(o_totalprice), 4) AS value FROM orders")
+def agg_single(df):
+    return groupings.single(df, "o_totalprice", "median")
+
+
+@query("orders", "SELECT o_orderpriority AS value, COUNT(*) AS count FROM orders GROUP BY 1")
+def val_count(df):
+    return groupings.value_counts(df, "o_orderpriority", None)
+
+
+@query("part", "SELECT p_brand AS value, COUNT(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def val_count_topk(df):
+    return groupings.value_counts(df, "p_brand", 10)
+
+
+for _fn in ("sum", "min", "max", "count", "std", "median"):
+    query("lineitem", f"SELECT l_returnflag AS value, {_agg(_fn, PRICE)} AS agg FROM lineitem GROUP BY 1", f"val_agg_{_fn}")(lambda df, fn=_fn: groupings.value_aggregate(df, FLAG, PRICE, fn))
+
+_MEAN, _SEM = f"AVG({PRICE})", f"STDDEV_SAMP({PRICE}) / SQRT(COUNT(*))"
+
+
+@query("lineitem", f"SELECT l_returnflag AS value, ROUND({_MEAN}, 4) AS agg, ROUND({_MEAN} - {_SEM}, 4) AS lower, ROUND({_MEAN} + {_SEM}, 4) AS upper FROM lineitem GROUP BY 1")
+def val_agg_mean_ci(df):
+    return groupings.value_aggregate(df, FLAG, PRICE, "mean")
+
+
+@query("lineitem", f"SELECT l_returnflag AS value, {_agg('mean', QUANTITY)} AS agg_a, {_agg('mean', PRICE)} AS agg_b FROM lineitem GROUP BY 1")
+def agg_agg(df):
+    return groupings.aggregate_pairs(df, FLAG, QUANTITY, PRICE, "mean")
+
+
+@query("lineitem", "SELECT l_returnflag AS a, l_linestatus AS b, COUNT(*) AS count FROM lineitem GROUP BY 1, 2")
+def multigroup_count(df):
+    return groupings.multigroup(df, FLAG, STATUS)
+
+
+@query("lineitem", "SELECT l_returnflag AS a, COUNT(*) FILTER (l_linestatus = 'F') AS F, COUNT(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+def multigroup_count_pivot(df):
+    return groupings.pivoted(groupings.multigroup(df, FLAG, STATUS), "count")
+
+
+@query("lineitem", f"SELECT l_returnflag AS a, l_linestatus AS b, {_agg('sum', QUANTITY)} AS agg FROM lineitem GROUP BY 1, 2")
+def multigroup_agg_sum(df):
+    return groupings.multigroup(df, FLAG, STATUS, QUANTITY, "sum")
+
+
+_QM, _QS = f"AVG({QUANTITY})", f"STDDEV_SAMP({QUANTITY}) / SQRT(COUNT(*))"
+
+
+@query(
+    "lineitem",
+    f"SELECT l_returnflag AS a, l_linestatus AS b, ROUND({_QM}, 4) AS agg, ROUND({_QM} - {_QS}, 4) AS lower, ROUND({_QM} + {_QS}, 4) AS upper, printf('%.3f ± %.3f', {_QM}, {_QS}) AS cell FROM lineitem GROUP BY 1, 2",
+)
+def multigroup_agg_mean_ci(df):
+    return groupings.multigroup(df, FLAG, STATUS, QUANTITY, "mean")
+
+
+@query(
+    "lineitem",
+    f"WITH q AS (SELECT l_returnflag AS value, quantile_cont({PRICE}, 0.25) AS q1, quantile_cont({PRICE}, 0.5) AS median, AVG({PRICE}) AS mean, quantile_cont({PRICE}, 0.75) AS q3 FROM lineitem GROUP BY 1)"
+    f" SELECT value, MIN({PRICE}) AS bottom, ROUND(ANY_VALUE(q1), 4) AS q1, ROUND(ANY_VALUE(median), 4) AS median, ROUND(ANY_VALUE(mean), 4) AS mean, ROUND(ANY_VALUE(q3), 4) AS q3, MAX({PRICE}) AS top"
+    f" FROM lineitem JOIN q ON value = l_returnflag WHERE {PRICE} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY value",
+)
+def val_box(df):
+    return groupings.box(df, FLAG, PRICE)
+
+
+@query("lineitem", "SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem")
+def val_val(df):
+    return groupings.value_pairs(df, QUANTITY, PRICE, None)
+
+
+@query("orders", "SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS index, o_totalprice AS value FROM orders")
+def ind_val(df):
+    return groupings.indexed_values(df, "o_totalprice", ["o_orderkey"])
+
+
+@query("lineitem", "SELECT l_returnflag AS source, l_linestatus AS target, ROUND(SUM(l_quantity), 4) AS weight, COUNT(*) AS count FROM lineitem GROUP BY 1, 2")
+def val_val_q_edges(df):
+    return groupings.edges(df, FLAG, STATUS, QUANTITY)
+
+
+# --- bins and contingency ---------------------------------------------------------------------------
+
+_EDGES = [0.0, 100000.0, 200000.0, 300000.0, 400000.0, 1000000.0]
+
+
+def _bin_sql(value: str, x: str = "o_totalprice", edges: list[float] = _EDGES) -> str:
+    table = ", ".join(f"({i}, {float(a)!r}, {float(b)!r})" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    last = len(edges) - 2
+    return (
+        f"SELECT bin, b.left AS left, b.right AS right, COALESCE({value}, 0) AS agg FROM (SELECT CAST(c0 AS INTEGER) AS bin, CAST(c1 AS DOUBLE) AS left, CAST(c2 AS DOUBLE) AS right FROM (VALUES {table}) t(c0, c1, c2)) b"
+        f" LEFT JOIN orders ON {x} >= b.left AND ({x} < b.right OR (bin = {last} AND {x} = b.right)) GROUP BY bin, b.left, b.right"
+    )
+
+
+@query("orders", _bin_sql("COUNT(o_orderkey)"))
+def bin_agg_count(df):
+    return histogram(df, "o_totalprice", edges=_EDGES)
+
+
+@query("orders", _bin_sql("ROUND(SUM(o_totalprice), 4)"))
+def bin_agg_sum(df):
+    return histogram(df, "o_totalprice", "o_totalprice", "sum", edges=_EDGES)
+
+
+_TIMES = [788918400000000.0, 868838400000000.0, 948758400000000.0, 1028678400000000.0]
+
+
+@query("orders", _bin_sql("COUNT(o_orderkey)", "CAST(epoch_us(o_orderdate) AS DOUBLE)", _TIMES))
+def bin_agg_temporal(df):
+    return histogram(df, "o_orderdate", edges=_TIMES)
+
+
+_M3 = "AVG(POWER((o_totalprice - m) / s, 3))"
+
+
+@query(
+    "orders",
+    f"SELECT COUNT(*) AS count, MIN(o_totalprice) AS low, MAX(o_totalprice) AS high, ROUND(quantile_cont(o_totalprice, 0.25), 4) AS q1, ROUND(quantile_cont(o_totalprice, 0.75), 4) AS q3, ROUND({_M3}, 4) AS skew, COUNT(DISTINCT o_totalprice) AS distinct, BOOL_AND(o_totalprice = FLOOR(o_totalprice)) AS integral"
+    " FROM orders, (SELECT AVG(o_totalprice) AS m, STDDEV_POP(o_totalprice) AS s FROM orders)",
+)
+def bin_stats(df):
+    return bin_stats_frame(df, "o_totalprice")
+
+
+@query("orders", "SELECT o_orderpriority AS key, COUNT(*) AS value, (SELECT COUNT(*) FROM orders) AS total FROM orders GROUP BY 1")
+def crosstab1_count(df):
+    return crosstab.crosstab1(df, "o_orderpriority")
+
+
+@query(
+    "orders",
+    f"SELECT CAST(CASE WHEN o_totalprice BETWEEN 0 AND 100000 THEN 0 WHEN o_totalprice > 100000 AND o_totalprice <= 200000 THEN 1 WHEN o_totalprice > 200000 AND o_totalprice <= 300000 THEN 2 WHEN o_totalprice > 300000 AND o_totalprice <= 400000 THEN 3 WHEN o_totalprice > 400000 AND o_totalprice <= {_EDGES[-1]} THEN 4 END AS INTEGER) AS key, COUNT(*) AS value, (SELECT COUNT(*) FROM orders) AS total FROM orders GROUP BY 1",
+)
+def crosstab1_binned(df):
+    return crosstab.crosstab1(df, "o_totalprice", edges=_EDGES)
+
+
+@query("orders", "SELECT o_orderpriority AS key, ROUND(SUM(o_totalprice), 4) AS value, (SELECT ROUND(SUM(o_totalprice), 4) FROM orders) AS total FROM orders GROUP BY 1")
+def crosstab1_sum(df):
+    return crosstab.crosstab1(df, "o_orderpriority", "SUM", "o_totalprice")
+
+
+@query("orders", "SELECT o_orderpriority AS key, ROUND(AVG(o_totalprice), 4) AS value FROM orders GROUP BY 1")
+def crosstab1_mean(df):
+    return crosstab.crosstab1(df, "o_orderpriority", "MEAN", "o_totalprice")
+
+
+@query("orders", "SELECT o_orderpriority AS key, ROUND(SUM(o_totalprice * o_custkey) / SUM(o_custkey), 4) AS value FROM orders GROUP BY 1")
+def crosstab1_wmean(df):
+    return crosstab.crosstab1(df, "o_orderpriority", "MEAN", "o_totalprice", "o_custkey")
+
+
+@query("orders", "SELECT o_orderpriority AS key, ROUND(AVG(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS value FROM orders GROUP BY 1")
+def crosstab1_share(df):
+    return crosstab.crosstab1(df, "o_orderpriority", "SHARE", "o_orderstatus", share_of="F")
+
+
+def _grid(value: str) -> str:
+    return f"SELECT r AS row, c AS col, COALESCE({value}, 0) AS value FROM (SELECT DISTINCT l_returnflag AS r FROM lineitem) CROSS JOIN (SELECT DISTINCT l_linestatus AS c FROM lineitem) LEFT JOIN lineitem ON r = l_returnflag AND c = l_linestatus GROUP BY 1, 2"
+
+
+@query("lineitem", _grid("COUNT(l_orderkey)"))
+def crosstab2_count(df):
+    return crosstab.crosstab2(df, FLAG, STATUS)
+
+
+@query("lineitem", "SELECT l_returnflag AS row, l_linestatus AS col, CAST(GROUPING(l_returnflag) * 2 + GROUPING(l_linestatus) AS INTEGER) AS level, COUNT(*) AS value FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def crosstab2_cube(df):
+    return crosstab.crosstab2_totals(df, FLAG, STATUS)
+
+
+@query("lineitem", _grid("ROUND(SUM(l_quantity), 4)"))
+def crosstab2_sum(df):
+    return crosstab.crosstab2(df, FLAG, STATUS, "SUM", QUANTITY)
+
+
+@query("lineitem", _grid("ROUND(AVG(l_quantity), 4)"))
+def crosstab2_mean(df):
+    return crosstab.crosstab2(df, FLAG, STATUS, "MEAN", QUANTITY)
+
+
+@query("lineitem", _grid("ROUND(SUM(l_quantity * l_extendedprice) / SUM(l_extendedprice), 4)"))
+def crosstab2_wmean(df):
+    return crosstab.crosstab2(df, FLAG, STATUS, "MEAN", QUANTITY, PRICE)
+
+
+# --- profile ----------------------------------------------------------------------------------------
+
+_TABLES = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+}
+
+
+def every_table(f):
+    """f(df) of each table, with the table's name."""
+
+    def run(spark, sf_dir):
+        out = None
+        for t in _TABLES:
+            one = f(read(spark, sf_dir, t)).withColumn("table_name", F.lit(t))
+            out = one if out is None else out.unionByName(one)
+        return rounded(out)
+
+    return run
+
+
+def _each(select: str) -> str:
+    return " UNION ALL ".join("SELECT " + select.replace("{f}", f).replace("{t}", t) + f" FROM {t}" for t, fs in _TABLES.items() for f in fs)
+
+
+QUERIES["null_counts"] = every_table(describe.null_counts)
+ORACLE_SQL["null_counts"] = _each("'{f}' AS field, COUNT(*) - COUNT({f}) AS nulls, '{t}' AS table_name")
+QUERIES["uniqueness"] = every_table(describe.uniqueness)
+ORACLE_SQL["uniqueness"] = _each("'{f}' AS field, COUNT({f}) AS n, COUNT(DISTINCT {f}) AS distinct, COUNT(DISTINCT {f}) >= 0.95 * COUNT({f}) AS is_unique, '{t}' AS table_name")
+QUERIES["dataset_properties"] = every_table(describe.dataset_properties)
+ORACLE_SQL["dataset_properties"] = " UNION ALL ".join(f"SELECT COUNT(*) AS n_rows, CAST({len(fs)} AS INTEGER) AS n_cols, 'long' AS structure, FALSE AS is_time_series, '{t}' AS table_name FROM {t}" for t, fs in _TABLES.items())
+QUERIES["infer_types"] = every_table(infer.types_frame)
+
+
+@query("lineitem", " UNION ALL ".join(f"SELECT '{f}' AS field, MAX({f}) - MIN({f}) + 1 <= 31 AND COUNT(DISTINCT {f}) = MAX({f}) - MIN({f}) + 1 AS contiguous FROM lineitem" for f in ("l_linenumber", "l_orderkey", "l_suppkey")))
+def contiguity(df):
+    return describe.contiguity(df, ["l_linenumber", "l_orderkey", "l_suppkey"])
+
+
+@query(
+    "events",
+    "WITH f AS (SELECT DISTINCT ts FROM events ORDER BY ts LIMIT 5), p AS (SELECT ts, COUNT(DISTINCT event_type) >= 0.95 * COUNT(event_type) AS a, COUNT(DISTINCT user_id) >= 0.95 * COUNT(user_id) AS b FROM events JOIN f USING (ts) GROUP BY ts) SELECT BOOL_AND(a) AS event_type, BOOL_AND(b) AS user_id FROM p",
+)
+def temporal_uniqueness(df):
+    return describe.temporal_uniqueness(df, "ts", ["event_type", "user_id"])
+
+
+@query(
+    "orders",
+    "SELECT COUNT(*) AS total, COUNT(o_totalprice) AS count, ROUND(AVG(o_totalprice), 4) AS mean, ROUND(STDDEV_SAMP(o_totalprice), 4) AS std, MIN(o_totalprice) AS min, MAX(o_totalprice) AS max, "
+    + ", ".join(f"ROUND(quantile_cont(o_totalprice, {p}), 4) AS p{round(100 * p):02d}" for p in describe.QUANTILES)
+    + " FROM orders",
+)
+def describe_numeric(df):
+    return describe.describe_numeric(df, "o_totalprice")
+
+
+@query("part", "SELECT CAST(SUM(n) AS BIGINT) AS count, COUNT(*) AS unique, FIRST(v ORDER BY n DESC, v) AS top, MAX(n) AS freq FROM (SELECT p_brand AS v, COUNT(*) AS n FROM part GROUP BY 1)")
+def describe_categorical(df):
+    return describe.describe_categorical(df, "p_brand")
+
+
+@query(
+    "orders",
+    f"SELECT COUNT(*) AS n, ROUND({_M3}, 4) AS skew, ROUND({_M3.replace(', 3)', ', 4)')}, 4) AS kurt FROM orders, (SELECT AVG(o_totalprice) AS m, STDDEV_POP(o_totalprice) AS s FROM orders)",
+)
+def normality_moments(df):
+    return describe.normality_moments(df, "o_totalprice")
+
+
+@query("part", "SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL")
+def unique_values(df):
+    return describe.unique_values(df, "p_type")
+
+
+def _pair(t: str, a: str, b: str) -> str:
+    r = f"COUNT(DISTINCT {b}) / COUNT(*)"
+    return f"SELECT '{a}' AS parent, '{b}' AS child, ROUND({r}, 4) AS ratio, {r} >= 0.5 AS is_edge FROM (SELECT DISTINCT {a}, {b} FROM {t})"
+
+
+@query("part", " UNION ALL ".join(_pair("part", a, b) for a, b in (("p_brand", "p_type"), ("p_type", "p_brand"), ("p_brand", "p_name"), ("p_name", "p_brand"), ("p_type", "p_name"), ("p_name", "p_type"))))
+def hierarchy_pairs(df):
+    return relations.hierarchy_pairs(df, ["p_brand", "p_type", "p_name"])
+
+
+# --- statistics -------------------------------------------------------------------------------------
+
+
+@query("lineitem", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, COUNT(*) AS n, ROUND(CORR({a}, {b}), 4) AS r FROM lineitem" for i, a in enumerate(FOUR) for b in FOUR[i + 1 :]))
+def correlation_matrix(df):
+    return correlation.correlation_pairs(df, FOUR)
+
+
+@query("lineitem")
+def correlation_scatter(df):
+    return correlation.correlation_scatter(df, FOUR)
+
+
+def _f_sql(samples: str) -> str:
+    return (
+        f"WITH s AS ({samples}), m AS (SELECT g, COUNT(*) AS n, AVG(x) AS mean, VAR_SAMP(x) AS v FROM s GROUP BY g), t AS (SELECT AVG(x) AS grand FROM s),"
+        " p AS (SELECT COUNT(*) - 1 AS df_between, CAST(SUM(n) AS BIGINT) - COUNT(*) AS df_within, SUM(n * (mean - grand) * (mean - grand)) AS ss_between, SUM((n - 1) * v) AS ss_within FROM m, t)"
+        " SELECT df_between, df_within, ROUND(ss_between, 2) AS ss_between, ROUND(ss_within, 0) AS ss_within, ROUND((ss_between / df_between) / (ss_within / df_within), 4) AS f FROM p"
+    )
+
+
+def _f_frame(df: DataFrame) -> DataFrame:
+    return df.select("df_between", "df_within", F.round("ss_between", 2).alias("ss_between"), F.round("ss_within", 0).alias("ss_within"), "f")
+
+
+_BY_FLAG = "SELECT l_returnflag AS g, l_quantity AS x FROM lineitem"
+_BY_STATUS = "SELECT l_linestatus AS g, l_quantity AS x FROM lineitem"
+
+
+@query("lineitem", _f_sql(_BY_FLAG))
+def anova_oneway(df):
+    return _f_frame(comparison.anova_oneway(df, FLAG, QUANTITY))
+
+
+@query("lineitem", _f_sql(_BY_STATUS))
+def f_oneway(df):
+    return _f_frame(comparison.f_table(comparison.moments(comparison.long_samples(df, STATUS, QUANTITY))))
+
+
+@query("lineitem", _f_sql(f"SELECT g, ABS(x - MEDIAN(x) OVER (PARTITION BY g)) AS x FROM ({_BY_FLAG})"))
+def levene_stat(df):
+    return _f_frame(comparison.levene(comparison.long_samples(df, FLAG, QUANTITY)))
+
+
+def _rank_sql(samples: str) -> str:
+    return (
+        f"WITH s AS ({samples}), r AS (SELECT g, x, RANK() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk FROM s), q AS (SELECT g, COUNT(*) AS n, SUM(rk) AS r FROM r GROUP BY g),"
+        " d AS (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM s GROUP BY x), e AS (SELECT SUM(t * t * t - t) AS tied FROM d)"
+    )
+
+
+@query("lineitem", _rank_sql(_BY_FLAG) + ", o AS (SELECT COUNT(*) AS k, CAST(SUM(n) AS BIGINT) AS n, SUM(r * r / n) AS s FROM q) SELECT k, n, ROUND((12 / (CAST(n AS DOUBLE) * (n + 1)) * s - 3 * (n + 1)) / (1 - tied / (CAST(n AS DOUBLE) * n * n - n)), 4) AS h FROM o, e")
+def kruskal_h(df):
+    return comparison.kruskal(comparison.long_samples(df, FLAG, QUANTITY))
+
+
+@query("lineitem", _rank_sql(_BY_STATUS) + " SELECT MIN_BY(n, g) AS n1, MAX_BY(n, g) AS n2, ROUND(MIN_BY(r, g) - MIN_BY(n, g) * (MIN_BY(n, g) + 1) / 2.0, 4) AS u, ROUND(ANY_VALUE(tied), 4) AS tied FROM q, e")
+def mannwhitney_u(df):
+    return comparison.mann_whitney(comparison.long_samples(df, STATUS, QUANTITY))
+
+
+@query(
+    "lineitem",
+    f"WITH s AS ({_BY_STATUS}), p AS (SELECT x, COUNT(*) FILTER (g = 'F') AS a, COUNT(*) FILTER (g = 'O') AS b FROM s GROUP BY x), c AS (SELECT SUM(a) OVER (ORDER BY x) AS ca, SUM(b) OVER (ORDER BY x) AS cb FROM p), n AS (SELECT CAST(SUM(a) AS BIGINT) AS n1, CAST(SUM(b) AS BIGINT) AS n2 FROM p)"
+    " SELECT n1, n2, ROUND(MAX(ABS(ca / n1 - cb / n2)), 4) AS d FROM c, n GROUP BY n1, n2",
+)
+def ks_2samp_d(df):
+    return comparison.ks_2samp(comparison.long_samples(df, STATUS, QUANTITY))
+
+
+_MOMENTS = f"WITH m AS (SELECT g, COUNT(*) AS n, AVG(x) AS mean, VAR_SAMP(x) AS v FROM ({_BY_FLAG}) GROUP BY g)"
+
+
+@query("lineitem", _MOMENTS + " SELECT a.g AS a, b.g AS b, a.n + b.n - 2 AS df, ROUND((a.mean - b.mean) / SQRT(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)), 4) AS t FROM m a JOIN m b ON a.g < b.g")
+def ttest_pairs(df):
+    return comparison.ttest_pairs(comparison.long_samples(df, FLAG, QUANTITY))
+
+
+@query(
+    "lineitem",
+    _MOMENTS + ", e AS (SELECT SUM((n - 1) * v) / (SUM(n) - COUNT(*)) AS mse, CAST(SUM(n) AS BIGINT) - COUNT(*) AS df, COUNT(*) AS k FROM m) SELECT a.g AS a, b.g AS b, ROUND(b.mean - a.mean, 4) AS diff, ROUND(SQRT(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 4) AS se, df, k FROM m a JOIN m b ON a.g < b.g, e",
+)
+def tukey_pairs(df):
+    return comparison.tukey_pairs(comparison.long_samples(df, FLAG, QUANTITY))
+
+
+def rows_of(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows], schema)
+
+
+_FIT = "term string, coefficient double, se double, t double, p double, low double, high double"
+
+
+def fit_frame(df: DataFrame, fit: regression.Fit) -> DataFrame:
+    return rows_of(df, fit.rows, _FIT)
+
+
+@query(
+    "lineitem",
+    "SELECT ROUND(REGR_SLOPE(l_extendedprice, l_quantity), 4) AS slope, ROUND(REGR_INTERCEPT(l_extendedprice, l_quantity), 4) AS intercept, ROUND(REGR_R2(l_extendedprice, l_quantity), 4) AS r2, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem",
+)
+def ols_simple(df):
+    ((_, fit),) = regression.regress(df, PRICE, [QUANTITY])
+    c = {r[0]: r[1] for r in fit.rows}
+    return rows_of(df, [(c[QUANTITY], c["intercept"], fit.r2, fit.n)], "slope double, intercept double, r2 double, n double")
+
+
+@query(
+    "lineitem",
+    "WITH c AS (SELECT COVAR_POP(l_quantity, l_quantity) AS xx, COVAR_POP(l_discount, l_discount) AS zz, COVAR_POP(l_quantity, l_discount) AS xz, COVAR_POP(l_quantity, l_extendedprice) AS xy, COVAR_POP(l_discount, l_extendedprice) AS zy, AVG(l_quantity) AS mx, AVG(l_discount) AS mz, AVG(l_extendedprice) AS my FROM lineitem),"
+    " b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2, mx, mz, my FROM c)"
+    " SELECT ROUND(b1, 3) AS quantity, ROUND(b2, 3) AS discount, ROUND(my - b1 * mx - b2 * mz, 3) AS intercept FROM b",
+)
+def ols_multi(df):
+    ((_, fit),) = regression.regress(df, PRICE, [QUANTITY, "l_discount"], layout="all")
+    c = {r[0]: round(float(r[1]), 3) for r in fit.rows}
+    return rows_of(df, [(c[QUANTITY], c["l_discount"], c["intercept"])], "quantity double, discount double, intercept double")
+
+
+@query("lineitem", "SELECT ROUND(SUM(l_tax * (l_quantity - mx) * (l_extendedprice - my)) / SUM(l_tax * (l_quantity - mx) * (l_quantity - mx)), 3) AS slope FROM lineitem, (SELECT SUM(l_tax * l_quantity) / SUM(l_tax) AS mx, SUM(l_tax * l_extendedprice) / SUM(l_tax) AS my FROM lineitem)")
+def wls_simple(df):
+    ((_, fit),) = regression.regress(df, PRICE, [QUANTITY], weight="l_tax")
+    return rows_of(df, [(round(float(fit.rows[1][1]), 3),)], "slope double")
+
+
+@query("lineitem")
+def ols_poly(df):
+    return fit_frame(df, regression.regress(df, PRICE, [QUANTITY], degree=3)[0][1])
+
+
+@query("lineitem")
+def ols_categories(df):
+    models = regression.regress(df, PRICE, [QUANTITY, FLAG, "l_discount"], interactions=[(QUANTITY, FLAG)])
+    return fit_frame(df, models[-1][1])
+
+
+@query("lineitem")
+def r2_contribution(df):
+    got = regression.r2_contributions(regression.regress(df, PRICE, [QUANTITY, "l_discount", "l_tax"]))
+    return rows_of(df, list(got.items()), "variable string, gain double")
+
+
+@query("lineitem")
+def anova_twoway(df):
+    return rows_of(df, regression.anova(df, QUANTITY, [FLAG, STATUS]), "source string, df int, ss double, ms double, f double, p double")
+
+
+@query("lineitem")
+def logit_binary(df):
+    table, _ = regression.logistic(df, F.col(STATUS) == "F", [QUANTITY, "l_discount"])
+    return rows_of(df, table, "term string, coefficient double, se double, z double, p double")
+
+
+@query("lineitem")
+def forward_r2(df):
+    chosen = regression.recommend_model(df, PRICE, [QUANTITY, "l_discount", "l_tax", FLAG])
+    return rows_of(df, list(enumerate(chosen)), "step int, variable string")
+
+
+@query("lineitem")
+def lasso_select(df):
+    return rows_of(df, [(v,) for v in regression.lasso(df, PRICE, [QUANTITY, "l_discount", "l_tax"])], "variable string")
+
+
+@query("lineitem", " UNION ALL ".join(f"SELECT '{f}' AS term, ROUND(REGR_R2({PRICE}, {f}) / ((1 - REGR_R2({PRICE}, {f})) / (COUNT(*) - 2)), 3) AS f FROM lineitem" for f in ("l_discount", "l_tax")))
+def f_regression(df):
+    g = regression.gram(df, F.col(PRICE), regression.design(df, ["l_discount", "l_tax"]))
+    return rows_of(df, [(t, round(float(f), 3)) for t, f, _ in regression.f_regression(g)], "term string, f double")
+
+
+@query("lineitem")
+def auto_fit(df):
+    names, fit = regression.auto_fit(df, QUANTITY, PRICE, ("x^1", "x^2", "sin", "cos"))
+    return rows_of(df, [(regression.equation(names, fit), fit.r2)], "equation string, r2 double")
+
+
+@query("orders", "SELECT ROUND(-SUM(p * LN(p)), 4) AS entropy FROM (SELECT COUNT(*) / (SELECT COUNT(*) FROM orders) AS p FROM orders GROUP BY o_orderpriority)")
+def entropy(df):
+    return df.groupBy("o_orderpriority").agg(F.count("*").cast("double").alias("n")).agg(F.collect_list("n").alias("n")).select(scalar.shannon(F.col("n")).alias("entropy"))
+
+
+@query("lineitem", f"SELECT l_orderkey, l_linenumber, ROUND(LN(l_quantity + 0.01 * (SELECT MIN(l_quantity) FROM lineitem WHERE l_quantity <> 0)), 4) AS log_quantity FROM lineitem")
+def log_transform(df):
+    ((_, e),) = regression.transform(df, QUANTITY, "log")
+    return df.select("l_orderkey", "l_linenumber", e.alias("log_quantity"))
+
+
+# --- planner ----------------------------------------------------------------------------------------
+
+
+@query("lineitem")
+def enumerate_specs_lineitem(df):
+    specs = enumerate_specs(describe.profile(df), [FLAG, STATUS, QUANTITY])
+    return rows_of(df, [(i, s.procedure, s.structure, s.description) for i, s in enumerate(specs)], "rank int, procedure string, structure string, description string")
+
+
+@query("lineitem")
+def score_specs(df):
+    got = recommend(df, enumerate_specs(describe.profile(df), [FLAG, STATUS, QUANTITY], ("exact", "subset")), [FLAG, STATUS, QUANTITY])
+    return rows_of(df, [(i, s.spec.procedure, s.spec.description, s.relevance, dict(s.scores).get("entropy")) for i, (s, _) in enumerate(got)], "rank int, procedure string, description string, relevance double, entropy double")
