@@ -24,6 +24,7 @@ repeated rows are packed each; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ from gneiss.llm.common import id_and_text, materialize, next_pow2
 
 CAPACITY = 2048
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-CACHE_PARTS = 1_500_000
+CACHE_PARTS = 400_000
+ENCODE_PARTS = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,6 +49,7 @@ class PartEncoder:
     """Token ids of texts, with the ids of each distinct part kept."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
@@ -71,8 +74,7 @@ class PartEncoder:
         return tx.hash_spans(tx._VALUES[tx._FOLD[buf]], starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
     def _learn(self, hashes: list[int], parts: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        ids = [x.ids for x in got]
+        ids = [x.ids for a in range(0, len(parts), ENCODE_PARTS) for x in self.tokenizer.encode_batch_fast(parts[a : a + ENCODE_PARTS], add_special_tokens=False)]
         sizes = [len(x) for x in ids]
         n, total = len(self.place), sum(sizes)
         while n + len(ids) > len(self.begin):
@@ -113,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PartEncoder(tokenizer_path)
         end = np.array([closing], np.uint32)
-        for part, buf, o in tx.chunks(batches, limit=2 << 20):
+        for part, buf, o in tx.chunks(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, ids in enumerate(encoder.encode(buf, o)):
                 ids = np.concatenate([ids, end])
