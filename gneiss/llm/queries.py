@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import decontam, html, jaccard, licences, packing, quality, rules, sentences, suffixes
+from gneiss.llm import decontam, html, jaccard, licences, lm, packing, quality, rules, sentences, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_decontamination, op3_quality_classifier, op4_sentence_spans, op5_quality_rules, op6_licence_scan, op7_jaccard_join, op9_html_extraction, op10_suffix_dedup, pipeline)
+    for f in (
+        op1_best_fit_packing,
+        op2_decontamination,
+        op3_quality_classifier,
+        op4_sentence_spans,
+        op5_quality_rules,
+        op6_licence_scan,
+        op7_jaccard_join,
+        op8_lm_scoring,
+        op9_html_extraction,
+        op10_suffix_dedup,
+        pipeline,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle()}
 
