@@ -24,6 +24,7 @@ SCALES = {**dict.fromkeys(("integer", "decimal", "datetime", "date", "time"), "c
 DATE_ORDERS = ("yyyy{s}M{s}d", "d{s}M{s}yyyy", "d{s}MMM{s}yyyy", "MMM{s}d{s}yyyy", "d{s}M{s}yy")
 SEPARATORS = "-./ "
 TIMES = ("", " H:m", " H:m:s")
+LOOKS_LIKE_TIME = r"^(\d{1,4}[-./ ](\d{1,2}|[A-Za-z]{3})[-./ ]\d{1,4}|[A-Za-z]{3}[-./ ]\d{1,2}[-./ ]\d{4})([T ]\d{1,2}:.*)?$"
 
 
 @cache
@@ -49,7 +50,8 @@ def parsed_time(c: Column) -> Column:
     x = F.trim(c)
     forms = [o.format(s=s) + t for s in SEPARATORS for o in DATE_ORDERS for t in TIMES]
     iso = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), x.try_cast("timestamp"))
-    return F.when(x.rlike(r"\d") & x.rlike(r"[-./ ]"), F.coalesce(iso, *[F.try_to_timestamp(x, F.lit(f)) for f in forms]))
+    # a cheap look first: few values of a text column reach the parsers
+    return F.when(x.rlike(LOOKS_LIKE_TIME), F.coalesce(iso, *[F.try_to_timestamp(x, F.lit(f)) for f in forms]))
 
 
 def detectors(c: Column) -> dict[str, Column]:

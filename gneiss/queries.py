@@ -123,9 +123,9 @@ def derived_field(df):
     return transform.derive(df, "saved", "multiply", PRICE, "l_discount").select("l_orderkey", "l_linenumber", "saved")
 
 
-@query("nation", "SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY n_regionkey")
+@query("nation", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 def group_fields(df):
-    return df.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    return df.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
 
 
 # --- joins ------------------------------------------------------------------------------------------
