@@ -57,26 +57,32 @@ def with_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with name bound to value, which is evaluated once however often body names it, and wherever the optimizer copies the whole."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def with_repeats(df: DataFrame) -> DataFrame:
-    """Adds n_words and n_repeat_words from the column words."""
+    """Adds n_words and n_repeat_words from the column words.
+
+    The steps are nested bindings, not columns: a filter on the result is pushed down by copying the
+    columns' expressions into each other, and a step inside a lambda would then run for each element.
+    """
     k = WINDOW
-    hashed = df.withColumns({"n_words": F.size("words").cast("long"), "h": F.expr("transform(words, w -> xxhash64(w))")})
     at = ", ".join(f"get(h, i + {j})" for j in range(k))
-    windows = hashed.withColumn("win", F.expr(f"CASE WHEN n_words >= {k} THEN transform(sequence(0, CAST(n_words AS INT) - {k}), i -> xxhash64({at})) ELSE CAST(array() AS ARRAY<BIGINT>) END"))
-    # keys exist only where two windows agree; (hash << bits) | position keeps 64 - bits bits of the hash
-    keyed = windows.withColumn("bits", F.expr("CAST(ceil(log2(n_words + 1)) AS INT) + 1")).withColumn(
-        "keys", F.expr("CASE WHEN size(array_distinct(win)) < size(win) THEN sort_array(transform(win, (x, i) -> shiftleft(x, bits) | CAST(i AS BIGINT))) END")
-    )
+    win = f"CASE WHEN size(h) >= {k} THEN transform(sequence(0, size(h) - {k}), i -> xxhash64({at})) ELSE CAST(array() AS ARRAY<BIGINT>) END"
     same = "shiftright(get(keys, j), bits) = shiftright(get(keys, {}), bits)"
-    found = keyed.withColumn(
-        "found",
-        F.expr(
-            f"sort_array(transform(filter(sequence(0, size(keys) - 1), j -> coalesce({same.format('j - 1')}, false) OR coalesce({same.format('j + 1')}, false)),"
-            " j -> get(keys, j) & (shiftleft(1L, bits) - 1L)))"
-        ),
+    found = (
+        f"sort_array(transform(filter(sequence(0, size(keys) - 1), j -> coalesce({same.format('j - 1')}, false) OR coalesce({same.format('j + 1')}, false)),"
+        " j -> get(keys, j) & (shiftleft(1L, bits) - 1L)))"
     )
-    covered = f"aggregate(sequence(0, size(found) - 1), 0L, (a, j) -> a + least({k}L, coalesce(get(found, j + 1) - get(found, j), {k}L)))"
-    return found.withColumn("n_repeat_words", F.expr(f"CASE WHEN size(found) > 0 THEN {covered} ELSE 0L END")).drop("h", "win", "bits", "keys", "found")
+    covered = f"CASE WHEN size(found) > 0 THEN aggregate(sequence(0, size(found) - 1), 0L, (a, j) -> a + least({k}L, coalesce(get(found, j + 1) - get(found, j), {k}L))) ELSE 0L END"
+    # keys exist only where two windows agree; (hash << bits) | position keeps 64 - bits bits of the hash
+    keys = "sort_array(transform(win, (x, i) -> shiftleft(x, bits) | CAST(i AS BIGINT)))"
+    sort = _let("bits", "CAST(ceil(log2(size(win) + 1)) AS INT) + 1", _let("keys", keys, _let("found", found, covered)))
+    count = f"CASE WHEN size(array_distinct(win)) < size(win) THEN {sort} ELSE 0L END"
+    repeats = _let("h", "transform(words, w -> xxhash64(w))", _let("win", win, count))
+    return df.withColumns({"n_words": F.size("words").cast("long"), "n_repeat_words": F.expr(repeats)})
 
 
 def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:

@@ -218,6 +218,7 @@ def test_rules(docs, corpus, empty):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
         assert not (r["kept"] and r["base_failed"])
     assert rules.quality_rules(empty).count() == 0
+    assert rules.quality_rules(docs).where("kept").count() == sum(r["kept"] for r in got)
     assert rules.clean_lines(docs).count() > 0
 
 
