@@ -9,7 +9,8 @@ suffixes at anchors.
    occurs twice or more in the corpus can matter; the others go (an aggregation and a join on hashes).
 2. `contexts`: for each remaining anchor, the bytes of the windows that named it, split at the anchor.
 3. `sorted_runs`: each task sorts the suffixes that start at its anchors and sends them, front-coded
-   (shared prefix length, rest), to ranges of the suffix order. Equal contexts of a task are sent once.
+   (shared prefix length, rest), to ranges of the suffix order. Equal contexts of a run are sent once;
+   how often a context stands in the whole corpus is counted apart, by an aggregation without bytes.
 4. `merge_runs`: a range merges its runs with a loser tree whose matches start behind the known common
    prefix, which also gives the LCP array. Suffixes that agree on `length` - d bytes are neighbours in
    it; with equal d bytes before the anchor their windows at d are equal, and repeated.
@@ -42,6 +43,7 @@ from gneiss.llm.jaccard import _pack, _unpack
 
 LENGTH = 400
 RANGE_BYTES = 8 << 20
+RUN_BYTES = 64 << 20
 SAMPLE = 4096
 U64 = np.uint64
 _POS_BITS = U64(28)
@@ -101,9 +103,9 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, at, c, lead, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
+    """(rid, at, c, lead, size, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
 
-    A context's bytes stand with its first row in a task.
+    A context's bytes stand with its first row in a task, their number with every row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +139,11 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                     data.append(raw[a : b + length])
             rid = part.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array(data, pa.binary())], names=["rid", "at", "c", "lead", "context"]
+                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array((last - first)[one].astype(np.int32) + length), pa.array(data, pa.binary())],
+                names=["rid", "at", "c", "lead", "size", "context"],
             )
 
-    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, context binary")
+    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, size int, context binary")
 
 
 # --- suffix runs ------------------------------------------------------------------------------------
@@ -182,10 +185,10 @@ def front_decode(shared: np.ndarray, rest: bytes, lengths: np.ndarray) -> list[b
 
 
 def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: int) -> DataFrame:
-    """One front-coded run for each range that a task has suffixes for."""
+    """Front-coded runs for each range that a task has suffixes for. Rows without bytes add nothing to the order."""
 
-    def flush(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        items = sorted(((bytes(b)[lead:], bytes(b)[:lead], c, n) for c, (lead, b, n) in held.items() if b is not None), key=lambda x: x[:2])
+    def flush(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        items = sorted(((b[lead:], b[:lead], c) for c, (lead, b) in held.items()), key=lambda x: x[:2])
         cuts = [0, *(bisect_right(items, s, key=lambda x: x[:2]) for s in splitters), len(items)]
         for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
@@ -194,31 +197,26 @@ def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: i
                 left = b"".join(x[1] for x in run)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r], pa.int32())]
-                    + [pa.array([x.tobytes()], pa.binary()) for x in (shared, lengths, np.array([len(x[1]) for x in run], np.int32), np.array([x[2] for x in run], np.int64), np.array([x[3] for x in run], np.int64))]
+                    + [pa.array([x.tobytes()], pa.binary()) for x in (shared, lengths, np.array([len(x[1]) for x in run], np.int32), np.array([x[2] for x in run], np.int64))]
                     + [pa.array([rest], pa.binary()), pa.array([left], pa.binary())],
-                    names=["range", "shared", "lengths", "leads", "c", "n", "rest", "left"],
+                    names=["range", "shared", "lengths", "leads", "c", "rest", "left"],
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, tuple] = {}
         size = 0
         for batch in batches:
-            for c, lead, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x = held.get(c)
-                if x is None:
-                    held[c] = [lead, b, n]
-                    size += len(b or b"")
-                else:
-                    x[2] += n
-                    if x[1] is None and b is not None:
-                        x[1] = b
-                        size += len(b)
-            if size > 64 << 20:
+            for c, lead, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if c not in held:
+                    held[c] = lead, bytes(b)
+                    size += len(b)
+            if size > RUN_BYTES:
                 yield from flush(held)
                 held, size = {}, 0
         yield from flush(held)
 
-    return rows.select("c", "lead", "context", F.size("at").alias("n")).mapInArrow(run, "range int, shared binary, lengths binary, leads binary, c binary, n binary, rest binary, left binary")
+    some = rows.where("context is not null").select("c", "lead", "context")
+    return some.mapInArrow(run, "range int, shared binary, lengths binary, leads binary, c binary, rest binary, left binary")
 
 
 class LoserTree:
@@ -288,7 +286,6 @@ def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
         right = [runs[a][0][b] for a, b, _ in order]
         lead = np.concatenate([ints(x) for x in cols["leads"]])[pick]
         c = np.concatenate([ints(x, np.int64) for x in cols["c"]])[pick]
-        n = np.concatenate([ints(x, np.int64) for x in cols["n"]])[pick]
         ends = np.cumsum(np.concatenate([ints(x) for x in cols["leads"]]))
         lefts = b"".join(cols["left"])
         left = np.zeros((len(pick), int(lead.max()) if len(lead) else 0), np.uint8)
@@ -324,7 +321,6 @@ def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
             twice[:-1] |= k[1:] == k[:-1]
             again = np.zeros(len(k), bool)
             again[by] = twice
-            again |= n[here] > 1
             for i in here[again].tolist():
                 s = spans[i]
                 if s and s[-1] == d - 1:
@@ -371,6 +367,12 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"c": pa.array(c[at], pa.int64()), "spans": pa.array([[x, x] for x in d[at].tolist()], pa.list_(pa.int32()))})
 
 
+def copied(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(c, spans) for each context that stands twice or more in all rows, wherever its bytes are: all its windows are repeated."""
+    twice = rows.groupBy("c").agg(F.sum(F.size("at")).alias("n"), F.max("lead").alias("lead"), F.max("size").alias("size")).where("n > 1")
+    return twice.select("c", F.array(F.greatest(F.lit(length) - (F.col("size") - F.col("lead")), F.lit(0)), F.col("lead")).alias("spans"))
+
+
 def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(c, spans) for each context: from-to pairs of d, where the window that starts d bytes before the anchor is repeated."""
     total, count = rows.where("context is not null").agg(F.coalesce(F.sum(F.length("context")), F.lit(0)), F.count("*")).first()
@@ -385,7 +387,8 @@ def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         "ranges",
     )
     outer = found.where("bucket is not null").select("bucket", "edges").groupBy("bucket").applyInArrow(_meet, "c long, spans array<int>")
-    return found.where("bucket is null").select("c", "spans").union(outer)
+    marked = found.where("bucket is null").select("c", "spans").union(outer).union(copied(rows, length))
+    return marked.groupBy("c").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -324,6 +324,32 @@ def test_suffixes_across_range_ends(spark, monkeypatch):
     assert got == want
 
 
+def test_suffixes_of_split_tables(spark, monkeypatch):
+    """Copies count wherever a context's bytes are: several row groups, read by several tasks, and several runs of a task."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200))) for _ in range(150)]
+    rows = [(i, base[i % 150]) for i in range(300)]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def removed():
+        return {r["doc_id"]: r["n_removed"] for r in collected(suffixes.removal_digest(df, 40))}
+
+    want = {i: len(t) for i, t in rows}
+    assert removed() == want
+    monkeypatch.setattr(suffixes, "RUN_BYTES", 1000, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    hadoop.setInt("parquet.block.size", 4096)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert removed() == want
+    finally:
+        hadoop.unset("parquet.block.size")
+        for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+
+
 def test_loser_tree():
     rng = random.Random(3)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 30))) for _ in range(7)]
