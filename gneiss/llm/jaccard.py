@@ -323,6 +323,15 @@ def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows without an id stay."""
-    c = jaccard_components(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(c, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of docs for each component, that of the smallest id; a row without an id only where no other has one.
+
+    Rows, not ids, are grouped: repeated rows and rows without an id are copies too, and rows that share an
+    id may be of several components. Rows without a word have no copies but equal rows.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("__row", row)
+    placed = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("x")
+    chosen = materialize(placed.join(ids, "__row").groupBy("component_id").agg(first).select("x.__row"), "chosen")
+    return keyed.dropDuplicates(["__row"]).join(chosen, "__row", "left_semi").select(docs.columns)

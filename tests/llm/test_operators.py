@@ -260,6 +260,16 @@ def test_jaccard(docs, corpus, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, b), (None, c), (None, c), (2, d), (9, d + " end"), (4, ""), (4, ""), (5, None), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("source", F.lit("x"))
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in collected(kept)) == Counter([(1, a), (3, b), (None, c), (2, d), (4, ""), (5, None), (6, " ")])
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 3), (7, 7)]
