@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. In local mode alone, a temporary one stands in where none is set."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or getattr(spark, "_gneiss_dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         path = spark._gneiss_dir = tempfile.mkdtemp(prefix="gneiss-")
     return path.rstrip("/")
 
@@ -29,7 +32,18 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
         df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gneiss_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize() wrote, once nothing lazy reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_gneiss_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def digest_mod(doc_id: str | Column, m: int) -> Column:

@@ -21,6 +21,13 @@ suffixes at anchors.
 Texts are shuffled twice at every size, to meet their anchors and their cuts; neither is broadcast, as
 both grow with the corpus.
 
+Several lengths share one suffix array: windows of the shortest length name the anchors, contexts reach as
+far as the longest needs, and the merge marks the repeated windows of each length by its own cut of the LCP
+array. `removal_digest` does this for 400 bytes, its contract, and for `SHORT` bytes beside it.
+
+A text of more than `text.PIECE_BYTES` is read in pieces that overlap by the longest length less one byte,
+so each of its windows lies in one piece and no task holds more than a piece's arrays.
+
 Hashes have 64 bits. Defined cases: a null or empty text has no bytes and no span; texts under
 `length` bytes are kept whole; repeated rows are copies of each other, so both lose what they share;
 a null id stays null; other columns are ignored.
@@ -38,13 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import text as tx
-from gneiss.llm.common import id_and_text, materialize, next_pow2
+from gneiss.llm.common import discard, id_and_text, materialize, next_pow2
 from gneiss.llm.jaccard import _pack, _unpack
 
 LENGTH = 400
+SHORT = 200  # bytes: about 33 words of the languages at hand, so a repeated passage of 50 words has 200 in it wherever it is cut
 RANGE_BYTES = 8 << 20
+MAX_RANGES = 1 << 17  # beyond a TB of contexts ranges grow instead: splitters are sent to every task
 RUN_BYTES = 64 << 20
-SAMPLE = 4096
+PER_RANGE = 4  # sampled contexts for each range, 4,096 at least
 U64 = np.uint64
 _POS_BITS = U64(28)
 
@@ -58,8 +67,8 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, first window, last window, k-byte hash) of each anchor, positions in buf."""
+def find_anchors(buf: np.ndarray, offsets: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, first window, last window, k-byte hash) of each anchor, positions in buf. own: how many windows may start in each document."""
     k = gram_size(length)
     n, w = len(buf), length - k + 1
     none = np.zeros(0, np.int64)
@@ -68,8 +77,6 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     starts = np.arange(n - k + 1)
     h = tx.hash_spans(tx._VALUES[buf], starts, starts + k)
     key = ((h >> _POS_BITS) << _POS_BITS) | starts.astype(U64)
-    if n >= 1 << int(_POS_BITS):
-        raise ValueError("a text chunk is too long for anchor positions")
     pad = -len(key) % w
     blocks = np.concatenate([key, np.full(pad, ~U64(0))]).reshape(-1, w)
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -78,7 +85,7 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     at = (np.minimum(after[:m], before[w - 1 : w - 1 + m]) & U64((1 << int(_POS_BITS)) - 1)).astype(np.int64)
     window = np.arange(m)
     doc = np.searchsorted(offsets, window, "right") - 1
-    ok = window + length <= offsets[doc + 1]
+    ok = (window + length <= offsets[doc + 1]) & (window < offsets[doc] + own[doc])
     window, at, doc = window[ok], at[ok], doc[ok]
     if not len(at):
         return none, none, none, none, none.astype(U64)
@@ -89,12 +96,12 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return doc[first], at[first], window[first], window[last], h[at[first]]
 
 
-def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(rid, h, n): how often each anchor string stands in a row; periodic text repeats one many times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, o in tx.chunks(batches):
-            doc, _, _, _, h = find_anchors(buf, o, length)
+        for part, buf, o, own, _ in tx.pieces(batches, max(lengths) - 1):
+            doc, _, _, _, h = find_anchors(buf, o, own, min(lengths))
             _, one, n = np.unique(tx.mix(h ^ tx.mix(doc.astype(U64))), return_index=True, return_counts=True)
             rid = part.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(rid[doc[one]]), pa.array(h[one].view(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "h", "n"])
@@ -102,16 +109,16 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "rid long, h long, n long")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, at, c, lead, size, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
+def contexts(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(rid, at, c, lead, low, size, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
 
-    A context's bytes stand with its first row in a task, their number with every row.
+    The windows that named the anchor start lead to low bytes before it. A context's bytes stand with its first row in a task, their number with every row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part, buf, o in tx.chunks(batches):
-            doc, at, first, last, h = find_anchors(buf, o, length)
+        for part, buf, o, own, shift in tx.pieces(batches, max(lengths) - 1):
+            doc, at, first, last, h = find_anchors(buf, o, own, min(lengths))
             lists = part.column(2)
             flat = lists.flatten().to_numpy().view(U64)
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
@@ -120,30 +127,31 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
             i = np.minimum(np.searchsorted(ask, mine), max(len(ask) - 1, 0))
             ok = ask[i] == mine if len(ask) else np.zeros(len(mine), bool)
             doc, at, first, last = doc[ok], at[ok], first[ok], last[ok]
-            lead = at - first
-            c = tx.mix(tx.hash_spans(tx._VALUES[buf], first, last + length) ^ tx.mix(lead.astype(U64)))
+            lead, end = at - first, np.minimum(last + max(lengths), o[doc + 1])
+            low = at - last
+            c = tx.mix(tx.hash_spans(tx._VALUES[buf], first, end) ^ tx.mix((lead + (low << 32)).astype(U64)))
             order = np.lexsort((at, c, doc))
-            doc, at, first, last, lead, c = (x[order] for x in (doc, at, first, last, lead, c))
+            doc, at, first, end, lead, low, c = (x[order] for x in (doc, at, first, end, lead, low, c))
             new = np.ones(len(c), bool)
             new[1:] = (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
             one = np.flatnonzero(new)
-            places = pa.ListArray.from_arrays(pa.array(np.append(one, len(c)).astype(np.int32)), pa.array(at - o[doc]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(one, len(c)).astype(np.int32)), pa.array(at - o[doc] + shift))
             keys = c[one].view(np.int64)
             data = []
             raw = buf.tobytes()
-            for key, a, b in zip(keys.tolist(), first[one].tolist(), last[one].tolist(), strict=True):
+            for key, a, b in zip(keys.tolist(), first[one].tolist(), end[one].tolist(), strict=True):
                 if key in seen:
                     data.append(None)
                 else:
                     seen.add(key)
-                    data.append(raw[a : b + length])
+                    data.append(raw[a:b])
             rid = part.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array((last - first)[one].astype(np.int32) + length), pa.array(data, pa.binary())],
-                names=["rid", "at", "c", "lead", "size", "context"],
+                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array(low[one].astype(np.int32)), pa.array((end - first)[one].astype(np.int32)), pa.array(data, pa.binary())],
+                names=["rid", "at", "c", "lead", "low", "size", "context"],
             )
 
-    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, size int, context binary")
+    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, low int, size int, context binary")
 
 
 # --- suffix runs ------------------------------------------------------------------------------------
@@ -184,11 +192,11 @@ def front_decode(shared: np.ndarray, rest: bytes, lengths: np.ndarray) -> list[b
     return out
 
 
-def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: int) -> DataFrame:
+def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]]) -> DataFrame:
     """Front-coded runs for each range that a task has suffixes for. Rows without bytes add nothing to the order."""
 
     def flush(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
-        items = sorted(((b[lead:], b[:lead], c) for c, (lead, b) in held.items()), key=lambda x: x[:2])
+        items = sorted(((b[lead:], b[:lead], c, low) for c, (lead, low, b) in held.items()), key=lambda x: x[:2])
         cuts = [0, *(bisect_right(items, s, key=lambda x: x[:2]) for s in splitters), len(items)]
         for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
@@ -197,26 +205,26 @@ def sorted_runs(rows: DataFrame, splitters: list[tuple[bytes, bytes]], length: i
                 left = b"".join(x[1] for x in run)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r], pa.int32())]
-                    + [pa.array([x.tobytes()], pa.binary()) for x in (shared, lengths, np.array([len(x[1]) for x in run], np.int32), np.array([x[2] for x in run], np.int64))]
+                    + [pa.array([x.tobytes()], pa.binary()) for x in (shared, lengths, np.array([len(x[1]) for x in run], np.int32), np.array([x[3] for x in run], np.int32), np.array([x[2] for x in run], np.int64))]
                     + [pa.array([rest], pa.binary()), pa.array([left], pa.binary())],
-                    names=["range", "shared", "lengths", "leads", "c", "rest", "left"],
+                    names=["range", "shared", "lengths", "leads", "lows", "c", "rest", "left"],
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         size = 0
         for batch in batches:
-            for c, lead, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for c, lead, low, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if c not in held:
-                    held[c] = lead, bytes(b)
+                    held[c] = lead, low, bytes(b)
                     size += len(b)
             if size > RUN_BYTES:
                 yield from flush(held)
                 held, size = {}, 0
         yield from flush(held)
 
-    some = rows.where("context is not null").select("c", "lead", "context")
-    return some.mapInArrow(run, "range int, shared binary, lengths binary, leads binary, c binary, rest binary, left binary")
+    some = rows.where("context is not null").select("c", "lead", "low", "context")
+    return some.mapInArrow(run, "range int, shared binary, lengths binary, leads binary, lows binary, c binary, rest binary, left binary")
 
 
 class LoserTree:
@@ -268,9 +276,46 @@ class LoserTree:
             self.champion = win
 
 
-def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
+def _pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: whether it stands twice or more, and whether this is the first of its copies."""
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    twice, first = np.zeros(len(key), bool), np.ones(len(key), bool)
+    twice[by[1:][same]] = True
+    twice[by[:-1][same]] = True
+    first[by[1:][same]] = False
+    return twice, first
+
+
+def _spans(i: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct i, and the runs of consecutive d of each as from-to pairs."""
+    order = np.lexsort((d, i))
+    i, d = i[order], d[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1] + 1)
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], len(i))[: len(at)] - 1
+    flat = np.stack([d[at], d[ends]], axis=1).astype(np.int32).ravel()
+    owner, first = np.unique(i[at], return_index=True)
+    return owner, pa.ListArray.from_arrays(pa.array(np.append(2 * first, len(flat)).astype(np.int32)), pa.array(flat))
+
+
+def merge_runs(splitters: list[tuple[bytes, bytes]], lengths: tuple[int, ...]):
     """The reducer of one range: repeated windows of its contexts, and hashes of those that other ranges may hold."""
 
+    def reach_of(right: list[bytes], lead: int, r: int) -> np.ndarray:
+        """Bytes that each suffix shares with an end of the range, where they are enough for a window; suffixes are in order, so those are first or last."""
+        reach = np.zeros(len(right), np.int64)
+        least = min(lengths) - lead
+        for e, places in ((r - 1, range(len(right))), (r, range(len(right) - 1, -1, -1))):
+            if 0 <= e < len(splitters):
+                for i in places:
+                    n = common_prefix(right[i], splitters[e][0])
+                    if n < least:
+                        break
+                    reach[i] = max(reach[i], n)
+        return reach
+
     def reduce(table: pa.Table) -> pa.Table:
         r = table["range"][0].as_py()
         cols = {x: table[x].to_pylist() for x in table.column_names if x != "range"}
@@ -285,110 +330,86 @@ def merge_runs(splitters: list[tuple[bytes, bytes]], length: int):
         lcp[0] = 0
         right = [runs[a][0][b] for a, b, _ in order]
         lead = np.concatenate([ints(x) for x in cols["leads"]])[pick]
+        low = np.concatenate([ints(x) for x in cols["lows"]])[pick]
         c = np.concatenate([ints(x, np.int64) for x in cols["c"]])[pick]
         ends = np.cumsum(np.concatenate([ints(x) for x in cols["leads"]]))
         lefts = b"".join(cols["left"])
-        left = np.zeros((len(pick), int(lead.max()) if len(lead) else 0), np.uint8)
+        left = np.zeros((len(pick), int(lead.max())), np.uint8)
         for i, (j, m) in enumerate(zip(pick.tolist(), lead.tolist(), strict=True)):
             if m:
                 left[i, :m] = np.frombuffer(lefts, np.uint8, m, int(ends[j]) - m)[::-1]
-        reach = np.zeros(len(pick), np.int64)  # bytes shared with a range's end
-        edges = [splitters[e][0] for e in (r - 1, r) if 0 <= e < len(splitters)]
-        if edges:
-            for i, x in enumerate(right):
-                reach[i] = max(common_prefix(x, e) for e in edges)
+        reach = reach_of(right, int(lead.max()), r)
         size = np.array([len(x) for x in right])
-        low = np.maximum(length - size, 0)  # windows at low..lead belong to this anchor
-        spans: list[list[int]] = [[] for _ in range(len(pick))]
-        edge_h: list[int] = []
-        edge_i: list[int] = []
-        edge_d: list[int] = []
+        near = np.maximum(lcp, np.append(lcp[1:], 0))  # bytes shared with a neighbour
+        found: list[list[tuple[np.ndarray, int]]] = [[] for _ in lengths]
+        edges: list[tuple[bytes, int, int, int]] = []
         lh = np.zeros(len(pick), U64)
         power = 1
-        for d in range(int(lead.max()) + 1 if len(lead) else 0):
+        for d in range(int(lead.max()) + 1):
             if d:
                 power = power * tx._BASE % 2**64
                 lh += tx._VALUES[left[:, d - 1]] * U64(power)
-            here = np.flatnonzero((low <= d) & (d <= lead))
-            if not len(here):
-                continue
-            run_id = np.cumsum(lcp < length - d)[here].astype(U64)
-            key = tx.mix(lh[here] ^ tx.mix(run_id + U64(1)))
-            by = np.argsort(key)
-            k = key[by]
-            twice = np.zeros(len(k), bool)
-            twice[1:] |= k[1:] == k[:-1]
-            twice[:-1] |= k[1:] == k[:-1]
-            again = np.zeros(len(k), bool)
-            again[by] = twice
-            for i in here[again].tolist():
-                s = spans[i]
-                if s and s[-1] == d - 1:
-                    s[-1] = d
-                else:
-                    s += [d, d]
-            outer = reach[here] >= length - d
-            if outer.any():  # alone here, or the first of its copies
-                first = np.ones(len(k), bool)
-                first[1:] = k[1:] != k[:-1]
-                lone = np.zeros(len(k), bool)
-                lone[by] = first
-                for i in here[outer & lone].tolist():
+            for j, length in enumerate(lengths):
+                here = np.flatnonzero((low <= d) & (d <= lead) & (size >= length - d) & ((near >= length - d) | (reach >= length - d)))
+                if not len(here):
+                    continue
+                run_id = np.cumsum(lcp < length - d)[here].astype(U64)
+                twice, first = _pairs(tx.mix(lh[here] ^ tx.mix(run_id + U64(1))))
+                found[j].append((here[twice], d))
+                for i in here[first & (reach[here] >= length - d)].tolist():  # alone here, or the first of its copies
                     window = left[i, :d][::-1].tobytes() + right[i][: length - d]
-                    edge_h.append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"))
-                    edge_i.append(i)
-                    edge_d.append(d)
-        some = [i for i in range(len(pick)) if spans[i]]
-        eh, ec, ed = np.array(edge_h, U64), c[np.array(edge_i, np.int64)], np.array(edge_d, np.int32)
+                    edges.append((hashlib.blake2b(window, digest_size=8).digest(), i, d, j))
+        out = []
+        for j, x in enumerate(found):
+            i, spans = _spans(np.concatenate([np.zeros(0, np.int64), *(a for a, _ in x)]), np.concatenate([np.zeros(0, np.int64), *(np.full(len(a), d) for a, d in x)]))
+            out.append(pa.table({"c": pa.array(c[i]), "j": pa.array(np.full(len(i), j, np.int32)), "spans": spans, "bucket": pa.nulls(len(i), pa.int32()), "edges": pa.nulls(len(i), pa.binary())}))
+        eh = np.frombuffer(b"".join(x[0] for x in edges), U64)
+        ei, ed, ej = (np.array([x[k] for x in edges], np.int64) for k in (1, 2, 3))
         part = (eh % U64(max(len(splitters), 1))).astype(np.int32)
         buckets = np.unique(part).tolist()
-        nothing = [None] * len(buckets)
-        return pa.table(
-            {
-                "c": pa.array([*c[some].tolist(), *nothing], pa.int64()),
-                "spans": pa.array([*(spans[i] for i in some), *nothing], pa.list_(pa.int32())),
-                "bucket": pa.array([None] * len(some) + buckets, pa.int32()),
-                "edges": pa.array([None] * len(some) + [_pack(eh[part == b], ec[part == b], ed[part == b]) for b in buckets], pa.binary()),
-            }
-        )
+        blobs = [_pack(eh[part == b], c[ei[part == b]], ed[part == b].astype(np.int32), ej[part == b].astype(np.int32)) for b in buckets]
+        none = len(buckets)
+        out.append(pa.table({"c": pa.nulls(none, pa.int64()), "j": pa.nulls(none, pa.int32()), "spans": pa.nulls(none, pa.list_(pa.int32())), "bucket": pa.array(buckets, pa.int32()), "edges": pa.array(blobs, pa.binary())}))
+        return pa.concat_tables(out)
 
     return reduce
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket of windows at the ranges' ends: those that two ranges hold."""
-    h, c, d = (np.concatenate(x) for x in zip(*(_unpack(b, U64, np.int64, np.int32) for b in table["edges"].to_pylist()), strict=True))
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    at = order[twice]
-    return pa.table({"c": pa.array(c[at], pa.int64()), "spans": pa.array([[x, x] for x in d[at].tolist()], pa.list_(pa.int32()))})
-
-
-def copied(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(c, spans) for each context that stands twice or more in all rows, wherever its bytes are: all its windows are repeated."""
-    twice = rows.groupBy("c").agg(F.sum(F.size("at")).alias("n"), F.max("lead").alias("lead"), F.max("size").alias("size")).where("n > 1")
-    return twice.select("c", F.array(F.greatest(F.lit(length) - (F.col("size") - F.col("lead")), F.lit(0)), F.col("lead")).alias("spans"))
-
-
-def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(c, spans) for each context: from-to pairs of d, where the window that starts d bytes before the anchor is repeated."""
-    total, count = rows.where("context is not null").agg(F.coalesce(F.sum(F.length("context")), F.lit(0)), F.count("*")).first()
-    ranges = next_pow2(total / RANGE_BYTES, 32)
-    share = min(1.0, 4 * SAMPLE / max(count, 1))
-    drawn = rows.where("context is not null").where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
-    picked = drawn.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("lead", "context").collect()  # SAMPLE contexts at most, each under 2 * length bytes
+    h, c, d, j = (np.concatenate(x) for x in zip(*(_unpack(b, U64, np.int64, np.int32, np.int32) for b in table["edges"].to_pylist()), strict=True))
+    at = np.flatnonzero(_pairs(h)[0])
+    return pa.table({"c": pa.array(c[at], pa.int64()), "j": pa.array(j[at], pa.int32()), "spans": pa.array([[x, x] for x in d[at].tolist()], pa.list_(pa.int32()))})
+
+
+def copied(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(c, j, spans) for each context that stands twice or more in all rows, wherever its bytes are: all its windows are repeated."""
+    twice = rows.groupBy("c").agg(F.sum(F.size("at")).alias("n"), F.max("lead").alias("lead"), F.max("low").alias("low"), F.max("size").alias("size")).where("n > 1")
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(length).alias("length")) for j, length in enumerate(lengths)))).alias("x")
+    low = F.greatest(F.col("x.length") - (F.col("size") - F.col("lead")), F.col("low"))
+    return twice.select("c", "size", "low", "lead", each).select("c", F.col("x.j").alias("j"), F.array(low, "lead").alias("spans")).where("spans[0] <= spans[1]")
+
+
+def repeated(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(c, j, spans) for each context: from-to pairs of d, where the window of lengths[j] that starts d bytes before the anchor is repeated."""
+    held = rows.where("context is not null")
+    total, count = held.agg(F.coalesce(F.sum(F.length("context")), F.lit(0)), F.count("*")).first()
+    ranges = min(next_pow2(total / RANGE_BYTES, 32), MAX_RANGES)
+    most = max(4096, PER_RANGE * ranges)
+    share = min(1.0, 4 * most / max(count, 1))
+    drawn = held.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    picked = drawn.orderBy(F.xxhash64("c"), "c").limit(most).select("lead", "context").toLocalIterator()  # `most` contexts, each under 2 * max(lengths) bytes
     sample = sorted({(bytes(x["context"])[x["lead"] :], bytes(x["context"])[: x["lead"]]) for x in picked})
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     found = materialize(
-        sorted_runs(rows, splitters, length).groupBy("range").applyInArrow(merge_runs(splitters, length), "c long, spans array<int>, bucket int, edges binary"),
+        sorted_runs(rows, splitters).groupBy("range").applyInArrow(merge_runs(splitters, lengths), "c long, j int, spans array<int>, bucket int, edges binary"),
         "ranges",
     )
-    outer = found.where("bucket is not null").select("bucket", "edges").groupBy("bucket").applyInArrow(_meet, "c long, spans array<int>")
-    marked = found.where("bucket is null").select("c", "spans").union(outer).union(copied(rows, length))
-    return marked.groupBy("c").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    outer = found.where("bucket is not null").select("bucket", "edges").groupBy("bucket").applyInArrow(_meet, "c long, j int, spans array<int>")
+    marked = found.where("bucket is null").select("c", "j", "spans").union(outer).union(copied(rows, lengths))
+    result = materialize(marked.groupBy("c", "j").agg(F.flatten(F.collect_set("spans")).alias("spans")), "result")
+    discard(found)
+    return result
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -401,24 +422,31 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, cuts): from-to byte pairs for each row key with repeated text. docs has rid and text."""
-    found = materialize(anchors(docs, length), "anchors")
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(rid, cuts): for each row key with repeated text, from-to byte pairs for each of the lengths. docs has rid and text."""
+    found = materialize(anchors(docs, lengths), "anchors")
     twice = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
     wanted = found.join(twice, "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
-    rows = materialize(contexts(docs, wanted, length), "contexts")
-    result = materialize(repeated(rows, length), "result")
+    rows = materialize(contexts(docs, wanted, lengths), "contexts")
+    discard(found, twice)
+    result = repeated(rows, lengths)
     at = rows.select("c", "rid", "at").join(result, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = []
             for x in batch.column(1).to_pylist():
-                spans = [(p - b, p - a + length) for y in x for p in y["at"] for a, b in zip(y["spans"][::2], y["spans"][1::2], strict=True)]
-                cuts.append([i for ab in merge_spans(spans) for i in ab])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int64()))], names=["rid", "cuts"])
-
-    return at.groupBy("rid").agg(F.collect_set(F.struct("at", "spans")).alias("x")).mapInArrow(run, "rid long, cuts array<long>")
+                each = []
+                for j, length in enumerate(lengths):
+                    spans = [(p - b, p - a + length) for y in x if y["j"] == j for p in y["at"] for a, b in zip(y["spans"][::2], y["spans"][1::2], strict=True)]
+                    each.append([i for ab in merge_spans(spans) for i in ab])
+                cuts.append(each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.list_(pa.int64())))], names=["rid", "cuts"])
+
+    spans = at.groupBy("rid").agg(F.collect_set(F.struct("j", "at", "spans")).alias("x")).mapInArrow(run, "rid long, cuts array<array<long>>")
+    out = materialize(spans, "cuts")
+    discard(rows, result)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -432,43 +460,44 @@ def _cut(raw: bytes, cuts: list[int] | None) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs."""
+def removal_digest(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs, all for `length`; n_repeated_short counts the bytes covered by repeated strings of `short` bytes."""
     rows = keyed(docs)
-    spans = materialize(repeated_spans(rows, length), "cuts")
+    spans = repeated_spans(rows, (length, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, removed, count, sha = [], [], [], []
+            size, removed, count, sha, less = [], [], [], [], []
             for raw, cuts in zip(batch.column(1), batch.column(2), strict=True):
-                raw, cuts = raw.as_buffer().to_pybytes(), cuts.as_py()
-                kept = _cut(raw, cuts)
+                raw = raw.as_buffer().to_pybytes()
+                long, few = cuts.as_py() or ([], [])
+                kept = _cut(raw, long)
                 size.append(len(raw))
                 removed.append(len(raw) - len(kept))
-                count.append(len(cuts or ()) // 2)
+                count.append(len(long) // 2)
                 sha.append(hashlib.sha256(kept).hexdigest())
+                less.append(sum(few[1::2]) - sum(few[::2]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                [batch.column(0), *(pa.array(x, t) for x, t in zip((size, removed, count, sha, less), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_short"]
             )
 
     out = rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "cuts")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_short long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated text cut out and n_chars counted anew; parts of a character that a cut leaves are dropped."""
-    spans = materialize(repeated_spans(keyed(docs), length), "cuts")
+    spans = repeated_spans(keyed(docs), (length,)).select(F.col("rid").alias("k"), F.col("cuts")[0].alias("cuts"))
     columns = docs.columns
-    rows = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))).join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("cuts", "__cuts").hint("merge"), "__rid", "left").drop("__rid")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(key.alias("k"), F.struct("*").alias("row")).join(spans.hint("merge"), "k", "left").select(F.col("row.text").alias("text"), "cuts", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            text = [
-                x.as_py() if not c.is_valid else _cut(x.as_buffer().to_pybytes(), c.as_py()).decode("utf-8", "ignore")
-                for x, c in zip(batch.column(at), batch.column(batch.schema.get_field_index("__cuts")), strict=True)
-            ]
-            yield batch.set_column(at, "text", pa.array(text, pa.string())).select(columns)
+            text = [x.as_py() if not c.is_valid else _cut(x.as_buffer().to_pybytes(), c.as_py()).decode("utf-8", "ignore") for x, c in zip(batch.column(0), batch.column(1), strict=True)]
+            parts = dict(zip(columns, batch.column(2).flatten(), strict=True)) | {"text": pa.array(text, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(parts.values()), names=columns)
 
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 4 << 20
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -94,6 +95,21 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = to
 
 
+def pieces(batches: Iterator[pa.RecordBatch], overlap: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Slices as chunks() gives them, but a text of over PIECE_BYTES comes in several, each with its one row.
+
+    As (slice, bytes, offsets, own, shift): `own` bytes of each text belong to this slice, up to `overlap`
+    more are shown behind them; shift is where a piece starts in its text.
+    """
+    for part, buf, o in chunks(batches, text):
+        if part.num_rows > 1 or len(buf) <= PIECE_BYTES + overlap:
+            yield part, buf, o, np.diff(o), 0
+            continue
+        for a in range(0, len(buf), PIECE_BYTES):
+            piece = buf[a : a + PIECE_BYTES + overlap]
+            yield part, piece, np.array([0, len(piece)]), np.array([min(PIECE_BYTES, len(buf) - a)]), a
+
+
 def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[s:e] for each span; values are uint64, one for each byte."""
     p, inv = powers(len(values) + 1)

@@ -300,22 +300,42 @@ def test_sentences(docs, corpus, empty):
     assert sentences.repeated_sentences(empty).count() == 0
 
 
-def test_suffixes(docs, corpus, empty):
-    length = 80
-    raws = [(t or "").encode() for _, t in corpus]
+def repeats(raws, length):
+    """Of each text, whether each byte is covered by a string of `length` bytes that also starts elsewhere."""
     count = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
-    want = Counter()
-    for (i, _), r in zip(corpus, raws, strict=True):
+    out = []
+    for r in raws:
         gone = np.zeros(len(r) + 2, bool)
         for a in range(len(r) - length + 1):
             if count[r[a : a + length]] > 1:
                 gone[a + 1 : a + 1 + length] = True
+        out.append(gone)
+    return out
+
+
+def test_suffixes(docs, corpus, empty):
+    length, short = 80, 50
+    raws = [(t or "").encode() for _, t in corpus]
+    want = Counter()
+    for (i, _), r, gone, less in zip(corpus, raws, repeats(raws, length), repeats(raws, short), strict=True):
         kept = np.frombuffer(r, np.uint8)[~gone[1:-1]].tobytes()
-        want[(i, len(r), len(r) - len(kept), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(suffixes.removal_digest(docs, length)))
+        want[(i, len(r), len(r) - len(kept), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest(), int(less.sum()))] += 1
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated_short"]) for r in collected(suffixes.removal_digest(docs, length, short)))
     assert got == want
     assert suffixes.removal_digest(empty).count() == 0
-    assert suffixes.remove_repeats(docs, length).columns == docs.columns
+    kept = suffixes.remove_repeats(docs.withColumn("k", F.lit("clash")).withColumn("row", F.lit("clash")), length)
+    assert kept.columns == [*docs.columns, "k", "row"] and kept.where("k = 'clash' and row = 'clash'").count() == len(corpus)
+    want = Counter((i, None if t is None else np.frombuffer(r, np.uint8)[~gone[1:-1]].tobytes().decode("utf-8", "ignore")) for (i, t), r, gone in zip(corpus, raws, repeats(raws, length), strict=True))
+    assert Counter((r["doc_id"], r["text"]) for r in collected(kept)) == want
+
+
+def test_suffixes_of_a_text_read_in_pieces(spark):
+    rng = np.random.default_rng(2)
+    letters = rng.integers(97, 123, tx.PIECE_BYTES * 2 + 5000, dtype=np.uint8).tobytes().decode()
+    edge = tx.PIECE_BYTES
+    rows = [(1, letters), (2, "x" * 50 + letters[edge - 250 : edge + 300] + "y" * 50), (3, letters[2 * edge - 10 : 2 * edge + 195]), (4, letters[5000:5400])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_repeated_short"], r["n_spans"]) for r in collected(suffixes.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {1: (950, 550 + 205 + 400, 2), 2: (550, 550, 1), 3: (0, 205, 0), 4: (400, 400, 1)}
 
 
 def test_suffixes_across_range_ends(spark, monkeypatch):
