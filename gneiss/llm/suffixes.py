@@ -97,38 +97,42 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, own: np.ndarray, length:
 
 
 def anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(rid, h, n): how often each anchor string stands in a row; periodic text repeats one many times."""
+    """(rid, h, places) for each row and anchor string: its places, with the range of windows that named it, one packed long each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, o, own, _ in tx.pieces(batches, max(lengths) - 1):
-            doc, _, _, _, h = find_anchors(buf, o, own, min(lengths))
-            _, one, n = np.unique(tx.mix(h ^ tx.mix(doc.astype(U64))), return_index=True, return_counts=True)
+        for part, buf, o, own, shift in tx.pieces(batches, max(lengths) - 1):
+            doc, at, first, last, h = find_anchors(buf, o, own, min(lengths))
+            place = ((at - o[doc] + shift) << 32) | ((at - first) << 16) | (at - last)
+            key = tx.mix(h ^ tx.mix(doc.astype(U64)))
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(order), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            one = np.flatnonzero(new)
             rid = part.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rid[doc[one]]), pa.array(h[one].view(np.int64)), pa.array(n.astype(np.int64))], names=["rid", "h", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(one, len(order)).astype(np.int32)), pa.array(place[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[doc[order[one]]]), pa.array(h[order[one]].view(np.int64)), lists], names=["rid", "h", "places"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, h long, n long")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, h long, places array<long>")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(rid, at, c, lead, low, size, context) for each row and context of an anchor in wanted (rid, hs), at: where its anchors are.
+    """(rid, at, c, lead, low, size, context) for each row and context of an anchor in wanted (rid, places), at: where its anchors are.
 
-    The windows that named the anchor start lead to low bytes before it. A context's bytes stand with its first row in a task, their number with every row.
+    The windows that named the anchor start lead to low bytes before it. A context's
+    bytes stand with its first row in a task, their number with every row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part, buf, o, own, shift in tx.pieces(batches, max(lengths) - 1):
-            doc, at, first, last, h = find_anchors(buf, o, own, min(lengths))
             lists = part.column(2)
-            flat = lists.flatten().to_numpy().view(U64)
-            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            ask = np.sort(tx.mix(flat ^ tx.mix(owner.astype(U64))))
-            mine = tx.mix(h ^ tx.mix(doc.astype(U64)))
-            i = np.minimum(np.searchsorted(ask, mine), max(len(ask) - 1, 0))
-            ok = ask[i] == mine if len(ask) else np.zeros(len(mine), bool)
-            doc, at, first, last = doc[ok], at[ok], first[ok], last[ok]
-            lead, end = at - first, np.minimum(last + max(lengths), o[doc + 1])
-            low = at - last
+            inner = lists.flatten()
+            doc = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), inner.value_lengths().to_numpy())
+            place = inner.flatten().to_numpy()
+            at, lead, low = (place >> 32) - shift, (place >> 16) & 0xFFFF, place & 0xFFFF
+            ok = (at >= lead) & (at - lead < own[doc])
+            doc, at, lead, low = doc[ok], at[ok] + o[doc[ok]], lead[ok], low[ok]
+            first, end = at - lead, np.minimum(at - low + max(lengths), o[doc + 1])
             c = tx.mix(tx.hash_spans(tx._VALUES[buf], first, end) ^ tx.mix((lead + (low << 32)).astype(U64)))
             order = np.lexsort((at, c, doc))
             doc, at, first, end, lead, low, c = (x[order] for x in (doc, at, first, end, lead, low, c))
@@ -147,11 +151,11 @@ def contexts(docs: DataFrame, wanted: DataFrame, lengths: tuple[int, ...]) -> Da
                     data.append(raw[a:b])
             rid = part.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[doc[one]]), places, pa.array(keys), pa.array(lead[one].astype(np.int32)), pa.array(low[one].astype(np.int32)), pa.array((end - first)[one].astype(np.int32)), pa.array(data, pa.binary())],
+                [pa.array(rid[doc[one]]), places, pa.array(keys), *(pa.array(x[one].astype(np.int32)) for x in (lead, low, end - first)), pa.array(data, pa.binary())],
                 names=["rid", "at", "c", "lead", "low", "size", "context"],
             )
 
-    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "hs").mapInArrow(run, "rid long, at array<long>, c long, lead int, low int, size int, context binary")
+    return docs.join(wanted.hint("merge"), "rid").select("rid", "text", "places").mapInArrow(run, "rid long, at array<long>, c long, lead int, low int, size int, context binary")
 
 
 # --- suffix runs ------------------------------------------------------------------------------------
@@ -412,36 +416,46 @@ def repeated(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return result
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merge_spans(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (group, start, end) with those of a group that touch or overlap made one, in order."""
+    order = np.lexsort((start, group))
+    group, start, end = group[order], start[order], end[order]
+    wide = np.int64(1) << 36
+    reach = np.maximum.accumulate(end + group * wide)
+    new = np.ones(len(group), bool)
+    new[1:] = start[1:] + group[1:] * wide > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(group))[: len(at)] - 1
+    return group[at], start[at], reach[last] - group[at] * wide
 
 
 def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(rid, cuts): for each row key with repeated text, from-to byte pairs for each of the lengths. docs has rid and text."""
     found = materialize(anchors(docs, lengths), "anchors")
-    twice = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
-    wanted = found.join(twice, "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
+    twice = materialize(found.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("h"), "repeated")
+    wanted = found.join(twice, "h").groupBy("rid").agg(F.collect_set("places").alias("places"))
     rows = materialize(contexts(docs, wanted, lengths), "contexts")
     discard(found, twice)
     result = repeated(rows, lengths)
     at = rows.select("c", "rid", "at").join(result, "c")
+    sizes = np.array(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = []
-            for x in batch.column(1).to_pylist():
-                each = []
-                for j, length in enumerate(lengths):
-                    spans = [(p - b, p - a + length) for y in x if y["j"] == j for p in y["at"] for a, b in zip(y["spans"][::2], y["spans"][1::2], strict=True)]
-                    each.append([i for ab in merge_spans(spans) for i in ab])
-                cuts.append(each)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.list_(pa.int64())))], names=["rid", "cuts"])
+            lists = batch.column(1)
+            j, places, spans = (lists.flatten().field(i) for i in range(3))
+            j, row = j.to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            pair = spans.flatten().to_numpy().reshape(-1, 2)  # each place of a context with each of its spans
+            n, m = places.value_lengths().to_numpy().astype(np.int64), spans.value_lengths().to_numpy().astype(np.int64) // 2
+            owner = np.repeat(np.arange(len(j)), n * m)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            at = places.flatten().to_numpy()[(np.cumsum(n) - n)[owner] + inside // m[owner]]
+            ab = pair[(np.cumsum(m) - m)[owner] + inside % m[owner]]
+            group, start, end = merge_spans(row[owner] * len(sizes) + j[owner], at - ab[:, 1], at - ab[:, 0] + sizes[j[owner]])
+            edges = np.searchsorted(group, np.arange(len(lists) * len(sizes) + 1)) * 2
+            each = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.stack([start, end], axis=1).ravel()))
+            cuts = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * len(sizes)), each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), cuts], names=["rid", "cuts"])
 
     spans = at.groupBy("rid").agg(F.collect_set(F.struct("j", "at", "spans")).alias("x")).mapInArrow(run, "rid long, cuts array<array<long>>")
     out = materialize(spans, "cuts")
