@@ -414,17 +414,48 @@ def test_lm(docs, corpus, empty):
 
 
 def test_symbol_probabilities_sum_to_one():
-    m = lm.Mixer(*lm.huffman(np.array([5, 3, 1, 1, 0])), (6, 7, 8))
+    m = lm.Mixer(np.array([5, 3, 1, 1, 0]), (7, 8))
     counts = m.empty()
     symbols = np.array([0, 1, 0, 2, 3, 0, 4])
-    contexts = [np.zeros(0, np.uint64), np.arange(7).astype(np.uint64), np.arange(7).astype(np.uint64) * np.uint64(7)]
+    contexts = [np.arange(7, dtype=np.uint32), np.arange(7, dtype=np.uint32) * np.uint32(7)]
     m.count(symbols, contexts, counts)
     m.settle(counts)
     m.learn(symbols, contexts)
-    one = [np.zeros(0, np.uint64), np.full(5, 3, np.uint64), np.full(5, 9, np.uint64)]
+    one = [np.full(5, 3, np.uint32), np.full(5, 9, np.uint32)]
     assert (10 ** m.cost(np.arange(5), one)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_each_text_follows_its_own_words(monkeypatch):
+    """Texts scored together get what a plain loop over each alone gives, and following a text does better than not."""
+    rng = np.random.default_rng(6)
+    m = lm.Mixer(np.array([50, 30, 9, 8, 3, 1]), (9, 9))
+    texts = [rng.choice(6, int(n), p=[0.02, 0.02, 0.06, 0.1, 0.3, 0.5]) for n in (900, 0, 1, 350, lm.STEP, lm.STEP + 1)]
+    symbols, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    contexts = [rng.integers(0, 4, len(symbols)).astype(np.uint32) for _ in range(2)]
+    counts = m.empty()
+    m.count(rng.choice(6, 3000, p=[0.5, 0.3, 0.1, 0.05, 0.03, 0.02]), [rng.integers(0, 4, 3000).astype(np.uint32) for _ in range(2)], counts)
+    m.settle(counts)
+    together = m.follow(symbols, contexts, first)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own, want = np.zeros(3), 0.0
+        logs, ones = m.final_map()
+        for lo in range(a, b, lm.STEP):
+            part = slice(lo, min(lo + lm.STEP, b))
+            owner, at = m.path(symbols[part])
+            gradient, bits = np.zeros(3), len(at)
+            logits, gate = m.inputs(owner, at, [c[part] for c in contexts])
+            for k in range(bits):
+                x = np.array([float(v[k]) for v in logits])
+                z = float(np.float32(x @ m.weights[gate[k]] + x @ own))
+                place = int(np.clip(z * lm.FINE + 12 * lm.FINE + 0.5, 0, 24 * lm.FINE)) + m.depth[at[k]] * (24 * lm.FINE + 1)
+                y = m.bits[at[k]]
+                want += logs[y, place]
+                gradient += (y - ones[place]) * x
+            own = np.clip(own + lm.RATE / 8 * gradient / (bits + 64), -1, 1)
+        assert together[i] == pytest.approx(want, rel=2e-3, abs=1e-6)
+    assert together[0] > m.follow(symbols, contexts, first, 0.0)[0]
+
+
 # --- pages ------------------------------------------------------------------------------------------
 
 
