@@ -475,3 +475,49 @@ def test_html(spark):
     assert got[100]["text"] == "One a<b cd" and got[100]["n_chars"] == 10
     assert got[101]["text"] == got[102]["text"] == "" and "text" in got[103]["text"]
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def host_page(rng, i, kind):
+    """(page, its article) of a made-up host: no element or class says what the article is; parts are optional, repeated and in turn."""
+    text = lambda n: " ".join(prose(rng, n).split())
+    sections = [(text(4), [text(rng.randint(15, 40)) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randint(1, 4))]
+    inner = "".join(f"<h2>{h}</h2>" + "".join(f"<p>{t[:20]}<b>{t[20:]}</b>" + "</p>" * (i % 2) for t in ts) for h, ts in sections)
+    links = "".join(f"<li><a href=/{k}>{text(2)}</a></li>" for k in range(rng.randint(2, 9)))
+    promo = f"<div class=x3>{text(5)}</div>" if rng.random() < 0.5 else ""
+    title = text(6)
+    shell = {
+        "a": f"<body><div class=x1><ul>{links}</ul></div>{promo}<div class=x2><h1>{title}</h1><div class=x4>{inner}</div><div class=x5>Sold by the same shop</div></div><div class=x6>{text(3)}</div>",
+        "b": f"<body><table><tr><td class=y1>{links}</td><td class=y2><div class=y3>{inner}</div></td></tr></table>{promo}",
+    }[kind]
+    return f"<html><head><title>{text(3)}</title></head>{shell}</body></html>", " ".join([title] * (kind == "a") + [x for h, ts in sections for x in (h, *ts)])
+
+
+def test_wrappers_find_unnamed_articles(spark):
+    rng = random.Random(8)
+    made = [(i, f"http://{'ab'[i % 2] if i % 3 else 'mixed'}.example/{i}", *host_page(rng, i, "ab"[i % 2])) for i in range(120)]
+    df = spark.createDataFrame([x[:3] for x in made], "page_id long, url string, html string").repartition(7)
+    for names in (True, False):
+        got = {r["page_id"]: r["text"] for r in collected(html.main_text(df, names))}
+        assert got == {i: article for i, _, _, article in made}
+    assert sum(html.extract(page) == article for _, _, page, article in made) == 0  # without its wrapper no page says where the article is
+
+
+def test_expression_of_repeats_and_options():
+    pages = [f"<ul>{'<li>x' * n}</ul><div class=a>t{n}</div>" + "<h2>h<p>p" * (n % 3) + ("<hr><i>tail</i>" if n > 2 else "") for n in range(1, 7)]
+    whole = html.fold_pages(pages, False)
+    assert [(k.sig, k.optional, k.repeated) for k in whole.kids] == [("ul", False, False), ("div.a", False, False), ("h2", True, True), ("hr", True, False), (html.TEXT, True, False)]
+    assert whole.pages == 6 and [k.repeated for k in whole.kids[0].kids] == [True]
+    half = [html.fold_pages(pages[i::2], False) for i in range(2)]
+    both = html._joined(html.load(html.dump(half[0])), html.load(html.dump(half[1])))
+    assert both.pages == 6 and {p.sig for p, _ in html.walk(both)} == {p.sig for p, _ in html.walk(whole)}
+    assert both.kids[0].kids[0].kids[0].texts == {html.text_key("x"): [6, 1]}
+
+
+def test_html_of_any_depth_and_length(spark):
+    deep = "<div>" * 5000 + "core text" + "</div>" * 5000
+    unclosed = "".join(f"<h2>a{i}<h3>b{i}<p>c{i}" for i in range(2500))
+    strange = "</x>" * 3000 + "<b>" * 3000 + "word " * 200_000
+    rows = [(i, f"http://h{k}.example/{i}", page) for k, page in enumerate((deep, unclosed, strange)) for i in range(5)]
+    got = {(r["page_id"], r["url"][8]): r["text"] for r in collected(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got[0, "0"] == "core text" and got[4, "2"] == " ".join(["word"] * 200_000)
+    assert got[2, "1"] == " ".join(f"a{i} b{i} c{i}" for i in range(2500))
