@@ -119,6 +119,23 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
+    n = len(buf)
+    if n > 2 * PIECE_BYTES and len(offsets) == 2:  # one long text: by pieces that end in white space, to bound the arrays
+        parts, a = [], 0
+        while a < n:
+            b = a + PIECE_BYTES
+            while b < n and not _SPACE[buf[b : b + PIECE_BYTES]].any():
+                b += PIECE_BYTES
+            b = n if b >= n else b + int(np.argmax(_SPACE[buf[b : b + PIECE_BYTES]]))
+            w = split_words(buf[a:b], np.array([0, b - a]), fold) if b - a <= 2 * PIECE_BYTES else _words(buf[a:b], np.array([0, b - a]), fold)
+            parts.append((w.hashes, w.starts + a, w.ends + a))
+            a = b
+        hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return Words(hashes, starts, ends, np.array([0, len(hashes)]), buf)
+    return _words(buf, offsets, fold)
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)

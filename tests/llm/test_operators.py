@@ -173,6 +173,64 @@ def test_decontamination(spark, docs, corpus):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_overlaps_of_all_windows():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        g = rng.integers(0, 6, int(rng.integers(3, 40))).astype(np.uint64)
+        n = int(rng.integers(1, len(g) + 1))
+        item = np.sort(rng.integers(0, 8, int(rng.integers(1, 20))).astype(np.uint64))
+        want = [sum((Counter(g[a : a + n].tolist()) & Counter(item.tolist())).values()) for a in range(len(g) - n + 1)]
+        assert decontam.overlaps(g, n, item).tolist() == want
+
+
+def test_decontamination_of_repetitive_and_long_texts(spark):
+    rng = random.Random(3)
+    hidden = prose(rng, 40)
+    rows = [(1, "the " * 200_000), (2, "x " * 5_000_000 + hidden + " y" * 1_000_000), (3, "the " * 1000)]
+    bench = spark.createDataFrame([(7, "the " * 2000), (8, hidden), (9, "the the of " * 700)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in collected(decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench))}
+    assert set(found) == {(1, 7), (2, 8)}
+    assert (found[2, 8]["first_word"], found[2, 8]["n_words"], found[2, 8]["similarity"]) == (5_000_000, 40, 1.0)
+
+
+def test_many_items_take_several_passes(spark, docs, corpus, monkeypatch):
+    items = [(i, " ".join(corpus[i % 24][1].split()[i : i + 20])) for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((r["doc_id"] or -1, r["item_id"], r["first_word"], r["similarity"]) for r in collected(df))
+    want = key(decontam.contaminated(docs, bench))
+    assert want
+    monkeypatch.setattr(decontam, "ITEMS_PER_BLOCK", 2)
+    monkeypatch.setattr(decontam, "BLOCKS_PER_PASS", 2)
+    assert key(decontam.contaminated(docs, bench)) == want
+
+
+def test_recall_of_the_radius():
+    """Of windows just at similarity 0.8 or above, almost none has a fingerprint outside the radius."""
+    rng = np.random.default_rng(1)
+    seen = found = 0
+    for words_of_item in (6, 12, 30, 80, 200):
+        for _ in range(400):
+            item = rng.integers(1, 2**63, words_of_item, dtype=np.uint64)
+            copy = item.copy()
+            for _ in range(int(rng.integers(1, max(2, words_of_item // 30)))):
+                copy[rng.integers(0, words_of_item) if rng.random() < 0.7 else 0] = rng.integers(1, 2**63)
+            x, y = tx.grams(item, 5), tx.grams(copy, 5)
+            less = int(decontam.overlaps(y, len(y), np.sort(x))[0])
+            if 100 * less >= 80 * (len(x) + len(y) - less):
+                seen += 1
+                a, b = (decontam.fingerprints(decontam.bit_votes(v)[-1:])[0] for v in (x, y))
+                found += int(np.bitwise_count(a ^ b)) <= decontam.RADIUS
+    assert seen > 300 and found >= 0.995 * seen
+
+
+def test_words_of_a_long_text():
+    rng = random.Random(1)
+    raw = np.frombuffer((prose(rng, 300) + " " + "z" * (9 << 20) + " " + "ab cd\n" * (2 << 20)).encode(), np.uint8)
+    o = np.array([0, len(raw)])
+    a, b = tx.split_words(raw, o), tx._words(raw, o, True)
+    assert (a.starts == b.starts).all() and (a.ends == b.ends).all() and (a.hashes == b.hashes).all() and a.first.tolist() == b.first.tolist()
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     items = decontam.Items(list(range(30)), [prose(random.Random(i), 12) for i in range(30)])
