@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize
+from gneiss.llm.common import discard, materialize
 
 
 ROWS_PER_TASK = 200_000
 
 
 def _step(edges: DataFrame, large: bool, parts: int) -> DataFrame:
-    """One star step over edges (a, b) with a > b. Minima are written first, so the join with a hub's many edges can be split."""
+    """One star step over edges (a, b) with a > b, which are deleted. Minima are written first, so the join with a hub's many edges can be split."""
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -22,7 +22,9 @@ def _step(edges: DataFrame, large: bool, parts: int) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return materialize(out.where("a != b").distinct(), "edges", parts)
+    out = materialize(out.where("a != b").distinct(), "edges", parts)
+    discard(least, edges)
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -48,4 +50,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return materialize(stars.union(now.select(F.col("b"), F.col("b"))).distinct(), "roots", parts)
+    roots = materialize(stars.union(now.select(F.col("b"), F.col("b"))).distinct(), "roots", parts)
+    discard(now)
+    return roots

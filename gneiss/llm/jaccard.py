@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import text as tx
-from gneiss.llm.common import id_and_text, materialize, next_pow2
+from gneiss.llm.common import discard, id_and_text, materialize, next_pow2
 from gneiss.llm.components import connected_components
 
 K = 5
@@ -45,6 +45,7 @@ PER_BUCKET = 1 << 21
 LEADER_ROUNDS = 3
 LEADERS = 4
 ROWS_PER_TASK = 100_000
+MAX_TASKS = 1 << 16
 U64 = np.uint64
 
 
@@ -135,10 +136,10 @@ def _send(docs: DataFrame, common: np.ndarray, buckets: int, k: int) -> DataFram
         cuts = np.searchsorted(h >> shift, np.arange(buckets + 1, dtype=U64))
         t = token48(h)
         low, high = (t & U64(0xFFFFFFFF)).astype(np.uint32), (t >> U64(32)).astype(np.uint16)
-        blobs = [_pack(low[a:b], high[a:b], row[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        ids = np.arange(buckets, dtype=np.int32)
+        blobs = [_pack(low[a:b], high[a:b], row[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+        full = np.flatnonzero(np.diff(cuts)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(ids, source % buckets).astype(np.int32)), pa.array(np.full(buckets + 1, source)), pa.array([False] * buckets + [True]), pa.array([*blobs, meta], pa.binary())],
+            [pa.array(np.append(full, source % buckets).astype(np.int32)), pa.array(np.full(len(full) + 1, source)), pa.array([False] * len(full) + [True]), pa.array([*blobs, meta], pa.binary())],
             names=["bucket", "source", "meta", "blob"],
         )
 
@@ -237,7 +238,7 @@ def survivors(docs: DataFrame, described: DataFrame, k: int = K) -> DataFrame:
     often = described.where("n is null").groupBy("key").agg(F.sum("doc_id").alias("c")).where(F.col("c") * COMMON >= total)
     common = np.sort(np.array([x["key"] for x in often.select("key").toLocalIterator()], np.int64).view(U64))  # COMMON at most, since their counts add up to `total` at most
     buckets = next_pow2(total / PER_BUCKET, 64)
-    counted = _send(docs, common, buckets, k).repartition(min(buckets, 1024), "bucket").groupBy("bucket").applyInArrow(_count, "source long, meta boolean, blob binary")
+    counted = _send(docs, common, buckets, k).repartition(min(buckets, MAX_TASKS), "bucket").groupBy("bucket").applyInArrow(_count, "source long, meta boolean, blob binary")
     return counted.groupBy("source").applyInArrow(_gather, _SURVIVOR).dropDuplicates(["key"])
 
 
@@ -296,17 +297,22 @@ def links(sets: DataFrame) -> DataFrame:
         pairs = votes.groupBy("key", "slot").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("key").alias("b"))
         if turn == 0:
             pairs = pairs.union(members.join(heads.where("size > 1"), "g").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")))
-        new = materialize(verify(materialize(pairs.distinct(), f"pairs{turn}", parts), sets), f"links{turn}", parts)
+        asked = materialize(pairs.distinct(), f"pairs{turn}", parts)
+        new = materialize(verify(asked, sets), f"links{turn}", parts)
+        discard(at, leads, asked)
         if turn == 0 or not new.isEmpty():
             found = new if found is None else found.union(new)
-            roots = connected_components(found)
+            old, roots = roots, connected_components(found)
+            discard(old)
     # what still lies in two components: every candidate pair
     placed = materialize(with_root(tokens), "placed", parts)
     mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token"), "mixed", parts)
     left = materialize(placed.join(mixed, "token").select("key", "n", "token", "pos", "root"), "left", parts)
     right = left.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"))
     pairs = left.withColumnRenamed("key", "a").join(right, "token").where("a < b and root != root_b").where(fits("n", "pos", "m", "at")).select("a", "b").distinct()
-    last = materialize(verify(materialize(pairs, "pairs", parts), sets), "last_links", parts)
+    asked = materialize(pairs, "pairs", parts)
+    last = materialize(verify(asked, sets), "last_links", parts)
+    discard(members, heads, tokens, group_tokens, placed, mixed, left, asked, roots)
     return connected_components(found.union(last))
 
 
@@ -317,6 +323,7 @@ def jaccard_components(docs: DataFrame, k: int = K) -> DataFrame:
     roots = links(sets)
     rows = described.where("n is not null")
     placed = materialize(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root")), "rows")
+    discard(described, sets, roots)
     least = materialize(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least_ids")
     out = placed.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 PIECE_BYTES = 4 << 20
+CHUNK_ROWS = 20_000
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -83,14 +84,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about `limit` text bytes, one document at least, as (slice, bytes, offsets)."""
+    """Slices of about `limit` text bytes, one document at least and CHUNK_ROWS at most, as (slice, bytes, offsets)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         buf, o = buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1), at + CHUNK_ROWS)
             yield batch.slice(at, to - at), buf[o[at] : o[to]], o[at : to + 1] - o[at]
             at = to
 
