@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gneiss.operators.groupings import aggregate
 from gneiss.operators.predicates import column
+from gneiss.operators.ranges import quantiles
 
 MAX_BINS, DEFAULT_BINS, MAX_HISTOGRAM_BINS = 20, 10, 30
 
@@ -38,16 +39,17 @@ class BinStats:
 
 def bin_stats_frame(df: DataFrame, field: str) -> DataFrame:
     x = as_number(df, field)
-    return df.agg(
-        F.count(x).alias("count"),
-        F.min(x).alias("low"),
-        F.max(x).alias("high"),
-        F.percentile(x, F.lit(0.25)).alias("q1"),
-        F.percentile(x, F.lit(0.75)).alias("q3"),
-        F.skewness(x).alias("skew"),
-        F.countDistinct(x).alias("distinct"),
-        F.coalesce(F.bool_and(x == F.floor(x)), F.lit(True)).alias("integral"),
+    rows = df.select(x.alias("x"))
+    one = rows.agg(
+        F.count("x").alias("count"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+        F.skewness("x").alias("skew"),
+        F.coalesce(F.bool_and(F.col("x") == F.floor("x")), F.lit(True)).alias("integral"),
     )
+    distinct = rows.where("x is not null").distinct().agg(F.count("*").alias("distinct"))
+    ends = quantiles(rows, "x", (0.25, 0.75)).toDF("q1", "q3")
+    return one.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(distinct)).select("count", "low", "high", "q1", "q3", "skew", "distinct", "integral")  # one row each
 
 
 def bin_stats(df: DataFrame, field: str) -> BinStats:
@@ -85,6 +87,12 @@ def bin_edges(s: BinStats, bins: int, precision: int | None = None) -> list[floa
     return [s.low, *inner, s.high]
 
 
+def even_edges(low: float, high: float, bins: int) -> list[float]:
+    """Edges at even distances, rounded to one place, the last one a tenth further so that the greatest value is inside."""
+    edges = [round(low + (high - low) * i / bins, 1) for i in range(bins + 1)]
+    return [*edges[:-1], edges[-1] + 0.1]
+
+
 def bin_index(x: Column, edges: list[float], right_closed: bool = False) -> Column:
     """Bin of a number from 0, null outside: [l, r) with the last closed, or (l, r] with the first closed."""
     if len(edges) < 2:

@@ -11,6 +11,7 @@ from gneiss.operators.binning import as_number, bin_edges, bin_index, bin_stats,
 from gneiss.operators.predicates import column, filtered
 
 DEFAULT_BINS = 3
+MAX_CELLS = 100_000
 
 
 def measure(fn: str, field: str | None = None, weight: str | None = None, share_of=None) -> Column:
@@ -47,8 +48,12 @@ def crosstab2(df: DataFrame, rows: str, cols: str, fn: str = "COUNT", dependent:
     data = df.na.drop("any", subset=[x for x in (rows, cols, dependent, weight) if x])
     keyed = data.withColumns({"__r": key(df, rows, row_edges), "__c": key(df, cols, col_edges)})
     got = keyed.groupBy("__r", "__c").agg(measure(fn, dependent, weight).alias("value"))
-    grid = got.select("__r").distinct().join(got.select("__c").distinct())  # categories, not rows
-    out = grid.join(got, ["__r", "__c"], "left")
+    kept = got.limit(MAX_CELLS + 1).cache()  # a row for each pair that occurs
+    sides = [kept.select(c).distinct() for c in ("__r", "__c")]
+    if kept.count() > MAX_CELLS or sides[0].count() * sides[1].count() > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} cells; crosstab2_totals gives only those that occur")
+    grid = sides[0].crossJoin(F.broadcast(sides[1]))  # MAX_CELLS rows at most
+    out = grid.join(kept, ["__r", "__c"], "left")
     return out.select(F.col("__r").alias("row"), F.col("__c").alias("col"), F.coalesce("value", F.lit(0)).alias("value"))
 
 

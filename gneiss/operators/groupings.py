@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.predicates import column
+from gneiss.operators.ranges import quantiles, with_sums_before
 
 CHART_LIMIT = 100
 
@@ -93,10 +94,10 @@ def box(df: DataFrame, group: str, field: str) -> DataFrame:
     """Quartiles, mean and whiskers, the farthest values within 1.5 interquartile ranges."""
     x = column(field)
     rows = df.na.drop("any", subset=[group, field])
-    q = rows.groupBy(column(group).alias("value")).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(x).alias("mean"))
-    q = q.select("value", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"))
+    samples = rows.select(column(group).alias("value"), x.alias("x"))
+    q = quantiles(samples, "x", (0.25, 0.5, 0.75), ["value"]).toDF("value", "q1", "median", "q3").join(samples.groupBy("value").agg(F.avg("x").alias("mean")), "value")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = rows.select(column(group).alias("value"), x.alias("x")).join(q, "value")
+    fenced = samples.join(q, "value")
     inside = fenced.where((F.col("x") <= F.col("q3") + reach) & (F.col("x") >= F.col("q1") - reach))
     ends = inside.groupBy("value", "q1", "median", "mean", "q3").agg(F.min("x").alias("bottom"), F.max("x").alias("top"))
     return ends.select("value", "bottom", "q1", "median", "mean", "q3", "top")
@@ -109,18 +110,10 @@ def value_pairs(df: DataFrame, a: str, b: str, subset: int | None = 200, seed: i
 
 
 def indexed_values(df: DataFrame, field: str, order: Sequence[str]) -> DataFrame:
-    """Position and value in an explicit order.
-
-    Positions come from counts per range partition, so no task sees more than its range.
-    """
+    """Position and value in an explicit order, counted range by range."""
     rows = df.select(column(field).alias("value"), *[column(c).alias(f"o{i}") for i, c in enumerate(order)])
     keys = [f"o{i}" for i in range(len(order))]
-    part = F.spark_partition_id()
-    spread = rows.repartitionByRange(*keys).withColumn("part", part)
-    local = spread.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = spread.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return local.join(base, "part").select((F.col("base") + F.col("k") - 1).alias("index"), "value")
+    return with_sums_before(rows, keys, {"index": F.lit(1)}).select("index", "value")
 
 
 def edges(df: DataFrame, a: str, b: str, field: str) -> DataFrame:

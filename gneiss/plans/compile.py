@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators import groupings as g
 from gneiss.operators.binning import histogram
-from gneiss.operators.predicates import filtered
+from gneiss.operators.predicates import column, filtered
 from gneiss.plans.specs import VizSpec
 
 
@@ -47,24 +48,106 @@ def compile_spec(spec: VizSpec, df: DataFrame, conditionals: Mapping | None = No
     raise ValueError(f"no plan for {spec.procedure!r}")
 
 
-def compile_batch(specs: Sequence[VizSpec], df: DataFrame, conditionals: Mapping | None = None) -> dict[VizSpec, DataFrame]:
-    """Plans of many specs; those that group by the same key share one pass, which is cached for them.
+class Batch(dict):
+    """Plans by spec, and the shared tables that they read; release() frees those."""
 
-    The shared table has a row per group, so it is small beside its input. unpersist() frees it.
+    def __init__(self):
+        super().__init__()
+        self.shared: list[DataFrame] = []
+
+    def release(self) -> None:
+        for table in self.shared:
+            table.unpersist()
+        self.shared = []
+
+
+_PAIRS = ("multigroup:count", "multigroup:agg", "val:val:q")
+
+
+def _key(s: VizSpec) -> tuple[str, ...] | None:
+    """What a spec groups by, where it can share a pass."""
+    if s.procedure in ("val:agg", "agg:agg"):
+        return (s.arg("grouped_field"),)
+    if s.procedure == "val:count":
+        return (s.arg("field_a"),)
+    if s.procedure in _PAIRS:
+        return tuple(sorted((s.arg("grouped_field_a") or s.arg("field_a"), s.arg("grouped_field_b") or s.arg("field_b"))))
+    return None
+
+
+def _measures(s: VizSpec) -> dict[str, Column]:
+    """The aggregates that a spec needs of the shared pass, by name."""
+    if s.procedure in ("val:count", "multigroup:count"):
+        return {"count": F.count("*")}
+    if s.procedure == "val:val:q":
+        return {"count": F.count("*"), f"sum({s.arg('agg_field')})": F.sum(column(s.arg("agg_field")))}
+    fn = s.arg("agg_fn")
+    if s.procedure == "agg:agg":
+        a, b = s.arg("agg_field_a"), s.arg("agg_field_b")
+        both = column(a).isNotNull() & column(b).isNotNull()
+        return {f"{fn}({x} with {y})": g.aggregate(fn, F.when(both, column(x))) for x, y in ((a, b), (b, a))} | {f"count({a} with {b})": F.count(F.when(both, column(a)))}
+    x = s.arg("agg_field")
+    return {f"{f}({x})": g.aggregate(f, column(x)) for f in (fn, "count", *(["sem"] if fn == "mean" else []))}
+
+
+def _share(s: VizSpec, table: DataFrame) -> DataFrame:
+    """One spec's rows out of the shared table, as compile_spec gives them."""
+    c = lambda name: F.col(f"`{name}`")
+    if s.procedure == "val:count":
+        return table.select(c("k0").alias("value"), "count").orderBy(F.desc("count"), "value").limit(g.CHART_LIMIT)
+    fn = s.arg("agg_fn")
+    if s.procedure == "agg:agg":
+        a, b = s.arg("agg_field_a"), s.arg("agg_field_b")
+        return table.where(c(f"count({a} with {b})") > 0).select(c("k0").alias("value"), c(f"{fn}({a} with {b})").alias("agg_a"), c(f"{fn}({b} with {a})").alias("agg_b"))
+    key = _key(s)
+    if s.procedure in _PAIRS:
+        first = s.arg("grouped_field_a") or s.arg("field_a")
+        ends = [c("k0"), c("k1")] if key[0] == first else [c("k1"), c("k0")]
+        if s.procedure == "multigroup:count":
+            return table.select(ends[0].alias("a"), ends[1].alias("b"), "count")
+        if s.procedure == "val:val:q":
+            return table.select(ends[0].alias("source"), ends[1].alias("target"), c(f"sum({s.arg('agg_field')})").alias("weight"), "count")
+        groups = [ends[0].alias("a"), ends[1].alias("b")]
+    else:
+        groups = [c("k0").alias("value")]
+    x = s.arg("agg_field")
+    mean, sem = c(f"{fn}({x})"), c(f"sem({x})")
+    out = [mean.alias("agg")]
+    if fn == "mean":
+        out += [(mean - sem).alias("lower"), (mean + sem).alias("upper")]
+        if s.procedure == "multigroup:agg":
+            out.append(F.format_string("%.3f ± %.3f", mean, sem).alias("cell"))
+    return table.where(c(f"count({x})") > 0).select(*groups, *out)
+
+
+def compile_batch(specs: Sequence[VizSpec], df: DataFrame, conditionals: Mapping | None = None, errors: dict[VizSpec, Exception] | None = None) -> Batch:
+    """Plans of many specs. All that group by the same fields share one aggregation, cached for them.
+
+    A shared table has a row per group, so it is small beside its input. With errors, a spec that has no
+    plan over these rows goes there; without, it raises.
     """
     rows = filtered(df, conditionals)
-    shared: dict[str, list[VizSpec]] = defaultdict(list)
+    by_key: dict[tuple[str, ...], list[VizSpec]] = defaultdict(list)
+    for s in specs:
+        if (key := _key(s)) is not None:
+            by_key[key].append(s)
+    out = Batch()
+    for key, mine in by_key.items():
+        if len(mine) > 1 and len(set(key)) == len(key):
+            try:
+                measures = {n: e for s in mine for n, e in _measures(s).items()}
+                table = rows.na.drop("any", subset=list(key)).groupBy(*[column(k).alias(f"k{i}") for i, k in enumerate(key)]).agg(*[e.alias(n) for n, e in measures.items()]).cache()
+                out.update({s: _share(s, table) for s in mine})
+                out.shared.append(table)
+            except AnalysisException:
+                continue  # one of them has no plan: each is tried alone
+    fused = dict(out)
+    out.clear()
     for s in specs:
-        if s.procedure == "val:agg":
-            shared[s.arg("grouped_field")].append(s)
-    out: dict[VizSpec, DataFrame] = {}
-    for group, mine in shared.items():
-        wanted = [(s.arg("agg_field"), fn) for s in mine for fn in ((s.arg("agg_fn"), "sem") if s.arg("agg_fn") == "mean" else (s.arg("agg_fn"),))]
-        wanted += [(s.arg("agg_field"), "count") for s in mine]
-        fused = g.fused(rows, group, wanted).cache()
-        for s in mine:
-            field, fn = s.arg("agg_field"), s.arg("agg_fn")
-            x, n = F.col(f"`{fn}({field})`"), F.col(f"`count({field})`")
-            cols = [x.alias("agg")] if fn != "mean" else [x.alias("agg"), (x - F.col(f"`sem({field})`")).alias("lower"), (x + F.col(f"`sem({field})`")).alias("upper")]
-            out[s] = fused.where(n > 0).select("value", *cols)
-    return {s: out[s] if s in out else compile_spec(s, rows) for s in specs}
+        try:
+            out[s] = fused[s] if s in fused else compile_spec(s, rows)
+        except (AnalysisException, ValueError, KeyError) as e:
+            if errors is None:
+                raise
+            errors[s] = e
+    return out

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.operators.predicates import column
+from gneiss.operators.ranges import quantiles
 from gneiss.profile.infer import SCALES, FieldType, infer_types, is_flat, is_id, is_wide_time_series
+from gneiss.plans.specs import VizSpec, make
 from gneiss.stats import dist
 
 UNIQUE_SHARE = 0.95
 CONTIGUOUS_RANGE = 30
+FEW_VALUES = 1000
 QUANTILES = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
@@ -51,9 +54,9 @@ def temporal_uniqueness(df: DataFrame, time: str, fields: list[str], times: int
 def describe_numeric(df: DataFrame, field: str) -> DataFrame:
     """count, mean, sample deviation, extremes and percentiles in steps of five."""
     x = column(field).cast("double")
-    q = F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES])).alias("q")
-    one = df.agg(F.count("*").alias("total"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q)
-    return one.select("total", "count", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(QUANTILES)])
+    one = df.agg(F.count("*").alias("total"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df.select(x.alias("x")), "x", QUANTILES).toDF(*[f"p{round(100 * p):02d}" for p in QUANTILES])
+    return one.crossJoin(F.broadcast(q))  # one row each
 
 
 def describe_categorical(df: DataFrame, field: str) -> DataFrame:
@@ -88,7 +91,11 @@ def normality(df: DataFrame, field: str, alpha: float = 0.05) -> tuple[float | N
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    return counts(df).select("field", "nulls")
+    """nulls of each flat column, from one plain aggregation."""
+    fields = flat_fields(df)
+    one = df.agg(*[F.count_if(column(c).isNull()).alias(f"n:{c}") for c in fields])
+    rows = [F.struct(F.lit(c).alias("field"), column(f"n:{c}").alias("nulls")) for c in fields]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def unique_values(df: DataFrame, field: str) -> DataFrame:
@@ -126,12 +133,62 @@ def make_field(t: FieldType, n: int, nulls: int, distinct: int, contiguous: bool
 
 
 def profile(df: DataFrame) -> list[Field]:
-    """types, counts, contiguity and ids of every flat column in three jobs."""
+    """types, counts, contiguity and ids of every flat column.
+
+    Distinct values are estimated in one pass with the counts. They are counted exactly, column by column,
+    where a decision depends on it: few values, a short range of integers, or a share near UNIQUE_SHARE.
+    """
     types = {t.name: t for t in infer_types(df)}
-    numbers = {r["field"]: r for r in counts(df).collect()}
     whole = [c for c in numeric_fields(df) if types[c].type == "integer"]
-    contiguous = {r["field"]: r["contiguous"] for r in contiguity(df, whole).collect()} if whole else {}
-    return [make_field(t, numbers[c]["n"], numbers[c]["nulls"], numbers[c]["distinct"], contiguous.get(c, False)) for c, t in types.items()]
+    stats = [F.count("*").alias("rows")]
+    for c in types:
+        stats += [F.count(column(c)).alias(f"n:{c}"), F.approx_count_distinct(column(c), 0.02).alias(f"d:{c}")]
+    stats += [x for c in whole for x in (F.min(column(c)).alias(f"a:{c}"), F.max(column(c)).alias(f"b:{c}"))]
+    one = df.agg(*stats).first()
+    out = []
+    for c, t in types.items():
+        n, about = one[f"n:{c}"], one[f"d:{c}"]
+        span = one[f"b:{c}"] - one[f"a:{c}"] + 1 if c in whole and n else None
+        short = span is not None and span <= CONTIGUOUS_RANGE + 1
+        exact = short or about <= FEW_VALUES or 0.85 * n <= about
+        distinct = df.where(column(c).isNotNull()).select(column(c)).distinct().count() if exact and n else about
+        out.append(make_field(t, n, one["rows"] - n, distinct, short and span == distinct))
+    return out
+
+
+def field_chart(f: Field) -> VizSpec | None:
+    """the chart of one field's distribution: counts of categories and ordinals, bins of what is continuous, none of an id."""
+    if f.id or f.general == "c" and f.unique:
+        return None
+    if f.general == "c" or f.scale == "ordinal":
+        return make("val:count", f.general, ("bar",), f"frequency of {f.name}", field_a=f.name)
+    return make("bin:agg", f"b:{f.general}", ("hist",), f"distribution of {f.name}", binning_field=f.name, agg_field_a=f.name, agg_fn="count")
+
+
+def first_values(df: DataFrame, n: int = 100) -> DataFrame:
+    """the first n non-empty values of each flat column as Spark meets them, n rows a column at most."""
+    out = None
+    for c in flat_fields(df):
+        text = column(c).cast("string")
+        one = df.where(text.isNotNull() & (F.trim(text) != "")).select(F.lit(c).alias("field"), text.alias("value")).limit(n)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def delimited_lists(df: DataFrame, fields: list[str], delimiter: str = ",", least: float = 0.8) -> DataFrame:
+    """whether most of a field's values are lists: two or more parts, none empty."""
+    rows = []
+    for c in fields:
+        parts = F.split(column(c).cast("string"), F.lit("\\Q" + delimiter + "\\E"))
+        is_list = (F.size(parts) > 1) & ~F.exists(parts, lambda p: F.trim(p) == "")
+        share = F.coalesce(F.avg(F.when(column(c).isNotNull(), is_list.cast("double"))), F.lit(0.0))
+        rows.append(F.struct(F.lit(c).alias("field"), share.alias("share"), (share >= least).alias("is_list")))
+    return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def even_skips(values: list, n: int) -> list:
+    """N values of a list at even distances, the first always."""
+    return list(values) if len(values) <= n else [values[i * len(values) // n] for i in range(n)]
 
 
 def override(fields: list[Field], name: str, type: str | None = None, id: bool | None = None) -> list[Field]:

@@ -14,6 +14,7 @@ from gneiss.operators.predicates import column
 
 # fixed values: votes per value, and the order that settles ties
 WEIGHTS = {"integer": 8, "boolean": 7, "decimal": 6, "datetime": 5, "month": 5, "day": 5, "year": 5, "string": 4, "countryCode2": 10, "countryCode3": 10, "countryName": 10, "continentName": 10}
+LONGEST = 64
 PRIORITY = ("integer", "boolean", "decimal", "continentName", "countryName", "countryCode3", "countryCode2", "month", "day", "year", "datetime", "string")
 CONTINENTS = ("Africa", "Antarctica", "Asia", "Australia", "Europe", "North America", "Oceania", "South America")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
@@ -123,10 +124,19 @@ def is_flat(kind: T.DataType) -> bool:
 
 
 def infer_types(df: DataFrame) -> list[FieldType]:
-    """One FieldType per flat column; votes count every non-null row, so nothing depends on a sample."""
+    """One FieldType per flat column; votes count every non-null row, so nothing depends on a sample.
+
+    Values of all columns are counted first and each distinct one is looked at once. A value of over
+    LONGEST characters can only be text, so long ones are counted together and not moved.
+    """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    votes = [F.avg(F.when(column(c).isNotNull(), F.when(p, float(WEIGHTS[k])).otherwise(0.0))).alias(f"{i}:{k}") for i, c in enumerate(text) for k, p in detectors(column(c)).items()]
-    got = df.agg(*votes).first().asDict() if votes else {}
+    got: dict[str, float] = {}
+    if text:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), column(c).isNotNull().alias("some"), F.when(F.length(column(c)) <= LONGEST, column(c)).alias("v")) for i, c in enumerate(text)])).alias("x")
+        values = df.select(each).select("x.*").where("some").groupBy("i", "v").agg(F.count("*").alias("n"))
+        votes = [F.sum(F.when(F.coalesce(p, F.lit(False)), F.col("n")).otherwise(0)).alias(k) for k, p in detectors(F.col("v")).items()]
+        for r in values.groupBy("i").agg(F.sum("n").alias("all"), *votes).collect():
+            got |= {f"{r['i']}:{k}": float(WEIGHTS[k]) * r[k] / r["all"] for k in WEIGHTS if k in r.asDict()}
     out = []
     for f in df.schema:
         if not is_flat(f.dataType):
@@ -136,7 +146,7 @@ def infer_types(df: DataFrame) -> list[FieldType]:
             shares = {known: float(WEIGHTS[known])}
         else:
             i = text.index(f.name)
-            shares = {k: got[f"{i}:{k}"] or 0.0 for k in PRIORITY if f"{i}:{k}" in got}
+            shares = {k: got.get(f"{i}:{k}", 0.0) for k in PRIORITY}
         out.append(settle(f.name, shares))
     return out
 

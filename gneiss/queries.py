@@ -132,8 +132,9 @@ def group_fields(df):
 
 
 def _keyed(spark, sf_dir):
-    a = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_totalprice").alias("amount"))
-    b = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), "c_name", F.col("c_acctbal").alias("amount"))
+    """Whole tables under keys that only partly meet, so every kind of join has rows without a partner."""
+    a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    b = read(spark, sf_dir, "customer").select((2 * F.col("c_custkey")).alias("key"), "c_name", F.col("c_acctbal").alias("amount"))
     return a, b
 
 
@@ -141,8 +142,8 @@ def _join(how: str, sql_how: str) -> None:
     QUERIES[f"join_{how}"] = lambda spark, sf_dir: transform.join(*_keyed(spark, sf_dir), on=["key"], how=how)
     ORACLE_SQL[f"join_{how}"] = (
         "SELECT COALESCE(a.key, b.key) AS key, o_orderkey, a.amount AS amount_left, c_name, b.amount AS amount_right "
-        "FROM (SELECT o_custkey AS key, o_orderkey, o_totalprice AS amount FROM orders WHERE o_custkey % 3 <> 0) a "
-        f"{sql_how} JOIN (SELECT c_custkey AS key, c_name, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0) b ON a.key = b.key"
+        "FROM (SELECT o_custkey AS key, o_orderkey, o_totalprice AS amount FROM orders) a "
+        f"{sql_how} JOIN (SELECT 2 * c_custkey AS key, c_name, c_acctbal AS amount FROM customer) b ON a.key = b.key"
     )
 
 
@@ -394,6 +395,12 @@ _TABLES = {
     "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+    "benchmark": ("item_id", "text"),
+    "pages": ("page_id", "url", "html"),
 }
 
 

@@ -60,13 +60,13 @@ class Dataset:
     def correlate(self, fields: Sequence[str], conditionals: Mapping | None = None):
         return correlation.correlate(self.df, fields, conditionals)
 
-    def compare(self, dependents: Sequence[str], independents: Sequence[str]) -> dict:
+    def compare(self, dependents: Sequence[str], independents: Sequence[str], independent: bool = True) -> dict:
         match comparison.comparison_kind(dependents, independents):
             case "anova":
                 samples = comparison.long_samples(self.df, independents[0], dependents[0])
                 return {"anova": regression.anova(self.df, dependents[0], independents) if len(dependents) == 1 else [], "pairwise": comparison.tukey(samples)}
             case "numeric":
-                return {"tests": comparison.compare_columns(self.df, list(dependents) or list(independents))}
+                return {"tests": comparison.compare_columns(self.df, list(dependents) or list(independents), independent)}
         return {}
 
     def regress(self, dependent: str, independents: Sequence[str] | None = None, **options):

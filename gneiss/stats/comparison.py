@@ -6,14 +6,16 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.predicates import column
+from gneiss.operators.ranges import quantiles, with_sums_before
 from gneiss.profile.describe import normality_moments
 from gneiss.stats import dist
 
 MAX_GROUPS = 15
+MAX_PAIRED = 1000
 NORMAL_P = EQUAL_VARIANCE_P = 0.25
 
 
@@ -31,6 +33,14 @@ def moments(samples: DataFrame) -> DataFrame:
     return samples.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
 
 
+def few_groups(samples: DataFrame) -> DataFrame:
+    """Moments of the groups, for work on pairs of them; an error for more than MAX_PAIRED."""
+    m = moments(samples)
+    if m.limit(MAX_PAIRED + 1).count() > MAX_PAIRED:
+        raise ValueError(f"over {MAX_PAIRED} groups to compare in pairs")
+    return m
+
+
 def f_table(m: DataFrame) -> DataFrame:
     """One-way analysis of variance from group moments: df, sums of squares and F."""
     grand = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
@@ -56,23 +66,16 @@ def anova_oneway(df: DataFrame, group: str, field: str) -> DataFrame:
 
 def levene(samples: DataFrame) -> DataFrame:
     """F over distances from the group medians (Brown and Forsythe)."""
-    centre = samples.groupBy("g").agg(F.median("x").alias("m"))
+    centre = quantiles(samples, "x", (0.5,), ["g"]).toDF("g", "m")
     away = samples.join(centre, "g").select("g", F.abs(F.col("x") - F.col("m")).alias("x"))
     return f_table(moments(away))
 
 
 def value_ranks(samples: DataFrame) -> DataFrame:
-    """(x, g, n, ties, rank): average ranks by distinct value.
-
-    Values are counted first. Their order is made in range partitions; each partition's total goes into
-    its base, so no task sorts more than a range.
-    """
+    """(x, g, n, ties, rank): average ranks by distinct value. Values are counted first and put in order range by range."""
     per = samples.groupBy("x", "g").agg(F.count("*").alias("n"))
-    ties = per.groupBy("x").agg(F.sum("n").alias("ties")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    base = ties.groupBy("part").agg(F.sum("ties").alias("t")).select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("ties").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("inner", inner).join(base, "part")
-    ranks = ranked.select("x", "ties", (F.col("base") + F.col("inner") + (F.col("ties") + 1) / 2.0).alias("rank"))
+    ties = with_sums_before(per.groupBy("x").agg(F.sum("n").alias("ties")), ["x"], {"base": F.col("ties")})
+    ranks = ties.select("x", "ties", (F.col("base") + (F.col("ties") + 1) / 2.0).alias("rank"))
     return per.join(ranks, "x")
 
 
@@ -99,6 +102,56 @@ def mann_whitney(samples: DataFrame) -> DataFrame:
     return sums.agg(first.alias("n1"), last.alias("n2"), u.alias("u")).join(F.broadcast(tied))  # one row
 
 
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed ranks of two columns of one row, equal ones left out: pairs, both rank sums, the statistic and the tie term."""
+    d = (column(a).cast("double") - column(b).cast("double")).alias("d")
+    signed = df.na.drop("any", subset=[a, b]).select(d).where("d != 0").select(F.when(F.col("d") > 0, "plus").otherwise("minus").alias("g"), F.abs("d").alias("x"))
+    r = value_ranks(signed)
+    t = F.col("ties").cast("double")
+    tied = r.select("x", t.alias("t")).distinct().agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("tied"))
+    part = lambda g: F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n") * F.col("rank"))), F.lit(0.0))
+    one = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), part("plus").alias("plus"), part("minus").alias("minus"))
+    return one.select("n", "plus", "minus", F.least("plus", "minus").alias("w")).join(F.broadcast(tied))  # one row
+
+
+def wilcoxon_p(row) -> float | None:
+    n = row["n"]
+    var = n * (n + 1) * (2 * n + 1) / 24 - row["tied"] / 48
+    return min(1.0, 2 * dist.normal_sf((n * (n + 1) / 4 - row["w"]) / math.sqrt(var))) if n and var > 0 else None
+
+
+def friedman(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Friedman's chi-square over several columns of one row, corrected for ties; ranks are made inside each row."""
+    xs = [column(f).cast("double") for f in fields]
+    k = len(fields)
+    ranks = [sum(((y < x).cast("double") for y in xs), F.lit(0.5)) + sum(((y == x).cast("double") for y in xs), F.lit(0.0)) / 2 for x in xs]
+    ties = sum((sum(((y == x).cast("double") for y in xs), F.lit(0.0)) for x in xs), F.lit(0.0))
+    square = sum(((sum(((y == x).cast("double") for y in xs), F.lit(0.0)) * sum(((y == x).cast("double") for y in xs), F.lit(0.0))) for x in xs), F.lit(0.0)) - float(k)
+    rows = df.na.drop("any", subset=list(fields)).select(*[r.alias(f"r{i}") for i, r in enumerate(ranks)], square.alias("t"), ties.alias("e"))
+    one = rows.agg(F.count("*").alias("n"), F.sum("t").alias("t"), *[F.sum(f"r{i}").alias(f"s{i}") for i in range(k)])
+    n = F.col("n").cast("double")
+    total = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(k)), F.lit(0.0))
+    chi2 = F.try_divide(12 / (n * k * (k + 1)) * total - 3 * n * (k + 1), 1 - F.col("t") / (n * k * (k * k - 1)))
+    return one.select("n", F.lit(k).alias("k"), chi2.alias("chi2"))
+
+
+def chi_square(df: DataFrame, field: str) -> DataFrame:
+    """Chi-square of a field's frequencies against equal ones."""
+    per = df.where(column(field).isNotNull()).groupBy(column(field)).agg(F.count("*").cast("double").alias("o"))
+    mean = F.sum("o") / F.count("*")
+    return per.agg(F.count("*").alias("k"), (F.sum(F.col("o") * F.col("o")) / mean - F.sum("o")).alias("chi2"))
+
+
+def ttest_one(df: DataFrame, field: str, mean: float = 0.0) -> tuple[float | None, float | None, int]:
+    """T, p and degrees of freedom of one column against a mean."""
+    x = column(field).cast("double")
+    m = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
+    if m["n"] < 2 or not m["s"]:
+        return None, None, max(m["n"] - 1, 0)
+    t = (m["m"] - mean) / (m["s"] / math.sqrt(m["n"]))
+    return t, dist.t_sf2(t, m["n"] - 1), m["n"] - 1
+
+
 def mann_whitney_p(row, alternative: str = "one-sided") -> float:
     n1, n2, n = row["n1"], row["n2"], row["n1"] + row["n2"]
     sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - row["tied"] / (n * (n - 1))))
@@ -111,11 +164,7 @@ def ks_2samp(samples: DataFrame) -> DataFrame:
     """Largest distance of two samples' distribution functions, over distinct values."""
     first = samples.agg(F.min("g").alias("first"))
     per = samples.join(F.broadcast(first)).groupBy("x").agg(F.count_if(F.col("g") == F.col("first")).alias("a"), F.count_if(F.col("g") != F.col("first")).alias("b"))  # one row
-    spread = per.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = spread.groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("base_a"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base_b"))
-    w = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = spread.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).join(base, "part").select((F.col("ca") + F.col("base_a")).alias("ca"), (F.col("cb") + F.col("base_b")).alias("cb"))
+    run = with_sums_before(per, ["x"], {"pa": F.col("a"), "pb": F.col("b")}).select((F.col("pa") + F.col("a")).alias("ca"), (F.col("pb") + F.col("b")).alias("cb"))
     n = per.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     return run.join(F.broadcast(n)).groupBy("n1", "n2").agg(F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))).alias("d"))  # one row
 
@@ -126,8 +175,8 @@ def ks_p(row) -> float:
 
 
 def ttest_pairs(samples: DataFrame) -> DataFrame:
-    """Pooled two-sample t for each pair of groups."""
-    m = moments(samples)
+    """Pooled two-sample t for each pair of groups, MAX_PAIRED groups at most."""
+    m = few_groups(samples)
     other = m.select(*[F.col(c).alias(f"{c}_b") for c in m.columns])
     pooled = ((F.col("n") - 1) * F.col("var") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n") + F.col("n_b") - 2)
     t = (F.col("mean") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("n") + 1 / F.col("n_b")))
@@ -143,8 +192,8 @@ def ttest_paired(df: DataFrame, a: str, b: str) -> tuple[float, float, int]:
 
 
 def tukey_pairs(samples: DataFrame) -> DataFrame:
-    """Differences of group means, b - a, and their standard errors; no more than 15 groups make sense of it."""
-    m = moments(samples)
+    """Differences of group means, b - a, and their standard errors, for MAX_PAIRED groups at most."""
+    m = few_groups(samples)
     mse = m.agg((F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))) / (F.sum("n") - F.count("*"))).alias("mse"), (F.sum("n") - F.count("*")).alias("df"), F.count("*").alias("k"))
     other = m.select(*[F.col(c).alias(f"{c}_b") for c in m.columns])
     pairs = m.join(other, F.col("g") < F.col("g_b")).join(F.broadcast(mse))  # groups, not rows
@@ -178,12 +227,12 @@ def valid_tests(samples: int, normal: bool, equal_variance: bool, independent: b
     return []
 
 
-def compare_columns(df: DataFrame, fields: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(statistic, p) of every test that suits the columns."""
+def compare_columns(df: DataFrame, fields: Sequence[str], independent: bool = True) -> dict[str, tuple[float, float]]:
+    """(statistic, p) of every test that suits the columns; independent: whether they are separate samples or measured on the same rows."""
     samples = columns_as_samples(df, fields)
     _, equal_p = with_p(levene(samples).first())
     out: dict[str, tuple[float, float]] = {}
-    for test in valid_tests(len(fields), sets_normal(df, fields), (equal_p or 0) > EQUAL_VARIANCE_P):
+    for test in valid_tests(len(fields), sets_normal(df, fields), (equal_p or 0) > EQUAL_VARIANCE_P, independent):
         if test == "mannwhitneyu":
             r = mann_whitney(samples).first()
             out[test] = (min(r["u"], r["n1"] * r["n2"] - r["u"]), mann_whitney_p(r))
@@ -196,6 +245,14 @@ def compare_columns(df: DataFrame, fields: Sequence[str]) -> dict[str, tuple[flo
         elif test == "ttest_ind":
             r = ttest_pairs(samples).first()
             out[test] = (r["t"], dist.t_sf2(r["t"], r["df"]))
+        elif test == "wilcoxon":
+            r = wilcoxon(df, *fields).first()
+            out[test] = (r["w"], wilcoxon_p(r))
+        elif test == "friedmanchisquare":
+            r = friedman(df, fields).first()
+            out[test] = (r["chi2"], dist.chi2_sf(r["chi2"], r["k"] - 1))
+        elif test == "ttest_rel":
+            out[test] = ttest_paired(df, *fields)[:2]
         elif test == "f_oneway":
             out[test] = with_p(f_table(moments(samples)).first())
     return out

@@ -14,6 +14,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -185,11 +186,11 @@ def r2_contributions(models: Sequence[tuple[list[str], Fit]]) -> dict[str, float
 
 
 def anova(df: DataFrame, dependent: str, independents: Sequence[str]) -> list[tuple[str, int, float, float, float | None, float | None]]:
-    """H2: sequential (type I) table with pairwise interactions: (source, df, SS, MS, F, p), residual last."""
+    """H2: sequential (type I) table of the factors and one term for all of them together: (source, df, SS, MS, F, p), residual last."""
     cats = {f: [Term(f, f"{f}[{v}]", (column(f).cast("string") == v).cast("double")) for v in levels(df, f)[1:]] for f in independents}
-    terms = [t for f in independents for t in cats[f]] + [t for a, b in combinations(independents, 2) for t in interaction([cats[a], cats[b]])]
+    terms = [t for f in independents for t in cats[f]] + (interaction([cats[f] for f in independents]) if len(independents) > 1 else [])
     g = gram(df, column(dependent), terms)
-    names = [*independents, *(f"{a}:{b}" for a, b in combinations(independents, 2))]
+    names = [*independents, *([":".join(independents)] if len(independents) > 1 else [])]
     fits, used = [solve(g, [])], []
     for n in names:
         used = used + [i for i, t in enumerate(terms) if t.variable == n]
@@ -218,6 +219,70 @@ def logistic(df: DataFrame, dependent: Column, independents: Sequence[str], tran
     return table, {"n": s.numInstances, "llf": llf, "llnull": llnull, "r2": 1 - llf / llnull, "llr_p": dist.chi2_sf(2 * (llf - llnull), k), "aic": s.aic, "bic": -2 * llf + math.log(s.numInstances) * (k + 1)}
 
 
+def multinomial(df: DataFrame, dependent: str, independents: Sequence[str], transformations: Mapping[str, str] | None = None) -> tuple[list[tuple], dict[str, float]]:
+    """Logit of several classes against the first by name: (class, label, coefficient, SE, z, p) and the summary.
+
+    Coefficients come from Spark's unpenalised multinomial fit; standard errors from the information
+    matrix, whose entries are sums over rows in one aggregation.
+    """
+    classes = levels(df, dependent)
+    terms = design(df, independents, transformations)
+    y = F.array_position(F.array(*[F.lit(c) for c in classes]), column(dependent).cast("string")) - 1
+    names = [f"x{i}" for i in range(len(terms))]
+    rows = df.select(*[t.expr.alias(n) for t, n in zip(terms, names, strict=True)], y.cast("double").alias("label")).na.drop("any")
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label")
+    model = LogisticRegression(family="multinomial", maxIter=200, tol=1e-9).fit(data)
+    w = np.column_stack([model.coefficientMatrix.toArray(), np.array(model.interceptVector)])
+    w = (w - w[0])[1:]
+    x = [*[F.col(n) for n in names], F.lit(1.0)]
+    score = [sum((float(c) * v for c, v in zip(row, x, strict=True)), F.lit(0.0)) for row in w]
+    top = F.greatest(F.lit(0.0), *score) if len(score) else F.lit(0.0)
+    each = [F.exp(-top), *[F.exp(s - top) for s in score]]
+    whole = sum(each[1:], each[0])
+    p = [e / whole for e in each]
+    probs = rows.select(*names, "label", *[q.alias(f"p{i}") for i, q in enumerate(p)])
+    k = len(x)
+    size = k * len(w)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    info = [F.sum((F.col(f"p{i // k + 1}") * ((1.0 if i // k == j // k else 0.0) - F.col(f"p{j // k + 1}"))) * x[i % k] * x[j % k]).alias(f"h{i}_{j}") for i, j in cells]
+    own = F.element_at(F.array(*[F.col(f"p{i}") for i in range(len(classes))]), F.col("label").cast("int") + 1)
+    got = probs.agg(F.count("*").alias("n"), F.sum(F.log(own)).alias("llf"), *info).first()
+    h = np.zeros((size, size))
+    for i, j in cells:
+        h[i, j] = h[j, i] = got[f"h{i}_{j}"]
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(h, hermitian=True)), 0)).reshape(len(w), k)
+    table = []
+    for c, coef, err in zip(classes[1:], w, se, strict=True):
+        for label, b, e in zip([*(t.label for t in terms), "intercept"], coef, err, strict=True):
+            z = float(b / e) if e else math.nan
+            table.append((c, label, float(b), float(e), z, 2 * dist.normal_sf(abs(z)) if z == z else math.nan))
+    n, llf = got["n"], got["llf"]
+    llnull = sum(r["c"] * math.log(r["c"] / n) for r in rows.groupBy("label").agg(F.count("*").alias("c")).collect())
+    return table, {"n": n, "llf": llf, "llnull": llnull, "r2": 1 - llf / llnull, "llr_p": dist.chi2_sf(2 * (llf - llnull), size - len(w)), "aic": 2 * size - 2 * llf, "bic": math.log(n) * size - 2 * llf}
+
+
+def residuals(df: DataFrame, dependent: str, independents: Sequence[str]) -> DataFrame:
+    """(residual) of each complete row under the linear model of all independents."""
+    terms = design(df, independents)
+    fit = solve(gram(df, column(dependent), terms))
+    (_, b0, *_), *rest = fit.rows
+    fitted = sum((float(r[1]) * t.expr for r, t in zip(rest, terms, strict=True)), F.lit(float(b0)))
+    return df.select((column(dependent).cast("double") - fitted).alias("residual")).where("residual is not null")
+
+
+def residual_tests(df: DataFrame, dependent: str, independents: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """(statistic, p) of tests on a linear model's residuals: mean 0 by t and by signed ranks, and the normal shape."""
+    from gneiss.profile.describe import normality_moments
+    from gneiss.stats import comparison
+
+    r = residuals(df, dependent, independents).withColumn("zero", F.lit(0.0))
+    t, t_p, _ = comparison.ttest_one(r, "residual")
+    w = comparison.wilcoxon(r, "residual", "zero").first()
+    m = normality_moments(r, "residual").first()
+    p = dist.dagostino(m["n"], m["skew"], m["kurt"]) if m["n"] >= 8 and m["skew"] is not None else None
+    return {"ttest_1samp": (t, t_p), "wilcoxon": (w["w"], comparison.wilcoxon_p(w)), "normaltest": (m["skew"], p)}
+
+
 def forward_r2(g: Gram, limit: int = MODEL_LIMIT, gain: float = LEAST_GAIN) -> list[str]:
     """Variables in the order that raises adjusted R2 most, until a step adds under a tenth."""
     variables = list(dict.fromkeys(t.variable for t in g.terms))

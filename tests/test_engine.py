@@ -202,3 +202,93 @@ def test_stream_counts(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["value"], r["count"]) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_order_by_ranges(spark, monkeypatch):
+    from gneiss.operators import ranges
+
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 20)
+    rng = np.random.default_rng(5)
+    data = [(str(g), None if x > 95 else float(x)) for g, x in zip(rng.integers(0, 3, 400), rng.integers(0, 100, 400), strict=True)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(6)
+    assert ranges.placed(df.where("x is not null"), ["x"]).select("part").distinct().count() > 5
+    some = [(g, x) for g, x in data if x is not None]
+    whole = ranges.quantiles(df, "x", (0.0, 0.1, 0.5, 0.93, 1.0)).first()
+    assert list(whole) == pytest.approx(np.quantile([x for _, x in some], [0.0, 0.1, 0.5, 0.93, 1.0]).tolist())
+    for r in ranges.quantiles(df, "x", (0.25, 0.75), ["g"]).collect():
+        assert [r["q0"], r["q1"]] == pytest.approx(np.quantile([x for g, x in some if g == r["g"]], [0.25, 0.75]).tolist())
+    assert ranges.quantiles(df.limit(0), "x", (0.5,)).first()["q0"] is None
+    places = groupings.indexed_values(df.where("x is not null"), "x", ["x", "g"]).orderBy("index").collect()
+    assert [r["index"] for r in places] == list(range(len(some))) and [r["value"] for r in places] == sorted(x for _, x in some)
+
+
+def test_paired_tests(spark):
+    scipy_like = [(1.0, 2.0, 3.0), (2.0, 2.0, 1.0), (5.0, 1.0, 4.0), (3.0, 3.0, 3.0), (4.0, 6.0, 5.0), (7.0, 1.0, 2.0)]
+    df = spark.createDataFrame(scipy_like, "a double, b double, c double")
+    w = comparison.wilcoxon(df, "a", "b").first()
+    assert (w["n"], w["plus"], w["minus"], w["tied"]) == (4, 7.0, 3.0, 0.0)
+    ranks = np.array([[1, 2, 3], [2.5, 2.5, 1], [3, 1, 2], [2, 2, 2], [1, 3, 2], [3, 1, 2]])
+    n, k = ranks.shape
+    tied = (2**3 - 2) + (3**3 - 3)
+    chi2 = (12 / (n * k * (k + 1)) * (ranks.sum(axis=0) ** 2).sum() - 3 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1)))
+    assert comparison.friedman(df, ["a", "b", "c"]).first()["chi2"] == pytest.approx(chi2)
+    assert set(comparison.compare_columns(df, ["a", "b"], False)) >= {"wilcoxon"} and set(comparison.compare_columns(df, ["a", "b", "c"], False)) == {"friedmanchisquare"}
+    t, p, free = comparison.ttest_one(df, "a", 3.0)
+    assert free == 5 and t == pytest.approx((22 / 6 - 3) / (np.std([1, 2, 5, 3, 4, 7], ddof=1) / math.sqrt(6))) and 0 < p < 1
+    assert comparison.chi_square(spark.createDataFrame([("x",)] * 6 + [("y",)] * 2, "f string"), "f").first()["chi2"] == pytest.approx(2.0)
+
+
+def test_multinomial_matches_the_binary_model(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=600)
+    two = ["b" if rng.random() < 1 / (1 + math.exp(-(0.5 + 1.2 * v))) else "a" for v in x]
+    df = spark.createDataFrame([(float(v), c, c if rng.random() < 0.8 else "z") for v, c in zip(x, two, strict=True)], "x double, two string, three string")
+    table, summary = regression.multinomial(df, "two", ["x"])
+    binary, other = regression.logistic(df, F.col("two") == "b", ["x"])
+    for (_, label, b, se, *_), (label2, b2, se2, *_) in zip(table, binary, strict=True):
+        assert label == label2 and b == pytest.approx(b2, abs=1e-3) and se == pytest.approx(se2, abs=1e-3)
+    assert summary["llf"] == pytest.approx(other["llf"], abs=1e-3) and summary["llnull"] == pytest.approx(other["llnull"], abs=1e-3)
+    table, summary = regression.multinomial(df, "three", ["x"])
+    assert [r[0] for r in table] == ["b", "b", "z", "z"] and 0 < summary["r2"] < 1
+    tests = regression.residual_tests(df.withColumn("y", 2 * F.col("x") + F.rand(1)), "y", ["x"])
+    assert abs(tests["ttest_1samp"][0]) < 1e-6 and 0 <= tests["wilcoxon"][1] <= 1
+
+
+def test_a_bad_spec_does_not_end_the_others(spark):
+    from gneiss.plans.score import recommend, statistics, statistics_of
+    from gneiss.plans.specs import make
+
+    df = spark.createDataFrame([(str(i % 3), float(i), i % 2) for i in range(30)], "g string, x double, h int")
+    good, bad = make("val:agg", "c:q", grouped_field="g", agg_field="x", agg_fn="sum"), make("val:box", "c:q", grouped_field="g", boxed_field="g")
+    errors = {}
+    got = recommend(df, [good, bad], ["g"], errors=errors)
+    assert [s.spec for s, _ in got] == [good] and list(errors) == [bad]
+    assert recommend(df, [good], seconds=-1) == []
+    plan = compile_spec(good, df)
+    for a, b in zip(statistics(good, plan.collect()).values(), statistics_of(good, plan).values(), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_all_kinds_of_specs_fuse(spark):
+    df = spark.createDataFrame([(str(i % 3) if i % 7 else None, str(i % 2), float(i) if i % 5 else None, float(i * i % 11)) for i in range(80)], "c string, d string, x double, y double")
+    fields = describe.profile(df)
+    specs = enumerate_specs(fields, ["c", "d", "x", "y"])
+    batch = compile_batch(specs, df)
+    assert len(batch.shared) >= 3 and list(batch) == specs
+    for s, plan in batch.items():
+        if s.procedure != "val:val":
+            near = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+            assert near(plan.collect()) == near(compile_spec(s, df).collect()), s
+    batch.release()
+
+
+def test_small_pieces_of_the_profile(spark):
+    from gneiss.operators.binning import even_edges
+
+    assert even_edges(0, 10, 4) == [0.0, 2.5, 5.0, 7.5, 10.1]
+    assert describe.even_skips(list(range(10)), 3) == [0, 3, 6] and describe.even_skips([1], 3) == [1]
+    df = spark.createDataFrame([("a,b", "x"), (None, ""), ("c, d,e", "y")], "l string, s string")
+    assert {r["field"]: r["is_list"] for r in describe.delimited_lists(df, ["l", "s"]).collect()} == {"l": True, "s": False}
+    assert sorted((r["field"], r["value"]) for r in describe.first_values(df, 5).collect()) == [("l", "a,b"), ("l", "c, d,e"), ("s", "x"), ("s", "y")]
+    charts = {f.name: describe.field_chart(f) for f in describe.profile(spark.createDataFrame([(i, i % 4, i / 7, "k" + str(i % 2)) for i in range(200)], "row_id int, o int, q double, k string"))}
+    assert charts["row_id"] is None and [charts[c].procedure for c in ("o", "q", "k")] == ["val:count", "bin:agg", "val:count"]
