@@ -46,8 +46,14 @@ def with_sums_before(df: DataFrame, keys: Sequence[str], sums: dict[str, Column]
 
 
 def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """One row (for each `by`) with q0, q1, ...: exact quantiles of x, interpolated between neighbours. Values are counted before they are put in order."""
+    """One row (for each `by`) with q0, q1, ...: exact quantiles of x, interpolated between neighbours.
+
+    Values are counted first. ROWS_PER_RANGE distinct ones fit a percentile's buffer; more are put in order range by range.
+    """
     per = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+    if per.limit(ROWS_PER_RANGE + 1).count() <= ROWS_PER_RANGE:
+        q = per.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in shares]), F.col("__n")).alias("q"))
+        return q.select(*by, *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))])
     ordered = with_sums_before(per, [x], {"__before": F.col("__n")}, by)
     size = per.groupBy(*by).agg(F.sum("__n").alias("__size"))
     rows = ordered.join(size, list(by)) if by else ordered.crossJoin(F.broadcast(size))  # one row

@@ -5,6 +5,8 @@ Doubles are rounded on both sides, since sums in another order differ in the las
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.functions import scalar
-from gneiss.operators import crosstab, groupings, transform
+from gneiss.operators import binning, crosstab, groupings, transform
 from gneiss.operators.binning import bin_stats_frame, histogram
 from gneiss.operators.predicates import dropna, filtered
+from gneiss.plans import enumerate as rules
 from gneiss.plans.enumerate import enumerate_specs
 from gneiss.plans.score import recommend
 from gneiss.profile import describe, infer, relations
+from gneiss.sources import readers, sinks
 from gneiss.sources.readers import coerce
 from gneiss.stats import comparison, correlation, regression
 
@@ -428,6 +432,14 @@ ORACLE_SQL["uniqueness"] = _each("'{f}' AS field, COUNT({f}) AS n, COUNT(DISTINC
 QUERIES["dataset_properties"] = every_table(describe.dataset_properties)
 ORACLE_SQL["dataset_properties"] = " UNION ALL ".join(f"SELECT COUNT(*) AS n_rows, CAST({len(fs)} AS INTEGER) AS n_cols, 'long' AS structure, FALSE AS is_time_series, '{t}' AS table_name FROM {t}" for t, fs in _TABLES.items())
 QUERIES["infer_types"] = every_table(infer.types_frame)
+_DECIMAL, _TIME = ("c_acctbal", "value", "l_discount", "l_extendedprice", "l_quantity", "l_tax", "o_totalprice", "p_retailprice", "s_acctbal"), ("ts", "l_shipdate", "o_orderdate")
+_TEXT = (
+    "c_mktsegment c_name lang source text role event_type props l_linestatus l_returnflag n_name o_orderpriority o_orderstatus html url p_brand p_name p_type r_name s_name".split()
+)  # all other fields are integers
+_KINDS = {**dict.fromkeys(_DECIMAL, ("decimal", "q", "continuous")), **dict.fromkeys(_TIME, ("datetime", "t", "continuous")), **dict.fromkeys(_TEXT, ("string", "c", "nominal"))}
+ORACLE_SQL["infer_types"] = " UNION ALL ".join(
+    "SELECT '{}' AS field, '{}' AS type, '{}' AS general_type, '{}' AS scale, '{}' AS table_name".format(f, *_KINDS.get(f, ("integer", "q", "continuous")), t) for t, fs in _TABLES.items() for f in fs
+)
 
 
 @query("lineitem", " UNION ALL ".join(f"SELECT '{f}' AS field, MAX({f}) - MIN({f}) + 1 <= 31 AND COUNT(DISTINCT {f}) = MAX({f}) - MIN({f}) + 1 AS contiguous FROM lineitem" for f in ("l_linenumber", "l_orderkey", "l_suppkey")))
@@ -620,7 +632,7 @@ def ols_categories(df):
 @query("lineitem")
 def r2_contribution(df):
     got = regression.r2_contributions(regression.regress(df, PRICE, [QUANTITY, "l_discount", "l_tax"]))
-    return rows_of(df, list(got.items()), "variable string, gain double")
+    return rows_of(df, [(v, round(float(x), 6)) for v, x in got.items()], "variable string, gain double")
 
 
 @query("lineitem")
@@ -681,3 +693,266 @@ def enumerate_specs_lineitem(df):
 def score_specs(df):
     got = recommend(df, enumerate_specs(describe.profile(df), [FLAG, STATUS, QUANTITY], ("exact", "subset")), [FLAG, STATUS, QUANTITY])
     return rows_of(df, [(i, s.spec.procedure, s.spec.description, s.relevance, dict(s.scores).get("entropy")) for i, (s, _) in enumerate(got)], "rank int, procedure string, description string, relevance double, entropy double")
+
+
+# --- planner rules, one by one ----------------------------------------------------------------------
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """A fixed table in SQL."""
+    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(text(v) for v in r) + ')' for r in rows)}) t({columns})"
+
+
+def _planned(name: str, make_specs, expected: list[tuple[str, str, str]]) -> None:
+    """Register a rule over lineitem's fields: its specs in order, against a fixed table."""
+
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, "lineitem").select(FLAG, STATUS, QUANTITY, PRICE, "l_linenumber", "l_shipdate")
+        f = {x.name: x for x in describe.profile(df)}
+        specs = make_specs(f[FLAG], f[STATUS], f[QUANTITY], f[PRICE], f["l_linenumber"], f["l_shipdate"])
+        return rows_of(df, [(s.procedure, s.structure, s.description) for s in specs], "procedure string, structure string, description string")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = _values("procedure, structure, description", expected)
+
+
+_F, _S, _Q, _P, _L, _D = FLAG, STATUS, QUANTITY, PRICE, "l_linenumber", "l_shipdate"
+_planned("plan_single_q", lambda c, d, q, p, n, t: rules.single_q(q) + rules.single_q(n), [("bin:agg", "b:q", f"distribution of {_Q}"), ("val:count", "q", f"frequency of {_L}")])
+_planned("plan_single_t", lambda c, d, q, p, n, t: rules.single_t(t), [("val:count", "t", f"frequency of {_D}"), ("bin:agg", "b:t", f"distribution of {_D}")])
+_planned("plan_single_c", lambda c, d, q, p, n, t: rules.single_c(c), [("val:count", "c", f"frequency of {_F}")])
+_planned("plan_single_cq", lambda c, d, q, p, n, t: rules.single_cq(c, q), [("val:agg", "c:q", f"sum of {_Q} by {_F}"), ("val:box", "c:q", f"spread of {_Q} by {_F}")])
+_planned("plan_single_tq", lambda c, d, q, p, n, t: rules.single_tq(t, q), [("val:agg", "t:q", f"{fn} of {_Q} by {_D}") for fn in ("mean", "count", "sum")])
+_planned("plan_single_ctq", lambda c, d, q, p, n, t: rules.single_ctq(c, t, q), [("multigroup:agg", "[c:t]:q", f"{fn} of {_Q} by {_D} and {_F}") for fn in ("mean", "count", "sum")])
+_planned("plan_multi_c", lambda c, d, q, p, n, t: rules.multi_c([c, d]), [("multigroup:count", "[c:c]", f"count of {_F} by {_S}"), ("multigroup:count", "[c:c]", f"count of {_S} by {_F}")])
+_planned(
+    "plan_multi_q",
+    lambda c, d, q, p, n, t: rules.multi_q([q, p, n]),
+    [("val:val", "q:q", f"{_Q} against {_P}"), *(("val:agg", "c:q", f"sum of {x} by {_L}") for x in (_Q, _P)), *(("val:box", "c:q", f"spread of {x} by {_L}") for x in (_Q, _P))],
+)
+_planned("plan_single_c_multi_q", lambda c, d, q, p, n, t: rules.single_c_multi_q(c, [q, p]), [("agg:agg", "[c]:q", f"{fn} of {_Q} and {_P} by {_F}") for fn in ("min", "max", "mean", "sum")])
+_planned(
+    "plan_single_q_multi_c",
+    lambda c, d, q, p, n, t: rules.single_q_multi_c([c, d], q),
+    [("multigroup:agg", "[c:c]:q", f"{fn} of {_Q} by {x} and {y}") for fn in ("min", "max", "mean", "sum", "count") for x, y in ((_F, _S), (_S, _F))] + [("val:val:q", "c:c:q", f"{_F} and {_S} linked by {_Q}")],
+)
+_planned("plan_multi_cq", lambda c, d, q, p, n, t: rules.multi_cq([c, d], [q, p]), [("val:val:q", "[c:c]:[q]", f"{_F} and {_S} linked by {x}") for x in (_Q, _P)])
+_planned("plan_baseline", lambda c, d, q, p, n, t: rules.baseline([c, q, t]), [("val:count", "c", f"frequency of {_F}"), ("bin:agg", "b:q", f"distribution of {_Q}"), ("val:count", "t", f"frequency of {_D}"), ("bin:agg", "b:t", f"distribution of {_D}")])
+_planned("plan_exact", lambda c, d, q, p, n, t: rules.exact([c, t, q]) + rules.exact([c, d]), [("multigroup:agg", "[c:t]:q", f"{fn} of {_Q} by {_D} and {_F}") for fn in ("mean", "count", "sum")] + [("multigroup:count", "[c:c]", f"count of {x} by {y}") for x, y in ((_F, _S), (_S, _F))])
+_planned(
+    "plan_subset",
+    lambda c, d, q, p, n, t: rules.subset([c, q, p]),
+    [("val:val", "q:q", f"{_Q} against {_P}")]
+    + [(how, "c:q", f"{what} of {x} by {_F}") for x in (_Q, _P) for how, what in (("val:agg", "sum"), ("val:box", "spread"))]
+    + [("agg:agg", "[c]:q", f"{fn} of {_Q} and {_P} by {_F}") for fn in ("min", "max", "mean", "sum")],
+)
+_planned("plan_expanded", lambda c, d, q, p, n, t: rules.expanded([c], [d, q], 3), [("multigroup:count", "[c:c]", f"count of {_F} by {_S}"), ("multigroup:count", "[c:c]", f"count of {_S} by {_F}"), ("val:agg", "c:q", f"sum of {_Q} by {_F}")])
+_planned("plan_field_charts", lambda c, d, q, p, n, t: [s for f in (c, q, n, t) if (s := describe.field_chart(f))], [("val:count", "c", f"frequency of {_F}"), ("bin:agg", "b:q", f"distribution of {_Q}"), ("val:count", "q", f"frequency of {_L}"), ("bin:agg", "b:t", f"distribution of {_D}")])
+
+
+# --- more of the profile, bins, scalars and files ---------------------------------------------------
+
+
+@query("nation", "SELECT n_name, regexp_replace(n_name || ' 2-x', '[^A-Za-z0-9_]+', '_', 'g') AS safe, CASE WHEN n_nationkey < 10 THEN '_' ELSE '_' END || CAST(n_nationkey AS VARCHAR) || '_a' AS digit FROM nation")
+def safe_names(df):
+    return df.select("n_name", scalar.safe_name(F.concat("n_name", F.lit(" 2-x"))).alias("safe"), scalar.safe_name(F.concat(F.col("n_nationkey").cast("string"), F.lit(" a"))).alias("digit"))
+
+
+@query("customer", "SELECT c_custkey, ROUND(c_acctbal, 4) AS parsed, printf('%.2f-%.2f', c_acctbal, c_acctbal + 1) AS span, printf('%.3f ± %.3f', c_acctbal, c_acctbal / 10) AS band FROM customer")
+def formatted_numbers(df):
+    text = F.format_number("c_acctbal", 2)
+    return df.select("c_custkey", scalar.parse_number(text).alias("parsed"), scalar.interval(F.col("c_acctbal"), F.col("c_acctbal") + 1).alias("span"), scalar.band(F.col("c_acctbal"), F.col("c_acctbal") / 10).alias("band"))
+
+
+@query("nation", "SELECT a.r AS r, b.r AS s, ROUND(len(list_intersect(a.l, b.l)) / len(list_distinct(a.l || b.l)), 4) AS similarity FROM (SELECT n_regionkey AS r, list(n_name[1:1]) AS l FROM nation GROUP BY 1) a, (SELECT n_regionkey AS r, list(n_name[1:1]) AS l FROM nation GROUP BY 1) b WHERE a.r < b.r")
+def letters_jaccard(df):
+    a = df.groupBy(F.col("n_regionkey").alias("r")).agg(F.collect_list(F.substring("n_name", 1, 1)).alias("l"))
+    b = a.select(F.col("r").alias("s"), F.col("l").alias("m"))
+    return a.join(b, F.col("r") < F.col("s")).select("r", "s", scalar.jaccard(F.col("l"), F.col("m")).alias("similarity"))  # five regions
+
+
+_PROCEDURES = ("freedman", "square_root", "doane", "rice", "sturges")
+
+
+@query(
+    "orders",
+    "WITH s AS (SELECT CAST(COUNT(o_totalprice) AS DOUBLE) AS n, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders),"
+    f" k AS (SELECT ANY_VALUE(s.n) AS n, ANY_VALUE(s.lo) AS lo, ANY_VALUE(s.hi) AS hi, ANY_VALUE(s.q1) AS q1, ANY_VALUE(s.q3) AS q3, {_M3} AS g FROM orders, s, (SELECT AVG(o_totalprice) AS m, STDDEV_POP(o_totalprice) AS s FROM orders) z(m, s)),"
+    " r AS (SELECT 'freedman' AS procedure, (hi - lo) / (2 * (q3 - q1) * POWER(n, -1.0 / 3)) AS x FROM k UNION ALL SELECT 'square_root', SQRT(n) FROM k UNION ALL SELECT 'doane', 1 + LOG2(n) + LOG2(1 + ABS(g) / SQRT(6 * (n - 2) / ((n + 1) * (n + 3)))) FROM k"
+    " UNION ALL SELECT 'rice', 2 * POWER(n, 1.0 / 3) FROM k UNION ALL SELECT 'sturges', CEIL(LOG2(n) + 1) FROM k) SELECT procedure, CAST(FLOOR(LEAST(x, 20)) AS BIGINT) AS bins FROM r".replace("(o_totalprice - m) / s", "(o_totalprice - z.m) / z.s"),
+)
+def bin_numbers(df):
+    s = binning.bin_stats(df, "o_totalprice")
+    return rows_of(df, [(p, binning.number_of_bins(s, p)) for p in _PROCEDURES], "procedure string, bins long")
+
+
+@query("orders", "SELECT i, ROUND(CASE WHEN i = 0 THEN lo WHEN i = 5 THEN hi ELSE ROUND(lo + (hi - lo) * i / 5, 3) END, 4) AS edge, printf('%.3f', CASE WHEN i = 0 THEN lo ELSE ROUND(lo + (hi - lo) * i / 5, 3) END) AS label FROM (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders), (SELECT CAST(UNNEST([0, 1, 2, 3, 4, 5]) AS INTEGER) AS i)")
+def bin_edges_even(df):
+    s = binning.bin_stats(df, "o_totalprice")
+    edges = binning.bin_edges(s, 5, 2)
+    labels = [binning.bin_label(edges, i).split("-")[0] for i in range(5)] + [f"{edges[5]:.3f}"]
+    return rows_of(df, [(i, round(float(e), 4), x) for i, (e, x) in enumerate(zip(edges, labels, strict=True))], "i int, edge double, label string")
+
+
+@query("part", "SELECT 'p_name' AS field, FALSE AS is_list UNION ALL SELECT 'parts', TRUE")
+def list_fields(df):
+    return describe.delimited_lists(df.select("p_name", F.concat_ws(";", "p_brand", "p_type").alias("parts")), ["p_name", "parts"], ";").select("field", "is_list")
+
+
+@query("orders", "SELECT 'o_orderkey' AS field, LEAST(7, COUNT(*)) AS n FROM orders UNION ALL SELECT 'o_orderstatus', LEAST(7, COUNT(*)) FROM orders")
+def first_value_counts(df):
+    return describe.first_values(df.select("o_orderkey", "o_orderstatus"), 7).groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query("orders", "SELECT LEAST(100, COUNT(*)) AS n, LEAST(100, COUNT(*)) AS distinct FROM orders")
+def random_sample_size(df):
+    return transform.random_rows(df, 100).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct"))
+
+
+_TYPED = [
+    ("l_orderkey", "integer", "q"), ("l_partkey", "integer", "q"), ("l_suppkey", "integer", "q"), ("l_linenumber", "integer", "q"), ("l_quantity", "decimal", "q"), ("l_extendedprice", "decimal", "q"),
+    ("l_discount", "decimal", "q"), ("l_tax", "decimal", "q"), ("l_returnflag", "string", "c"), ("l_linestatus", "string", "c"), ("l_shipdate", "datetime", "t"),
+]
+
+
+@query(
+    "lineitem",
+    " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS type, '{g}' AS general, COUNT({f}) AS n, COUNT(*) - COUNT({f}) AS nulls, COUNT(DISTINCT {f}) >= 0.95 * COUNT({f}) AS is_unique FROM lineitem" for f, t, g in _TYPED),
+)
+def profile_fields(df):
+    return rows_of(df, [(f.name, f.type, f.general, f.n, f.nulls, f.unique) for f in describe.profile(df)], "field string, type string, general string, n long, nulls long, is_unique boolean")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one in local mode alone."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="gneiss-")
+    return f"{path.rstrip('/')}/gneiss-files-{uuid.uuid4().hex}"
+
+
+def _round_trip(name: str, kind: str, suffix: str, columns: str, sql: str, types: dict[str, str] | None = None) -> None:
+    """Write a table's columns in a format, read them back with the engine's reader, and compare with the table."""
+
+    def run(spark, sf_dir):
+        path = f"{shared_folder(spark)}.{suffix}"
+        df = read(spark, sf_dir, "orders").selectExpr(*columns.split("; "))
+        if kind == "csv":
+            df.write.option("header", True).csv(path)
+        else:
+            sinks.write_table(df, path, kind)
+        back = readers.read(spark, path)
+        return rounded(coerce(back, types) if types else back)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+_TYPES = {"o_orderkey": "integer", "o_totalprice": "decimal", "o_orderdate": "datetime"}
+_COLUMNS = "o_orderkey; o_totalprice; date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') as o_orderdate; o_orderpriority"
+_BACK = "SELECT o_orderkey, ROUND(o_totalprice, 4) AS o_totalprice, date_trunc('second', o_orderdate) AS o_orderdate, o_orderpriority FROM orders"
+_round_trip("csv_round_trip", "csv", "csv", _COLUMNS, _BACK, _TYPES)
+_round_trip("tsv_round_trip", "tsv", "tsv", _COLUMNS, _BACK, _TYPES)
+_round_trip("parquet_round_trip", "parquet", "parquet", "o_orderkey; o_totalprice; o_orderpriority", "SELECT o_orderkey, ROUND(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders")
+_round_trip("orc_round_trip", "orc", "orc", "o_orderkey; o_totalprice; o_orderpriority", "SELECT o_orderkey, ROUND(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders")
+
+
+# --- more statistics --------------------------------------------------------------------------------
+
+
+@query(
+    "lineitem",
+    "WITH d AS (SELECT l_discount - l_tax AS d FROM lineitem WHERE l_discount - l_tax <> 0), r AS (SELECT d, RANK() OVER (ORDER BY ABS(d)) + (COUNT(*) OVER (PARTITION BY ABS(d)) - 1) / 2.0 AS rk, COUNT(*) OVER (PARTITION BY ABS(d)) AS t FROM d)"
+    " SELECT COUNT(*) AS n, ROUND(SUM(CASE WHEN d > 0 THEN rk ELSE 0 END), 1) AS plus, ROUND(SUM(CASE WHEN d < 0 THEN rk ELSE 0 END), 1) AS minus FROM r",
+)
+def wilcoxon_ranks(df):
+    return comparison.wilcoxon(df, "l_discount", "l_tax").select("n", F.round("plus", 1).alias("plus"), F.round("minus", 1).alias("minus"))
+
+
+_THREE = ("l_discount", "l_tax", "l_linenumber")
+_RANKS = [f"({' + '.join(f'CAST({y} < {x} AS INTEGER) + CAST({y} = {x} AS INTEGER) / 2.0' for y in _THREE)} + 0.5)" for x in _THREE]
+_SQUARES = " + ".join(f"POWER({' + '.join(f'CAST({y} = {x} AS INTEGER)' for y in _THREE)}, 2)" for x in _THREE)
+
+
+@query(
+    "lineitem",
+    f"WITH s AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, {', '.join(f'SUM({r}) AS s{i}' for i, r in enumerate(_RANKS))}, SUM({_SQUARES} - 3) AS t FROM lineitem)"
+    " SELECT CAST(n AS BIGINT) AS n, 3 AS k, ROUND((12 / (n * 12) * (s0 * s0 + s1 * s1 + s2 * s2) - 12 * n) / (1 - t / (n * 24)), 3) AS chi2 FROM s",
+)
+def friedman_chi2(df):
+    return comparison.friedman(df, _THREE).select("n", "k", F.round("chi2", 3).alias("chi2"))
+
+
+@query("part", "SELECT COUNT(*) AS k, ROUND(SUM(o * o) / (SUM(o) / COUNT(*)) - SUM(o), 4) AS chi2 FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS o FROM part GROUP BY p_type)")
+def chi_square_stat(df):
+    return comparison.chi_square(df, "p_type")
+
+
+@query("orders", "SELECT ROUND((AVG(o_totalprice) - 150000) / (STDDEV_SAMP(o_totalprice) / SQRT(COUNT(*))), 4) AS t, COUNT(*) - 1 AS df FROM orders")
+def ttest_one_sample(df):
+    t, _, free = comparison.ttest_one(df, "o_totalprice", 150000.0)
+    return rows_of(df, [(t, free)], "t double, df long")
+
+
+@query("lineitem", "SELECT ROUND(AVG(l_discount - l_tax) / (STDDEV_SAMP(l_discount - l_tax) / SQRT(COUNT(*))), 3) AS t, COUNT(*) - 1 AS df FROM lineitem")
+def ttest_paired_rows(df):
+    t, _, free = comparison.ttest_paired(df, "l_discount", "l_tax")
+    return rows_of(df, [(round(t, 3), free)], "t double, df long")
+
+
+@query(
+    "lineitem",
+    "WITH y AS (SELECT l_returnflag AS a, l_linestatus AS b, l_quantity AS y FROM lineitem), g AS (SELECT AVG(y) AS g, SUM(POWER(y - (SELECT AVG(y) FROM y), 2)) AS total, COUNT(*) AS n FROM y), "
+    "ma AS (SELECT a, COUNT(*) AS n, AVG(y) AS m, AVG(CAST(b = 'O' AS INTEGER)) AS p FROM y GROUP BY a), mab AS (SELECT a, b, COUNT(*) AS n, VAR_POP(y) * COUNT(*) AS ss FROM y GROUP BY a, b), "
+    "s AS (SELECT (SELECT SUM(ma.n * POWER(m - g, 2)) FROM ma, g) AS sa, (SELECT POWER(SUM((CAST(b = 'O' AS INTEGER) - p) * y), 2) / SUM(POWER(CAST(b = 'O' AS INTEGER) - p, 2)) FROM y JOIN ma USING (a)) AS sb, "
+    "(SELECT SUM(ss) FROM mab) AS se, (SELECT COUNT(*) FROM mab) AS cells, (SELECT COUNT(*) FROM ma) AS ka, total, n FROM g) "
+    "SELECT 'l_returnflag' AS source, CAST(ka - 1 AS INTEGER) AS df, ROUND(sa, 2) AS ss FROM s UNION ALL SELECT 'l_linestatus', 1, ROUND(sb, 2) FROM s UNION ALL SELECT 'l_returnflag:l_linestatus', CAST(cells - ka - 1 AS INTEGER), ROUND(total - sa - sb - se, 2) FROM s "
+    "UNION ALL SELECT 'residual', CAST(n - cells AS INTEGER), ROUND(se, 2) FROM s",
+)
+def anova_twoway_sums(df):
+    return rows_of(df, [(s, d, round(float(ss), 2)) for s, d, ss, *_ in regression.anova(df, QUANTITY, [FLAG, STATUS])], "source string, df int, ss double")
+
+
+@query(
+    "lineitem",
+    "WITH x AS (SELECT l_quantity AS x, l_extendedprice AS y, POWER(l_quantity, 2) AS x2, POWER(l_quantity, 3) AS x3 FROM lineitem), a AS (SELECT REGR_SLOPE(x2, x) AS b2, REGR_INTERCEPT(x2, x) AS a2, REGR_SLOPE(x3, x) AS b3, REGR_INTERCEPT(x3, x) AS a3 FROM x), "
+    "r AS (SELECT x, y, x2, x3, x2 - a2 - b2 * x AS r2, x3 - a3 - b3 * x AS q3 FROM x, a), c AS (SELECT SUM(q3 * r2) / SUM(r2 * r2) AS k FROM r), "
+    "d AS (SELECT SUM((q3 - k * r2) * y) / SUM((q3 - k * r2) * (q3 - k * r2)) AS c3 FROM r, c), e AS (SELECT SUM(r2 * (y - c3 * x3)) / SUM(r2 * r2) AS c2, ANY_VALUE(c3) AS c3 FROM r, d) "
+    "SELECT ROUND(REGR_SLOPE(y - c2 * x2 - c3 * x3, x), 2) AS c1, ROUND(ANY_VALUE(c2), 3) AS c2, ROUND(ANY_VALUE(c3), 4) AS c3 FROM r, e",
+)
+def ols_poly_coefficients(df):
+    c = {r[0]: float(r[1]) for r in regression.regress(df, PRICE, [QUANTITY], degree=3)[0][1].rows}
+    return rows_of(df, [(round(c[QUANTITY], 2), round(c[f"{QUANTITY}^2"], 3), round(c[f"{QUANTITY}^3"], 4))], "c1 double, c2 double, c3 double")
+
+
+def _r2_of(a: str, b: str) -> str:
+    """R2 of y on two columns, from their correlations."""
+    return f"((ry{a} * ry{a} + ry{b} * ry{b} - 2 * ry{a} * ry{b} * r{a}{b}) / (1 - r{a}{b} * r{a}{b}))"
+
+
+_CORRS = ", ".join([*(f"CORR({PRICE}, {f}) AS ry{n}" for f, n in ((QUANTITY, "q"), ("l_discount", "d"), ("l_tax", "t"))), f"CORR({QUANTITY}, l_discount) AS rqd", f"CORR({QUANTITY}, l_tax) AS rqt", "CORR(l_discount, l_tax) AS rdt"])
+ORACLE_SQL["r2_contribution"] = (
+    f"WITH c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, {_CORRS} FROM lineitem), f AS (SELECT *, (ryq * ryq * (1 - rdt * rdt) + ryd * ryd * (1 - rqt * rqt) + ryt * ryt * (1 - rqd * rqd)"
+    " + 2 * (ryq * ryd * (rqt * rdt - rqd) + ryq * ryt * (rqd * rdt - rqt) + ryd * ryt * (rqd * rqt - rdt))) / (1 + 2 * rqd * rqt * rdt - rqd * rqd - rqt * rqt - rdt * rdt) AS r2 FROM c) "
+    + " UNION ALL ".join(f"SELECT '{v}' AS variable, ROUND((1 - (1 - r2) * (n - 1) / (n - 4)) - (1 - (1 - {_r2_of(*o)}) * (n - 1) / (n - 3)), 6) AS gain FROM f" for v, o in ((QUANTITY, "dt"), ("l_discount", "qt"), ("l_tax", "qd")))
+)
+
+
+@query("lineitem", _values("variable", [("l_discount",), ("l_extendedprice",)]))
+def lasso_saved(df):
+    rows = df.withColumn("saved", F.col(PRICE) * F.col("l_discount"))
+    return rows_of(df, [(v,) for v in regression.lasso(rows, "saved", [PRICE, "l_discount", "l_tax"])], "variable string")
+
+
+@query("lineitem", _values("step, variable", [(0, "l_discount"), (1, "l_extendedprice")]))
+def forward_r2_saved(df):
+    rows = df.withColumn("saved", F.col(PRICE) * F.col("l_discount"))
+    return rows_of(df, list(enumerate(sorted(regression.recommend_model(rows, "saved", [PRICE, "l_discount", "l_tax"])))), "step int, variable string")
+
+
+@query("lineitem", "WITH p AS (SELECT AVG(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) AS r, AVG(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0 END) AS n, AVG(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0 END) AS a, COUNT(*) AS c FROM lineitem) SELECT c AS n, ROUND(c * (r * LN(r) + n * LN(n) + a * LN(a)), 2) AS llnull FROM p")
+def logit_multinomial(df):
+    _, s = regression.multinomial(df, FLAG, [QUANTITY])
+    return rows_of(df, [(s["n"], round(s["llnull"], 2))], "n long, llnull double")

@@ -270,7 +270,7 @@ def test_a_bad_spec_does_not_end_the_others(spark):
 
 
 def test_all_kinds_of_specs_fuse(spark):
-    df = spark.createDataFrame([(str(i % 3) if i % 7 else None, str(i % 2), float(i) if i % 5 else None, float(i * i % 11)) for i in range(80)], "c string, d string, x double, y double")
+    df = spark.createDataFrame([("k" + str(i % 3) if i % 7 else None, "m" + str(i % 2), float(i) if i % 5 else None, float(i * i % 11)) for i in range(80)], "c string, d string, x double, y double")
     fields = describe.profile(df)
     specs = enumerate_specs(fields, ["c", "d", "x", "y"])
     batch = compile_batch(specs, df)
