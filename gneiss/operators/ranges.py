@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 500_000
+ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 256
 SAMPLE = 4096
 
