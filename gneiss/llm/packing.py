@@ -28,9 +28,11 @@ import os
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -40,13 +42,16 @@ from gneiss.llm.common import id_and_text, materialize, next_pow2
 
 CAPACITY = 2048
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-CACHE_PARTS = 400_000
+CACHE_PARTS = 1 << 20
+CACHE_IDS = 1 << 23
 ENCODE_PARTS = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+TURNS = 1 << 20
+_encoders: dict[str, "PartEncoder"] = {}
 
 
 class PartEncoder:
-    """Token ids of texts, with the ids of each distinct part kept."""
+    """Token ids of texts, with the ids of distinct parts kept in a table of one place for each hash; a later part may take an earlier one's place."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
@@ -54,67 +59,81 @@ class PartEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.keys = np.zeros(CACHE_PARTS, np.uint64)
+        self.begin = np.zeros(CACHE_PARTS, np.int64)
+        self.size = np.zeros(CACHE_PARTS, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     @staticmethod
     def parts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, starts and ends of the parts, and each document's bounds among them."""
-        w = tx.split_words(buf, offsets)
-        if not len(w.starts):
-            return w.hashes, w.starts, w.ends, w.first
+        starts, ends = tx.word_bounds(buf, offsets)
+        if not len(starts):
+            return starts.astype(np.uint64), starts, ends, np.zeros(len(offsets), np.int64)
         letter = ((buf >= 97) & (buf <= 122)) | ((buf >= 65) & (buf <= 90))
         other = (buf < 128) & ~letter & ~tx._SPACE[buf]
         cut = np.flatnonzero(letter[:-1] & other[1:]) + 1
         cut = cut[~np.isin(cut, offsets)] if len(cut) else cut
-        starts, ends = np.sort(np.concatenate([w.starts, cut])), np.sort(np.concatenate([w.ends, cut]))
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         return tx.hash_spans(tx._VALUES[tx._FOLD[buf]], starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode parts; where each one's ids begin, and how many they are."""
         ids = [x.ids for a in range(0, len(parts), ENCODE_PARTS) for x in self.tokenizer.encode_batch_fast(parts[a : a + ENCODE_PARTS], add_special_tokens=False)]
-        sizes = [len(x) for x in ids]
-        n, total = len(self.place), sum(sizes)
-        while n + len(ids) > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.size[n : n + len(ids)] = sizes
-        self.begin[n : n + len(ids)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        begin = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.place.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        return begin, sizes
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text, as one uint32 array each."""
-        if len(self.place) > CACHE_PARTS:
+        """Ids of each text, as one uint32 array each; a long text by pieces between spaces."""
+        if len(offsets) == 2 and len(buf) > 2 * tx.PIECE_BYTES and not any(s in buf.tobytes() for s in SPECIAL):
+            return [np.concatenate([self.encode(buf[a:b], np.array([0, b - a]))[0] if b - a <= 2 * tx.PIECE_BYTES else self._whole(buf[a:b]) for a, b in tx.spaced_pieces(buf)])]
+        if self.used > CACHE_IDS:
             self.clear()
         h, starts, ends, first = self.parts(buf, offsets)
         uniq, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        new = [i for i, x in enumerate(uniq.tolist()) if x not in self.place]
-        if new:
-            self._learn([int(uniq[i]) for i in new], [raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace") for i in new])
-        slot = np.fromiter((self.place[x] for x in uniq.tolist()), np.int64, len(uniq))[inverse]
-        size = self.size[slot]
+        at = (uniq % np.uint64(CACHE_PARTS)).astype(np.int64)
+        begin, size = self.begin[at], self.size[at].astype(np.int64)
+        new = np.flatnonzero(self.keys[at] != uniq)
+        if len(new):
+            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            begin[new], size[new] = self._learn(parts)
+            self.keys[at[new]], self.begin[at[new]], self.size[at[new]] = uniq[new], begin[new], size[new]
+        begin, size = begin[inverse], size[inverse]
         edge = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.begin[slot] - edge[:-1], size) + np.arange(edge[-1])]
+        flat = self.ids[np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])]
         out = [flat[edge[a] : edge[b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         if any(s in raw for s in SPECIAL):
             for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 if any(s in raw[a:b] for s in SPECIAL):
-                    out[d] = np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                    out[d] = self._whole(buf[a:b])
         return out
 
+    def _whole(self, buf: np.ndarray) -> np.ndarray:
+        return np.array(self.tokenizer.encode(buf.tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+
+def encoder_of(path: str) -> PartEncoder:
+    """The encoder of this Python worker, which later tasks find with its parts."""
+    if path not in _encoders:
+        _encoders[path] = PartEncoder(path)
+    return _encoders[path]
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece."""
+    """doc_id, piece, start, length and ids_crc32 of every piece, and turn, a number that goes round, whatever the ids are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([closing], np.uint32)
+        turn = TaskContext.get().partitionId() * 7919
         for part, buf, o in tx.chunks(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, ids in enumerate(encoder.encode(buf, o)):
@@ -127,11 +146,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
                     length.append(len(x))
                     crc.append(zlib.crc32(x.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [part.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(((turn + np.arange(len(doc))) % TURNS).astype(np.int32))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "turn"],
             )
+            turn += len(doc)
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return id_and_text(docs).mapInArrow(run, f"{PIECES}, turn int")
 
 
 # --- the plan over the histogram --------------------------------------------------------------------
@@ -270,11 +290,11 @@ def lookup_table(classes: list[Class]) -> dict[str, np.ndarray]:
 
 
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows (PIECES, already written) with sequence_id and offset."""
+    """rows (PIECES and turn, already written) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     t = lookup_table(plan_classes(histogram, capacity))
-    salts = next_pow2(sum(histogram.values()) / 50_000, 64)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = min(next_pow2(sum(histogram.values()) / 50_000, 64), TURNS)
+    salted = rows.withColumn("salt", F.pmod("turn", F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "salts")

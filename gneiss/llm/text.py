@@ -119,28 +119,34 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(U64))
 
 
+def spaced_pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about PIECE_BYTES that end before white space; longer only where a word is."""
+    a, n = 0, len(buf)
+    while a < n:
+        b = a + PIECE_BYTES
+        while b < n and not _SPACE[buf[b : b + PIECE_BYTES]].any():
+            b += PIECE_BYTES
+        b = n if b >= n else b + int(np.argmax(_SPACE[buf[b : b + PIECE_BYTES]]))
+        yield a, b
+        a = b
+
+
 def split_words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
     n = len(buf)
-    if n > 2 * PIECE_BYTES and len(offsets) == 2:  # one long text: by pieces that end in white space, to bound the arrays
-        parts, a = [], 0
-        while a < n:
-            b = a + PIECE_BYTES
-            while b < n and not _SPACE[buf[b : b + PIECE_BYTES]].any():
-                b += PIECE_BYTES
-            b = n if b >= n else b + int(np.argmax(_SPACE[buf[b : b + PIECE_BYTES]]))
-            w = split_words(buf[a:b], np.array([0, b - a]), fold) if b - a <= 2 * PIECE_BYTES else _words(buf[a:b], np.array([0, b - a]), fold)
+    if n > 2 * PIECE_BYTES and len(offsets) == 2:  # one long text, to bound the arrays
+        parts = []
+        for a, b in spaced_pieces(buf):
+            w = _words(buf[a:b], np.array([0, b - a]), fold)
             parts.append((w.hashes, w.starts + a, w.ends + a))
-            a = b
         hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
         return Words(hashes, starts, ends, np.array([0, len(hashes)]), buf)
     return _words(buf, offsets, fold)
 
 
-def _words(buf: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
-    n = len(buf)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(none.astype(U64), none, none, np.zeros(len(offsets), np.int64), buf)
+def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts start and end."""
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[buf]
     st, en = inside.copy(), inside.copy()
     st[1:] &= ~inside[:-1]
@@ -148,7 +154,13 @@ def _words(buf: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     begin, end = offsets[:-1], offsets[1:]
     begin, end = begin[begin < end], end[begin < end] - 1
     st[begin], en[end] = inside[begin], inside[end]
-    starts, ends = np.flatnonzero(st), np.flatnonzero(en) + 1
+    return np.flatnonzero(st), np.flatnonzero(en) + 1
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
+    starts, ends = word_bounds(buf, offsets)
+    if not len(starts):
+        return Words(starts.astype(U64), starts, ends, np.zeros(len(offsets), np.int64), buf)
     values = _VALUES[_FOLD[buf]] if fold else _VALUES[buf]
     return Words(hash_spans(values, starts, ends), starts, ends, np.searchsorted(starts, offsets), buf)
 

@@ -122,6 +122,9 @@ def test_token_ids_are_the_tokenizers():
     encoder = packing.PartEncoder(TOKENIZER)
     buf, o = tx.buffers(pa.array(texts))
     assert [x.tolist() for x in encoder.encode(buf, o)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    long = prose(random.Random(5), 400_000) * 4
+    buf, o = tx.buffers(pa.array([long]))
+    assert len(buf) > 2 * tx.PIECE_BYTES and encoder.encode(buf, o)[0].tolist() == t.encode(long, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs, corpus, empty):
@@ -286,6 +289,15 @@ def test_licences(spark, docs, empty):
     got = {r["doc_id"]: r["licences"] for r in collected(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), 300))}
     assert got[100] == ["mit"] and got[101] == ["cc-by-nc"] and got[102] == got[103] == []
     assert sum(bool(v) for v in got.values()) == 2
+    wrapped = {
+        1: ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction"),
+        2: ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+        3: ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by"),
+    }
+    rows += [(200 + k, prose(rng, 30) + "\n" + text + "\n" + prose(rng, 20)) for k, (_, text) in wrapped.items()] + [(210, prose(rng, 20) + "\nLicensed under the MIT license or licensed under the BSD 3-Clause License.\n" + prose(rng, 9))]
+    got = {r["doc_id"]: r["licences"] for r in collected(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), 300))}
+    assert [got[200 + k] for k in wrapped] == [[f] for f, _ in wrapped.values()] and got[210] == ["bsd", "mit"]
+    assert sum(bool(v) for v in got.values()) == 6
     assert licences.scan_licences(empty).count() == 0
     assert licences.scan_licences(docs, 100).count() == docs.count()
 
