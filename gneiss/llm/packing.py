@@ -299,7 +299,7 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "salts")
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long") - 1
-    ranked = salted.withColumn("inside", inside).join(base, ["length", "salt"])
+    ranked = salted.withColumn("inside", inside).join(base.hint("merge"), ["length", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = 1 << 44

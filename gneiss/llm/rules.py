@@ -71,15 +71,15 @@ def with_repeats(df: DataFrame) -> DataFrame:
     k = WINDOW
     at = ", ".join(f"get(h, i + {j})" for j in range(k))
     win = f"CASE WHEN size(h) >= {k} THEN transform(sequence(0, size(h) - {k}), i -> xxhash64({at})) ELSE CAST(array() AS ARRAY<BIGINT>) END"
-    same = "shiftright(get(keys, j), bits) = shiftright(get(keys, {}), bits)"
+    same = "get(keys, j).x = get(keys, {}).x"
     found = (
         f"sort_array(transform(filter(sequence(0, size(keys) - 1), j -> coalesce({same.format('j - 1')}, false) OR coalesce({same.format('j + 1')}, false)),"
-        " j -> get(keys, j) & (shiftleft(1L, bits) - 1L)))"
+        " j -> get(keys, j).i))"
     )
     covered = f"CASE WHEN size(found) > 0 THEN aggregate(sequence(0, size(found) - 1), 0L, (a, j) -> a + least({k}L, coalesce(get(found, j + 1) - get(found, j), {k}L))) ELSE 0L END"
-    # keys exist only where two windows agree; (hash << bits) | position keeps 64 - bits bits of the hash
-    keys = "sort_array(transform(win, (x, i) -> shiftleft(x, bits) | CAST(i AS BIGINT)))"
-    sort = _let("bits", "CAST(ceil(log2(size(win) + 1)) AS INT) + 1", _let("keys", keys, _let("found", found, covered)))
+    # keys are sorted only where two windows agree; all 64 bits of their hashes are compared
+    keys = "sort_array(transform(win, (x, i) -> struct(x AS x, i AS i)))"
+    sort = _let("keys", keys, _let("found", found, covered))
     count = f"CASE WHEN size(array_distinct(win)) < size(win) THEN {sort} ELSE 0L END"
     repeats = _let("h", "transform(words, w -> xxhash64(w))", _let("win", win, count))
     return df.withColumns({"n_words": F.size("words").cast("long"), "n_repeat_words": F.expr(repeats)})
