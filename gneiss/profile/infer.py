@@ -22,15 +22,15 @@ DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sun
 BOOLEANS = ("yes", "no", "true", "false")
 GENERAL = {**dict.fromkeys(("integer", "decimal"), "q"), **dict.fromkeys(("datetime", "date", "time", "year", "month", "day"), "t")}
 SCALES = {**dict.fromkeys(("integer", "decimal", "datetime", "date", "time"), "continuous"), **dict.fromkeys(("year", "month", "day"), "ordinal")}
-DATE_ORDERS = ("yyyy{s}M{s}d", "d{s}M{s}yyyy", "d{s}MMM{s}yyyy", "MMM{s}d{s}yyyy", "d{s}M{s}yy")
-SEPARATORS = "-./ "
+DATE_ORDERS = ("yyyy-M-d", "d-M-yyyy", "d-MMM-yyyy", "MMM-d-yyyy", "d-M-yy")
+SEPARATED = r"^(\w+)([-./ ])(\w+)\2(\w+)"
 TIMES = ("", " H:m", " H:m:s")
 LOOKS_LIKE_TIME = r"^(\d{1,4}[-./ ](\d{1,2}|[A-Za-z]{3})[-./ ]\d{1,4}|[A-Za-z]{3}[-./ ]\d{1,2}[-./ ]\d{4})([T ]\d{1,2}:.*)?$"
 
 
 @cache
 def _countries(_: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
-    jvm = SparkSession.getActiveSession()._jvm
+    jvm = SparkSession.builder.getOrCreate()._jvm  # also from a thread, which has no active session
     locale, english = jvm.java.util.Locale, jvm.java.util.Locale.ENGLISH
     codes = [str(c) for c in locale.getISOCountries()]
     places = [locale("", c) for c in codes]
@@ -49,10 +49,11 @@ def number(c: Column) -> Column:
 def parsed_time(c: Column) -> Column:
     """A timestamp by the first of the known forms, day first, or null."""
     x = F.trim(c)
-    forms = [o.format(s=s) + t for s in SEPARATORS for o in DATE_ORDERS for t in TIMES]
+    plain = F.regexp_replace(x, SEPARATED, "$1-$3-$4")  # the same separator twice, whichever it is
+    forms = [o + t for o in DATE_ORDERS for t in TIMES]
     iso = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), x.try_cast("timestamp"))
     # a cheap look first: few values of a text column reach the parsers
-    return F.when(x.rlike(LOOKS_LIKE_TIME), F.coalesce(iso, *[F.try_to_timestamp(x, F.lit(f)) for f in forms]))
+    return F.when(x.rlike(LOOKS_LIKE_TIME), F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in forms]))
 
 
 def detectors(c: Column) -> dict[str, Column]:
