@@ -46,7 +46,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-ORACLE_SQL = None  # a trained classifier, components and token ids are beyond SQL; tests/llm covers the operators, no test runs the stages together
+ORACLE_SQL = None  # a trained classifier, components and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
