@@ -259,7 +259,7 @@ def test_a_bad_spec_does_not_end_the_others(spark):
     from gneiss.plans.specs import make
 
     df = spark.createDataFrame([(str(i % 3), float(i), i % 2) for i in range(30)], "g string, x double, h int")
-    good, bad = make("val:agg", "c:q", grouped_field="g", agg_field="x", agg_fn="sum"), make("val:box", "c:q", grouped_field="g", boxed_field="g")
+    good, bad = make("val:agg", "c:q", grouped_field="g", agg_field="x", agg_fn="sum"), make("val:box", "c:q", grouped_field="g", boxed_field="nothing")
     errors = {}
     got = recommend(df, [good, bad], ["g"], errors=errors)
     assert [s.spec for s, _ in got] == [good] and list(errors) == [bad]
