@@ -15,9 +15,10 @@ shingles and for whole sets (48 bits of them where two sets or frequencies are c
 4. `links` verifies candidates. First rounds compare groups with a few leaders of a prefix shingle
    (the sets with fewest shingles of their own, so the likeliest originals) and members with the leader
    of their group, in proportion to the rows, and contract what is linked. The last round verifies
-   every candidate pair that is still in two components, so no link that joins components is lost, and
+   the candidate pairs that are still in two components, so no link that joins components is lost, and
    no pair inside a component is made. A candidate must fit in size and by the places of the shared
-   shingle: what stands behind it in both sets must suffice for the similarity.
+   shingle: what stands behind it in both sets must suffice for the similarity. Sets meet by steps of
+   size, and those of a frequent shingle in salts, so no task holds all of them.
 
 Defined cases: null, empty and wordless texts have no shingles and their own component; fewer than
 five words make one shingle; equal texts are linked; a null id keeps a null component and joins no
@@ -45,6 +46,7 @@ PER_BUCKET = 1 << 21
 LEADER_ROUNDS = 3
 LEADERS = 4
 ROWS_PER_TASK = 100_000
+PER_SALT = 1000  # sets of one shingle that meet all others in one salt of the last round
 MAX_TASKS = 1 << 16
 U64 = np.uint64
 
@@ -270,6 +272,20 @@ def fits(n: str, pos: str, m: str, at: str) -> Column:
     return F.expr(f"9 * least({n} - {pos}, {m} - {at}) >= 4 * ({n} + {m}) and 5 * least({n}, {m}) >= 4 * greatest({n}, {m})")
 
 
+def unlinked_pairs(left: DataFrame) -> DataFrame:
+    """(a, b) of keys with a common token, of two roots, that fit in size and place.
+
+    Sizes that fit lie in the same step of a factor 1.26 or in two that touch, so only those meet. The sets of a
+    token are dealt over its salts, and each of them meets all others once, PER_SALT sets at a time.
+    """
+    placed = left.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.26))))
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+    other = placed.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"), F.col("step").alias("step_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = other.withColumn("step", F.explode(F.array(F.col("step_b"), F.col("step_b") + 1)))
+    met = dealt.drop("salts").join(other, ["token", "step", "salt"]).where("step_b < step or key < b").where("root != root_b").where(fits("n", "pos", "m", "at"))
+    return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(node, root) over set keys: components of verified links, for keys with a link."""
     parts = 4 + sets.select(F.sum(F.size("prefix"))).first()[0] // ROWS_PER_TASK if not sets.isEmpty() else 4
@@ -304,12 +320,12 @@ def links(sets: DataFrame) -> DataFrame:
             found = new if found is None else found.union(new)
             old, roots = roots, connected_components(found)
             discard(old)
-    # what still lies in two components: every candidate pair
+    # what still lies in two components
     placed = materialize(with_root(tokens), "placed", parts)
-    mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token"), "mixed", parts)
-    left = materialize(placed.join(mixed, "token").select("key", "n", "token", "pos", "root"), "left", parts)
-    right = left.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"))
-    pairs = left.withColumnRenamed("key", "a").join(right, "token").where("a < b and root != root_b").where(fits("n", "pos", "m", "at")).select("a", "b").distinct()
+    mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("met")).where("r0 < r1")
+    mixed = materialize(mixed.select("token", F.ceil(F.col("met") / PER_SALT).cast("int").alias("salts")), "mixed", parts)
+    left = materialize(placed.join(mixed, "token").select("key", "n", "token", "pos", "root", "salts"), "left", parts)
+    pairs = unlinked_pairs(left)
     asked = materialize(pairs, "pairs", parts)
     last = materialize(verify(asked, sets), "last_links", parts)
     discard(members, heads, tokens, group_tokens, placed, mixed, left, asked, roots)

@@ -330,6 +330,35 @@ def test_jaccard(docs, corpus, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_in_salts(spark, monkeypatch):
+    """Texts made of few sentences, so that all shingles are frequent; nearly all links are left to the last round."""
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "PER_SALT", 3)
+    rng = random.Random(21)
+    sentences = [prose(rng, rng.choice((6, 12, 25))) for _ in range(14)]
+    rows = []
+    for i in range(90):
+        picked = rng.sample(sentences, rng.randrange(4, 12))
+        rows.append((i, " ".join(picked)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(picked[:-1])))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    last, plain = [], jaccard.unlinked_pairs
+    monkeypatch.setattr(jaccard, "unlinked_pairs", lambda left: last.append((left.agg(F.max("salts")).first()[0], plain(left).count())) or plain(left))
+    got = collected(jaccard.jaccard_components(docs))
+    assert last[0][0] > 1 and last[0][1] > 0
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), root[i]) for i in sets}
+    assert 10 < len(set(root.values())) < len(sets) - 10
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     rng = random.Random(5)
     a, b, c, d = (prose(rng, 60) for _ in range(4))
