@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import permutations
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.operators.predicates import column
 
@@ -15,14 +16,27 @@ SIMILAR = 0.8
 
 
 def hierarchy_pairs(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(parent, child, ratio, is_edge): distinct children over the sum of distinct children per parent."""
-    out = None
-    for a, b in permutations(fields, 2):
-        pairs = df.na.drop("any", subset=[a, b]).select(column(a).cast("string").alias("a"), column(b).cast("string").alias("b")).distinct()
-        ratio = F.countDistinct("b") / F.count("*")
-        one = pairs.agg(ratio.alias("ratio")).select(F.lit(a).alias("parent"), F.lit(b).alias("child"), "ratio", F.coalesce(F.col("ratio") >= HIERARCHY, F.lit(False)).alias("is_edge"))
-        out = one if out is None else out.union(one)
-    return out
+    """(parent, child, ratio, is_edge): distinct children over the sum of distinct children per parent.
+
+    One scan, and one distinct for all pairs of fields: both directions of a pair are counted on its distinct
+    pairs of values, those with a null or NaN left out. A table without rows has none.
+    """
+    schema = "parent string, child string, ratio double, is_edge boolean"
+    if len(fields) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    some = {f: ~F.isnan(column(f)) if isinstance(df.schema[f].dataType, T.FractionalType) and not isinstance(df.schema[f].dataType, T.DecimalType) else F.lit(True) for f in fields}
+    text = {f: F.when(some[f], column(f).cast("string")) for f in fields}
+    both = list(combinations(fields, 2))
+    of_row = []
+    for n, (a, b) in enumerate(both):
+        whole = text[a].isNotNull() & text[b].isNotNull()
+        of_row.append(F.struct(F.lit(n).alias("pair"), F.when(whole, text[a]).alias("a"), F.when(whole, text[b]).alias("b")))
+    pairs = df.select(F.explode(F.array(*of_row)).alias("x")).select("x.*").distinct()
+    per = pairs.groupBy("pair").agg(F.count("a").alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
+    first, second = (F.array(*[F.lit(p[i]) for p in both])[F.col("pair")] for i in (0, 1))
+    edge = lambda parent, child, count: F.struct(parent.alias("parent"), child.alias("child"), F.when(F.col("n") > 0, F.col(count) / F.col("n")).alias("ratio"))
+    out = per.select(F.explode(F.array(edge(first, second, "nb"), edge(second, first, "na"))).alias("x")).select("x.*")
+    return out.withColumn("is_edge", F.coalesce(F.col("ratio") >= HIERARCHY, F.lit(False)))
 
 
 def hierarchies(df: DataFrame, fields: Sequence[str]) -> dict[str, dict[str, list[str]]]:
@@ -52,6 +66,7 @@ def discover_joins(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], least:
     sizes = long.groupBy("ds", "field").agg(F.count("*").alias("size"))
     other = long.select(F.col("ds").alias("ds_b"), F.col("field").alias("field_b"), "v")
     both = long.join(other, "v").where("ds < ds_b").groupBy("ds", "field", "ds_b", "field_b").agg(F.count("*").alias("both"))
+    # sizes has a row for each field of the tables
     sized = both.join(F.broadcast(sizes), ["ds", "field"]).join(F.broadcast(sizes.select(F.col("ds").alias("ds_b"), F.col("field").alias("field_b"), F.col("size").alias("size_b"))), ["ds_b", "field_b"])
     similarity = F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))
     kind = F.when(F.col("size") == F.col("size_b"), "11").when(F.col("size") > F.col("size_b"), "N1").otherwise("1N")

@@ -112,6 +112,17 @@ def field(name, general, scale="nominal", unique=False):
     return Field(name, "string", general, scale, 10, 0, 5, unique, False, False)
 
 
+def test_hierarchies_and_counts_with_nulls(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0, -3), ("a", nan, -2), ("b", 1.0, -1), (None, 2.0, None), ("b", None, 90), ("b", 1.0, -1)], "s string, x double, k int")
+    got = {(r["parent"], r["child"]): (r["ratio"], r["is_edge"]) for r in relations.hierarchy_pairs(df.select("s", "x"), ["s", "x"]).collect()}
+    assert got == {("s", "x"): (0.5, True), ("x", "s"): (1.0, True)}
+    assert relations.hierarchy_pairs(df, ["s"]).count() == 0 and relations.hierarchy_pairs(df.limit(0), ["s", "x"]).count() == 0
+    assert {tuple(r) for r in describe.counts(df).collect()} == {("s", 5, 1, 2), ("x", 5, 1, 3), ("k", 5, 1, 4)}
+    short = {r[0]: r[1] for r in describe.contiguity(df.where("k < 0").withColumn("j", F.col("k") * 2), ["k", "j"]).collect()}
+    assert short == {"k": True, "j": False} and not describe.contiguity(df, ["k"]).first()[1]
+
+
 def test_planner():
     c = [field("c1", "c"), field("c2", "c")]
     q = [field("q1", "q", "continuous"), field("q2", "q", "continuous")]
