@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import decontam, html, jaccard, licences, lm, packing, quality, rules, sentences, suffixes
+from gneiss.llm import audit, decontam, fim, html, jaccard, licences, lm, packing, quality, rules, sentences, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, and deleted with this subpackage
 
@@ -73,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_html_extraction,
         op10_suffix_dedup,
+        op11_filter_audit,
+        op12_fill_in_middle,
         pipeline,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules.oracle(), "op11_filter_audit": audit.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
