@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import audit, decontam, fim, html, jaccard, licences, lm, packing, quality, rules, sentences, suffixes
+from gneiss.llm import audit, decontam, fim, html, jaccard, licences, lm, oddsketch, packing, quality, rules, sentences, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, and deleted with this subpackage
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
         op11_filter_audit,
         op12_fill_in_middle,
+        op13_odd_sketch_dedup,
         pipeline,
     )
 }
