@@ -9,12 +9,14 @@ document's set size, its component, and whether it is the one that stays.
    (1 - 0.8^6)^48, under one in two million, and less above.
 3. The XOR of two odd sketches holds the parity of the samples in which two sets differ, so its population count
    tells a high similarity more precisely than the samples' bits could. `most_odd_bits` works out exactly how many
-   bits a pair of similarity 0.8 may show, up to one in ten million; a candidate that shows more is dropped.
+   bits a pair of similarity 0.8 may show, up to one in ten million; a candidate that shows more is dropped. A second
+   odd sketch, of the whole set in 768 bits, is sharper for sets of up to a thousand shingles or so, whose difference it
+   counts almost exactly; the first one is as good for sets of any size. Both must pass.
 4. What is left is verified on whole sets. First rounds compare the sets of a bucket with its leaders (first the set
    that meets most others in all its buckets, so the likeliest original, then random ones) and contract what is
-   linked. The last round takes all candidates of a bucket that still lie in two components: by size steps that
-   fit, and in salts on both sides, so no task meets a whole bucket, and their sketches are compared inside the join,
-   so that only pairs that pass leave it. No pair inside a component is made.
+   linked. The last round takes all candidates of a bucket that still lie in two components: those outside the
+   bucket's commonest component against all, by size steps that fit, and in salts on both sides, so no task meets a
+   whole bucket; sketches are compared inside the join, so that only pairs that pass leave it.
 
 Defined cases: null, empty and wordless texts have no shingles, their own component, and stay; one word is one
 shingle; equal texts are linked; a null id keeps a null component, a null `kept`, and names no other row's; repeated
@@ -42,12 +44,14 @@ SIMILAR = 0.8
 ROWS, BANDS = 6, 48
 SAMPLES = ROWS * BANDS
 BITS = 512
+WHOLE_BITS = 768  # with more, the method that Spark generates for the last join passes the 8,000 bytes that the JVM compiles at most (70 times slower)
 LOST = 1e-7  # share of pairs of similarity SIMILAR whose sketches may show more odd bits than allowed
 LEADER_ROUNDS, LEADERS = 3, 4
 PER_SALT = 1000
 ROWS_PER_TASK = 200_000
 FEW_KEYS = 200_000  # keys that are broadcast to pick the sets to verify; more are joined
-SKETCHES_AT_ONCE = 4096  # documents whose sketches are made at a time
+DEVIATIONS = 5.5  # of the odd bits of a whole sketch over their mean, a chance under LOST
+SKETCHES_AT_ONCE = 2048  # documents whose sketches are made at a time
 U64 = np.uint64
 _RNG = np.random.default_rng(13)
 _FACTORS = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -96,19 +100,34 @@ def band_hashes(mins: np.ndarray) -> np.ndarray:
     return tx.mix(mixed.reshape(BANDS, ROWS, -1).sum(1, dtype=U64) + np.arange(1, BANDS + 1, dtype=U64)[:, None] * _MIXERS[0, 1]).T
 
 
+def folded(place: np.ndarray, owner: np.ndarray, documents: int, bits: int) -> np.ndarray:
+    """(documents, bits / 64): bit b of a document's row is the parity of its places that are b."""
+    parity = np.bincount(place + owner * bits, minlength=documents * bits).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64).reshape(documents, -1)
+
+
 def odd_sketches(mins: np.ndarray) -> np.ndarray:
-    """(documents, BITS / 64): bit b of a row is the parity of the samples that hash to b."""
-    out = np.empty((mins.shape[1], BITS // 64), np.int64)
+    """Odd sketches of the MinHash samples."""
+    out = [np.zeros((0, BITS // 64), np.int64)]
     for a in range(0, mins.shape[1], SKETCHES_AT_ONCE):
         some = mins[:, a : a + SKETCHES_AT_ONCE].astype(U64)
-        place = (tx.mix(some + _MIXERS[:, 1:]) % U64(BITS)).astype(np.int64) + np.arange(some.shape[1]) * BITS
-        parity = np.bincount(place.ravel(), minlength=some.shape[1] * BITS).astype(np.uint8) & 1
-        out[a : a + some.shape[1]] = np.packbits(parity).view(np.int64).reshape(some.shape[1], -1)
-    return out
+        place = (tx.mix(some + _MIXERS[:, 1:]) % U64(BITS)).astype(np.int64)
+        out.append(folded(place.ravel(), np.tile(np.arange(some.shape[1]), SAMPLES), some.shape[1], BITS))
+    return np.concatenate(out)
+
+
+def whole_sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Odd sketches of the sets h[bounds[d]:bounds[d + 1]] themselves."""
+    out = [np.zeros((0, WHOLE_BITS // 64), np.int64)]
+    for a in range(0, len(bounds) - 1, SKETCHES_AT_ONCE):
+        o = bounds[a : a + SKETCHES_AT_ONCE + 1]
+        place = (tx.mix(h[o[0] : o[-1]]) % U64(WHOLE_BITS)).astype(np.int64)
+        out.append(folded(place, np.repeat(np.arange(len(o) - 1), np.diff(o)), len(o) - 1, WHOLE_BITS))
+    return np.concatenate(out)
 
 
 def describe(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, digest, n, key, bands, sketch) for each document; bands and sketch with the first sight of a set in a task only."""
+    """(doc_id, digest, n, key, bands, sketch, whole) for each document; the last three with the first sight of a set in a task only."""
 
     def lists(values: np.ndarray, new: np.ndarray) -> pa.Array:
         width = values.shape[1]
@@ -125,12 +144,13 @@ def describe(docs: DataFrame, k: int = K) -> DataFrame:
                 if n[i] and key not in seen:
                     seen.add(key)
                     new[i] = True
-            mins = min_hashes(h[np.repeat(new, n)], np.concatenate(([0], np.cumsum(n[new])))[:-1]) if new.any() else np.zeros((SAMPLES, 0), np.uint32)
-            columns = [part.column(0), part.column(2), pa.array(n), pa.array(keys, mask=n == 0), lists(np.ascontiguousarray(band_hashes(mins)), new), lists(odd_sketches(mins), new)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "key", "bands", "sketch"])
+            h, bounds = h[np.repeat(new, n)], np.concatenate(([0], np.cumsum(n[new])))
+            mins = min_hashes(h, bounds[:-1]) if new.any() else np.zeros((SAMPLES, 0), np.uint32)
+            columns = [part.column(0), part.column(2), pa.array(n), pa.array(keys, mask=n == 0), lists(np.ascontiguousarray(band_hashes(mins)), new), lists(odd_sketches(mins), new), lists(whole_sketches(h, bounds), new)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "key", "bands", "sketch", "whole"])
 
     digested = id_and_text(docs).withColumn("digest", F.xxhash64("text"))
-    return digested.mapInArrow(run, "doc_id long, digest long, n long, key long, bands array<long>, sketch array<long>")
+    return digested.mapInArrow(run, "doc_id long, digest long, n long, key long, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
@@ -154,15 +174,29 @@ def sizes_fit(n: str, m: str) -> Column:
     return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})")
 
 
-def odd_bits(x: str, y: str) -> Column:
+def odd_bits(x: str, y: str, bits: int) -> Column:
     """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, bits // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
+def most_whole_bits(n: str, m: str) -> Column:
+    """Odd bits that the whole sketches of sets of n and m shingles may differ in: they differ in (n + m) / 9 shingles
+    at most, so in no more bits, and in fewer where many fall together."""
+    apart = (F.col(n) + F.col(m)) / 9
+    left = F.exp(-2 * apart / WHOLE_BITS)
+    mean, variance = WHOLE_BITS / 2 * (1 - left), WHOLE_BITS / 4 * (1 - left * left)
+    return F.least(apart, mean + DEVIATIONS * F.sqrt(variance) + 2)
+
+
+def alike(most: int) -> Column:
+    """Whether sets with na, sa, wa and nb, sb, wb fit in size and by both sketches."""
+    return sizes_fit("na", "nb") & (odd_bits("wa", "wb", WHOLE_BITS) <= most_whole_bits("na", "nb")) & (odd_bits("sa", "sb", BITS) <= most)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) that fit in size and whose sketches differ in `most` bits at most."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit("na", "nb") & (odd_bits("sa", "sb") <= most)).select("a", "b")
+    """The pairs (a, b) that fit in size and by their sketches."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("whole").alias(f"w{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike(most)).select("a", "b")
 
 
 def verified(asked: DataFrame, tokens: DataFrame, parts: int) -> DataFrame:
@@ -174,17 +208,19 @@ def verified(asked: DataFrame, tokens: DataFrame, parts: int) -> DataFrame:
 
 
 def remaining_pairs(left: DataFrame, most: int) -> DataFrame:
-    """(a, b) of two roots out of left (bucket, key, n, sketch, root, salts) that share a bucket, fit in size and pass the sketches.
+    """(a, b) of two roots out of left (bucket, key, n, sketch, whole, root, minor, ask_salts, salts) that share a bucket, fit in size and pass the sketches.
 
-    A set of salt i meets those of salts 0 to i, so a pair of salts meets once and neither side is whole in a task.
+    One of them at least is not of the bucket's commonest root; such sets (minor) ask, all are asked. Both sides are
+    dealt over salts, and each salt of the one meets each of the other, so no task has a whole bucket of either.
     """
-    step = F.floor(F.log("n") / F.log(F.lit(1.26)))
-    placed = left.withColumn("step", step).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-    # the larger salt of a pair asks, the smaller one is asked; a bucket of s salts has s (s + 1) / 2 pairs
-    asks = placed.select("bucket", "step", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("ra"), F.col("salt").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("y"))
-    told = placed.select("bucket", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("root").alias("rb"), F.col("salt").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("x"))
-    asks, told = asks.where("y <= x"), told.where("y <= x")
-    met = asks.join(told, ["bucket", "step", "x", "y"]).where((F.col("ra") != F.col("rb")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))) & sizes_fit("na", "nb") & (odd_bits("sa", "sb") <= most))
+    placed = left.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.26))))
+    side = lambda c: [F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("whole").alias(f"w{c}"), F.col("root").alias(f"r{c}")]
+    dealt = lambda salts: F.pmod(F.xxhash64("key"), F.col(salts)).cast("int")
+    every = lambda salts: F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
+    asks = placed.where("minor").select("bucket", "step", *side("a"), dealt("ask_salts").alias("x"), every("salts").alias("y"))
+    told = placed.select("*", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("near"))
+    told = told.select("bucket", F.col("near").alias("step"), *side("b"), F.col("minor").alias("asks_too"), dealt("salts").alias("y"), every("ask_salts").alias("x"))
+    met = asks.join(told, ["bucket", "step", "x", "y"]).where((F.col("ra") != F.col("rb")) & (~F.col("asks_too") | (F.col("a") < F.col("b"))) & alike(most))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -197,7 +233,7 @@ def links(docs: DataFrame, described: DataFrame, k: int = K) -> DataFrame:
     placed = materialize(rows.join(company, "bucket"), "odd_buckets")
     parts = 4 + placed.count() // ROWS_PER_TASK
     weights = placed.groupBy("key").agg(F.sum("met").alias("weight"))
-    members = materialize(sets.join(weights, "key").select("key", "digest", "n", "sketch", "weight"), "odd_sets", parts)
+    members = materialize(sets.join(weights, "key").select("key", "digest", "n", "sketch", "whole", "weight"), "odd_sets", parts)
     tokens = materialize(whole_sets(docs, members.select("digest").distinct(), k), "odd_tokens")
     step = F.floor(F.log("n") / F.log(F.lit(1.25))).alias("step")
     at = materialize(placed.join(members.select("key", "n", "weight"), "key").select("bucket", "key", "n", "weight", step), "odd_placed", parts)
@@ -226,8 +262,10 @@ def links(docs: DataFrame, described: DataFrame, k: int = K) -> DataFrame:
             discard(old)
     # what still lies in two components
     rooted = materialize(with_root(at).select("bucket", "key", "root"), "odd_rooted", parts)
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("met")).where("r0 < r1")
-    left = rooted.join(mixed.select("bucket", F.ceil(F.col("met") / PER_SALT).cast("int").alias("salts")), "bucket").join(members.select("key", "n", "sketch"), "key")
+    per_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("met"), F.max(F.struct("c", "root")).alias("most"))
+    salts = lambda c: F.ceil(c / PER_SALT).cast("int")
+    mixed = per_root.where("met > most.c").select("bucket", F.col("most.root").alias("major"), salts(F.col("met")).alias("salts"), salts(F.col("met") - F.col("most.c")).alias("ask_salts"))
+    left = rooted.join(mixed, "bucket").join(members.select("key", "n", "sketch", "whole"), "key").withColumn("minor", F.col("root") != F.col("major"))
     left = materialize(left, "odd_left", parts)
     asked = materialize(remaining_pairs(left, most), "odd_pairs", parts)
     last = verified(asked, tokens, parts)
