@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.operators.binning import as_number, bin_edges, bin_index, bin_stats, number_of_bins
 from gneiss.operators.predicates import column, filtered
@@ -48,13 +49,14 @@ def crosstab2(df: DataFrame, rows: str, cols: str, fn: str = "COUNT", dependent:
     data = df.na.drop("any", subset=[x for x in (rows, cols, dependent, weight) if x])
     keyed = data.withColumns({"__r": key(df, rows, row_edges), "__c": key(df, cols, col_edges)})
     got = keyed.groupBy("__r", "__c").agg(measure(fn, dependent, weight).alias("value"))
-    kept = got.limit(MAX_CELLS + 1).cache()  # a row for each pair that occurs
-    sides = [kept.select(c).distinct() for c in ("__r", "__c")]
-    if kept.count() > MAX_CELLS or sides[0].count() * sides[1].count() > MAX_CELLS:
+    cells = got.limit(MAX_CELLS + 1).collect()  # a row for each pair that occurs
+    sides = [list(dict.fromkeys(r[i] for r in cells)) for i in (0, 1)]
+    if len(cells) > MAX_CELLS or len(sides[0]) * len(sides[1]) > MAX_CELLS:
         raise ValueError(f"over {MAX_CELLS} cells; crosstab2_totals gives only those that occur")
-    grid = sides[0].crossJoin(F.broadcast(sides[1]))  # MAX_CELLS rows at most
-    out = grid.join(kept, ["__r", "__c"], "left")
-    return out.select(F.col("__r").alias("row"), F.col("__c").alias("col"), F.coalesce("value", F.lit(0)).alias("value"))
+    value = {(r[0], r[1]): r[2] for r in cells}
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(("row", "col", "value"), got.schema, strict=True)])
+    grid = df.sparkSession.createDataFrame([(a, b, value.get((a, b))) for a in sides[0] for b in sides[1]], schema)  # MAX_CELLS rows at most
+    return grid.select("row", "col", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def crosstab2_totals(df: DataFrame, rows: str, cols: str, fn: str = "COUNT", dependent: str | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from gneiss.plans.enumerate import enumerate_specs
 from gneiss.plans.score import recommend
 from gneiss.profile import describe, infer, relations
 from gneiss.sources import readers, sinks
+from gneiss.sources.cache import fingerprint
 from gneiss.sources.readers import coerce
 from gneiss.stats import comparison, correlation, regression
 
@@ -629,12 +630,16 @@ def ols_categories(df):
     return fit_frame(df, models[-1][1])
 
 
-@query("lineitem")
-def r2_contribution(df):
+def r2_contribution(spark, sf_dir):
+    """To six places: the gains of two of the variables are of that size."""
+    df = read(spark, sf_dir, "lineitem")
     got = regression.r2_contributions(regression.regress(df, PRICE, [QUANTITY, "l_discount", "l_tax"]))
     return rows_of(df, [(v, round(float(x), 6)) for v, x in got.items()], "variable string, gain double")
 
 
+QUERIES["r2_contribution"] = r2_contribution
+
+
 @query("lineitem")
 def anova_twoway(df):
     return rows_of(df, regression.anova(df, QUANTITY, [FLAG, STATUS]), "source string, df int, ss double, ms double, f double, p double")
@@ -859,6 +864,54 @@ _round_trip("parquet_round_trip", "parquet", "parquet", "o_orderkey; o_totalpric
 _round_trip("orc_round_trip", "orc", "orc", "o_orderkey; o_totalprice; o_orderpriority", "SELECT o_orderkey, ROUND(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders")
 
 
+def csv_long_rows(spark, sf_dir):
+    """Orders written as text with planted faults, by key modulo 9, and read back: 0 one field too many, 1 an empty one
+    too many, 2 several with a quoted last one, 3 and 4 too few, 5 and 6 delimiters and quotes inside quotes."""
+    path = f"{shared_folder(spark)}.csv"
+    key, price, priority, kind = "o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_orderkey") % 9
+    plain = F.concat_ws(",", key, F.format_string("%.2f", price), priority)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = (
+        F.when(kind == 0, F.concat(plain, F.lit(",more")))
+        .when(kind == 1, F.concat(plain, F.lit(",")))
+        .when(kind == 2, F.concat(plain, F.lit(',,,"a,""b"')))
+        .when(kind == 3, F.col(key).cast("string"))
+        .when(kind == 4, F.concat_ws(",", key, F.format_string("%.2f", price)))
+        .when(kind == 5, F.concat_ws(",", key, F.format_string("%.2f", price), quoted(F.concat_ws(",", priority, F.lit("x"), F.lit("y")))))
+        .when(kind == 6, F.concat_ws(",", key, F.format_string("%.2f", price), quoted(F.concat(priority, F.lit(' "a,b",c')))))
+        .otherwise(plain)
+    )
+    df = read(spark, sf_dir, "orders").select(line.alias("line"))
+    spark.createDataFrame([("o_orderkey,o_totalprice,o_orderpriority",)], "line string").coalesce(1).unionByName(df).withColumn("o", F.when(F.col("line").startswith("o_"), 0).otherwise(1)).sortWithinPartitions("o").select("line").coalesce(1).write.text(path)
+    back = readers.read_delimited(spark, path, readers.Dialect())
+    return rounded(coerce(back, {"o_orderkey": "integer", "o_totalprice": "decimal"}))
+
+
+QUERIES["csv_long_rows"] = csv_long_rows
+ORACLE_SQL["csv_long_rows"] = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 3 THEN ROUND(CAST(printf('%.2f', o_totalprice) AS DOUBLE), 4) END AS o_totalprice, CASE o_orderkey % 9 WHEN 3 THEN NULL WHEN 4 THEN NULL "
+    "WHEN 5 THEN o_orderpriority || ',x,y' WHEN 6 THEN o_orderpriority || ' \"a,b\",c' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 9 NOT IN (0, 1, 2)"
+)
+
+
+@query("orders", "SELECT * FROM (VALUES ('dealt anew', TRUE), ('other order', TRUE), ('one row changed', FALSE), ('one row twice', FALSE), ('other name', FALSE), ('null for empty', FALSE)) t(change, same)")
+def table_fingerprint(df):
+    """Whether changes of a table leave its fingerprint as it is."""
+    rows = df.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") > 1, F.col("o_orderstatus")).otherwise("").alias("status"))
+    least = rows.agg(F.min("o_orderkey")).first()[0]
+    own = fingerprint(rows)
+    first = F.col("o_orderkey") == least
+    changed = {
+        "dealt anew": rows.repartition(7, "status"),
+        "other order": rows.orderBy(F.desc("o_totalprice")),
+        "one row changed": rows.withColumn("o_totalprice", F.when(first, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))),
+        "one row twice": rows.union(rows.where(first)),
+        "other name": rows.withColumnRenamed("status", "state"),
+        "null for empty": rows.withColumn("status", F.when(F.col("status") != "", F.col("status"))),
+    }
+    return rows_of(df, [(name, fingerprint(x) == own) for name, x in changed.items()], "change string, same boolean")
+
+
 # --- more statistics --------------------------------------------------------------------------------
 
 

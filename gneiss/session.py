@@ -16,14 +16,16 @@ from gneiss.plans.specs import VizSpec, canonical
 from gneiss.profile.describe import Field, override, profile
 from gneiss.profile.relations import hierarchies
 from gneiss.sources import readers
-from gneiss.sources.sinks import ResultCache, write_table
+from gneiss.sources.cache import DatasetCache, ResultCache, Version
+from gneiss.sources.sinks import write_table
 from gneiss.stats import comparison, correlation, regression
 
 
 class Dataset:
     def __init__(self, df: DataFrame, cache: ResultCache | None = None):
         self.df = df
-        self.results = cache or ResultCache()
+        self.results = ResultCache() if cache is None else cache
+        self.version = Version(df)
 
     @cached_property
     def fields(self) -> list[Field]:
@@ -48,10 +50,11 @@ class Dataset:
         return recommend(self.df, enumerate_specs(self.fields, selected, kinds, limit), selected, conditionals)
 
     def visualize(self, spec: VizSpec, conditionals: Mapping | None = None, config: Mapping | None = None) -> list:
-        key = canonical(spec, conditionals, config)
-        if (got := self.results.get(key)) is None:
+        """A spec's result rows: the kept ones, unless the spec, its settings or the data have changed."""
+        key, version = canonical(spec, conditionals, config), self.version.current()
+        if (got := self.results.get(key, version=version)) is None:
             got = compile_spec(spec, self.df, conditionals, config).collect()
-            self.results.put(got, key)
+            self.results.put(got, key, version=version)
         return got
 
     def aggregate(self, variables: Sequence[str], dependent: str | None = None, **options) -> DataFrame | None:
@@ -81,11 +84,19 @@ class Dataset:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession):
+    """Datasets of one session. Tables that are read by path are kept in memory, the least recently used going first."""
+
+    def __init__(self, spark: SparkSession, capacity: int = 8 << 30):
         self.spark = spark
+        self.datasets = DatasetCache(capacity)
+        self.results: dict[str, ResultCache] = {}
 
     def read(self, path: str) -> Dataset:
-        return Dataset(readers.ingest(self.spark, path))
+        return Dataset(self.datasets.get_or_insert(path, lambda: readers.ingest(self.spark, path)), self.results.setdefault(path, ResultCache()))
+
+    def forget(self, path: str) -> bool:
+        """Drop a table and free its memory, so that it is read anew; results of unchanged data stay valid."""
+        return self.datasets.remove(path)
 
     def dataset(self, df: DataFrame) -> Dataset:
         return Dataset(df)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.operators.predicates import column
 from gneiss.profile.infer import infer_types, parsed_time
+from gneiss.sources.encoding import BY_SPARK, as_text, detect
 
 PREFIX_BYTES = 1 << 20
 EXTENSIONS = {"csv": ",", "tsv": "\t", "txt": None}
@@ -23,6 +25,8 @@ class Dialect:
     quote: str = '"'
     escape: str = '"'
     encoding: str = "UTF-8"
+    multiline: bool = False  # quoted fields with line ends; a file is then read by one task
+    line_end: str | None = None  # set for wide encodings, where Spark must be told
 
 
 def prefix(spark: SparkSession, path: str, size: int = PREFIX_BYTES) -> bytes:
@@ -39,39 +43,69 @@ def prefix(spark: SparkSession, path: str, size: int = PREFIX_BYTES) -> bytes:
         stream.close()
 
 
-def sniff(raw: bytes) -> Dialect:
-    """Encoding and dialect of a delimited file's first bytes."""
-    encoding = "UTF-8"
-    for bom, name in ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
-        if raw.startswith(bom):
-            encoding = name
-    if encoding == "UTF-8":
-        try:
-            raw[: max(len(raw) - 4, 0)].decode("utf-8") if len(raw) == PREFIX_BYTES else raw.decode("utf-8")
-        except UnicodeDecodeError:
-            encoding = "ISO-8859-1"
-    text = raw.decode(encoding, "replace")
+def sniff(raw: bytes, whole: bool | None = None) -> Dialect:
+    """Encoding and dialect of a delimited file's first bytes."""
+    whole = len(raw) < PREFIX_BYTES if whole is None else whole
+    encoding = detect(raw, whole)
+    text = raw.decode(encoding, "replace").lstrip("\ufeff")
     try:
         d = csv.Sniffer().sniff(text[:65536], delimiters=",;\t|")
-        return Dialect(d.delimiter, d.quotechar or '"', '"' if d.doublequote else (d.escapechar or "\\"), encoding)
+        found = Dialect(d.delimiter, d.quotechar or '"', '"' if d.doublequote else (d.escapechar or "\\"), encoding)
     except csv.Error:
-        return Dialect(encoding=encoding)
+        found = Dialect(encoding=encoding)
+    wide = encoding.startswith(("UTF-16", "UTF-32"))
+    return replace(found, multiline=_has_line_ends(text, found), line_end=("\r\n" if "\r\n" in text else "\n") if wide else None)
+
+
+def _has_line_ends(text: str, d: Dialect) -> bool:
+    """Whether a quoted field holds a line end, in more than a stray quote's way: the records then have as many fields as the header."""
+    if d.quote not in text:
+        return False
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=d.delimiter, quotechar=d.quote, doublequote=d.escape == d.quote, escapechar=None if d.escape == d.quote else d.escape))[:-1]
+    return any(len(r) == len(rows[0]) and any("\n" in f for f in r) for r in rows)
+
+
+def field_count(raw: Column, d: Dialect) -> Column:
+    """Fields of a raw record: a small state machine over its characters.
+
+    States: 0 a field begins, 1 inside a plain field, 2 inside a quoted one, 3 behind a quote in one, 4 behind an escape.
+    """
+    state, fields = (lambda a: a["state"]), (lambda a: a["fields"])
+    own = d.escape != d.quote  # the escape is a character of its own
+
+    def step(a: Column, c: Column) -> Column:
+        ends = (c == d.delimiter) & state(a).isin(0, 1, 3)
+        nxt = (
+            F.when(ends, 0)
+            .when(state(a) == 0, F.when(c == d.quote, 2).otherwise(1))
+            .when(state(a) == 2, F.when(c == d.escape, 4).when(c == d.quote, 3).otherwise(2) if own else F.when(c == d.quote, 3).otherwise(2))
+            .when(state(a) == 3, (F.lit(1) if own else F.when(c == d.quote, 2).otherwise(1)))
+            .when(state(a) == 4, 2)
+            .otherwise(1)
+        )
+        return F.struct(nxt.cast("int").alias("state"), (fields(a) + ends.cast("int")).alias("fields"))
+
+    return F.aggregate(F.split(raw, ""), F.struct(F.lit(0).alias("state"), F.lit(1).alias("fields")), step, fields)
 
 
 def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
-    """All columns as strings. Rows with too many fields go; short ones end in nulls.
+    """All columns as strings. Records with more fields than the header go; short ones end in nulls.
 
-    Rows are told apart by their raw text: one whose parsed field count exceeds the header's is dropped.
+    Records are parsed with one field more than the header, whichever columns are asked for. One that fits this is too long by one; of the others only
+    those with so many delimiters that they may be too long are looked at character by character.
     """
     d = dialect or sniff(prefix(spark, path))
-    options = {"sep": d.delimiter, "quote": d.quote, "escape": d.escape, "encoding": d.encoding, "header": True, "enforceSchema": False}
+    read_as = d.encoding if d.encoding in BY_SPARK else "ISO-8859-1"
+    options = {"sep": d.delimiter, "quote": d.quote, "escape": d.escape, "encoding": read_as, "header": True, "enforceSchema": False, "multiLine": d.multiline, **({"lineSep": d.line_end} if d.line_end else {})}
     names = spark.read.options(**options).csv(path).columns
     corrupt, extra = "__raw", "__extra"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra, corrupt]])
-    rows = spark.read.schema(schema).options(**{**options, "enforceSchema": True}, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt).csv(path)
-    # a row with as many fields as the header lacks the extra one; its raw text is kept for both short and long rows
-    fits = column(extra).isNull() & ~F.coalesce(column(corrupt).rlike("^(?:[^\\Q%s\\E]*\\Q%s\\E){%d}" % (d.delimiter, d.delimiter, len(names))) & ~F.contains(column(corrupt), F.lit(d.quote)), F.lit(False))
-    return rows.where(fits).select(*[column(n) for n in names])
+    rows = spark.read.schema(schema).options(**{**options, "enforceSchema": True}, mode="PERMISSIVE", columnPruning=False, columnNameOfCorruptRecord=corrupt).csv(path)
+    raw = column(corrupt)
+    delimiters = F.length(raw) - F.length(F.replace(raw, F.lit(d.delimiter), F.lit("")))
+    fits = raw.isNotNull() & column(extra).isNull() & F.when(delimiters < len(names), True).otherwise(field_count(raw, d) <= len(names))
+    titles = [n if d.encoding in BY_SPARK else n.encode("latin-1", "replace").decode(d.encoding, "replace") for n in names]
+    return rows.where(fits).select(*[as_text(column(n), d.encoding).alias(t) for n, t in zip(names, titles, strict=True)])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Derived tables and small result documents."""
+"""Derived tables and JSON forms."""
 
 from __future__ import annotations
 
@@ -44,23 +44,3 @@ def encode(value, camel_case: bool = False):
 
 def to_json(value, camel_case: bool = False) -> str:
     return json.dumps(encode(value, camel_case))
-
-
-class ResultCache:
-    """Result documents by their query; a new one replaces the old."""
-
-    def __init__(self) -> None:
-        self._kept: dict[str, object] = {}
-
-    @staticmethod
-    def key(*query) -> str:
-        return json.dumps(query, sort_keys=True, default=str)
-
-    def get(self, *query):
-        return self._kept.get(self.key(*query))
-
-    def put(self, document, *query) -> None:
-        self._kept[self.key(*query)] = document
-
-    def drop(self, *query) -> None:
-        self._kept.pop(self.key(*query), None)
