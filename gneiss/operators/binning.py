@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.operators.groupings import aggregate
+from gneiss.operators.groupings import MEDIAN, aggregate, medians
 from gneiss.operators.predicates import column
 from gneiss.operators.ranges import quantiles
 
@@ -114,7 +114,10 @@ def histogram(df: DataFrame, field: str, agg_field: str | None = None, fn: str =
         edges = bin_edges(s, min(k, MAX_HISTOGRAM_BINS, max(s.distinct, 1) if s.integral else k))
     x = as_number(df, field)
     rows = df.where(x.isNotNull()) if agg_field is None else df.na.drop("any", subset=[field, agg_field])
-    value = F.count("*") if agg_field is None else aggregate(fn, column(agg_field))
-    got = rows.select(bin_index(x, edges).alias("bin"), *([column(agg_field)] if agg_field and agg_field != field else [column(field)])).groupBy("bin").agg(value.alias("agg"))
+    binned = rows.select(bin_index(x, edges).alias("bin"), column(agg_field or field))
+    if agg_field is not None and fn == MEDIAN:
+        got = medians(binned, column(agg_field), {"bin": F.col("bin")}, "agg")
+    else:
+        got = binned.groupBy("bin").agg((F.count("*") if agg_field is None else aggregate(fn, column(agg_field))).alias("agg"))
     all_bins = df.sparkSession.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(len(edges) - 1)], "bin int, left double, right double")
     return all_bins.join(got, "bin", "left").select("bin", "left", "right", F.coalesce("agg", F.lit(0)).alias("agg"))

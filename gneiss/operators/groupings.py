@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.predicates import column
-from gneiss.operators.ranges import quantiles, with_sums_before
+from gneiss.operators.ranges import counted, quantiles, with_sums_before
 
 CHART_LIMIT = 100
 
@@ -22,30 +22,42 @@ AGGREGATES = {
     "min": F.min,
     "max": F.max,
     "mean": F.avg,
-    "median": F.median,
     "std": F.stddev_samp,
     "sem": standard_error,
     "count": F.count,
 }
+MEDIAN = "median"
+COPIES = 1_000_000  # equal rows that one array lists
 
 
 def aggregate(fn: str, x: Column) -> Column:
-    """G1: an aggregate by name; std and sem are sample statistics, count leaves nulls out."""
+    """G1: an aggregate by name; std and sem are sample statistics, count leaves nulls out. Medians need medians()."""
     return AGGREGATES[fn](x)
 
 
+def medians(df: DataFrame, x: Column, by: dict[str, Column], name: str) -> DataFrame:
+    """(by, name): exact medians from counted values, so that no group's rows are held in one buffer."""
+    rows = df.select(*[c.alias(f"g{i}") for i, c in enumerate(by.values())], x.alias("x"))
+    return quantiles(rows, "x", (0.5,), [f"g{i}" for i in range(len(by))]).toDF(*by, name)
+
+
 def scalar_aggregates(df: DataFrame, field: str) -> DataFrame:
     """One row; std is over the population here and count includes nulls."""
     x = column(field)
-    return df.agg(
-        F.sum(x).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.count("*").alias("count")
-    )
+    one = df.agg(F.sum(x).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count("*").alias("count"))
+    half = quantiles(df.select(x.alias("x")), "x", (0.5,)).toDF(MEDIAN)
+    return one.crossJoin(F.broadcast(half)).select("sum", "min", "max", "mean", MEDIAN, "std", "count")  # one row each
 
 
 def single(df: DataFrame, field: str, fn: str) -> DataFrame:
-    """One value; mode takes the smallest of equally frequent ones."""
+    """One value; mode takes the smallest of equally frequent ones, from counted values."""
     x = column(field)
-    return df.where(x.isNotNull()).agg((F.mode(x, True) if fn == "mode" else aggregate(fn, x)).alias("value"))
+    if fn == MEDIAN:
+        return quantiles(df.select(x.alias("x")), "x", (0.5,)).toDF("value")
+    if fn == "mode":
+        per = counted(df.select(x.alias("x")), "x")
+        return per.agg(F.min(F.struct((-F.col("__n")).alias("n"), "x"))["x"].alias("value"))
+    return df.where(x.isNotNull()).agg(aggregate(fn, x).alias("value"))
 
 
 def value_counts(df: DataFrame, field: str, limit: int | None = CHART_LIMIT) -> DataFrame:
@@ -57,7 +69,10 @@ def value_counts(df: DataFrame, field: str, limit: int | None = CHART_LIMIT) ->
 def value_aggregate(df: DataFrame, group: str, field: str, fn: str) -> DataFrame:
     """One aggregate per group, a mean with its standard error band."""
     x = column(field)
-    rows = df.na.drop("any", subset=[group, field]).groupBy(column(group).alias("value"))
+    whole = df.na.drop("any", subset=[group, field])
+    if fn == MEDIAN:
+        return medians(whole, x, {"value": column(group)}, "agg")
+    rows = whole.groupBy(column(group).alias("value"))
     if fn != "mean":
         return rows.agg(aggregate(fn, x).alias("agg"))
     mean, sem = F.avg(x), standard_error(x)
@@ -67,15 +82,21 @@ def value_aggregate(df: DataFrame, group: str, field: str, fn: str) -> DataFrame
 def aggregate_pairs(df: DataFrame, group: str, a: str, b: str, fn: str) -> DataFrame:
     """The same aggregate of two fields per group, over rows with both."""
     rows = df.na.drop("any", subset=[group, a, b])
+    if fn == MEDIAN:
+        by = {"value": column(group)}
+        return medians(rows, column(a), by, "agg_a").join(medians(rows, column(b), by, "agg_b"), "value")
     return rows.groupBy(column(group).alias("value")).agg(aggregate(fn, column(a)).alias("agg_a"), aggregate(fn, column(b)).alias("agg_b"))
 
 
 def multigroup(df: DataFrame, a: str, b: str, field: str | None = None, fn: str = "count") -> DataFrame:
     """Counts, or an aggregate of field, per pair of groups."""
-    rows = df.na.drop("any", subset=[x for x in (a, b, field) if x]).groupBy(column(a).alias("a"), column(b).alias("b"))
+    whole = df.na.drop("any", subset=[x for x in (a, b, field) if x])
+    rows = whole.groupBy(column(a).alias("a"), column(b).alias("b"))
     if field is None:
         return rows.agg(F.count("*").alias("count"))
     x = column(field)
+    if fn == MEDIAN:
+        return medians(whole, x, {"a": column(a), "b": column(b)}, "agg")
     if fn != "mean":
         return rows.agg(aggregate(fn, x).alias("agg"))
     mean, sem = F.avg(x), standard_error(x)
@@ -91,15 +112,13 @@ def pivoted(long: DataFrame, value: str, limit: int = 1000) -> DataFrame:
 
 
 def box(df: DataFrame, group: str, field: str) -> DataFrame:
-    """Quartiles, mean and whiskers, the farthest values within 1.5 interquartile ranges."""
-    x = column(field)
-    rows = df.na.drop("any", subset=[group, field])
-    samples = rows.select(column(group).alias("value"), x.alias("x"))
-    q = quantiles(samples, "x", (0.25, 0.5, 0.75), ["value"]).toDF("value", "q1", "median", "q3").join(samples.groupBy("value").agg(F.avg("x").alias("mean")), "value")
+    """Quartiles, mean and whiskers, the farthest values within 1.5 interquartile ranges; all from counted values."""
+    samples = df.na.drop("any", subset=[group, field]).select(column(group).alias("value"), column(field).alias("x"))
+    x = F.col("x").cast("double")
+    q = quantiles(samples, "x", (0.25, 0.5, 0.75), ["value"], {"mean": F.sum(x * F.col("__n")) / F.sum("__n")}).toDF("value", "q1", "median", "q3", "mean")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = samples.join(q, "value")
-    inside = fenced.where((F.col("x") <= F.col("q3") + reach) & (F.col("x") >= F.col("q1") - reach))
-    ends = inside.groupBy("value", "q1", "median", "mean", "q3").agg(F.min("x").alias("bottom"), F.max("x").alias("top"))
+    fenced = counted(samples, "x", ["value"]).join(q, "value").where((F.col("x") <= F.col("q3") + reach) & (F.col("x") >= F.col("q1") - reach))
+    ends = fenced.groupBy("value", "q1", "median", "mean", "q3").agg(F.min("x").alias("bottom"), F.max("x").alias("top"))
     return ends.select("value", "bottom", "q1", "median", "mean", "q3", "top")
 
 
@@ -110,10 +129,20 @@ def value_pairs(df: DataFrame, a: str, b: str, subset: int | None = 200, seed: i
 
 
 def indexed_values(df: DataFrame, field: str, order: Sequence[str]) -> DataFrame:
-    """Position and value in an explicit order, counted range by range."""
-    rows = df.select(column(field).alias("value"), *[column(c).alias(f"o{i}") for i, c in enumerate(order)])
+    """Position and value in an explicit order, counted range by range.
+
+    Rows with the same keys stand in the order of their values' hash. Equal rows are counted first and dealt out
+    again behind their first position, so neither a hot key nor a hot row meets in one task.
+    """
     keys = [f"o{i}" for i in range(len(order))]
-    return with_sums_before(rows, keys, {"index": F.lit(1)}).select("index", "value")
+    rows = df.select(column(field).alias("value"), *[column(c).alias(k) for k, c in zip(keys, order, strict=True)]).groupBy("value", *keys).agg(F.count("*").alias("copies"))
+    first = with_sums_before(rows, keys, {"before": F.col("copies")}).select("before", "copies", "value")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("piece")
+    first = first.select("before", "copies", "value", F.when(F.col("copies") > COPIES, F.col("before")).alias("hot"))
+    few, many = first.where("hot is null"), first.where("hot is not null").select("*", piece)
+    many = many.select((F.col("before") + F.col("piece") * COPIES).alias("before"), F.least(F.col("copies") - F.col("piece") * COPIES, F.lit(COPIES).cast("long")).alias("copies"), "value").repartition("before")
+    out = few.select("before", "copies", "value").unionByName(many)
+    return out.select(F.explode(F.sequence("before", F.col("before") + F.col("copies") - 1)).alias("index"), "value")
 
 
 def edges(df: DataFrame, a: str, b: str, field: str) -> DataFrame:
@@ -122,5 +151,11 @@ def edges(df: DataFrame, a: str, b: str, field: str) -> DataFrame:
 
 
 def fused(df: DataFrame, group: str, wanted: Sequence[tuple[str, str]]) -> DataFrame:
-    """Every (field, aggregate) of one group in a single pass; columns are named fn(field)."""
-    return df.where(column(group).isNotNull()).groupBy(column(group).alias("value")).agg(*[aggregate(fn, column(f)).alias(f"{fn}({f})") for f, fn in dict.fromkeys(wanted)])
+    """Every (field, aggregate) of one group in a single pass; columns are named fn(field). Each median takes one of its own."""
+    rows = df.where(column(group).isNotNull())
+    wanted = list(dict.fromkeys(wanted))
+    plain = [(f, fn) for f, fn in wanted if fn != MEDIAN]
+    out = rows.groupBy(column(group).alias("value")).agg(*[aggregate(fn, column(f)).alias(f"{fn}({f})") for f, fn in plain] or [F.count("*").alias("__rows")])
+    for f in [f for f, fn in wanted if fn == MEDIAN]:
+        out = out.join(medians(rows, column(f), {"value": column(group)}, f"{MEDIAN}({f})"), "value", "left")
+    return out.select("value", *[F.col(f"`{fn}({f})`") for f, fn in wanted])

@@ -1,8 +1,9 @@
 """Order over a whole table without sorting it in one task: ranges of the keys by fixed bounds.
 
-The bounds are a few keys taken from a bounded sample, and a row's range is an expression of its keys, so
-two uses of it always agree, whatever Spark does with partitions. Each range is then sorted by itself and
-starts from the sum of those before it.
+The bounds are taken from a bounded sample of rows, so a key that many rows have gets many ranges: behind the keys,
+rows are told apart by a hash of their other columns. A row's range is an expression of its own columns, so two uses
+of it always agree, whatever Spark does with partitions. Each range is then sorted by itself and starts from the sum
+of those before it. Equal rows share a range; count them first where there may be many.
 """
 
 from __future__ import annotations
@@ -13,23 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 256
-SAMPLE = 4096
+MAX_RANGES = 4096  # bounds that the plan holds; beyond 4 * 10^9 rows a task sorts more than ROWS_PER_RANGE, with spills
+SAMPLES_PER_RANGE = 16
+TIE = "__tie"
+
+
+def with_tie(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return df.withColumn(TIE, F.xxhash64(*others) if others else F.lit(0).cast("long"))
+
+
+def bounds_below(bounds: Sequence[Column], key: Column) -> Column:
+    """How many of the sorted bounds are at or below the key: a binary search."""
+    table, steps = F.array(*bounds), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    within = lambda at, step: (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: at + F.when(within(at, step), step).otherwise(0))
 
 
 def placed(df: DataFrame, keys: Sequence[str], name: str = "part") -> DataFrame:
-    """df with the number of each row's range, in the keys' order."""
-    ranges = min(MAX_RANGES, df.count() // ROWS_PER_RANGE + 1)
+    """df with the tie hash and the number of each row's range, in the order of the keys and then the hash."""
+    rows = with_tie(df, keys)
+    n = rows.count()
+    ranges = min(MAX_RANGES, n // ROWS_PER_RANGE + 1)
     if ranges == 1:
-        return df.withColumn(name, F.lit(0))
-    key = F.struct(*[F.col(k) for k in keys])
-    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE)  # SAMPLE keys reach the driver
-    sample = [r["k"] for r in drawn.orderBy("k").collect()]
-    kinds = [df.schema[k].dataType for k in keys]
-    bounds = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges)))
-    above = [(key >= F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, keys, strict=True)])).cast("int") for b in bounds]
-    table = F.array(*above) if above else F.array(F.lit(0))
-    return df.withColumn(name, F.aggregate(table, F.lit(0), lambda a, x: a + x))
+        return rows.withColumn(name, F.lit(0))
+    order = [*keys, TIE]
+    key = F.struct(*[F.col(k) for k in order])
+    share = min(1.0, SAMPLES_PER_RANGE * ranges / n)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), *order), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = [r["k"] for r in drawn.select(key.alias("k")).orderBy("k").collect()]  # about SAMPLES_PER_RANGE * MAX_RANGES keys at most
+    kinds = [rows.schema[k].dataType for k in order]
+    chosen = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
+    if not chosen:
+        return rows.withColumn(name, F.lit(0))
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, order, strict=True)]) for b in chosen]
+    return rows.withColumn(name, bounds_below(bounds, key))
 
 
 def with_sums_before(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -39,27 +58,41 @@ def with_sums_before(df: DataFrame, keys: Sequence[str], sums: dict[str, Column]
     totals = rows.groupBy(*by, part).agg(*[F.sum(f"__{n}").alias(f"__t{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*by, part, *[F.coalesce(F.sum(f"__t{n}").over(earlier), F.lit(0)).alias(f"__b{n}") for n in sums])  # MAX_RANGES rows for each `by`
-    inside = Window.partitionBy(*by, part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, part).orderBy(*keys, TIE).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumns({f"__i{n}": F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) for n in sums})
     joined = own.join(base, [*by, part])
     return joined.select(*df.columns, *[(F.col(f"__b{n}") + F.col(f"__i{n}")).alias(n) for n in sums])
 
 
-def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def counted(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, x, __n): how often each value stands, nulls left out."""
+    return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+
+
+def few_values(df: DataFrame, x: str, by: Sequence[str] = ()) -> bool:
+    """Whether a table has ROWS_PER_RANGE distinct (by, x) at most, or about so many; a count of rows that is as low settles it."""
+    if df.count() <= ROWS_PER_RANGE:
+        return True
+    return df.agg(F.approx_count_distinct(F.xxhash64(*by, x), 0.02)).first()[0] <= ROWS_PER_RANGE
+
+
+def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
     """One row (for each `by`) with q0, q1, ...: exact quantiles of x, interpolated between neighbours.
 
-    Values are counted first. ROWS_PER_RANGE distinct ones fit a percentile's buffer; more are put in order range by range.
+    Values are counted first. About ROWS_PER_RANGE distinct ones fit a percentile's buffer; more are put in order range
+    by range. more: further aggregates over the counted values (x, __n).
     """
-    per = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
-    if per.limit(ROWS_PER_RANGE + 1).count() <= ROWS_PER_RANGE:
-        q = per.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in shares]), F.col("__n")).alias("q"))
-        return q.select(*by, *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))])
+    per = counted(df, x, by)
+    extra = [e.alias(n) for n, e in (more or {}).items()]
+    if few_values(df, x, by):
+        q = per.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in shares]), F.col("__n")).alias("q"), *extra)
+        return q.select(*by, *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))], *(more or {}))
     ordered = with_sums_before(per, [x], {"__before": F.col("__n")}, by)
-    size = per.groupBy(*by).agg(F.sum("__n").alias("__size"))
+    size = per.groupBy(*by).agg(F.sum("__n").alias("__size"), *extra)
     rows = ordered.join(size, list(by)) if by else ordered.crossJoin(F.broadcast(size))  # one row
     at = [(F.lit(p) * (F.col("__size") - 1)) for p in shares]
     held = lambda place: F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__n")), F.col(x)))
-    ends = rows.groupBy(*by, "__size").agg(*[e.alias(f"__{s}{i}") for i, a in enumerate(at) for s, e in (("l", held(F.floor(a))), ("h", held(F.ceil(a))))])
+    ends = rows.groupBy(*by, "__size", *(more or {})).agg(*[e.alias(f"__{s}{i}") for i, a in enumerate(at) for s, e in (("l", held(F.floor(a))), ("h", held(F.ceil(a))))])
     value = lambda i, a: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (a - F.floor(a))
-    out = ends.select(*by, *[value(i, a).alias(f"q{i}") for i, a in enumerate(at)])
+    out = ends.select(*by, *[value(i, a).alias(f"q{i}") for i, a in enumerate(at)], *(more or {}))
     return out if by else df.sparkSession.range(1).select().join(out, F.lit(True), "left")

@@ -65,7 +65,9 @@ _PAIRS = ("multigroup:count", "multigroup:agg", "val:val:q")
 
 
 def _key(s: VizSpec) -> tuple[str, ...] | None:
-    """What a spec groups by, where it can share a pass."""
+    """What a spec groups by, where it can share a pass; a median has its own way."""
+    if s.arg("agg_fn") == g.MEDIAN:
+        return None
     if s.procedure in ("val:agg", "agg:agg"):
         return (s.arg("grouped_field"),)
     if s.procedure == "val:count":
