@@ -79,20 +79,22 @@ def few_values(df: DataFrame, x: str, by: Sequence[str] = ()) -> bool:
 def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
     """One row (for each `by`) with q0, q1, ...: exact quantiles of x, interpolated between neighbours.
 
-    Values are counted first. About ROWS_PER_RANGE distinct ones fit a percentile's buffer; more are put in order range
-    by range. more: further aggregates over the counted values (x, __n).
+    Values are counted first. About ROWS_PER_RANGE distinct ones are put in order within their `by`; more, range by
+    range. more: further aggregates over the counted values (x, __n).
     """
-    per = counted(df, x, by)
-    extra = [e.alias(n) for n, e in (more or {}).items()]
+    per, more = counted(df, x, by), more or {}
+    size = F.sum("__n").alias("__size")
     if few_values(df, x, by):
-        q = per.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in shares]), F.col("__n")).alias("q"), *extra)
-        return q.select(*by, *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))], *(more or {}))
-    ordered = with_sums_before(per, [x], {"__before": F.col("__n")}, by)
-    size = per.groupBy(*by).agg(F.sum("__n").alias("__size"), *extra)
-    rows = ordered.join(size, list(by)) if by else ordered.crossJoin(F.broadcast(size))  # one row
+        whole = Window.partitionBy(*by)
+        inside = whole.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        rows = per.select("*", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__size"))
+    else:
+        ordered = with_sums_before(per, [x], {"__before": F.col("__n")}, by)
+        sizes = per.groupBy(*by).agg(size)
+        rows = ordered.join(sizes, list(by)) if by else ordered.crossJoin(F.broadcast(sizes))  # one row
     at = [(F.lit(p) * (F.col("__size") - 1)) for p in shares]
     held = lambda place: F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__n")), F.col(x)))
-    ends = rows.groupBy(*by, "__size", *(more or {})).agg(*[e.alias(f"__{s}{i}") for i, a in enumerate(at) for s, e in (("l", held(F.floor(a))), ("h", held(F.ceil(a))))])
-    value = lambda i, a: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (a - F.floor(a))
-    out = ends.select(*by, *[value(i, a).alias(f"q{i}") for i, a in enumerate(at)], *(more or {}))
+    ends = rows.groupBy(*by, "__size").agg(*[e.alias(f"__{s}{i}") for i, a in enumerate(at) for s, e in (("l", held(F.floor(a))), ("h", held(F.ceil(a))))], *[e.alias(n) for n, e in more.items()])
+    value = lambda i, a: (F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (a - F.floor(a))).cast("double")
+    out = ends.select(*by, *[value(i, a).alias(f"q{i}") for i, a in enumerate(at)], *more)
     return out if by else df.sparkSession.range(1).select().join(out, F.lit(True), "left")

@@ -48,8 +48,12 @@ def compile_spec(spec: VizSpec, df: DataFrame, conditionals: Mapping | None = No
     raise ValueError(f"no plan for {spec.procedure!r}")
 
 
+SHARED_ROWS = 20_000
+MAX_SETS = 8
+
+
 class Batch(dict):
-    """Plans by spec, and the shared tables that they read; release() frees those."""
+    """Plans by spec. Those that read a shared table of over SHARED_ROWS rows read a cached one; release() frees it."""
 
     def __init__(self):
         super().__init__()
@@ -122,29 +126,62 @@ def _share(s: VizSpec, table: DataFrame) -> DataFrame:
     return table.where(c(f"count({x})") > 0).select(*groups, *out)
 
 
+def _shared_table(rows: DataFrame, keys: Sequence[tuple[str, ...]], specs: Sequence[VizSpec], out: Batch) -> dict[tuple[str, ...], DataFrame]:
+    """All measures of the specs for all their key sets, from one pass with GROUPING SETS; a view for each key set."""
+    fields = list(dict.fromkeys(f for k in keys for f in k))
+    measures = {n: e for s in specs for n, e in _measures(s).items()}
+    names = list(measures)
+    sets = [[column(f) for f in k] for k in keys]
+    grouped = rows.groupingSets(sets, *[column(f) for f in fields]).agg(F.grouping_id().alias("set"), *[e.alias(f"m{i}") for i, e in enumerate(measures.values())])
+    table = grouped.toDF(*[f"f{i}" for i in range(len(fields))], "set", *names)
+    # few rows, as charts have, are kept on the driver, where plans over them need no job; more are cached
+    got = table.limit(SHARED_ROWS + 1).toArrow()
+    if got.num_rows <= SHARED_ROWS:
+        table = rows.sparkSession.createDataFrame(got, table.schema)
+    else:
+        out.shared.append(table.cache())
+    views = {}
+    for key in keys:
+        left_out = sum(1 << (len(fields) - 1 - i) for i, f in enumerate(fields) if f not in key)
+        mine = table.where(F.col("set") == left_out).select(*[F.col(f"f{fields.index(f)}").alias(f"k{i}") for i, f in enumerate(key)], *[F.col(f"`{n}`") for n in names])
+        views[key] = mine.na.drop("any", subset=[f"k{i}" for i in range(len(key))])
+    return views
+
+
 def compile_batch(specs: Sequence[VizSpec], df: DataFrame, conditionals: Mapping | None = None, errors: dict[VizSpec, Exception] | None = None) -> Batch:
-    """Plans of many specs. All that group by the same fields share one aggregation, cached for them.
+    """Plans of many specs. All that only group and aggregate share one pass over the rows, MAX_SETS sets of keys at a time; it runs here.
 
-    A shared table has a row per group, so it is small beside its input. With errors, a spec that has no
-    plan over these rows goes there; without, it raises.
+    A shared table has a row per group. With errors, a spec that has no plan over these rows goes there; without, it raises.
     """
     rows = filtered(df, conditionals)
     by_key: dict[tuple[str, ...], list[VizSpec]] = defaultdict(list)
-    for s in specs:
-        if (key := _key(s)) is not None:
+    for s in dict.fromkeys(specs):
+        if (key := _key(s)) is not None and len(set(key)) == len(key):
             by_key[key].append(s)
-    out = Batch()
-    for key, mine in by_key.items():
-        if len(mine) > 1 and len(set(key)) == len(key):
-            try:
-                measures = {n: e for s in mine for n, e in _measures(s).items()}
-                table = rows.na.drop("any", subset=list(key)).groupBy(*[column(k).alias(f"k{i}") for i, k in enumerate(key)]).agg(*[e.alias(n) for n, e in measures.items()]).cache()
-                out.update({s: _share(s, table) for s in mine})
-                out.shared.append(table)
-            except AnalysisException:
-                continue  # one of them has no plan: each is tried alone
-    fused = dict(out)
-    out.clear()
+
+    def has_plan(s: VizSpec) -> bool:
+        try:
+            rows.groupBy(*[column(f) for f in _key(s)]).agg(*_measures(s).values())
+        except AnalysisException:
+            return False
+        return True
+
+    out, fused = Batch(), {}
+
+    def share(keys: list[tuple[str, ...]]) -> None:
+        views = _shared_table(rows, keys, [s for k in keys for s in by_key[k]], out)
+        fused.update({s: _share(s, views[k]) for k in keys for s in by_key[k]})
+
+    keys = list(by_key) if sum(map(len, by_key.values())) > 1 else []
+    for at in range(0, len(keys), MAX_SETS):
+        some = keys[at : at + MAX_SETS]
+        try:
+            share(some)
+        except AnalysisException:  # one of them has no plan: the others share one
+            for k in some:
+                by_key[k] = [s for s in by_key[k] if has_plan(s)]
+            if some := [k for k in some if by_key[k]]:
+                share(some)
     for s in specs:
         try:
             out[s] = fused[s] if s in fused else compile_spec(s, rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,6 @@ from gneiss.stats import dist
 
 UNIQUE_SHARE = 0.95
 CONTIGUOUS_RANGE = 30
-FEW_VALUES = 1000
 QUANTILES = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
@@ -28,18 +27,31 @@ def numeric_fields(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """(field, n, nulls, distinct) for each flat column.
+def digest(c: Column) -> Column:
+    """128 bits that stand for a value where distinct ones are counted."""
+    return F.struct(F.xxhash64(F.lit(1), c).alias("a"), F.xxhash64(F.lit(2), c).alias("b"))
 
-    Each column is read alone and grouped by its values, so a row of the shuffle holds one value and its count.
-    """
-    nulls = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
-    out = None
-    for c in flat_fields(df):
-        per = df.groupBy(column(c).alias("v")).agg(F.count("*").alias("c"))
-        one = per.agg(F.lit(c).alias("field"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), nulls.alias("nulls"), F.count("v").alias("distinct"))
-        out = one if out is None else out.union(one)
-    return out
+
+def distinct_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n, distinct) of the fields with a value: one scan, and one shuffle of (field, digest, count) rows for all."""
+    each = []
+    for i, c in enumerate(fields):
+        d = digest(column(c))
+        each.append(F.struct(F.lit(i).alias("i"), F.when(column(c).isNotNull(), d["a"]).alias("a"), d["b"].alias("b")))
+    rows = df.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("a is not null")
+    per = rows.groupBy("i", "a", "b").agg(F.count("*").alias("c")).groupBy("i").agg(F.sum("c").alias("n"), F.count("*").alias("distinct"))
+    return per.select(F.array(*[F.lit(c) for c in fields])[F.col("i")].alias("field"), "n", "distinct")
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """(field, n, nulls, distinct) for each flat column, from one scan."""
+    fields = flat_fields(df)
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, n long, nulls long, distinct long")
+    found = distinct_counts(df, fields)
+    every = df.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*[F.lit(c) for c in fields])).alias("field"))
+    n, distinct = F.coalesce("n", F.lit(0)), F.coalesce("distinct", F.lit(0))
+    return every.join(F.broadcast(found), "field", "left").select("field", n.alias("n"), (F.col("rows") - n).alias("nulls"), distinct.alias("distinct"))  # a row a field
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -141,26 +153,17 @@ def make_field(t: FieldType, n: int, nulls: int, distinct: int, contiguous: bool
 
 
 def profile(df: DataFrame) -> list[Field]:
-    """types, counts, contiguity and ids of every flat column.
-
-    Distinct values are estimated in one pass with the counts. They are counted exactly, column by column,
-    where a decision depends on it: few values, a short range of integers, or a share near UNIQUE_SHARE.
-    """
+    """types, counts, contiguity and ids of every flat column, in three jobs: votes on types, one aggregation of
+    rows and extremes, and one count of the distinct values of all columns."""
     types = {t.name: t for t in infer_types(df)}
     whole = [c for c in numeric_fields(df) if types[c].type == "integer"]
-    stats = [F.count("*").alias("rows")]
-    for c in types:
-        stats += [F.count(column(c)).alias(f"n:{c}"), F.approx_count_distinct(column(c), 0.02).alias(f"d:{c}")]
-    stats += [x for c in whole for x in (F.min(column(c)).alias(f"a:{c}"), F.max(column(c)).alias(f"b:{c}"))]
-    one = df.agg(*stats).first()
+    one = df.agg(F.count("*").alias("rows"), *[x for c in whole for x in (F.min(column(c)).alias(f"a:{c}"), F.max(column(c)).alias(f"b:{c}"))]).first()
+    found = {r["field"]: r for r in distinct_counts(df, list(types)).collect()} if types else {}
     out = []
     for c, t in types.items():
-        n, about = one[f"n:{c}"], one[f"d:{c}"]
+        n, distinct = (found[c]["n"], found[c]["distinct"]) if c in found else (0, 0)
         span = one[f"b:{c}"] - one[f"a:{c}"] + 1 if c in whole and n else None
-        short = span is not None and span <= CONTIGUOUS_RANGE + 1
-        exact = short or about <= FEW_VALUES or 0.85 * n <= about
-        distinct = df.where(column(c).isNotNull()).select(column(c)).distinct().count() if exact and n else about
-        out.append(make_field(t, n, one["rows"] - n, distinct, short and span == distinct))
+        out.append(make_field(t, n, one["rows"] - n, distinct, span is not None and span <= CONTIGUOUS_RANGE + 1 and span == distinct))
     return out
 
 

@@ -14,6 +14,7 @@ from gneiss.operators.binning import BinStats, bin_edges, bin_index, histogram,
 from gneiss.operators.predicates import filtered
 from gneiss.plans.compile import compile_batch, compile_spec
 from gneiss.plans.enumerate import enumerate_specs
+from gneiss.plans.specs import make
 from gneiss.plans.score import dispersion, entropy, gini
 from gneiss.profile import describe, infer, relations
 from gneiss.profile.describe import Field
@@ -267,7 +268,6 @@ def test_multinomial_matches_the_binary_model(spark):
 
 def test_a_bad_spec_does_not_end_the_others(spark):
     from gneiss.plans.score import recommend, statistics, statistics_of
-    from gneiss.plans.specs import make
 
     df = spark.createDataFrame([(str(i % 3), float(i), i % 2) for i in range(30)], "g string, x double, h int")
     good, bad = make("val:agg", "c:q", grouped_field="g", agg_field="x", agg_fn="sum"), make("val:box", "c:q", grouped_field="g", boxed_field="nothing")
@@ -285,7 +285,9 @@ def test_all_kinds_of_specs_fuse(spark):
     fields = describe.profile(df)
     specs = enumerate_specs(fields, ["c", "d", "x", "y"])
     batch = compile_batch(specs, df)
-    assert len(batch.shared) >= 3 and list(batch) == specs
+    assert list(batch) == specs
+    shared = [s for s, plan in batch.items() if "LocalRelation" in plan._jdf.queryExecution().optimizedPlan().toString()]
+    assert {s.procedure for s in shared} >= {"val:agg", "val:count", "multigroup:agg", "multigroup:count", "agg:agg", "val:val:q"}
     for s, plan in batch.items():
         if s.procedure != "val:val":
             near = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
@@ -293,6 +295,24 @@ def test_all_kinds_of_specs_fuse(spark):
     batch.release()
 
 
+def test_large_shared_tables_are_cached_and_freed(spark, monkeypatch):
+    from gneiss.plans import compile as plans
+
+    monkeypatch.setattr(plans, "SHARED_ROWS", 2)
+    monkeypatch.setattr(plans, "MAX_SETS", 1)
+    df = spark.createDataFrame([("k" + str(i % 3), "m" + str(i % 4), float(i)) for i in range(40)], "c string, d string, x double")
+    specs = [make("val:agg", "c:q", grouped_field=g, agg_field="x", agg_fn=fn) for g in "cd" for fn in ("sum", "mean")]
+    bad = make("val:agg", "c:q", grouped_field="c", agg_field="nothing", agg_fn="sum")
+    errors = {}
+    batch = compile_batch([*specs, bad], df, errors=errors)
+    assert len(batch.shared) == 2 and all(t.is_cached for t in batch.shared) and list(errors) == [bad]
+    for s in specs:
+        assert rows(batch[s]) == rows(compile_spec(s, df))
+    tables = list(batch.shared)
+    batch.release()
+    assert not any(t.is_cached for t in tables)
+
+
 def test_small_pieces_of_the_profile(spark):
     from gneiss.operators.binning import even_edges
 
