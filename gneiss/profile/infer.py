@@ -25,6 +25,14 @@ SCALES = {**dict.fromkeys(("integer", "decimal", "datetime", "date", "time"), "c
 DATE_ORDERS = ("yyyy-M-d", "d-M-yyyy", "d-MMM-yyyy", "MMM-d-yyyy", "d-M-yy")
 SEPARATED = r"^(\w+)([-./ ])(\w+)\2(\w+)"
 TIMES = ("", " H:m", " H:m:s")
+MONTH_NAMES = MONTHS[:12]
+MONTHS_3 = tuple(m[:3] for m in MONTH_NAMES)
+HAS_MONTH = rf"(?i)^.{{0,24}}\b({'|'.join(MONTHS_3)})[a-z]{{0,6}}\b.*\d"
+# day month year, month day year, year month day, or month year, and a time of day
+FREE = r"^(?:(\d{1,2}) ([a-z]{3,9}) '?(\d{4}|\d{2})|([a-z]{3,9}) (\d{1,2}) (\d{4})|(\d{4}) ([a-z]{3,9}) (\d{1,2})|([a-z]{3,9}) (\d{4}))(?: (\d{1,2}):(\d{2})(?::(\d{2}))? ?(am|pm)?)?$"
+POINTED = r"^[+-]?\d{1,3}((\.\d{3})+,\d+|(\.\d{3}){2,})$"
+BLANKS = r"[ \u00A0\u202F']"
+BLANKED = rf"^[+-]?\d{{1,3}}({BLANKS}\d{{3}})+([.,]\d+)?$"
 LOOKS_LIKE_TIME = r"^(\d{1,4}[-./ ](\d{1,2}|[A-Za-z]{3})[-./ ]\d{1,4}|[A-Za-z]{3}[-./ ]\d{1,2}[-./ ]\d{4})([T ]\d{1,2}:.*)?$"
 
 
@@ -42,8 +50,39 @@ def country_tables() -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]
     return _countries("iso")
 
 
+def plain_number(c: Column) -> Column:
+    """The text of a number without grouping marks and with a decimal point.
+
+    Commas group, but where a number can't be read so: points that group before a decimal comma (1.234,56 and
+    1.234.567), and groups parted by blanks or apostrophes (1 234,56 and 1'234.56).
+    """
+    x = F.trim(c)
+    pointed, blank = F.replace(F.regexp_replace(x, r"\.", ""), F.lit(","), F.lit(".")), F.replace(F.regexp_replace(x, BLANKS, ""), F.lit(","), F.lit("."))
+    return F.when(x.rlike(POINTED), pointed).when(x.rlike(BLANKED), blank).otherwise(F.regexp_replace(x, ",", ""))
+
+
 def number(c: Column) -> Column:
-    return F.expr("1") * F.regexp_replace(F.trim(c), ",", "").try_cast("double")
+    return plain_number(c).try_cast("double")
+
+
+def free_time(c: Column) -> Column:
+    """A timestamp out of a date with its month in letters, as people write it: 3rd of May 2019, Friday, May 3, 2019 at
+    4:05 pm, 3-May-19, May 2019 (the first). Null for anything else."""
+    text = F.lower(F.trim(c))
+    for pattern, by in ((r"\b(mon|tues?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?\b\.?", " "), (r"(\d)(st|nd|rd|th)\b", "$1"), (r"\b(of|at|on|the)\b", " "), (r"[,./-]+", " "), (r"\s+", " ")):
+        text = F.regexp_replace(text, pattern, by)
+    text = F.trim(text)
+    part = lambda i: F.regexp_extract(text, FREE, i)
+    number_of = lambda x: F.when(x != "", x).try_cast("int")
+    name = F.concat(part(2), part(4), part(8), part(10))  # one of them
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS_3]), F.substring(name, 1, 3)).cast("int")
+    day = F.coalesce(number_of(part(1)), number_of(part(5)), number_of(part(9)), F.lit(1))
+    year = number_of(F.concat(part(3), part(6), part(7), part(11)))
+    year = F.when(year >= 100, year).when(year < 69, year + 2000).otherwise(year + 1900)
+    hour, half = F.coalesce(number_of(part(12)), F.lit(0)), part(15)
+    hour = F.when(half == "", hour).when(hour > 12, 24).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    second = F.coalesce(number_of(part(14)), F.lit(0)).cast("decimal(16,6)")
+    return F.when(text.rlike(FREE) & (F.lit(",".join(MONTH_NAMES)).contains(name)), F.try_make_timestamp(year, month, day, hour, F.coalesce(number_of(part(13)), F.lit(0)), second))
 
 
 def parsed_time(c: Column) -> Column:
@@ -52,8 +91,9 @@ def parsed_time(c: Column) -> Column:
     plain = F.regexp_replace(x, SEPARATED, "$1-$3-$4")  # the same separator twice, whichever it is
     forms = [o + t for o in DATE_ORDERS for t in TIMES]
     iso = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), x.try_cast("timestamp"))
+    known = F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in forms])
     # a cheap look first: few values of a text column reach the parsers
-    return F.when(x.rlike(LOOKS_LIKE_TIME), F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in forms]))
+    return F.coalesce(F.when(x.rlike(LOOKS_LIKE_TIME), known), F.when(x.rlike(HAS_MONTH), free_time(c)))
 
 
 def detectors(c: Column) -> dict[str, Column]:

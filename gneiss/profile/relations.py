@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -13,6 +14,7 @@ from gneiss.operators.predicates import column
 
 HIERARCHY = 0.5
 SIMILAR = 0.8
+SAMPLES, LOST = 96, 1e-9
 
 
 def hierarchy_pairs(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -52,22 +54,52 @@ def hierarchies(df: DataFrame, fields: Sequence[str]) -> dict[str, dict[str, lis
     }
 
 
+def least_matches(samples: int = SAMPLES, similar: float = SIMILAR, lost: float = LOST) -> int:
+    """Equal MinHash samples that two sets of this similarity fall short of with a chance of `lost` at most (a binomial tail)."""
+    below, p = 0.0, [math.comb(samples, k) * similar**k * (1 - similar) ** (samples - k) for k in range(samples + 1)]
+    for k in range(samples + 1):
+        below += p[k]
+        if below > lost:
+            return k
+    return samples
+
+
+def field_sketches(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, samples): the least of SAMPLES hashes over each field's values, in one pass that ships a row a field and task."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.xxhash64(column(f).cast("string")).alias("h"), column(f).isNotNull().alias("some")) for f in fields])).alias("x")
+    rows = df.select(each).select("x.*").where("some")
+    least = rows.groupBy("field").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(SAMPLES)])
+    return least.select("field", F.array(*[f"m{i}" for i in range(SAMPLES)]).alias("samples"))
+
+
+def likely_pairs(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], least: float = SIMILAR) -> list[tuple[str, str, str, str]]:
+    """(ds, field, ds, field) of different tables whose sketches agree often enough for a similarity of `least`."""
+    sketches = [(name, r["field"], r["samples"]) for name, (df, fields) in tables.items() if fields for r in field_sketches(df, fields).collect()]  # a row a field
+    need = least_matches(similar=least)
+    return [(a, f, b, g) for (a, f, x), (b, g, y) in combinations(sorted(sketches), 2) if a != b and sum(p == q for p, q in zip(x, y, strict=True)) >= need]
+
+
 def discover_joins(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], least: float = SIMILAR) -> DataFrame:
-    """Field pairs of different tables whose distinct values have a Jaccard similarity of `least` or more.
+    """Field pairs of different tables whose distinct values have a Jaccard similarity of `least` or more.
 
-    Values of all fields go into one long table; a value counts for a pair where both have it, so the
-    join is on values and its rows are at most values times pairs of fields that hold them.
+    MinHash sketches of the fields settle which pairs may reach it; a pair that does is missed with a chance under
+    LOST. Only the values of those pairs are compared, exactly: each value goes to the pairs of its field, and a
+    value that both fields of a pair hold counts for it, in one grouping without a join.
     """
-    long = None
-    for name, (df, fields) in tables.items():
-        for f in fields:
-            one = df.where(column(f).isNotNull()).select(F.lit(name).alias("ds"), F.lit(f).alias("field"), column(f).cast("string").alias("v")).distinct()
-            long = one if long is None else long.union(one)
-    sizes = long.groupBy("ds", "field").agg(F.count("*").alias("size"))
-    other = long.select(F.col("ds").alias("ds_b"), F.col("field").alias("field_b"), "v")
-    both = long.join(other, "v").where("ds < ds_b").groupBy("ds", "field", "ds_b", "field_b").agg(F.count("*").alias("both"))
-    # sizes has a row for each field of the tables
-    sized = both.join(F.broadcast(sizes), ["ds", "field"]).join(F.broadcast(sizes.select(F.col("ds").alias("ds_b"), F.col("field").alias("field_b"), F.col("size").alias("size_b"))), ["ds_b", "field_b"])
+    spark = next(iter(tables.values()))[0].sparkSession
+    pairs = likely_pairs(tables, least)
+    schema = "source string, source_field string, target string, target_field string, similarity double, type string"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    values = None
+    for name, field in dict.fromkeys(e for a, f, b, g in pairs for e in ((a, f), (b, g))):
+        of = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(2 if (b, g) == (name, field) else 1).alias("side")) for i, (a, f, b, g) in enumerate(pairs) if (name, field) in ((a, f), (b, g))])
+        df = tables[name][0]
+        one = df.where(column(field).isNotNull()).select(column(field).cast("string").alias("v")).distinct().select("v", F.explode(of).alias("x")).select("x.*", "v")
+        values = one if values is None else values.unionAll(one)
+    held = values.groupBy("pair", "v").agg(F.bit_or("side").alias("sides"))
+    sizes = held.groupBy("pair").agg(F.count_if(F.col("sides").bitwiseAND(1) > 0).alias("size"), F.count_if(F.col("sides").bitwiseAND(2) > 0).alias("size_b"), F.count_if(F.col("sides") == 3).alias("both"))
     similarity = F.col("both") / (F.col("size") + F.col("size_b") - F.col("both"))
     kind = F.when(F.col("size") == F.col("size_b"), "11").when(F.col("size") > F.col("size_b"), "N1").otherwise("1N")
-    return sized.select(F.col("ds").alias("source"), F.col("field").alias("source_field"), F.col("ds_b").alias("target"), F.col("field_b").alias("target_field"), similarity.alias("similarity"), kind.alias("type")).where(F.col("similarity") >= least)
+    names = [F.array(*[F.lit(p[i]) for p in pairs])[F.col("pair")].alias(n) for i, n in enumerate(("source", "source_field", "target", "target_field"))]
+    return sizes.select(*names, similarity.alias("similarity"), kind.alias("type")).where(F.col("similarity") >= least)

@@ -657,9 +657,11 @@ def forward_r2(df):
     return rows_of(df, list(enumerate(chosen)), "step int, variable string")
 
 
-@query("lineitem")
+@query("lineitem", "SELECT * FROM (VALUES ('l_extendedprice'), ('l_quantity')) t(variable)")
 def lasso_select(df):
-    return rows_of(df, [(v,) for v in regression.lasso(df, PRICE, [QUANTITY, "l_discount", "l_tax"])], "variable string")
+    """A product depends on its factors, and on nothing else here."""
+    rows = df.withColumn("volume", F.col(PRICE) * F.col(QUANTITY))
+    return rows_of(df, [(v,) for v in regression.lasso(rows, "volume", [QUANTITY, PRICE, "l_discount", "l_tax"])], "variable string")
 
 
 @query("lineitem", " UNION ALL ".join(f"SELECT '{f}' AS term, ROUND(REGR_R2({PRICE}, {f}) / ((1 - REGR_R2({PRICE}, {f})) / (COUNT(*) - 2)), 3) AS f FROM lineitem" for f in ("l_discount", "l_tax")))
@@ -1009,3 +1011,137 @@ def forward_r2_saved(df):
 def logit_multinomial(df):
     _, s = regression.multinomial(df, FLAG, [QUANTITY])
     return rows_of(df, [(s["n"], round(s["llnull"], 2))], "n long, llnull double")
+
+
+# --- tests against distributions and shares, models with known solutions ----------------------------
+
+
+@query(
+    "lineitem",
+    "WITH p AS (SELECT l_quantity AS x, COUNT(*) AS c FROM lineitem GROUP BY 1), r AS (SELECT c, SUM(c) OVER (ORDER BY x) AS upto, LEAST(1, GREATEST(0, x / 50)) AS f FROM p), n AS (SELECT CAST(SUM(c) AS BIGINT) AS n FROM p)"
+    " SELECT n, ROUND(MAX(GREATEST(upto / n - f, f - (upto - c) / n)), 4) AS d FROM r, n GROUP BY n",
+)
+def kstest_uniform(df):
+    return comparison.kstest(df, QUANTITY, "uniform", (0.0, 50.0))
+
+
+@query(
+    "orders",
+    "WITH p AS (SELECT o_totalprice AS x, COUNT(*) AS c FROM orders GROUP BY 1), r AS (SELECT c, SUM(c) OVER (ORDER BY x) AS upto, CASE WHEN x <= 0 THEN 0 ELSE 1 - EXP(-x / 150000) END AS f FROM p), n AS (SELECT CAST(SUM(c) AS BIGINT) AS n FROM p)"
+    " SELECT n, ROUND(MAX(GREATEST(upto / n - f, f - (upto - c) / n)), 4) AS d FROM r, n GROUP BY n",
+)
+def kstest_exponential(df):
+    return comparison.kstest(df, "o_totalprice", "expon", (0.0, 150000.0))
+
+
+_DIVERGENCES = {"log-likelihood": "2 * SUM(o * LN(o / e))", "cressie-read": "9.0 / 5 * SUM(o * (POWER(o / e, 2.0 / 3) - 1))", "neyman": "SUM((o - e) * (o - e) / o)", "freeman-tukey": "4 * SUM(POWER(SQRT(o) - SQRT(e), 2))"}
+
+
+@query(
+    "part",
+    "WITH c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS o FROM part GROUP BY p_type), d AS (SELECT o, AVG(o) OVER () AS e FROM c) " + " UNION ALL ".join(f"SELECT '{p}' AS power, COUNT(*) AS k, ROUND({x}, 4) AS statistic FROM d" for p, x in _DIVERGENCES.items()),
+)
+def power_divergences(df):
+    return reduce(DataFrame.unionByName, [comparison.power_divergence(df, "p_type", p).select(F.lit(p).alias("power"), "k", "statistic") for p in _DIVERGENCES])
+
+
+@query(
+    "lineitem",
+    f"WITH b AS (SELECT REGR_SLOPE({PRICE}, {QUANTITY}) AS s, REGR_INTERCEPT({PRICE}, {QUANTITY}) AS i FROM lineitem), p AS (SELECT {PRICE} AS y, i + s * {QUANTITY} AS f FROM lineitem, b),"
+    " v AS (SELECT y AS x, 1 AS a, 0 AS b FROM p UNION ALL SELECT f, 0, 1 FROM p), c AS (SELECT x, SUM(a) AS a, SUM(b) AS b FROM v GROUP BY x),"
+    " r AS (SELECT SUM(a) OVER (ORDER BY x) AS a, SUM(b) OVER (ORDER BY x) AS b FROM c), n AS (SELECT COUNT(*) AS n FROM p)"
+    " SELECT (SELECT ROUND(SUM((f - y) * (f - y) / y), 0) FROM p WHERE y <> 0) AS chisquare, ROUND(MAX(ABS(a - b) / n), 3) AS ks FROM r, n",
+)
+def prediction_tests(df):
+    got = regression.residual_tests(df, PRICE, [QUANTITY])
+    return rows_of(df, [(float(round(got["chisquare"][0])), round(got["ks_2samp"][0], 3))], "chisquare double, ks double")
+
+
+# with one category on the right, the fitted odds and means are those of the table, so SQL knows the coefficients
+
+
+@query(
+    "lineitem",
+    "WITH c AS (SELECT l_returnflag AS f, l_linestatus AS s, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT x.f, x.s, LN(x.n / y.n) AS odds FROM c x JOIN c y ON x.s = y.s AND y.f = 'A' AND x.f <> 'A')"
+    " SELECT f AS class, 'intercept' AS term, ROUND(odds, 3) AS coefficient FROM r WHERE s = 'F' UNION ALL SELECT a.f, 'l_linestatus[O]', ROUND(a.odds - b.odds, 3) FROM r a JOIN r b ON a.f = b.f AND a.s = 'O' AND b.s = 'F'",
+)
+def logit_multinomial_odds(df):
+    table, _ = regression.multinomial(df, FLAG, [STATUS])
+    return rows_of(df, [(c, t, round(x, 3)) for c, t, x, *_ in table], "class string, term string, coefficient double")
+
+
+@query(
+    "lineitem",
+    "WITH c AS (SELECT l_returnflag AS f, LN(SUM(CAST(l_linestatus = 'F' AS DOUBLE)) / SUM(CAST(l_linestatus <> 'F' AS DOUBLE))) AS odds, 1 / SUM(CAST(l_linestatus = 'F' AS DOUBLE)) + 1 / SUM(CAST(l_linestatus <> 'F' AS DOUBLE)) AS v FROM lineitem GROUP BY 1), b AS (SELECT odds AS o, v AS w FROM c WHERE f = 'A')"
+    " SELECT 'intercept' AS term, ROUND(o, 4) AS coefficient, ROUND(SQRT(w), 4) AS se FROM b UNION ALL SELECT 'l_returnflag[' || f || ']', ROUND(odds - o, 4), ROUND(SQRT(v + w), 4) FROM c, b WHERE f <> 'A'",
+)
+def logit_binary_odds(df):
+    table, _ = regression.logistic(df, F.col(STATUS) == "F", [FLAG])
+    return rows_of(df, [r[:3] for r in table], "term string, coefficient double, se double")
+
+
+@query(
+    "lineitem",
+    f"WITH c AS (SELECT l_returnflag AS f, AVG({PRICE}) AS m, COUNT(*) AS n, VAR_POP({PRICE}) * COUNT(*) AS ss FROM lineitem GROUP BY 1), e AS (SELECT SUM(ss) / (SUM(n) - COUNT(*)) AS mse FROM c), b AS (SELECT m AS m0, n AS n0 FROM c WHERE f = 'A')"
+    " SELECT 'intercept' AS term, ROUND(m0, 2) AS coefficient, ROUND(SQRT(mse / n0), 2) AS se FROM b, e UNION ALL SELECT 'l_returnflag[' || f || ']', ROUND(m - m0, 2), ROUND(SQRT(mse * (1.0 / n + 1.0 / n0)), 2) FROM c, b, e WHERE f <> 'A'",
+)
+def ols_category_means(df):
+    ((_, fit),) = regression.regress(df, PRICE, [FLAG], layout="all")
+    return rows_of(df, [(t, round(float(c), 2), round(float(se), 2)) for t, c, se, *_ in fit.rows], "term string, coefficient double, se double")
+
+
+@query(
+    "lineitem",
+    f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY r2 DESC) - 1 AS INTEGER) AS step, variable FROM (SELECT 'l_discount' AS variable, REGR_R2({PRICE} * l_discount, l_discount) AS r2 FROM lineitem UNION ALL SELECT '{PRICE}', REGR_R2({PRICE} * l_discount, {PRICE}) FROM lineitem)",
+)
+def forward_r2_order(df):
+    """In the order of choice: the stronger factor of a product first."""
+    rows = df.withColumn("saved", F.col(PRICE) * F.col("l_discount"))
+    return rows_of(df, list(enumerate(regression.recommend_model(rows, "saved", [PRICE, "l_discount", "l_tax"]))), "step int, variable string")
+
+
+# --- free-form text ---------------------------------------------------------------------------------
+
+
+@query("orders", "SELECT o_orderkey, date_trunc('minute', o_orderdate) AS written, date_trunc('day', o_orderdate) AS spoken, ROUND(o_totalprice, 2) AS pointed, ROUND(o_totalprice, 2) AS blanked FROM orders WHERE o_totalprice >= 1000")
+def free_form_values(df):
+    """Dates as people write them and numbers of other locales, made from the orders and read back."""
+    at, price = F.col("o_orderdate"), F.col("o_totalprice")
+    day = F.day(at).cast("string")
+    ending = F.when(F.day(at).isin(1, 21, 31), "st").when(F.day(at).isin(2, 22), "nd").when(F.day(at).isin(3, 23), "rd").otherwise("th")
+    text = df.where(price >= 1000).select(
+        "o_orderkey",
+        F.concat(F.date_format(at, "EEEE, MMMM "), day, F.date_format(at, ", yyyy 'at' h:mm a")).alias("written"),
+        F.concat(day, ending, F.lit(" of "), F.date_format(at, "MMM yyyy")).alias("spoken"),
+        F.translate(F.format_number(price, 2), ".,", ",.").alias("pointed"),
+        F.translate(F.format_number(price, 2), ".,", ", ").alias("blanked"),
+    )
+    return coerce(text, {"written": "datetime", "spoken": "datetime", "pointed": "decimal", "blanked": "decimal"})
+
+
+_ENCODINGS = {
+    "windows-1251": "Сегодня хорошая погода и мы пойдём гулять в парк",
+    "KOI8-R": "Сегодня хорошая погода и мы пойдем гулять в парк",
+    "windows-1253": "Σήμερα ο καιρός είναι καλός και θα πάμε βόλτα στο πάρκο",
+    "windows-1250": "Dziś jest bardzo ładna pogoda więc pójdziemy na spacer",
+    "Shift_JIS": "今日はとても良い天気ですので公園へ散歩に行きましょう",
+    "EUC-KR": "오늘은 날씨가 매우 좋아서 공원으로 산책을 갑니다",
+    "GB18030": "今天天气很好我们一起去公园散步他说这个国家的人民生活得很幸福",
+}
+
+
+def encoded_files(spark, sf_dir):
+    """Customers' keys with a sentence, written in the encoding of its script, which is recognised as the file is read back."""
+    out = []
+    for name, sentence in _ENCODINGS.items():
+        path = f"{shared_folder(spark)}.csv"
+        # Spark writes few encodings: the bytes go out as the characters of their numbers
+        line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), F.lit(sentence.encode(name).decode("latin-1")))
+        lines = read(spark, sf_dir, "customer").select(line.alias("id,text"))
+        lines.write.option("header", True).option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").csv(path)
+        out.append(readers.read(spark, path).select(F.lit(name).alias("encoding"), F.col("id").try_cast("bigint").alias("id"), "text"))
+    return reduce(DataFrame.unionByName, out)
+
+
+QUERIES["encoded_files"] = encoded_files
+ORACLE_SQL["encoded_files"] = " UNION ALL ".join(f"SELECT '{n}' AS encoding, c_custkey AS id, '{s}' AS text FROM customer" for n, s in _ENCODINGS.items())

@@ -67,6 +67,8 @@ def score(text: str, encoding: str) -> float:
                 good += 0.5 if unicodedata.category(c) in ("Pd", "Pi", "Pf", "Po", "Ps", "Pe", "Zs") else -1 if unicodedata.category(c) in ("Cc", "Co", "Cn", "So", "Sm") else 0
             elif kind == "LATIN":
                 good += 1 if c.lower() in LETTERS.get(encoding, LETTERS["windows-1252"]) else -0.5
+                if before.isalpha() and ord(before) > 127:
+                    good -= 0.6  # letters with marks stand among plain ones
             elif encoding in ("Shift_JIS", "EUC-JP"):
                 good += {"HIRAGANA": 1.2, "KATAKANA": 0.6, "CJK": 0.4}.get(kind or "", -1) if unicodedata.east_asian_width(c) != "H" else -0.6
             elif kind == home:

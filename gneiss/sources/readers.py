@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.operators.predicates import column
-from gneiss.profile.infer import infer_types, parsed_time
+from gneiss.profile.infer import infer_types, parsed_time, plain_number
 from gneiss.sources.encoding import BY_SPARK, as_text, detect
 
 PREFIX_BYTES = 1 << 20
@@ -156,7 +156,7 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     for name, kind in types.items():
         c = column(name)
         text = isinstance(df.schema[name].dataType, T.StringType)
-        plain = F.regexp_replace(F.trim(c), ",", "") if text else c
+        plain = plain_number(c) if text else c
         if kind in ("integer", "year"):
             x = plain.try_cast("double")
             out[name] = F.when(~F.isnan(x) & (x == F.floor(x)), x.try_cast("bigint"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.predicates import column
@@ -142,6 +143,78 @@ def chi_square(df: DataFrame, field: str) -> DataFrame:
     return per.agg(F.count("*").alias("k"), (F.sum(F.col("o") * F.col("o")) / mean - F.sum("o")).alias("chi2"))
 
 
+POWERS = {"pearson": 1.0, "log-likelihood": 0.0, "freeman-tukey": -0.5, "mod-log-likelihood": -1.0, "neyman": -2.0, "cressie-read": 2 / 3}
+
+
+def divergence(cells: DataFrame, power: str | float = "pearson") -> DataFrame:
+    """The power divergence of observed counts o from expected ones e, and the number of cells.
+
+    Pearson's chi-square is the power 1, the likelihood ratio the power 0. Cells without a value on either side go;
+    an empty cell adds what the limit of its term is, and nothing is returned where that is infinite.
+    """
+    k = POWERS[power] if isinstance(power, str) else float(power)
+    o, e = F.col("o").cast("double"), F.col("e").cast("double")
+    if k == 1:
+        term = (o - e) * (o - e) / e
+    elif k == 0:
+        term = 2 * F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    elif k == -1:
+        term = 2 * F.when(e > 0, e * F.log(e / o)).otherwise(0.0)
+    else:
+        term = F.when((o == 0) & (F.lit(k) > 0), 0.0).otherwise(2 / (k * (k + 1)) * o * (F.pow(o / e, F.lit(k)) - 1))
+    return cells.where("o is not null and e is not null").agg(F.count("*").alias("k"), F.sum(term).alias("statistic"))
+
+
+def power_divergence(df: DataFrame, field: str, power: str | float = "pearson", expected: Mapping | None = None) -> DataFrame:
+    """The divergence of a field's frequencies from equal ones, or from the given share of each value."""
+    per = df.where(column(field).isNotNull()).groupBy(column(field).alias("v")).agg(F.count("*").cast("double").alias("o"))
+    if expected is None:
+        cells = per.crossJoin(F.broadcast(per.agg(F.avg("o").alias("e"))))  # one row
+    else:
+        total = sum(expected.values())
+        shares = df.sparkSession.createDataFrame([(v, float(s) / total) for v, s in expected.items()], f"v {df.schema[field].dataType.simpleString()}, share double")
+        n = per.agg(F.sum("o").alias("n"))
+        cells = shares.join(per, "v", "left").crossJoin(F.broadcast(n)).select(F.coalesce("o", F.lit(0.0)).alias("o"), (F.col("share") * F.col("n")).alias("e"))  # one row
+    return divergence(cells, power)
+
+
+def power_divergence_p(row, less: int = 0) -> float | None:
+    return dist.chi2_sf(row["statistic"], row["k"] - 1 - less) if row["statistic"] is not None and row["k"] > 1 + less else None
+
+
+def _normal(x: Column, mean: float = 0.0, sd: float = 1.0) -> Column:
+    """The normal distribution function, which Spark lacks, batch by batch."""
+
+    def cdf(z: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else 0.5 * math.erfc(-v / math.sqrt(2)) for v in z.to_pylist()], pa.float64())
+
+    return F.arrow_udf(cdf, "double")((x - mean) / sd)
+
+
+CDFS = {
+    "norm": _normal,
+    "uniform": lambda x, low=0.0, width=1.0: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / width)),
+    "expon": lambda x, low=0.0, scale=1.0: F.when(x <= low, 0.0).otherwise(1 - F.exp(-(x - low) / scale)),
+}
+
+
+def kstest(df: DataFrame, field: str, cdf: str | Callable[[Column], Column] = "norm", args: Sequence[float] = ()) -> DataFrame:
+    """Values and the largest distance of a field's distribution function from a given one, range by range over distinct values."""
+    x = column(field).cast("double")
+    per = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("c"))
+    run = with_sums_before(per, ["x"], {"before": F.col("c")})
+    f = CDFS[cdf](F.col("x"), *args) if isinstance(cdf, str) else cdf(F.col("x"))
+    at = run.select("c", "before", f.alias("f"))
+    n = per.agg(F.sum("c").alias("n"))
+    far = F.greatest((F.col("before") + F.col("c")) / F.col("n") - F.col("f"), F.col("f") - F.col("before") / F.col("n"))
+    return at.crossJoin(F.broadcast(n)).groupBy("n").agg(F.max(far).alias("d"))  # one row
+
+
+def kstest_p(row) -> float:
+    root = math.sqrt(row["n"])
+    return dist.kolmogorov_sf((root + 0.12 + 0.11 / root) * row["d"])
+
+
 def ttest_one(df: DataFrame, field: str, mean: float = 0.0) -> tuple[float | None, float | None, int]:
     """T, p and degrees of freedom of one column against a mean."""
     x = column(field).cast("double")
@@ -217,6 +290,8 @@ def sets_normal(df: DataFrame, fields: Sequence[str]) -> bool:
 
 def valid_tests(samples: int, normal: bool, equal_variance: bool, independent: bool = True) -> list[str]:
     """H6: which tests a number of samples and their shape allow."""
+    if samples == 1:
+        return ["chisquare", "power_divergence", "kstest"] + (["ttest_1samp"] if normal else [])
     if samples == 2:
         tests = ["mannwhitneyu", "kruskal", "ks_2samp"] if independent else ["wilcoxon"]
         if normal:
@@ -258,6 +333,21 @@ def compare_columns(df: DataFrame, fields: Sequence[str], independent: bool = Tr
     return out
 
 
+def test_column(df: DataFrame, field: str, power: str | float = "log-likelihood", mean: float = 0.0) -> dict[str, tuple[float | None, float | None]]:
+    """(statistic, p) of every test that suits one column: its frequencies against equal ones, its values against the standard normal distribution, its mean."""
+    out: dict[str, tuple[float | None, float | None]] = {}
+    for test in valid_tests(1, sets_normal(df, [field]), False):
+        if test in ("chisquare", "power_divergence"):
+            r = power_divergence(df, field, "pearson" if test == "chisquare" else power).first()
+            out[test] = (r["statistic"], power_divergence_p(r))
+        elif test == "kstest":
+            r = kstest(df, field).first()
+            out[test] = (r["d"], kstest_p(r)) if r else (None, None)
+        else:
+            out[test] = ttest_one(df, field, mean)[:2]
+    return out
+
+
 def comparison_kind(dependents: Sequence[str], independents: Sequence[str]) -> str | None:
     """H1: anova with both sides, numeric with two or more fields on one side alone."""
     if dependents and independents:

@@ -261,26 +261,43 @@ def multinomial(df: DataFrame, dependent: str, independents: Sequence[str], tran
     return table, {"n": n, "llf": llf, "llnull": llnull, "r2": 1 - llf / llnull, "llr_p": dist.chi2_sf(2 * (llf - llnull), size - len(w)), "aic": 2 * size - 2 * llf, "bic": math.log(n) * size - 2 * llf}
 
 
-def residuals(df: DataFrame, dependent: str, independents: Sequence[str]) -> DataFrame:
-    """(residual) of each complete row under the linear model of all independents."""
+def predictions(df: DataFrame, dependent: str, independents: Sequence[str]) -> DataFrame:
+    """(actual, predicted, residual) of each complete row under the linear model of all independents."""
     terms = design(df, independents)
     fit = solve(gram(df, column(dependent), terms))
     (_, b0, *_), *rest = fit.rows
     fitted = sum((float(r[1]) * t.expr for r, t in zip(rest, terms, strict=True)), F.lit(float(b0)))
-    return df.select((column(dependent).cast("double") - fitted).alias("residual")).where("residual is not null")
+    rows = df.select(column(dependent).cast("double").alias("actual"), fitted.alias("predicted")).na.drop("any")
+    return rows.withColumn("residual", F.col("actual") - F.col("predicted"))
+
+
+def residuals(df: DataFrame, dependent: str, independents: Sequence[str]) -> DataFrame:
+    """(residual) of each complete row."""
+    return predictions(df, dependent, independents).select("residual")
 
 
 def residual_tests(df: DataFrame, dependent: str, independents: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
-    """(statistic, p) of tests on a linear model's residuals: mean 0 by t and by signed ranks, and the normal shape."""
+    """(statistic, p) of tests on a linear model: predicted against actual values by chi-square (rows with an
+    actual value of 0 have no term) and by the distance of their distributions; residuals by t and signed ranks
+    against 0, and their normal shape."""
     from gneiss.profile.describe import normality_moments
     from gneiss.stats import comparison
 
-    r = residuals(df, dependent, independents).withColumn("zero", F.lit(0.0))
+    p = predictions(df, dependent, independents)
+    chi = comparison.divergence(p.where("actual != 0").select(F.col("predicted").alias("o"), F.col("actual").alias("e"))).first()
+    ks = comparison.ks_2samp(comparison.columns_as_samples(p, ["predicted", "actual"])).first()
+    r = p.select("residual", F.lit(0.0).alias("zero"))
     t, t_p, _ = comparison.ttest_one(r, "residual")
     w = comparison.wilcoxon(r, "residual", "zero").first()
     m = normality_moments(r, "residual").first()
-    p = dist.dagostino(m["n"], m["skew"], m["kurt"]) if m["n"] >= 8 and m["skew"] is not None else None
-    return {"ttest_1samp": (t, t_p), "wilcoxon": (w["w"], comparison.wilcoxon_p(w)), "normaltest": (m["skew"], p)}
+    shape = dist.dagostino(m["n"], m["skew"], m["kurt"]) if m["n"] >= 8 and m["skew"] is not None else None
+    return {
+        "chisquare": (chi["statistic"], comparison.power_divergence_p(chi) if (chi["statistic"] or -1) >= 0 else None),
+        "ks_2samp": (ks["d"], comparison.ks_p(ks)) if ks else (None, None),
+        "ttest_1samp": (t, t_p),
+        "wilcoxon": (w["w"], comparison.wilcoxon_p(w)),
+        "normaltest": (m["skew"], shape),
+    }
 
 
 def forward_r2(g: Gram, limit: int = MODEL_LIMIT, gain: float = LEAST_GAIN) -> list[str]:
