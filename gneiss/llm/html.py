@@ -18,7 +18,8 @@ constants make up most of it, as on a host of copies.
 
 `extract` matches a page against its host's expression, which puts each text into a slot, and takes the
 texts of the article's slots. Elements that are menus, headers, footers, sidebars, notices, adverts, forms
-or comments by name, role or class are left out before that (`names`; the tests also hold results without).
+or comments by name, role or class are left out before that (`names`; the tests also hold results without). Inside
+an article a class or id says so only by a whole name (`related-posts`, not `related-work`).
 
 Defined cases: null or empty html gives an empty text; a page without a known host, or of a host of under
 `MIN_PAGES` pages, is read by names and classes alone, as is a page none of whose texts falls into a slot
@@ -55,9 +56,10 @@ HELD_NODES = 200_000
 MAX_CELLS = 250_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title canvas object audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title canvas object audio video annotation annotation-xml desc metadata".split())
 DROPPED = frozenset("head nav footer aside form button select option label input dialog menu menuitem fieldset".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr data img".split())
+MATH = "math mi mo mn ms mtext mrow mfrac msqrt mroot mstyle mspace mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics"
+INLINE = frozenset(f"{MATH} svg tspan a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr data img".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -67,12 +69,14 @@ BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager share sharing "
     "social related recommended recommendations comment comments commentlist disqus respond reply replies widget toolbar skip search searchbox copyright masthead".split()
 )
+#: fixed values: words that say nothing of what an element holds, in names made of several
+LAYOUT = frozenset("area bar block body bottom box button buttons card cards container content count footer form group header heading head holder inner item items left link links list main new on outer panel post posts right row section slot text thread title top unit us wrap wrapper".split())
 HEADER = frozenset(("header",))
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: elements that hold text rather than parts of a page
 TEXT_LEVEL = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tr td th figure figcaption address hr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -97,8 +101,12 @@ def is_boilerplate(tag: str, a: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("body", "html", "main"):
         return False
-    words = set(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(words & BOILERPLATE) or (not inside and bool(words & HEADER))
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+    if inside:
+        parts = [set(filter(None, _SPLIT.split(n))) for n in names.split()]
+        return any(p & BOILERPLATE and p <= BOILERPLATE | LAYOUT for p in parts)
+    words = set(_SPLIT.split(names))
+    return bool(words & (BOILERPLATE | HEADER))
 
 
 def signature(tag: str, a: dict[str, str]) -> str:
