@@ -620,3 +620,30 @@ def test_html_of_any_depth_and_length(spark):
     got = {(r["page_id"], r["url"][8]): r["text"] for r in collected(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
     assert got[0, "0"] == "core text" and got[4, "2"] == " ".join(["word"] * 200_000)
     assert got[2, "1"] == " ".join(f"a{i} b{i} c{i}" for i in range(2500))
+
+
+def test_names_inside_an_article_and_odd_markup():
+    page = (
+        '<html><body><nav>menu</nav><div class="related-work">outside</div><article><h1>T</h1><p class="related-work">Earlier work.</p><section id="reply-to-critics"><p>Answer.</p></section>'
+        "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p><svg><title>icon</title><text>Label</text></svg>"
+        '<div class="related-posts"><a href=x>more</a></div><ul id="comment-list"><li>first!</li></ul><p title="oops>Last one.</p></article><footer>f</footer></body></html>'
+    )
+    assert html.extract(page) == "T Earlier work. Answer. So x=1 holds. Label Last one."
+    assert html.extract('<article><p>a</p><p title="oops>b</p><p>c</p></article>') == "a b c"
+    assert html.extract("<article>a<p class='it\"s'>b</p></article>") == "a b"
+
+
+def test_scores_do_not_depend_on_the_layout(spark, corpus):
+    """The same table in one and in nine partitions, in another order; the long text has several steps of several pieces."""
+    rng = random.Random(31)
+    rows = [(1000 + i, t) for i, (_, t) in enumerate(corpus)] + [(5000 + i, prose(rng, rng.randint(5, 400))) for i in range(300)] + [(9000, prose(rng, 9000)), (9001, prose(rng, 30000))]
+    schema = "doc_id long, text string"
+    one = {r["doc_id"]: r["score"] for r in collected(lm.lm_scores(spark.createDataFrame(rows, schema).coalesce(1)))}
+    rng.shuffle(rows)
+    nine = {r["doc_id"]: r["score"] for r in collected(lm.lm_scores(spark.createDataFrame(rows, schema).repartition(9)))}
+    assert max(abs(one[i] - nine[i]) for i in one) < 1e-9
+    owner = np.repeat(np.arange(6), [3, 1, 9, 2, 2, 1])
+    for size in (1, 2, 4, 100):
+        cuts = list(lm.whole_runs(owner, size))
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(owner) and all(b == c for (_, b), (c, _) in zip(cuts, cuts[1:], strict=False))
+        assert all(owner[a - 1] != owner[a] for a, _ in cuts[1:]) and all(b - a <= max(size, 9) for a, b in cuts)
