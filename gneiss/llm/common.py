@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: dict[str, SparkSession] = {}  # tables that are there still
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,19 +34,42 @@ def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame
     if parts:
         df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _written.pop(path, None)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that materialize() wrote, once nothing lazy reads them any more."""
     for df in tables:
         if path := getattr(df, "_gneiss_path", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def release() -> int:
+    """Delete all tables that are left, those that results read lazily among them; how many. Also runs as the driver ends."""
+    left = list(_written.items())
+    for path, spark in left:
+        _delete(spark, path)
+    return len(left)
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except (Py4JError, OSError):  # Spark is gone already, and its folder with it or not
+        pass
+
+
+atexit.register(_at_exit)
 
 
 def digest_mod(doc_id: str | Column, m: int) -> Column:

@@ -268,21 +268,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a passage of the benchmark, with all their columns."""
-    out = docs
-    for blocks in passes(benchmark):
-        scan = _scan(blocks)
-
-        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
+    scans = [_scan(blocks) for blocks in passes(benchmark)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scan in scans:  # each sees what those before it left
+                if not batch.num_rows:
+                    break
+                text = batch.column(batch.schema.get_field_index("text"))
                 keep = np.ones(batch.num_rows, bool)
-                for hit in scan(iter([numbered])):
+                for hit in scan(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], names=["doc_id", "text"])])):
                     keep[hit.column(0).to_numpy()] = False
-                yield batch.filter(pa.array(keep))
+                batch = batch.filter(pa.array(keep))
+            yield batch
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema) if scans else docs
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

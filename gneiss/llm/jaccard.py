@@ -46,7 +46,7 @@ PER_BUCKET = 1 << 21
 LEADER_ROUNDS = 3
 LEADERS = 4
 ROWS_PER_TASK = 100_000
-PER_SALT = 1000  # sets of one shingle that meet all others in one salt of the last round
+PER_SALT = 1000  # sets of one shingle that meet as many others in one pair of salts of the last round
 MAX_TASKS = 1 << 16
 U64 = np.uint64
 
@@ -276,13 +276,16 @@ def unlinked_pairs(left: DataFrame) -> DataFrame:
     """(a, b) of keys with a common token, of two roots, that fit in size and place.
 
     Sizes that fit lie in the same step of a factor 1.26 or in two that touch, so only those meet. The sets of a
-    token are dealt over its salts, and each of them meets all others once, PER_SALT sets at a time.
+    token are dealt over its salts on both sides, and each salt of the one meets each of the other, so a task holds
+    about PER_SALT sets of a token from either side.
     """
+    own = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     placed = left.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.26))))
-    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-    other = placed.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"), F.col("step").alias("step_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = placed.select("*", own.alias("salt"), every.alias("salt_b"))
+    other = placed.select(F.col("key").alias("b"), F.col("n").alias("m"), "token", F.col("pos").alias("at"), F.col("root").alias("root_b"), F.col("step").alias("step_b"), own.alias("salt_b"), every.alias("salt"))
     other = other.withColumn("step", F.explode(F.array(F.col("step_b"), F.col("step_b") + 1)))
-    met = dealt.drop("salts").join(other, ["token", "step", "salt"]).where("step_b < step or key < b").where("root != root_b").where(fits("n", "pos", "m", "at"))
+    met = dealt.drop("salts").join(other, ["token", "step", "salt", "salt_b"]).where("step_b < step or key < b").where("root != root_b").where(fits("n", "pos", "m", "at"))
     return met.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
 
@@ -352,9 +355,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id may be of several components. Rows without a word have no copies but equal rows.
     """
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("__row", row)
-    placed = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("x")
-    chosen = materialize(placed.join(ids, "__row").groupBy("component_id").agg(first).select("x.__row"), "chosen")
-    return keyed.dropDuplicates(["__row"]).join(chosen, "__row", "left_semi").select(docs.columns)
+    keyed = id_and_text(docs).select("doc_id", "text", row.alias("row"))
+    placed = jaccard_components(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = keyed.select("row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("x")
+    chosen = materialize(placed.join(ids, "row").groupBy("component_id").agg(first).select("x.row"), "chosen")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row"))
+    return whole.dropDuplicates(["row"]).join(chosen, "row", "left_semi").select("doc.*")

@@ -113,7 +113,10 @@ def _train_shard(table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, max_train: int = MAX_TRAIN, shards: int = SHARDS, label: str = "quality") -> np.ndarray:
-    """Weight table learned from a bounded sample of the labelled documents outside the held-out fold."""
+    """Weight table learned from a bounded sample of the labelled documents outside the held-out fold.
+
+    A labelled id has one text, the one of least hash, however many rows hold it; so max_train bounds the texts too.
+    """
     ids = F.col("doc_id").cast("long").alias("doc_id")
     sample = (
         labels.select(ids, F.col(label).cast("double").alias("mark"))
@@ -128,6 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int
     rows = (
         id_and_text(docs)
         .join(F.broadcast(sample), "doc_id")  # at most max_train rows of ids and marks
+        .groupBy("doc_id", "turn", "good")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .select("turn", "good", "text", F.pmod("turn", F.lit(shards)).cast("int").alias("shard"))
         .repartition(shards, "shard")
         .groupBy("shard")

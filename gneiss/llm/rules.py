@@ -87,10 +87,15 @@ def with_repeats(df: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     """One row per document: the base counts, the lines' losses and the verdict."""
+    return _judged(docs, max_lost).drop("text")
+
+
+def _judged(docs: DataFrame, max_lost: int) -> DataFrame:
     lost = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(failing_line(x), F.char_length(x)).otherwise(0))
     lines = F.size("lines").cast("long")
     counted = with_repeats(with_words(docs)).select(
         "doc_id",
+        "text",
         "n_words",
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -105,10 +110,9 @@ def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
-    """The kept documents with their failing lines removed; blank lines stay."""
-    kept = quality_rules(docs, max_lost).where("kept").select("doc_id").distinct()
+    """The kept rows with their failing lines removed; blank lines stay. Each row is judged by itself, whatever its id."""
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~failing_line(x) | ~x.rlike(rf"[^{SPACE}]")), "\n")
-    return id_and_text(docs).join(kept, "doc_id", "left_semi").select("doc_id", text.alias("text"))
+    return _judged(docs, max_lost).where("kept").select("doc_id", text.alias("text"))
 
 
 def oracle() -> str:

@@ -12,8 +12,8 @@ repeat, and each sentence that a repeat covers is removed. Texts are shuffled on
 repeats.
 
 Defined cases: null and empty texts have no sentences; white space around a removed sentence goes
-with it; rows equal in id and text count as one, so neither loses to the other; an occurrence with a null
-id comes after all others; a null text stays null; other columns are ignored.
+with it; rows equal in id and text count as one, so neither loses to the other, and that holds for rows without
+an id too, which are told apart by their text alone; an occurrence with a null id comes after all others; a null text stays null; other columns are ignored.
 """
 
 from __future__ import annotations
