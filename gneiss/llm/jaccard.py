@@ -231,6 +231,8 @@ def _gather(table: pa.Table) -> pa.Table:
         out["own"].append(own)
         out["prefix"].append(prefix.astype(np.int64))
         out["tokens"].append(np.sort(mine).tobytes())
+    del tokens, rows, dfs, t, r, d, order
+    tx.give_back()
     return pa.table({"key": pa.array(out["key"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "own": pa.array(out["own"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
 
 

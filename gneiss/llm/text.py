@@ -7,6 +7,7 @@ taken from prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +71,13 @@ class Words:
         return np.diff(self.first)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since Spark's Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,6 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = min(max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1), at + CHUNK_ROWS)
             yield batch.slice(at, to - at), buf[o[at] : o[to]], o[at : to + 1] - o[at]
             at = to
+    give_back()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], overlap: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
