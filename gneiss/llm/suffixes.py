@@ -53,6 +53,7 @@ SHORT = 200  # bytes: about 33 words of the languages at hand, so a repeated pas
 RANGE_BYTES = 8 << 20
 MAX_RANGES = 1 << 17  # beyond a TB of contexts ranges grow instead: splitters are sent to every task
 RUN_BYTES = 64 << 20
+SLICE_ROWS = 500  # rows cut at once, to bound what a worker holds besides its batch
 PER_RANGE = 4  # sampled contexts for each range, 4,096 at least
 U64 = np.uint64
 _POS_BITS = U64(28)
@@ -505,13 +506,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(keyed(docs), (length,)).select(F.col("rid").alias("k"), F.col("cuts")[0].alias("cuts"))
     columns = docs.columns
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(key.alias("k"), F.struct("*").alias("row")).join(spans.hint("merge"), "k", "left").select(F.col("row.text").alias("text"), "cuts", "row")
+    rows = docs.select(key.alias("k"), F.struct("*").alias("row")).join(spans.hint("merge"), "k", "left").select("row", "cuts")  # the text goes to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [x.as_py() if not c.is_valid else _cut(x.as_buffer().to_pybytes(), c.as_py()).decode("utf-8", "ignore") for x, c in zip(batch.column(0), batch.column(1), strict=True)]
-            parts = dict(zip(columns, batch.column(2).flatten(), strict=True)) | {"text": pa.array(text, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(parts.values()), names=columns)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                parts = dict(zip(columns, batch.column(0).flatten(), strict=True))
+                text = [x.as_py() if not c.is_valid else _cut(x.as_buffer().to_pybytes(), c.as_py()).decode("utf-8", "ignore") for x, c in zip(parts["text"], batch.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays(list((parts | {"text": pa.array(text, pa.string())}).values()), names=columns)
+        tx.give_back()
 
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
