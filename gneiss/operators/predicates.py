@@ -46,6 +46,14 @@ def condition(df: DataFrame, conditionals: Mapping[str, Sequence[Mapping]] | Non
     return reduce(operator.or_, terms) if terms else None
 
 
+def resolve(conditionals: Mapping[str, Sequence[Mapping]], fields: Mapping) -> dict[str, list[dict]]:
+    """P5: clauses that name a field by its id get its name and general type; clauses of unknown ids are left out."""
+    return {
+        k: [{**{n: v for n, v in x.items() if n != "field_id"}, "field": fields[x["field_id"]].name, "general": fields[x["field_id"]].general} for x in clauses if x["field_id"] in fields]
+        for k, clauses in conditionals.items()
+    }
+
+
 def filtered(df: DataFrame, conditionals: Mapping[str, Sequence[Mapping]] | None) -> DataFrame:
     wanted = condition(df, conditionals)
     return df if wanted is None else df.where(wanted)

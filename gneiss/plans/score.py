@@ -10,6 +10,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.predicates import column
+from gneiss.operators.ranges import counted, with_sums_before
 from gneiss.plans.compile import compile_batch
 from gneiss.plans.specs import ScoredSpec, VizSpec
 
@@ -45,6 +47,15 @@ def gini(values: Sequence[float]) -> float | None:
     return sum((2 * i - n + 1) * v for i, v in enumerate(sorted(values))) / (n * total)
 
 
+def gini_of(df: DataFrame, field: str) -> DataFrame:
+    """(n, gini) of a whole column of non-negative numbers, from counted values placed by ranges; nulls left out, null where all are 0."""
+    x = column(field).cast("double")
+    per = with_sums_before(counted(df.select(x.alias("x")), "x"), ["x"], {"before": F.col("__n")})
+    # the c copies of a value stand at places b + 1 to b + c, whose sum is c * (2 * b + c + 1) / 2
+    terms = per.agg(F.sum("__n").alias("n"), F.sum(F.col("x") * F.col("__n")).alias("total"), F.sum(F.col("x") * F.col("__n") * (2 * F.col("before") + F.col("__n"))).alias("placed"))
+    return terms.select("n", F.when(F.col("total") > 0, F.col("placed") / (F.col("n") * F.col("total")) - 1).alias("gini"))
+
+
 def relevance(spec: VizSpec, selected: Sequence[str]) -> float:
     return len(set(spec.fields) & set(selected)) / len(selected) if selected else 0.0
 

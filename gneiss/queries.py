@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 from gneiss.functions import scalar
 from gneiss.operators import binning, crosstab, groupings, transform
 from gneiss.operators.binning import bin_stats_frame, histogram
-from gneiss.operators.predicates import dropna, filtered
+from gneiss.operators.predicates import dropna, filtered, resolve
 from gneiss.plans import enumerate as rules
 from gneiss.plans.enumerate import enumerate_specs
-from gneiss.plans.score import recommend
+from gneiss.plans.formats import formatted
+from gneiss.plans.score import gini_of, recommend, statistics_of
+from gneiss.plans.specs import make
 from gneiss.profile import describe, infer, relations
 from gneiss.sources import readers, sinks
 from gneiss.sources.cache import fingerprint
@@ -1145,3 +1147,186 @@ def encoded_files(spark, sf_dir):
 
 QUERIES["encoded_files"] = encoded_files
 ORACLE_SQL["encoded_files"] = " UNION ALL ".join(f"SELECT '{n}' AS encoding, c_custkey AS id, '{s}' AS text FROM customer" for n, s in _ENCODINGS.items())
+
+
+# --- entries, forms, bins and samples ---------------------------------------------------------------
+
+
+@query("lineitem", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE (l_quantity >= 45 AND l_returnflag = 'A') OR l_tax > 0.07")
+def filter_by_field_id(df):
+    """Clauses that name fields by their ids in the profile, one of them unknown."""
+    fields = dict(enumerate(describe.profile(df)))
+    ids = {f.name: i for i, f in fields.items()}
+    by_id = lambda i, operation, criteria: {"field_id": i, "operation": operation, "criteria": criteria}
+    clauses = {"and": [by_id(ids[QUANTITY], ">=", 45), by_id(ids[FLAG], "==", "A")], "or": [by_id(ids["l_tax"], ">", 0.07), by_id(999, "==", 1)]}
+    return filtered(df, resolve(clauses, fields)).select(*_LINE)
+
+
+@query(
+    "lineitem",
+    "WITH g AS (SELECT l_returnflag || l_linestatus AS v, AVG(l_extendedprice) AS m, STDDEV_SAMP(l_extendedprice) / SQRT(COUNT(*)) AS se FROM lineitem GROUP BY 1)"
+    " SELECT v AS value, ROUND(m, 4) AS agg, printf('value: %s, agg: %.3f ± %.3f', v, m, se) AS tooltip, (SELECT COUNT(*) FROM g) AS n FROM g",
+)
+def chart_forms(df):
+    """A mean with its band as a table, as objects with tooltips and as a number of rows, put together again."""
+    rows = df.withColumn("both", F.concat(FLAG, STATUS))
+    got = formatted(groupings.value_aggregate(rows, "both", PRICE, "mean"))
+    tips = {x["value"]: x["tooltip"] for x in got["visualize"]}
+    at = got["table"]["columns"].index
+    return rows_of(df, [(r[at("value")], r[at("agg")], tips[r[at("value")]], got["count"]) for r in got["table"]["data"]], "value string, agg double, tooltip string, n long")
+
+
+_QUARTERS = " + ".join(f"CAST(l_discount > ROUND(lo + (hi - lo) * {i} / 4, 4) AS INTEGER)" for i in (1, 2, 3))
+
+
+@query(
+    "lineitem",
+    "WITH r AS (SELECT * FROM lineitem WHERE l_tax <= 0.04), e AS (SELECT MIN(l_discount) AS lo, MAX(l_discount) AS hi FROM r)"
+    f" SELECT {_QUARTERS} AS key, ROUND(SUM(l_extendedprice * l_quantity) / SUM(l_quantity), 4) AS value FROM r, e GROUP BY 1",
+)
+def aggregation_entry(df):
+    """One binned variable, a weighted mean and a condition, by the entry that takes a spec."""
+    config = {"function": "MEAN", "weight": QUANTITY, "binning": {0: {"num_bins": 4}}}
+    return crosstab.run_aggregation(df, ["l_discount"], PRICE, config, {"and": [_c("l_tax", "<=", 0.04)]})
+
+
+@query("lineitem", "SELECT CAST(dense_rank() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS bin, CASE l_linenumber WHEN 1 THEN 1.0::DOUBLE ELSE ROUND(1 + 6 * (l_linenumber - 1) / 7.0, 2) END AS \"left\", CASE l_linenumber WHEN 7 THEN 7.0::DOUBLE ELSE ROUND(1 + 6 * l_linenumber / 7.0, 2) END AS \"right\", COUNT(*) AS agg FROM lineitem GROUP BY l_linenumber")
+def histogram_integers(df):
+    """Whole numbers get no more bins than they have values."""
+    return histogram(df, "l_linenumber")
+
+
+_FIFTHS = "CASE WHEN {0} = 0 THEN lo WHEN {0} = 5 THEN hi ELSE ROUND(lo + (hi - lo) * {0} / 5, 4) END"
+
+
+@query("orders", f"WITH e AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders) SELECT CAST(i AS INTEGER) AS bin, printf('%.3f-%.3f', {_FIFTHS.format('i')}, {_FIFTHS.format('(i + 1)')}) AS name FROM e, range(5) t(i)")
+def bin_names(df):
+    edges = binning.bin_edges(binning.bin_stats(df, "o_totalprice"), 5)
+    return rows_of(df, [(i, binning.bin_label(edges, i)) for i in range(5)], "bin int, name string")
+
+
+@query("orders", "WITH e AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders) SELECT CAST(i AS INTEGER) AS i, ROUND(CAST(printf('%.1f', lo + (hi - lo) * i / 6) AS DOUBLE) + CASE WHEN i = 6 THEN 0.1 ELSE 0 END, 4) AS edge FROM e, range(7) t(i)")
+def bin_edges_wide(df):
+    low, high = df.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    return rows_of(df, list(enumerate(binning.even_edges(low, high, 6))), "i int, edge double")
+
+
+_SCALED = (("customer", "c_custkey", "integer"), ("customer", "c_name", "string"), ("customer", "c_nationkey", "integer"), ("customer", "c_mktsegment", "string"), ("part", "p_name", "string"), ("part", "p_brand", "string"), ("part", "p_size", "integer"), ("events", "event_id", "integer"), ("events", "user_id", "integer"))
+
+
+def field_ids(spark, sf_dir):
+    """Ids by name and uniqueness, and scales, of three tables' profiles."""
+    wanted = {(t, f) for t, f, _ in _SCALED}
+    tables = {t: read(spark, sf_dir, t) for t in dict.fromkeys(t for t, _, _ in _SCALED)}
+    rows = [(t, f.name, f.id, f.scale) for t, df in tables.items() for f in describe.profile(df) if (t, f.name) in wanted]
+    return rows_of(tables["customer"], rows, "tab string, field string, is_id boolean, scale string")
+
+
+def _scaled_sql(t: str, f: str, kind: str) -> str:
+    named = f.lower().endswith("id") or "name" in f
+    is_id = "FALSE" if not named else "TRUE" if kind == "integer" else f"COUNT(DISTINCT {f}) >= 0.95 * COUNT({f})"
+    scale = "'nominal'" if kind == "string" else f"CASE WHEN MAX({f}) - MIN({f}) <= 30 AND MAX({f}) - MIN({f}) + 1 = COUNT(DISTINCT {f}) THEN 'ordinal' ELSE 'continuous' END"
+    return f"SELECT '{t}' AS tab, '{f}' AS field, {is_id} AS is_id, {scale} AS scale FROM {t} HAVING COUNT(*) > 0"
+
+
+QUERIES["field_ids"] = field_ids
+ORACLE_SQL["field_ids"] = " UNION ALL ".join(_scaled_sql(*x) for x in _SCALED)
+
+
+@query("part", "SELECT 'p_size' AS field, 'string' AS type, 'c' AS general, 'nominal' AS scale, FALSE AS is_id, TRUE AS manual FROM part HAVING COUNT(*) > 0 UNION ALL SELECT 'p_partkey', 'integer', 'q', CASE WHEN MAX(p_partkey) - MIN(p_partkey) <= 30 THEN 'ordinal' ELSE 'continuous' END, TRUE, TRUE FROM part")
+def field_override(df):
+    """A number made a category and a key marked as an id by hand."""
+    fields = describe.override(describe.override(describe.profile(df), "p_size", type="string"), "p_partkey", id=True)
+    return rows_of(df, [(f.name, f.type, f.general, f.scale, f.id, f.manual) for f in fields if f.manual], "field string, type string, general string, scale string, is_id boolean, manual boolean")
+
+
+@query("orders", "SELECT COUNT(DISTINCT o_orderstatus) AS n_rows, CAST(1 + COUNT(DISTINCT EXTRACT(year FROM o_orderdate)) AS INTEGER) AS n_cols, 'wide' AS structure, TRUE AS is_time_series FROM orders")
+def wide_series(df):
+    """A table with a column for each year is told as a wide series."""
+    return describe.dataset_properties(df.withColumn("year", F.year("o_orderdate").cast("string")).groupBy("o_orderstatus").pivot("year").agg(F.sum("o_totalprice")))
+
+
+@query(
+    "lineitem",
+    "SELECT a, b, r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0::DOUBLE" if i == j else f"ROUND(CORR({a}, {b}), 4)" if i < j else "NULL::DOUBLE") + " AS r FROM lineitem WHERE l_returnflag = 'R'" + (" HAVING COUNT(*) > 0" if i >= j else "") for i, a in enumerate(FOUR) for j, b in enumerate(FOUR)) + ")",
+)
+def correlation_entry(df):
+    """The upper triangle over rows that fit a condition."""
+    got = correlation.correlate(df, FOUR, {"and": [_c(FLAG, "==", "R")]})
+    return rows_of(df, [(a, b, got[i][j][0]) for i, a in enumerate(FOUR) for j, b in enumerate(FOUR)], "a string, b string, r double")
+
+
+@query("lineitem", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, LEAST(100, COUNT(*)) AS points, 0 AS strangers FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in ((QUANTITY, PRICE), (QUANTITY, "l_tax"), (PRICE, "l_tax"))))
+def correlation_scatter_members(df):
+    """How many points each pair gets, and how many of them aren't in the table."""
+    fields = (QUANTITY, PRICE, "l_tax")
+    points = correlation.correlation_scatter(df, fields)
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(fields) for b in fields[i + 1 :]])
+    seen = points.join(known.distinct().withColumn("known", F.lit(1)), ["a", "b", "x", "y"], "left")
+    return seen.groupBy("a", "b").agg(F.count("*").alias("points"), F.count_if(F.col("known").isNull()).cast("int").alias("strangers"))
+
+
+@query("orders", "SELECT LEAST(500, COUNT(*)) AS n, LEAST(500, COUNT(*)) AS n_distinct, 0 AS strangers FROM orders")
+def random_sample_members(df):
+    """A draw has the size asked for, no row twice and none from elsewhere."""
+    drawn = transform.random_rows(df, 500)
+    seen = drawn.join(df.select(*df.columns, F.lit(1).alias("known")), df.columns, "left")
+    return seen.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_distinct"), F.count_if(F.col("known").isNull()).cast("int").alias("strangers"))
+
+
+@query("customer", " UNION ALL ".join(f"SELECT '{f}' AS field, LEAST(100, COUNT({f})) AS n, 0 AS strangers FROM customer WHERE TRIM(CAST({f} AS VARCHAR)) <> ''" for f in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+def first_value_members(df):
+    """How many first values each field gives, and how many of them it doesn't hold."""
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    seen = describe.first_values(df).join(known.distinct().withColumn("known", F.lit(1)), ["field", "value"], "left")
+    return seen.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).cast("int").alias("strangers"))
+
+
+@query("orders", "SELECT ANY_VALUE(n) AS n, ROUND(SUM((2.0 * i - n - 1) * x) / (ANY_VALUE(n) * SUM(x)), 4) AS gini FROM (SELECT o_totalprice AS x, ROW_NUMBER() OVER (ORDER BY o_totalprice) AS i, COUNT(*) OVER () AS n FROM orders WHERE o_totalprice IS NOT NULL)")
+def gini_prices(df):
+    return gini_of(df, "o_totalprice")
+
+
+@query("lineitem", "WITH g AS (SELECT SUM(l_quantity) AS v FROM lineitem GROUP BY l_partkey), t AS (SELECT SUM(v) AS t FROM g) SELECT ROUND(-SUM(v / t * LN(v / t)), 4) AS entropy, ROUND(VAR_POP(v) / MAX(v), 4) AS dispersion, CAST(COUNT(*) AS DOUBLE) AS size FROM g, t")
+def result_scores(df):
+    """Scores of a result of any size, by one aggregation over its plan."""
+    spec = make("val:agg", "c:q", grouped_field="l_partkey", agg_field=QUANTITY, agg_fn="sum")
+    got = statistics_of(spec, groupings.value_aggregate(df, "l_partkey", QUANTITY, "sum"))
+    return rows_of(df, [(got["entropy"], got["dispersion"], got["size"])], "entropy double, dispersion double, size double")
+
+
+@query(
+    "lineitem",
+    "WITH s AS (SELECT AVG(l_quantity) AS x FROM lineitem GROUP BY l_suppkey), a AS (SELECT AVG(x) AS a FROM s), m AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(POWER(x - a, 3)) / POWER(AVG(POWER(x - a, 2)), 1.5) AS g, AVG(POWER(x - a, 4)) / POWER(AVG(POWER(x - a, 2)), 2) AS k FROM s, a),"
+    " u AS (SELECT *, g * SQRT((n + 1) * (n + 3) / (6 * (n - 2))) AS y, SQRT(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,"
+    " (k - 3 * (n - 1) / (n + 1)) / SQRT(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * SQRT(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM m),"
+    " v AS (SELECT *, y / SQRT(2 / (w2 - 1)) AS q, 6 + 8 / b * (2 / b + SQRT(1 + 4 / (b * b))) AS f FROM u),"
+    " z AS (SELECT n, LN(q + SQRT(q * q + 1)) / SQRT(0.5 * LN(w2)) AS z1, (1 - 2 / (9 * f) - CBRT((1 - 2 / f) / (1 + x * SQRT(2 / (f - 4))))) / SQRT(2 / (9 * f)) AS z2 FROM v)"
+    " SELECT CAST(n AS BIGINT) AS n, ROUND(EXP(-(z1 * z1 + z2 * z2) / 2), 4) AS p, n >= 8 AND EXP(-(z1 * z1 + z2 * z2) / 2) >= 0.25 AS is_normal FROM z",
+)
+def sets_normal(df):
+    """Means over suppliers, by D'Agostino's test."""
+    means = df.groupBy("l_suppkey").agg(F.avg(QUANTITY).alias("mean"))
+    p, _ = describe.normality(means, "mean")
+    return means.agg(F.count("*").alias("n")).select("n", F.lit(p).alias("p"), F.lit(comparison.sets_normal(means, ["mean"])).alias("is_normal"))
+
+
+@query("lineitem", " UNION ALL ".join(f"SELECT '{v}' AS variable, COUNT(*) AS n, ROUND(REGR_R2({PRICE}, {v}), 6) AS r2, ROUND(REGR_SLOPE({PRICE}, {v}), 2) AS slope FROM lineitem" for v in (QUANTITY, "l_discount", "l_tax")))
+def ols_one_at_a_time(df):
+    fits = regression.regress(df, PRICE, [QUANTITY, "l_discount", "l_tax"], layout="one_at_a_time")
+    return rows_of(df, [(v[0], int(fit.n), round(fit.r2, 6), round(float(fit.rows[1][1]), 2)) for v, fit in fits if len(v) == 1], "variable string, n long, r2 double, slope double")
+
+
+QUERIES["ols_one_at_a_time"] = lambda spark, sf_dir: ols_one_at_a_time(read(spark, sf_dir, "lineitem"))  # six places
+
+
+@query(
+    "orders",
+    "WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, AVG(o_totalprice) AS m FROM orders GROUP BY 1, 2), a0 AS (SELECT MIN(a) AS a0, MIN(b) AS b0 FROM c)"
+    " SELECT x.a, x.b, ROUND(x.m - y.m - z.m + w.m, 2) AS effect FROM a0 JOIN c x ON x.a <> a0 AND x.b <> b0 JOIN c y ON y.a = a0 AND y.b = x.b JOIN c z ON z.a = x.a AND z.b = b0 JOIN c w ON w.a = a0 AND w.b = b0",
+)
+def ols_interaction(df):
+    """Of two categories with all their products, the fitted means are the cells', so the effects are differences of four of them."""
+    ((_, fit),) = regression.regress(df, "o_totalprice", ["o_orderpriority", "o_orderstatus"], layout="all", interactions=[("o_orderpriority", "o_orderstatus")])
+    names = [[p[p.index("[") + 1 : -1] for p in label.split(":")] + [round(float(c), 2)] for label, c, *_ in fit.rows if ":" in label]
+    return rows_of(df, [tuple(x) for x in names], "a string, b string, effect double")
