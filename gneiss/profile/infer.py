@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -50,6 +51,11 @@ def country_tables() -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]
     return _countries("iso")
 
 
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, with c evaluated once however often body names it, which keeps the plan and its code small."""
+    return F.transform(F.array(c), body)[0]
+
+
 def plain_number(c: Column) -> Column:
     """The text of a number without grouping marks and with a decimal point.
 
@@ -71,16 +77,19 @@ def free_time(c: Column) -> Column:
     text = F.lower(F.trim(c))
     for pattern, by in ((r"\b(mon|tues?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?\b\.?", " "), (r"(\d)(st|nd|rd|th)\b", "$1"), (r"\b(of|at|on|the)\b", " "), (r"[,./-]+", " "), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, by)
-    text = F.trim(text)
+    return once(F.trim(text), _free_time)
+
+
+def _free_time(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, FREE, i)
     number_of = lambda x: F.when(x != "", x).try_cast("int")
     name = F.concat(part(2), part(4), part(8), part(10))  # one of them
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS_3]), F.substring(name, 1, 3)).cast("int")
     day = F.coalesce(number_of(part(1)), number_of(part(5)), number_of(part(9)), F.lit(1))
     year = number_of(F.concat(part(3), part(6), part(7), part(11)))
-    year = F.when(year >= 100, year).when(year < 69, year + 2000).otherwise(year + 1900)
+    year = once(year, lambda y: F.when(y >= 100, y).when(y < 69, y + 2000).otherwise(y + 1900))
     hour, half = F.coalesce(number_of(part(12)), F.lit(0)), part(15)
-    hour = F.when(half == "", hour).when(hour > 12, 24).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    hour = once(hour, lambda h: F.when(half == "", h).when(h > 12, 24).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0)))
     second = F.coalesce(number_of(part(14)), F.lit(0)).cast("decimal(16,6)")
     return F.when(text.rlike(FREE) & (F.lit(",".join(MONTH_NAMES)).contains(name)), F.try_make_timestamp(year, month, day, hour, F.coalesce(number_of(part(13)), F.lit(0)), second))
 
@@ -91,7 +100,7 @@ def parsed_time(c: Column) -> Column:
     plain = F.regexp_replace(x, SEPARATED, "$1-$3-$4")  # the same separator twice, whichever it is
     forms = [o + t for o in DATE_ORDERS for t in TIMES]
     iso = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), x.try_cast("timestamp"))
-    known = F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in forms])
+    known = F.coalesce(iso, once(plain, lambda p: F.coalesce(*[F.try_to_timestamp(p, F.lit(f)) for f in forms])))
     # a cheap look first: few values of a text column reach the parsers
     return F.coalesce(F.when(x.rlike(LOOKS_LIKE_TIME), known), F.when(x.rlike(HAS_MONTH), free_time(c)))
 
