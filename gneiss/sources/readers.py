@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -16,6 +17,7 @@ from gneiss.profile.infer import infer_types, parsed_time, plain_number
 from gneiss.sources.encoding import BY_SPARK, as_text, detect
 
 PREFIX_BYTES = 1 << 20
+TELLING_LINES, TELLING_BYTES = 256, 1 << 12
 EXTENSIONS = {"csv": ",", "tsv": "\t", "txt": None}
 
 
@@ -29,24 +31,38 @@ class Dialect:
     line_end: str | None = None  # set for wide encodings, where Spark must be told
 
 
-def prefix(spark: SparkSession, path: str, size: int = PREFIX_BYTES) -> bytes:
-    """First bytes of one file, through Spark's file systems."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def visible_files(spark: SparkSession, path: str) -> list:
+    """(file system, status) of a file, or of a folder's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(p).isDirectory():
-        p = next(s.getPath() for s in fs.listStatus(p) if s.getLen() and not s.getPath().getName().startswith(("_", ".")))
-    stream = fs.open(p)
+    own = fs.getFileStatus(p)
+    return [(fs, s) for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))] if own.isDirectory() else [(fs, own)]
+
+
+def prefix(spark: SparkSession, path: str, size: int = PREFIX_BYTES) -> bytes:
+    """First bytes of a file, or of a folder's largest one (empty tasks write files of a header alone), through Spark's file systems."""
+    fs, largest = max(visible_files(spark, path), key=lambda f: f[1].getLen())
+    stream = fs.open(largest.getPath())
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, fs.getFileStatus(p).getLen()))))
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, largest.getLen()))))
     finally:
         stream.close()
 
 
-def sniff(raw: bytes, whole: bool | None = None) -> Dialect:
-    """Encoding and dialect of a delimited file's first bytes."""
+def telling(spark: SparkSession, path: str, raw: bytes) -> bytes:
+    """Lines with bytes beyond ASCII from anywhere in the files, where the first bytes have none and are not all: only such bytes tell the encoding."""
+    if not raw.isascii() or b"\0" in raw or sum(s.getLen() for _, s in visible_files(spark, path)) <= len(raw):
+        return b""
+    at = F.regexp_instr("value", F.lit("[^\\x00-\\x7F]"))
+    lines = spark.read.text(path).where(at > 0).select(F.substring(F.col("value").cast("binary"), at, F.lit(TELLING_BYTES)).alias("line")).limit(TELLING_LINES).collect()
+    whole_characters = lambda b: re.sub(rb"(?s)(?<=[\x00-\x2f])[^\x00-\x2f]*\Z", b"", b) if len(b) == TELLING_BYTES else b  # no charset has such bytes inside a character
+    return b"\n".join(whole_characters(bytes(r["line"])) for r in lines)
+
+
+def sniff(raw: bytes, whole: bool | None = None, later: bytes = b"") -> Dialect:
+    """Encoding and dialect of a delimited file's first bytes; later: lines that tell the encoding where these don't."""
     whole = len(raw) < PREFIX_BYTES if whole is None else whole
-    encoding = detect(raw, whole)
+    encoding = detect(later) if later else detect(raw, whole)
     text = raw.decode(encoding, "replace").lstrip("\ufeff")
     try:
         d = csv.Sniffer().sniff(text[:65536], delimiters=",;\t|")
@@ -94,7 +110,10 @@ def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = Non
     Records are parsed with one field more than the header, whichever columns are asked for. One that fits this is too long by one; of the others only
     those with so many delimiters that they may be too long are looked at character by character.
     """
-    d = dialect or sniff(prefix(spark, path))
+    if dialect is None:
+        first = prefix(spark, path)
+        dialect = sniff(first, later=telling(spark, path, first))
+    d = dialect
     read_as = d.encoding if d.encoding in BY_SPARK else "ISO-8859-1"
     options = {"sep": d.delimiter, "quote": d.quote, "escape": d.escape, "encoding": read_as, "header": True, "enforceSchema": False, "multiLine": d.multiline, **({"lineSep": d.line_end} if d.line_end else {})}
     names = spark.read.options(**options).csv(path).columns

@@ -134,3 +134,22 @@ def test_engine_reads_a_path_once_and_results_follow_the_file(spark, tmp_path):
     assert engine.forget(path)
     assert [tuple(r) for r in engine.read(path).visualize(spec)] == [("a", 1)]
     engine.datasets.clear()
+
+
+def test_encoding_of_a_folder_whose_first_task_was_empty(spark, tmp_path):
+    """Its file holds the ASCII header alone, and used to be taken for UTF-8."""
+    path, text = str(tmp_path / "t.csv"), TEXTS["windows-1251"]
+    line = F.concat(F.col("id").cast("string"), F.lit(";" + text.encode("windows-1251").decode("latin-1")))
+    spark.range(0, 40, 1, 4).where("id >= 10").select(line.alias("id;text")).write.option("header", True).option("encoding", "ISO-8859-1").option("sep", "\u0001").csv(path)
+    assert min(f.stat().st_size for f in (tmp_path / "t.csv").glob("part-*")) == len("id;text\n")
+    assert sorted(map(tuple, readers.read(spark, path).collect())) == sorted((str(i), text) for i in range(10, 40))
+
+
+@pytest.mark.parametrize("name", ["windows-1251", "Shift_JIS", "UTF-8"])
+def test_encoding_is_told_by_lines_behind_the_first_bytes(spark, tmp_path, name):
+    path, text = tmp_path / "late.csv", TEXTS[name].replace(",", " ")
+    plain = [f"{i},plain" for i in range(100_000)]
+    path.write_bytes("\n".join(["id,text", *plain, f"x,{text}", f"y,{text * 200}", ""]).encode(name))
+    assert readers.prefix(spark, str(path)).isascii()
+    got = {r["id"]: r["text"] for r in readers.read(spark, str(path)).where("id in ('x', 'y', '7')").collect()}
+    assert got == {"7": "plain", "x": text, "y": text * 200}
