@@ -31,6 +31,16 @@ def bounds_below(bounds: Sequence[Column], key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: at + F.when(within(at, step), step).otherwise(0))
 
 
+def with_bounds_below(df: DataFrame, bounds: Sequence[Column], key: Column, name: str) -> DataFrame:
+    """df with bounds_below as a column: a projection for each step of the search, which Spark compiles, unlike one over arrays."""
+    table, found, place = F.array(*bounds), "__found", df.withColumn("__found", F.lit(0))
+    for step in [1 << i for i in reversed(range(len(bounds).bit_length()))]:
+        at = F.col(found)
+        within = (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key)
+        place = place.withColumn(found, at + F.when(within, step).otherwise(0))
+    return place.withColumnRenamed(found, name)
+
+
 def placed(df: DataFrame, keys: Sequence[str], name: str = "part") -> DataFrame:
     """df with the tie hash and the number of each row's range, in the order of the keys and then the hash."""
     rows = with_tie(df, keys)
@@ -48,7 +58,7 @@ def placed(df: DataFrame, keys: Sequence[str], name: str = "part") -> DataFrame:
     if not chosen:
         return rows.withColumn(name, F.lit(0))
     bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, order, strict=True)]) for b in chosen]
-    return rows.withColumn(name, bounds_below(bounds, key))
+    return with_bounds_below(rows, bounds, key, name)
 
 
 def with_sums_before(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

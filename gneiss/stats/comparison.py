@@ -80,13 +80,17 @@ def value_ranks(samples: DataFrame) -> DataFrame:
     return per.join(ranks, "x")
 
 
+def tie_term() -> Column:
+    """Over value_ranks: the sum of t^3 - t over values of t ties, each value's share dealt out to its samples' n."""
+    t = F.col("ties").cast("double")
+    return F.sum(F.col("n") * (t * t - 1))
+
+
 def kruskal(samples: DataFrame) -> DataFrame:
     """H corrected for ties, with the number of samples and of values."""
     r = value_ranks(samples)
-    sums = r.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
-    t = F.col("ties").cast("double")
-    tied = r.select("x", t.alias("t")).distinct().agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
-    one = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).join(F.broadcast(tied))  # one row
+    sums = r.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"), tie_term().alias("tied"))
+    one = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("tied").alias("tied"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("tied") / (n * n * n - n))
     return one.select("k", "n", h.alias("h"))
@@ -95,12 +99,10 @@ def kruskal(samples: DataFrame) -> DataFrame:
 def mann_whitney(samples: DataFrame) -> DataFrame:
     """U of the first sample by name, the sizes and the tie term."""
     r = value_ranks(samples)
-    sums = r.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
-    t = F.col("ties").cast("double")
-    tied = r.select("x", t.alias("t")).distinct().agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
+    sums = r.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"), tie_term().alias("tied"))
     first, last = F.min_by("n", "g"), F.max_by("n", "g")
     u = F.min_by("r", "g") - first * (first + 1) / 2.0
-    return sums.agg(first.alias("n1"), last.alias("n2"), u.alias("u")).join(F.broadcast(tied))  # one row
+    return sums.agg(first.alias("n1"), last.alias("n2"), u.alias("u"), F.sum("tied").alias("tied"))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -108,11 +110,9 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     d = (column(a).cast("double") - column(b).cast("double")).alias("d")
     signed = df.na.drop("any", subset=[a, b]).select(d).where("d != 0").select(F.when(F.col("d") > 0, "plus").otherwise("minus").alias("g"), F.abs("d").alias("x"))
     r = value_ranks(signed)
-    t = F.col("ties").cast("double")
-    tied = r.select("x", t.alias("t")).distinct().agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("tied"))
     part = lambda g: F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n") * F.col("rank"))), F.lit(0.0))
-    one = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), part("plus").alias("plus"), part("minus").alias("minus"))
-    return one.select("n", "plus", "minus", F.least("plus", "minus").alias("w")).join(F.broadcast(tied))  # one row
+    one = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), part("plus").alias("plus"), part("minus").alias("minus"), F.coalesce(tie_term(), F.lit(0.0)).alias("tied"))
+    return one.select("n", "plus", "minus", F.least("plus", "minus").alias("w"), "tied")
 
 
 def wilcoxon_p(row) -> float | None:
@@ -236,9 +236,10 @@ def mann_whitney_p(row, alternative: str = "one-sided") -> float:
 def ks_2samp(samples: DataFrame) -> DataFrame:
     """Largest distance of two samples' distribution functions, over distinct values."""
     first = samples.agg(F.min("g").alias("first"))
-    per = samples.join(F.broadcast(first)).groupBy("x").agg(F.count_if(F.col("g") == F.col("first")).alias("a"), F.count_if(F.col("g") != F.col("first")).alias("b"))  # one row
-    run = with_sums_before(per, ["x"], {"pa": F.col("a"), "pb": F.col("b")}).select((F.col("pa") + F.col("a")).alias("ca"), (F.col("pb") + F.col("b")).alias("cb"))
-    n = per.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    sides = samples.join(F.broadcast(first)).select("x", (F.col("g") == F.col("first")).alias("own"))  # one row
+    counts = lambda a, b: (F.count_if("own").alias(a), F.count_if(~F.col("own")).alias(b))
+    run = with_sums_before(sides.groupBy("x").agg(*counts("a", "b")), ["x"], {"pa": F.col("a"), "pb": F.col("b")}).select((F.col("pa") + F.col("a")).alias("ca"), (F.col("pb") + F.col("b")).alias("cb"))
+    n = sides.agg(*counts("n1", "n2"))
     return run.join(F.broadcast(n)).groupBy("n1", "n2").agg(F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))).alias("d"))  # one row
 
 

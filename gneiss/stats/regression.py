@@ -276,28 +276,37 @@ def residuals(df: DataFrame, dependent: str, independents: Sequence[str]) -> Dat
     return predictions(df, dependent, independents).select("residual")
 
 
-def residual_tests(df: DataFrame, dependent: str, independents: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
-    """(statistic, p) of tests on a linear model: predicted against actual values by chi-square (rows with an
-    actual value of 0 have no term) and by the distance of their distributions; residuals by t and signed ranks
-    against 0, and their normal shape."""
+RESIDUAL_TESTS = ("chisquare", "ks_2samp", "ttest_1samp", "wilcoxon", "normaltest")
+
+
+def residual_tests(df: DataFrame, dependent: str, independents: Sequence[str], tests: Sequence[str] = RESIDUAL_TESTS) -> dict[str, tuple[float | None, float | None]]:
+    """(statistic, p) of tests on a linear model, all or those asked for: predicted against actual values by
+    chi-square (rows with an actual value of 0 have no term) and by the distance of their distributions; residuals by
+    t and signed ranks against 0, and their normal shape."""
     from gneiss.profile.describe import normality_moments
     from gneiss.stats import comparison
 
     p = predictions(df, dependent, independents)
-    chi = comparison.divergence(p.where("actual != 0").select(F.col("predicted").alias("o"), F.col("actual").alias("e"))).first()
-    ks = comparison.ks_2samp(comparison.columns_as_samples(p, ["predicted", "actual"])).first()
     r = p.select("residual", F.lit(0.0).alias("zero"))
-    t, t_p, _ = comparison.ttest_one(r, "residual")
-    w = comparison.wilcoxon(r, "residual", "zero").first()
-    m = normality_moments(r, "residual").first()
-    shape = dist.dagostino(m["n"], m["skew"], m["kurt"]) if m["n"] >= 8 and m["skew"] is not None else None
-    return {
-        "chisquare": (chi["statistic"], comparison.power_divergence_p(chi) if (chi["statistic"] or -1) >= 0 else None),
-        "ks_2samp": (ks["d"], comparison.ks_p(ks)) if ks else (None, None),
-        "ttest_1samp": (t, t_p),
-        "wilcoxon": (w["w"], comparison.wilcoxon_p(w)),
-        "normaltest": (m["skew"], shape),
-    }
+    out: dict[str, tuple[float | None, float | None]] = {}
+    for test in tests:
+        if test == "chisquare":
+            chi = comparison.divergence(p.where("actual != 0").select(F.col("predicted").alias("o"), F.col("actual").alias("e"))).first()
+            out[test] = (chi["statistic"], comparison.power_divergence_p(chi) if (chi["statistic"] or -1) >= 0 else None)
+        elif test == "ks_2samp":
+            ks = comparison.ks_2samp(comparison.columns_as_samples(p, ["predicted", "actual"])).first()
+            out[test] = (ks["d"], comparison.ks_p(ks)) if ks else (None, None)
+        elif test == "ttest_1samp":
+            out[test] = comparison.ttest_one(r, "residual")[:2]
+        elif test == "wilcoxon":
+            w = comparison.wilcoxon(r, "residual", "zero").first()
+            out[test] = (w["w"], comparison.wilcoxon_p(w))
+        elif test == "normaltest":
+            m = normality_moments(r, "residual").first()
+            out[test] = (m["skew"], dist.dagostino(m["n"], m["skew"], m["kurt"]) if m["n"] >= 8 and m["skew"] is not None else None)
+        else:
+            raise ValueError(f"unknown test {test!r}")
+    return out
 
 
 def forward_r2(g: Gram, limit: int = MODEL_LIMIT, gain: float = LEAST_GAIN) -> list[str]:

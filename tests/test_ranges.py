@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.operators import binning, groupings, ranges
+from gneiss.stats import comparison, regression
 
 
 @pytest.fixture
@@ -105,3 +106,28 @@ def test_nothing(spark):
     assert groupings.scalar_aggregates(none, "v").first()["median"] is None
     assert groupings.value_aggregate(none, "g", "v", "median").count() == 0
     assert groupings.indexed_values(none, "v", ["k"]).count() == 0
+
+
+def test_ranges_are_found_by_compiled_steps(hot, tiny):
+    """A search by higher-order functions runs interpreted, for each row anew."""
+    df, _ = hot
+    placed = ranges.placed(df, ["k"])
+    assert "lambda" not in codegen(placed)
+    keys, part = zip(*sorted((r["k"], r["part"]) for r in placed.collect()), strict=True)
+    assert list(part) == sorted(part) and len(set(part)) > 1
+
+
+def test_ranks_are_made_once(spark):
+    """The tie term comes with the rank sums: one window over the values, not two."""
+    df = spark.createDataFrame([(g, float(x)) for x, n in ((1, 3), (2, 2), (5, 1), (7, 4)) for g in "abb" for _ in range(n)], "g string, x double")
+    tied = sum((3 * n) ** 3 - 3 * n for n in (3, 2, 1, 4))
+    assert comparison.mann_whitney(df).first()["tied"] == tied
+    for ranked in (comparison.mann_whitney(df), comparison.kruskal(df)):
+        assert codegen(ranked).split("== Physical Plan ==")[0].count("Window [") == codegen(comparison.value_ranks(df)).split("== Physical Plan ==")[0].count("Window [") > 0
+
+
+def test_only_the_residual_tests_asked_for_run(spark):
+    df = spark.range(30).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7 + F.col("id")).cast("double").alias("y"))
+    every = regression.residual_tests(df, "y", ["x"])
+    assert tuple(every) == regression.RESIDUAL_TESTS
+    assert regression.residual_tests(df, "y", ["x"], ["ks_2samp", "chisquare"]) == {k: every[k] for k in ("ks_2samp", "chisquare")}
