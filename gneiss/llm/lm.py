@@ -16,12 +16,14 @@ What is gathered grows with the corpus:
 1. `count_words`: tasks send their distinct words' counts, packed by hash range; ranges add them up. This
    gives the exact counts of the base score, the classes' sums, and from the most frequent words the
    vocabulary, whose size grows with the root of the training tokens (`vocabulary_size`).
-2. `count_contexts`: tasks count bits by context slot over all training texts, apart for a fold of about
-   one in a hundred; the tables are added up slot range by slot range. Their size grows with the training
-   tokens up to 2**MAX_BITS slots, which every worker must hold (48 MB); beyond that, at about 4 billion
-   tokens, contexts share slots, and the gate and weights learned on unseen texts lessen what they say.
-3. `fit_mixers`: weights and maps are learned on all texts of that fold by tables that have not seen them,
-   in shards, and averaged by the shards' bits. Then the fold's counts join the tables.
+2. `count_contexts`: tasks count bits by context slot over all training texts, apart for two halves of
+   them; the tables are added up slot range by slot range. Their size grows with the training tokens up to
+   2**MAX_BITS slots, which every worker must hold (48 MB); beyond that, at about 4 billion tokens, contexts
+   share slots, and the gate and weights learned on unseen texts lessen what they say.
+3. `fit_mixers`: weights and maps are learned on all training texts, each half by the tables of the other,
+   which have not seen it. Tasks count the bits by their gate and inputs, rounded to steps of a logit; from
+   the sums, whole numbers that no layout changes, the driver takes the best weights of each gate and the
+   map. Then the halves' tables are added up.
 4. `lm_scores`: every text is scored where it lies. Counts of frequent words are known to all tasks (a
    bounded list); entries of all other words go to their hash range and come back as sums.
 
@@ -39,7 +41,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ MAX_VOCABULARY = 1 << 16
 MAX_BITS = 22
 LETTER_BITS = (10, 16, 18)
 HELD_WORDS = 1 << 21
-MIXER_FOLD = (97, 3)
-MIXER_SHARDS = 64
+LOGIT_STEP = 0.5  # of the contexts' logits where bits are counted by their inputs
+OWN_STEPS = 24  # of the nodes' own shares there
+PRIOR = 16.0  # bits' worth of trust in the weights and the map that nothing was learned for
 CHUNK = 2 << 20
 STEP = 128  # words between two updates of a text's own weights
 RATE = 0.6
@@ -66,6 +69,7 @@ LEVELS = 4
 CELLS = 33
 FINE = 32  # steps a unit of the final map
 BLOCK = 1 << 12
+INPUTS_BLOCK = 1 << 16
 
 
 def vocabulary_size(tokens: int) -> int:
@@ -130,6 +134,15 @@ class Mixer:
         both = [np.bincount(nodes, weight * (bits == b), max(len(counts) - 1, 1)) for b in (0, 1)]
         self.alone = np.clip(stretch((both[1] + 0.4) / (both[0] + both[1] + 0.8)), -11, 11)[nodes].astype(F32)
         self.tables: list[np.ndarray] = []
+        gated = min(len(sizes), 2)
+        self.codes = [table_codes(False)] * (len(sizes) - gated) + [table_codes(True)] * gated
+        self.shape = (8, 2, OWN_STEPS, *(len(c.logits) for c in self.codes))  # depth, bit, own share, contexts
+        order = np.argsort(self.alone, kind="stable")
+        reached = np.cumsum(weight[order] + 1 / (1 + len(order)))
+        own = np.zeros(len(order), np.int64)
+        own[order] = np.minimum(OWN_STEPS * (reached / (reached[-1] if len(order) else 1)), OWN_STEPS - 1)
+        self.own_logits = np.bincount(own, self.alone * (weight + 1e-9), OWN_STEPS) / np.maximum(np.bincount(own, weight + 1e-9, OWN_STEPS), 1e-9)
+        self.fixed = ((self.depth * 2 + self.bits) * OWN_STEPS + own).astype(np.int16)
         self.weights = np.full((LEVELS ** min(len(sizes), 2), len(sizes) + 1), 1.0 / (len(sizes) + 1), F32)
         self.cells = np.tile(squash(np.linspace(-8, 8, CELLS)).astype(F32), (8, 1))
 
@@ -240,22 +253,104 @@ class Mixer:
                         own[here, j] = np.clip(own[here, j] + rate / 8 * np.bincount(who, error * x, len(here)) / n, -1, 1)
         return out
 
-    def learn(self, symbols: np.ndarray, contexts: list[np.ndarray], rate: float = 0.02, batch: int = 256) -> int:
-        """Online updates of weights and map, a few hundred bits at a time; the number of bits."""
+    def coded(self) -> list[np.ndarray]:
+        """The settled tables' codes, a byte a slot."""
+        return [c.of[t.view(np.uint16)] for c, t in zip(self.codes, self.tables, strict=True)]
+
+    def kinds(self, symbols: np.ndarray, contexts: list[np.ndarray], coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol of each bit, its kind): the place in `shape` of its depth, itself and its rounded inputs."""
         owner, at = self.path(symbols)
-        logits, gate = self.inputs(owner, at, contexts)
-        depth, y = self.depth[at], self.bits[at].astype(F32)
-        for a in range(0, len(y), batch):
-            part, g, d, yy = [x[a : a + batch] for x in logits], gate[a : a + batch], depth[a : a + batch], y[a : a + batch]
-            z = self.mixed(part, g)
-            error = yy - squash(z).astype(F32)
-            for j, x in enumerate(part):
-                np.add.at(self.weights[:, j], g, F32(rate / 8) * error * x)
-            i, share = self.cell(z)
-            np.add.at(self.cells, (d, i), F32(rate) * (1 - share) * (yy - self.cells[d, i]))
-            np.add.at(self.cells, (d, i + 1), F32(rate) * share * (yy - self.cells[d, i + 1]))
-        np.clip(self.cells, 1e-5, 1 - 1e-5, out=self.cells)
-        return len(y)
+        kind = self.fixed[at].astype(np.int32)
+        for slot, table, codes in zip(self.slots(owner, at, contexts), coded, self.codes, strict=True):
+            kind *= len(codes.logits)
+            kind += table[slot]
+        return owner, kind
+
+    def learn(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
+        """Weights and map from these symbols alone."""
+        self.fit(*np.unique(self.kinds(symbols, contexts, self.coded())[1], return_counts=True))
+
+    def fit(self, kinds: np.ndarray, n: np.ndarray) -> None:
+        """The weights of each gate that give n bits of these kinds the highest probability, and the map from what they mix to the share of ones."""
+        depth, y, own, *places = np.unravel_index(kinds, self.shape)
+        x = np.stack([self.own_logits[own], *(c.logits[i] for c, i in zip(self.codes, places, strict=True))], axis=1)
+        gate = np.zeros(len(kinds), np.int64)
+        for c, i in list(zip(self.codes, places, strict=True))[-2:]:
+            gate = gate * LEVELS + c.levels[i]
+        y, n = y.astype(float), n.astype(float)
+        z = np.zeros(len(kinds))
+        for g in np.unique(gate).tolist():
+            mine = gate == g
+            self.weights[g] = best_weights(x[mine], y[mine], n[mine])
+            z[mine] = x[mine] @ self.weights[g]
+        i, share = self.cell(z)
+        hits, size = PRIOR * squash(np.linspace(-8, 8, CELLS)) * np.ones((8, 1)), np.full((8, CELLS), PRIOR)
+        for at, part in ((i, 1 - share), (i + 1, share)):
+            np.add.at(hits, (depth, at), n * part * y)
+            np.add.at(size, (depth, at), n * part)
+        self.cells = np.clip(hits / size, 1e-5, 1 - 1e-5).astype(F32)
+
+
+@dataclass
+class Codes:
+    """Rounded logits of a table's slots."""
+
+    of: np.ndarray  # code by the slot's 16 bits
+    logits: np.ndarray  # of each code
+    levels: np.ndarray  # of each code
+
+
+def table_codes(gated: bool) -> Codes:
+    """Of tables whose level opens a gate by level, each as far as its logits reach; of others by the logit alone."""
+    most = [math.log((4 ** (level + 1) - 1.6) / 0.4) for level in range(LEVELS - 1 if gated else 0)] + [11.0]
+    reach = np.array([round(x / LOGIT_STEP) for x in most])
+    begin = np.concatenate([[0], np.cumsum(2 * reach + 1)[:-1]])
+    packed = np.arange(1 << 16).astype(np.uint16).view(np.int16)
+    level = packed & 3 if gated else np.zeros(1 << 16, np.int64)
+    of = begin[level] + reach[level] + np.clip(np.rint((packed >> 2) / (512 * LOGIT_STEP)), -reach[level], reach[level])
+    logits = np.concatenate([np.arange(-r, r + 1) * LOGIT_STEP for r in reach.tolist()])
+    return Codes(of.astype(np.uint8), logits, np.repeat(np.arange(len(reach)), 2 * reach + 1))
+
+
+def best_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic regression of y on x, each row n times, by Newton steps that are halved where they go too far; drawn to equal weights."""
+    start = np.full(x.shape[1], 1.0 / x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z) + PRIOR / 2 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
+    for _ in range(30):
+        p = squash(x @ w)
+        slope = x.T @ (n * (p - y)) + PRIOR * (w - start)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + PRIOR * np.eye(len(w)), slope)
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if then >= now:
+            break
+        w, now = w - step, then
+    return w
+
+
+class Tally:
+    """How often keys came, as one sorted list and the fresh ones behind it."""
+
+    def __init__(self):
+        self.keys, self.times, self.fresh = [], [], 0
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.times.append(times)
+        self.fresh += len(keys)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1:
+            keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
+            u, back = np.unique(keys, return_inverse=True)
+            self.keys, self.times = [u], [np.bincount(back, np.concatenate([np.zeros(0), *self.times]), len(u)).astype(np.int64)]
+        self.fresh = 0
+        return self.keys[0], self.times[0]
 
 
 def whole_runs(owner: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -368,7 +463,7 @@ def spell(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     owner = np.repeat(np.arange(len(starts), dtype=np.int32), size)
     inside = np.arange(edge[-1]) - edge[:-1][owner]
     at = starts[owner] + inside
-    gram = np.where(at == ends[owner], 256, tx._FOLD[buf[np.minimum(at, len(buf) - 1)]]).astype(np.int64)
+    gram = np.where(at == ends[owner], 256, tx._FOLD[buf[np.minimum(at, len(buf) - 1)]].astype(np.int64))  # of bytes, 256 would be 0
     symbol = gram.copy()
     for k in (1, 2, 3):
         x = np.zeros(len(symbol), np.int64)
@@ -509,7 +604,7 @@ def start_model(counted: DataFrame) -> Model:
 
 
 def count_contexts(train: DataFrame, model: Model) -> DataFrame:
-    """(t, block, counts): bit counts of both mixers' context tables, by blocks of slots. train has text and mixing; the mixing texts' tables come after the others."""
+    """(t, block, counts): bit counts of both mixers' context tables, by blocks of slots. train has text and half; the second half's tables come after the first's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple] = {}
@@ -519,29 +614,26 @@ def count_contexts(train: DataFrame, model: Model) -> DataFrame:
             at = model.index.find(tokens)
             symbol = model.symbols(at, kinds)
             contexts = model.word_contexts(symbol, first)
-            mixing = part.column(1).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(mixing)), np.diff(first))
+            half = part.column(1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(half)), np.diff(first))
             rare = np.flatnonzero(at < 0)
             rare = rare[tokens[rare] != END]
-            for kind in np.unique(mixing).tolist():
+            for kind in np.unique(half).tolist():
                 if kind not in sets:
-                    sets[kind] = model.words.empty(), model.letters.empty(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                words, _, grams, times = sets[kind]
-                mine = mixing[doc] == kind
+                    sets[kind] = model.words.empty(), model.letters.empty(), Tally()
+                words, letters, grams = sets[kind]
+                mine = half[doc] == kind
                 model.words.count(symbol[mine], [c[mine] for c in contexts], words)
                 places = rare[mine[rare]]
-                g, n = np.unique(spell(buf, *(x[places - doc[places]] for x in (w.starts, w.ends)))[0], return_counts=True)
-                grams.append(g)
-                times.append(n)
-                if sum(map(len, grams)) > HELD_WORDS:
-                    u, back = np.unique(np.concatenate(grams), return_inverse=True)
-                    sets[kind][2][:], sets[kind][3][:] = [u], [np.bincount(back, np.concatenate(times)).astype(np.int64)]
+                grams.add(*np.unique(spell(buf, *(x[places - doc[places]] for x in (w.starts, w.ends)))[0], return_counts=True))
+                if grams.fresh > HELD_WORDS // 2:
+                    u, n = grams.merged()
                     if len(u) > HELD_WORDS // 2:
-                        model.letters.count(*letter_contexts(u), sets[kind][1], sets[kind][3][0])
-                        sets[kind][2][:], sets[kind][3][:] = [u[:0]], [u[:0]]
-        for kind, (words, letters, grams, times) in sets.items():
-            u, back = np.unique(np.concatenate(grams), return_inverse=True)
-            model.letters.count(*letter_contexts(u), letters, np.bincount(back, np.concatenate(times), len(u)).astype(np.int64))
+                        model.letters.count(*letter_contexts(u), letters, n)
+                        sets[kind] = words, letters, Tally()
+        for kind, (words, letters, grams) in sets.items():
+            u, n = grams.merged()
+            model.letters.count(*letter_contexts(u), letters, n)
             tables = [*words, *letters]
             for t, table in enumerate(tables):
                 for b in range(0, len(table), BLOCK):
@@ -562,11 +654,11 @@ def count_contexts(train: DataFrame, model: Model) -> DataFrame:
         return pa.table({"t": table["t"].slice(0, 1), "block": table["block"].slice(0, 1), "counts": pa.array([_pack(at.astype(np.uint16), total)], pa.binary())})
 
     schema = "t int, block int, counts binary"
-    return train.select("text", "mixing").mapInArrow(run, schema).groupBy("t", "block").applyInArrow(add, schema)
+    return train.select("text", "half").mapInArrow(run, schema).groupBy("t", "block").applyInArrow(add, schema)
 
 
 def read_tables(model: Model, counted: DataFrame) -> list[list[np.ndarray]]:
-    """The tables without and of the mixing texts, each for words and then letters; their size is bounded by MAX_BITS and LETTER_BITS."""
+    """The tables of both halves, each for words and then letters; their size is bounded by MAX_BITS and LETTER_BITS."""
     sets = [[*model.words.empty(), *model.letters.empty()] for _ in range(2)]
     for r in counted.toLocalIterator():
         at, n = _unpack(r["counts"], np.uint16, U32)
@@ -580,50 +672,97 @@ def settle_tables(model: Model, tables: list[np.ndarray]) -> None:
     model.letters.settle(tables[len(model.words.sizes) :])
 
 
-def fit_mixers(model: Model, texts: DataFrame) -> None:
-    """Learn both mixers' weights and maps on all these texts, in MIXER_SHARDS shards at most, and average them by bits.
+def count_inputs(train: DataFrame, shared: Broadcast) -> DataFrame:
+    """(t, block, counts): bits of all training texts by their kind, of words and of letters, by blocks of kinds.
 
-    Shards are dealt by hash and sorted, so what is learned doesn't depend on how the texts came.
+    shared: the model and both halves' coded tables; a text is looked up in those of the half that it isn't in.
+    Its letters are those of its distinct words outside the frequent list, as they are where texts are scored.
     """
-    mixers = (model.words, model.letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [0, 0]
-        for _, buf, o in tx.chunks(batches):
+        m, tables = shared.value
+        seen = np.zeros(math.prod(m.words.shape), np.int64)
+        kinds_of_letters, grams = Tally(), (Tally(), Tally())
+
+        def spelled(half: int) -> None:
+            u, n = grams[half].merged()
+            for a in range(0, len(u), 1 << 15):
+                owner, kind = m.letters.kinds(*letter_contexts(u[a : a + (1 << 15)]), tables[1 - half][1])
+                k, back = np.unique(kind, return_inverse=True)
+                kinds_of_letters.add(k, np.bincount(back, n[a : a + (1 << 15)][owner]).astype(np.int64))
+            kinds_of_letters.merged()
+            grams[half].__init__()
+
+        for part, buf, o in tx.chunks(batches, limit=CHUNK):
             w = tx.split_words(buf, o)
             tokens, kinds, first = with_ends(w)
-            at = model.index.find(tokens)
-            symbol = model.symbols(at, kinds)
-            bits[0] += model.words.learn(symbol, model.word_contexts(symbol, first))
-            u, one = np.unique(w.hashes, return_index=True)
-            one = one[model.index.find(u) < 0]
-            for a in range(0, len(one), 20_000):
-                gram = spell(buf, w.starts[one[a : a + 20_000]], w.ends[one[a : a + 20_000]])[0]
-                bits[1] += model.letters.learn(*letter_contexts(gram))
-        if bits[0]:
-            learned = _pack(*(x.ravel() for m in mixers for x in (m.weights, m.cells)))
-            yield pa.RecordBatch.from_arrays([pa.array([bits[0]]), pa.array([bits[1]]), pa.array([learned], pa.binary())], names=["words", "letters", "learned"])
-
-    dealt = texts.select("text", F.xxhash64("text").alias("o")).repartition(MIXER_SHARDS, "o").sortWithinPartitions("o", "text").select("text")
-    shards = dealt.mapInArrow(run, "words long, letters long, learned binary").collect()  # MIXER_SHARDS rows of a few KB
-    for k, m in enumerate(mixers):
-        share = np.array([r[k] for r in shards], np.float64)
-        if share.sum():
-            parts = [_unpack(r["learned"], *[F32] * 4)[2 * k : 2 * k + 2] for r in shards]
-            m.weights, m.cells = (sum(s * p[i] for s, p in zip(share / share.sum(), parts, strict=True)).astype(F32).reshape(old.shape) for i, old in enumerate((m.weights, m.cells)))
+            at = m.index.find(tokens)
+            symbol = m.symbols(at, kinds)
+            contexts = m.word_contexts(symbol, first)
+            half = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(half)), np.diff(first))
+            rare = np.flatnonzero(at < 0)
+            rare = rare[tokens[rare] != END]
+            one = rare[_pairs(doc[rare], tokens[rare])[2]]
+            for k in np.unique(half).tolist():
+                mine = np.flatnonzero(half[doc] == k)
+                for a in range(0, len(mine), 1 << 12):
+                    places = mine[a : a + (1 << 12)]
+                    np.add.at(seen, m.words.kinds(symbol[places], [c[places] for c in contexts], tables[1 - k][0])[1], 1)
+                places = one[half[doc[one]] == k]
+                for a in range(0, len(places), 50_000):
+                    i = places[a : a + 50_000] - doc[places[a : a + 50_000]]
+                    grams[k].add(*np.unique(spell(buf, w.starts[i], w.ends[i])[0], return_counts=True))
+                    if grams[k].fresh > HELD_WORDS // 2 and len(grams[k].merged()[0]) > HELD_WORDS // 2:
+                        spelled(k)
+        spelled(0)
+        spelled(1)
+        found = np.flatnonzero(seen)
+        for t, (u, n) in enumerate(((found, seen[found]), kinds_of_letters.merged())):
+            edges = np.append(np.flatnonzero(np.diff(u // INPUTS_BLOCK, prepend=-1)), len(u))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                blob = _pack((u[a:b] % INPUTS_BLOCK).astype(np.uint16), n[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([int(u[a]) // INPUTS_BLOCK], pa.int32()), pa.array([blob], pa.binary())], names=["t", "block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(INPUTS_BLOCK, np.int64)
+        for x in table["counts"].to_pylist():
+            at, n = _unpack(x, np.uint16, np.int64)
+            total[at] += n
+        at = np.flatnonzero(total)
+        return pa.table({"t": table["t"].slice(0, 1), "block": table["block"].slice(0, 1), "counts": pa.array([_pack(at.astype(np.uint16), total[at])], pa.binary())})
+
+    schema = "t int, block int, counts binary"
+    return train.select("text", "half").mapInArrow(run, schema).groupBy("t", "block").applyInArrow(add, schema)
+
+
+def fit_mixers(model: Model, train: DataFrame, halves: list[list[np.ndarray]]) -> None:
+    """Learn both mixers' weights and maps on all training texts; at most math.prod(shape) sums for each mixer reach the driver."""
+    coded = []
+    for tables in halves:
+        settle_tables(model, tables)
+        coded.append((model.words.coded(), model.letters.coded()))
+    shared = train.sparkSession.sparkContext.broadcast((model, coded))  # of bounded size
+    found = materialize(count_inputs(train, shared), "inputs")
+    shared.destroy()
+    sums = Tally(), Tally()
+    for r in found.toLocalIterator():
+        at, n = _unpack(r["counts"], np.uint16, np.int64)
+        sums[r["t"]].add(at.astype(np.int64) + r["block"] * INPUTS_BLOCK, n)
+    discard(found)
+    for mixer, tally in zip((model.words, model.letters), sums, strict=True):
+        mixer.fit(*tally.merged())
 
 
 def train_model(docs: DataFrame, counted: DataFrame, held_out_fold: int, folds: int) -> Model:
     model = start_model(counted)
-    m, k = MIXER_FOLD
-    mixing = F.coalesce(digest_mod("doc_id", m) == k, F.lit(False))
-    train = docs.where(F.coalesce(digest_mod("doc_id", folds) != held_out_fold, F.lit(True))).withColumn("mixing", mixing)
+    half = F.coalesce(digest_mod("doc_id", 97), F.pmod(F.xxhash64("text"), F.lit(97))) % 2 == 1
+    train = docs.where(F.coalesce(digest_mod("doc_id", folds) != held_out_fold, F.lit(True))).withColumn("half", half)
     found = materialize(count_contexts(train, model), "contexts")
-    others, fold = read_tables(model, found)
+    halves = read_tables(model, found)
     discard(found)
-    settle_tables(model, others)
-    fit_mixers(model, train.where("mixing"))
-    settle_tables(model, [np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(U32) for a, b in zip(others, fold, strict=True)])
+    fit_mixers(model, train, halves)
+    settle_tables(model, [np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(U32) for a, b in zip(*halves, strict=True)])
     return model
 
 

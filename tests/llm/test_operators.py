@@ -555,6 +555,63 @@ def test_each_text_follows_its_own_words(monkeypatch):
     assert together[0] > m.follow(symbols, contexts, first, 0.0)[0]
 
 
+def test_weights_learn_from_every_training_text(spark, corpus, monkeypatch):
+    """No id of these is in the fold that alone was learned from once; every bit of every training text counts, and never by tables that hold its text."""
+    learned = []
+    fit = lm.Mixer.fit
+    monkeypatch.setattr(lm.Mixer, "fit", lambda self, kinds, n: (learned.append((self.shape, self.codes, kinds, n)), fit(self, kinds, n))[1])
+
+    def train(rows):
+        learned.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        return lm.train_model(df, lm.count_words(df, 64, 2048), 1, 5)
+
+    def digest(i):
+        return zlib.crc32(str(i).encode())
+
+    rows = [(i, t) for i, (_, t) in zip((i for i in range(1000) if digest(i) % 97 != 3 and digest(i) % 5 != 1), corpus, strict=False)] + [(None, "one more")]
+    model = train(rows)
+    assert not np.allclose(model.words.weights, 1 / 3, atol=0.01) and not np.allclose(model.letters.weights, 1 / 4, atol=0.01)
+    column = pa.array([t for _, t in rows], pa.string())
+    w = tx.split_words(*tx.buffers(column))
+    tokens, kinds, _ = lm.with_ends(w)
+    assert learned[0][3].sum() == model.words.length[model.symbols(model.index.find(tokens), kinds)].sum()
+    rare = [x for t in column.to_pylist() for x in {*words(t)} if model.index.find(tx.split_words(np.frombuffer(x, np.uint8), np.array([0, len(x)])).hashes)[0] < 0]
+    assert learned[1][3].sum() == sum(model.letters.length[[*x, 256]].sum() for x in rare)
+    one_half = [(i, t) for i, t in zip((i for i in range(1000) if digest(i) % 97 % 2 == 0 and digest(i) % 5 != 1), (t for _, t in corpus), strict=False)]
+    train(one_half)  # the other half's tables are empty
+    for shape, codes, kinds, _ in learned:
+        for c, places in zip(codes, np.unravel_index(kinds, shape)[3:], strict=True):
+            assert not c.logits[places].any() and not c.levels[places].any()
+
+
+def test_best_weights_and_map():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, (4000, 3))
+    n = rng.integers(1, 50, 4000)
+    y = (rng.random(4000) < lm.squash(x @ [0.1, 0.9, 0.4])).astype(float)
+    w = lm.best_weights(x, y, n)
+    assert np.abs(x.T @ (n * (lm.squash(x @ w) - y)) + lm.PRIOR * (w - 1 / 3)).max() < 1e-3
+    assert np.abs(w - [0.1, 0.9, 0.4]).max() < 0.15
+    apart = lm.best_weights(np.array([[9.0, 1.0], [-9.0, 1.0]]), np.array([1.0, 0.0]), np.array([1e12, 1e12]))
+    assert np.isfinite(apart).all()
+    m = lm.Mixer(np.array([5, 3, 1, 1, 0]), (7, 8))
+    counts = m.empty()
+    symbols, contexts = rng.choice(5, 9000, p=[0.5, 0.2, 0.1, 0.1, 0.1]), [rng.integers(0, 4, 9000).astype(np.uint32) for _ in range(2)]
+    m.count(symbols, contexts, counts)
+    m.settle(counts)
+    owner, kind = m.kinds(symbols, contexts, m.coded())
+    _, at = m.path(symbols)
+    logits, gate = m.inputs(owner, at, contexts)
+    depth, y, own, *places = np.unravel_index(kind, m.shape)
+    assert (depth == m.depth[at]).all() and (y == m.bits[at]).all() and np.abs(m.own_logits[own] - logits[0]).max() < 1e-5
+    assert all(np.abs(c.logits[i] - v).max() <= lm.LOGIT_STEP / 2 + 1e-6 for c, i, v in zip(m.codes, places, logits[1:], strict=True))
+    assert (m.codes[0].levels[places[0]] * lm.LEVELS + m.codes[1].levels[places[1]] == gate).all()
+    before = m.cost(symbols, contexts).sum()
+    m.learn(symbols, contexts)
+    assert m.cost(symbols, contexts).sum() > before
+
+
 # --- pages ------------------------------------------------------------------------------------------
 
 
